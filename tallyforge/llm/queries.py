@@ -4,12 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import bpe_counts, orc_tokens, simhash, tiff
 from .common import table
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.media_report(table(spark, sf_dir, "documents"))
+
+
+def op8_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orc_tokens.token_file_report(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
