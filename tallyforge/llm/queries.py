@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_counts, mixing, orc_tokens, simhash, tiff, toxicity, vectors
+from . import bpe_counts, mixing, orc_tokens, repeats, simhash, tiff, toxicity, vectors
 from .common import table
 
 
@@ -15,6 +15,11 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.removals(table(spark, sf_dir, "documents"), repeats.WORDS, first_stays=False)
+    return found.select("doc_id", found.n_units.alias("n_words"), "n_removed", "kept_sha256", "n_spans")
+
+
 def op3_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -23,6 +28,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.removals(table(spark, sf_dir, "documents"), repeats.BYTES, first_stays=True)
+    return found.select("doc_id", found.n_units.alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
+
+
 def op6_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.media_report(table(spark, sf_dir, "documents"))
 
