@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_counts, mixing, orc_tokens, repeats, simhash, tiff, toxicity, vectors
+from . import bpe_counts, mixing, orc_tokens, pieces, repeats, simhash, tiff, toxicity, vectors
 from .common import table
 
 
@@ -45,6 +45,10 @@ def op8_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.token_file_report(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
