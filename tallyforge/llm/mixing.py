@@ -23,9 +23,12 @@ def topic_of(text: str = "text", words: str = "n_tokens") -> Column:
     return F.when(has(" | "), "table").when(has("{") | has(' = "'), "code").when(F.col(words) >= 1000, "long").when(F.col(words) >= 100, "prose").otherwise("short")
 
 
-def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, source, lang, topic and n_tokens (words) of each document; nulls get '(none)' and 0."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *[F.coalesce(F.col(c).cast("string"), F.lit("(none)")).alias(c) for c in ("source", "lang")])
+def describe(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, lang, topic and n_tokens (words) of each document; nulls get '(none)' and 0.
+
+    The columns in keep follow as _0, _1, ...
+    """
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *[F.coalesce(F.col(c).cast("string"), F.lit("(none)")).alias(c) for c in ("source", "lang")], *[F.col(c).alias(f"_{k}") for k, c in enumerate(keep)])
     return own.withColumn("n_tokens", word_count()).withColumn("topic", topic_of()).drop("text")
 
 
@@ -78,21 +81,21 @@ def uniform(key: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rate: float = RATE, seed: str = SEED, temper: float = TEMPER) -> DataFrame:
-    """(doc_id, source, lang, topic, n_tokens, weight, p, sampled) of every document.
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rate: float = RATE, seed: str = SEED, temper: float = TEMPER, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, lang, topic, n_tokens, weight, p, sampled) of every document, and the columns in keep as _0, _1, ...
 
     Documents are pre-aggregated to cells before any shuffle, so a source with a
     third of all rows is one row of each task's output. Rows with one doc_id are
     sampled together. Documents without words weigh nothing and keep their cell's
     probability; a cell without any words has weight 0 and is not sampled.
     """
-    own = describe(docs)
-    cells = own.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens"))
+    own = describe(docs, keep)
+    cells = describe(docs).groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens"))
     fitted = probabilities(rake(materialize(cells), targets, temper), rate)
     named = fitted.select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], "f", "p")
     rounded = lambda c: F.floor(F.col(c) * 1e6 + 0.5) / 1e6
     joined = own.join(named, [own[d] == named[f"_{d}"] for d in DIMENSIONS])
-    return joined.select("doc_id", *DIMENSIONS, "n_tokens", rounded("f").alias("weight"), rounded("p").alias("p"), (uniform(F.col("doc_id"), seed) < F.col("p")).alias("sampled"))
+    return joined.select("doc_id", *DIMENSIONS, "n_tokens", rounded("f").alias("weight"), rounded("p").alias("p"), (uniform(F.col("doc_id"), seed) < F.col("p")).alias("sampled"), *[f"_{k}" for k in range(len(keep))])
 
 
 def _oracle() -> str:

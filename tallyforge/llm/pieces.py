@@ -276,4 +276,4 @@ def round_trip(docs: DataFrame, path: str, keep: tuple[str, ...] = (), text: boo
                 yield pa.RecordBatch.from_arrays(held + columns[: len(names) - len(held)], names)
                 at += rows
 
-    return doc_columns(docs, *keep).mapInArrow(run, schema)
+    return doc_columns(docs, *[docs[c].alias(f"_{k}") for k, c in enumerate(keep)]).mapInArrow(run, schema)

@@ -375,16 +375,16 @@ def mark_arrays(column: pa.Array, a: int, b: int) -> tuple[np.ndarray, np.ndarra
     return row, name, pairs[:, 0], pairs[:, 1]
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """d (never null), doc_id and text of documents."""
+def keyed(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """d (never null), doc_id and text of documents; the columns in keep follow as _0, _1, ..."""
     doc_id = F.col("doc_id").cast("long")
-    return docs.select(F.coalesce(doc_id, F.lit(NO_ID)).alias("d"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), doc_id.alias("doc_id"))
+    return docs.select(F.coalesce(doc_id, F.lit(NO_ID)).alias("d"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), doc_id.alias("doc_id"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(keep)])
 
 
-def removals(docs: DataFrame, shape: Shape, first_stays: bool, hot: int = HOT, text: bool = False) -> DataFrame:
+def removals(docs: DataFrame, shape: Shape, first_stays: bool, hot: int = HOT, text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document of what goes and what is left, by repeated windows.
 
-    Columns: doc_id, n_units (bytes or words), n_removed, n_spans, kept_sha256,
+    Columns: doc_id, the columns in keep, n_units (bytes or words), n_removed, n_spans, kept_sha256,
     and with text also kept: the remaining text. Kept bytes are concatenated,
     kept words joined by one space. In kept, a character goes only with all of
     its bytes, so that it stays valid UTF-8. Null, empty and short texts lose
@@ -393,7 +393,9 @@ def removals(docs: DataFrame, shape: Shape, first_stays: bool, hot: int = HOT, t
     """
     import hashlib
 
-    kind = "doc_id long, n_units long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if text else "")
+    held = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
+    kind = ", ".join(["doc_id long", *held, "n_units long, n_removed long, n_spans long, kept_sha256 string"]) + (", kept string" if text else "")
+    names = ["doc_id", *keep, "n_units", "n_removed", "n_spans", "kept_sha256", *(["kept"] if text else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -407,23 +409,23 @@ def removals(docs: DataFrame, shape: Shape, first_stays: bool, hot: int = HOT, t
                 opens[inner] = gone[inner]
                 spans = np.concatenate([[0], np.cumsum(opens)])[ends]
                 if shape.as_bytes:
-                    keep, out = ~gone, data
+                    stay, out = ~gone, data
                 else:
                     # a word's bytes and the place after it, which holds a space
                     starts, stops, _ = word_spans(data, offsets)
                     out = np.concatenate([data, [0x20]]).astype(np.uint8)
-                    keep = np.zeros(len(out), dtype=bool)
-                    keep[ragged_take(starts[~gone], (stops - starts)[~gone])] = True
+                    stay = np.zeros(len(out), dtype=bool)
+                    stay[ragged_take(starts[~gone], (stops - starts)[~gone])] = True
                 digests, kept = [], []
                 for row in range(b - a):
                     x, y = offsets[row], offsets[row + 1]
                     if shape.as_bytes:
-                        body = out[x:y] if total[row] == total[row + 1] else out[x:y][keep[x:y]]
+                        body = out[x:y] if total[row] == total[row + 1] else out[x:y][stay[x:y]]
                         left = body.tobytes()
                     else:
                         words = np.flatnonzero(~gone[ends[row] : ends[row + 1]]) + ends[row]
                         last = stops[words] if len(words) else words
-                        mask = keep[x : y + 1].copy()
+                        mask = stay[x : y + 1].copy()
                         mask[-1] = False
                         mask[last - x] = True
                         piece = out[x : y + 1].copy()
@@ -432,10 +434,10 @@ def removals(docs: DataFrame, shape: Shape, first_stays: bool, hot: int = HOT, t
                     digests.append(hashlib.sha256(left).hexdigest())
                     if text:
                         kept.append(_whole_characters(data[x:y], gone[x:y]) if shape.as_bytes else left.decode())
-                columns = [ids.slice(a, b - a), pa.array(np.diff(ends)), pa.array(np.diff(total)), pa.array(np.diff(spans)), pa.array(digests, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns + ([pa.array(kept, pa.string())] if text else []), kind.replace(" long", "").replace(" string", "").split(", "))
+                columns = [ids.slice(a, b - a), *(c.slice(a, b - a) for c in batch.columns[3:]), pa.array(np.diff(ends)), pa.array(np.diff(total)), pa.array(np.diff(spans)), pa.array(digests, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns + ([pa.array(kept, pa.string())] if text else []), names)
 
-    return with_removals(keyed(docs), shape, first_stays, hot).select("text", "doc_id", "marks").mapInArrow(run, kind)
+    return with_removals(keyed(docs, keep), shape, first_stays, hot).select("text", "doc_id", "marks", *[f"_{k}" for k in range(len(keep))]).mapInArrow(run, kind)
 
 
 def _whole_characters(data: np.ndarray, gone: np.ndarray) -> str:

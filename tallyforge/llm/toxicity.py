@@ -34,7 +34,8 @@ _EDGES = re.compile(r"^\W+|\W+$")
 
 
 def held_out(doc_id: Column | str = "doc_id") -> Column:
-    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(FOLDS)) == 0
+    column = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(FOLDS)) == 0
 
 
 def features(word: str) -> list[str]:
@@ -245,11 +246,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return fit([r["text"] for r in rows], [int(r["toxic"] > 0) for r in rows], (counts.get(1, 0) + 0.5) / (total + 1) if total else 0.0)
 
 
-SCORES = "doc_id long, held_out boolean, score double, predicted int, n_toxic_words int, spans array<struct<start:int,stop:int,marginal:double>>"
+SCORES = "held_out boolean, score double, predicted int, n_toxic_words int, spans array<struct<start:int,stop:int,marginal:double>>"
 
 
-def tag(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """Score every whole text and give the offending spans.
+def tag(docs: DataFrame, model: Model, threshold: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Score every whole text and give the offending spans, beside doc_id and the columns in keep.
 
     spans are byte ranges in the UTF-8 text of neighbouring words whose marginal
     is 0.5 or more, with the greatest marginal. Null and wordless texts have no
@@ -274,11 +275,12 @@ def tag(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
                 for part in np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1):
                     spans[row].append({"start": int(begin[part[0]]), "stop": int(end[part[-1]]), "marginal": float(own[part].max())})
             kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("marginal", pa.float64())]))
-            columns = [batch.column(0), batch.column(2), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(spans, kind)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted", "n_toxic_words", "spans"])
+            columns = [batch.column(0), *batch.columns[3:], batch.column(2), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(spans, kind)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *keep, "held_out", "score", "predicted", "n_toxic_words", "spans"])
 
-    own = doc_columns(docs).withColumn("held_out", F.coalesce(held_out(), F.lit(False)))
-    return own.mapInArrow(run, SCORES)
+    own = doc_columns(docs, F.coalesce(held_out(F.col("doc_id").cast("long")), F.lit(False)).alias("_held_out"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(keep)])
+    schema = ", ".join(["doc_id long", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), SCORES])
+    return own.mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
