@@ -5,8 +5,10 @@ names. Neighbouring windows with one anchor are a run, so equal windows always
 lie in runs with equal anchor names, and a copied passage gives equal runs. The
 steps, each pre-aggregated or split so that a hot passage does not gather:
 
-1. Anchor names that occur once are dropped; this leaves the corpus's repeats.
-2. Runs that are equal as a whole are decided by their counts.
+1. Each batch keeps one row of every run it holds; the batch's other documents
+   with that run are decided on the spot.
+2. The rows of an anchor are read as a stream: runs equal as a whole are decided
+   by their documents, anchors with one run only need nothing more.
 3. Only runs that share an anchor but differ, those at a copy's ends, are
    compared window by window: one text of each such run goes to its anchor's
    task. Anchors of more than HOT runs send single windows instead, so a task
@@ -163,31 +165,99 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _all_runs(docs: DataFrame, shape: Shape) -> DataFrame:
-    """(a, r, d): each document's distinct runs."""
+    """(a, r, d, c): each batch's distinct runs, with the least d that has them.
+
+    c is 1 where other documents of the batch have the run as well. Those are
+    decided here already and go along as rows of c 2 under keys of their own, so
+    a passage of many documents is one row of a batch for its anchor's task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
+            parts = []
             for a, _, _, _, unit, offsets in _chunks(shape, batch.column(1)):
                 runs = runs_of(shape, unit, offsets)
-                _, own = np.unique(joined(joined(runs.anchor, runs.name), runs.row.astype(np.uint64)), return_index=True)
-                yield pa.RecordBatch.from_arrays([_signed(runs.anchor[own]), _signed(runs.name[own]), pa.array(ids[a + runs.row[own]])], ["a", "r", "d"])
-
-    return docs.mapInArrow(run, "a long, r long, d long")
+                parts.append((runs.anchor, runs.name, ids[a + runs.row]))
+            if not parts:
+                continue
+            anchor, name, d = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((d, joined(anchor, name)))
+            anchor, name, d = anchor[order], name[order], d[order]
+            fresh = np.ones(len(d), dtype=bool)
+            fresh[1:] = (anchor[1:] != anchor[:-1]) | (name[1:] != name[:-1])
+            new = fresh.copy()
+            new[1:] |= d[1:] != d[:-1]
+            anchor, name, d, fresh = anchor[new], name[new], d[new], fresh[new]
+            heads = np.flatnonzero(fresh)
+            mark = np.where(fresh, 0, 2).astype(np.int8)
+            mark[heads[np.diff(np.concatenate([heads, [len(d)]])) > 1]] = 1
+            anchor = np.where(fresh, anchor, joined(name, d.view(np.uint64)))
+            yield pa.RecordBatch.from_arrays([_signed(anchor), _signed(name), pa.array(d), pa.array(mark)], ["a", "r", "d", "c"])
+
+    return docs.mapInArrow(run, "a long, r long, d long, c tinyint")
+
+
+def _decide(a: np.ndarray, r: np.ndarray, d: np.ndarray, c: np.ndarray, first_stays: bool, hot: int, goes_on: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """d, r and kind of rows sorted by a, r, d; goes_on: the first anchor is known to be hot and to differ."""
+    none = np.zeros(0, np.int64)
+    if not len(a):
+        return none, none, none
+    new_a = np.concatenate([[True], a[1:] != a[:-1]])
+    new_r = new_a | np.concatenate([[True], r[1:] != r[:-1]])
+    run, group = np.cumsum(new_r) - 1, np.cumsum(new_a) - 1
+    heads = np.flatnonzero(new_r)
+    tails = np.concatenate([heads[1:], [len(a)]]) - 1
+    differ = np.bincount(group[heads]) > 1
+    many = np.bincount(group) > hot
+    differ[0] |= goes_on
+    many[0] |= goes_on
+    if first_stays:
+        gone = d > d[heads][run]
+    else:
+        gone = ((d[tails] > d[heads]) | (np.maximum.reduceat(c, heads) > 0))[run]
+    asked = new_r & differ[group]
+    kind = np.where(many[group[asked]], 2, 1)
+    return np.concatenate([d[gone], d[asked]]), np.concatenate([r[gone], r[asked]]), np.concatenate([np.zeros(int(gone.sum()), np.int64), kind])
 
 
 def _decided(docs: DataFrame, shape: Shape, first_stays: bool, hot: int) -> DataFrame:
-    """(d, r, kind): runs that go as a whole (0), runs to compare by text (1) or window by window (2)."""
-    every = _all_runs(docs, shape)
-    common = every.groupBy("a").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    common = common.select(F.col("a").alias("k"), (F.col("lo") != F.col("hi")).alias("differ"), (F.col("n") > hot).alias("hot"))
-    repeated = every.join(common, F.col("a") == F.col("k")).select("a", "r", "d", "differ", "hot")
-    owners = repeated.groupBy("a", "r").agg(F.min("d").alias("m"), F.max("d").alias("x")).select(F.col("a").alias("ka"), F.col("r").alias("kr"), "m", "x")
-    known = repeated.join(owners, (F.col("a") == F.col("ka")) & (F.col("r") == F.col("kr")))
-    gone = F.col("d") > F.col("m") if first_stays else F.col("x") > F.col("m")
-    asked = F.col("differ") & (F.col("d") == F.col("m"))
-    kinds = F.array_compact(F.array(F.when(gone, F.lit(0)), F.when(asked, F.when(F.col("hot"), F.lit(2)).otherwise(F.lit(1)))))
-    return known.select("d", "r", F.explode(kinds).alias("kind"))
+    """(d, r, kind): runs that go as a whole (0), runs to compare by text (1) or window by window (2).
+
+    Reads each anchor's rows as a stream and holds at most hot of them, or those
+    of one run (no more than there are batches).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, goes_on = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.int8)], False
+
+        def out(d: np.ndarray, r: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(d), pa.array(r), pa.array(kind.astype(np.int8))], ["d", "r", "kind"])
+
+        for batch in batches:
+            rows = [batch.column(k).to_numpy() for k in range(4)]
+            known = rows[3] == 2
+            if known.any():
+                yield out(rows[2][known], rows[1][known], np.zeros(int(known.sum())))
+                rows = [x[~known] for x in rows]
+            rows = [np.concatenate(x) for x in zip(held, rows)]
+            if not len(rows[0]):
+                continue
+            a, r = rows[0], rows[1]
+            cut = int(np.searchsorted(a, a[-1]))
+            if cut:
+                yield out(*_decide(*(x[:cut] for x in rows), first_stays, hot, goes_on))
+                goes_on = False
+            held = [x[cut:] for x in rows]
+            if len(held[0]) > hot:
+                last = int(np.searchsorted(held[1], held[1][-1]))
+                if last:
+                    yield out(*_decide(*(x[:last] for x in held), first_stays, hot, True))
+                    held, goes_on = [x[last:] for x in held], True
+        if len(held[0]):
+            yield out(*_decide(*held, first_stays, hot, goes_on))
+
+    return _all_runs(docs, shape).repartition("a").sortWithinPartitions("a", "r", "d").mapInArrow(run, "d long, r long, kind tinyint")
 
 
 def _asked_runs(asked: DataFrame, shape: Shape) -> DataFrame:
@@ -354,7 +424,7 @@ def with_removals(docs: DataFrame, shape: Shape, first_stays: bool, hot: int = H
     decided = materialize(_decided(own, shape, first_stays, hot))
     # the first job's shuffle files go once its plans are collected
     docs.sparkSession.sparkContext._jvm.System.gc()
-    asked = decided.where("kind > 0").groupBy("d").agg(F.collect_list("r").alias("rs"), F.collect_list(F.col("kind").cast("int")).alias("kinds"))
+    asked = decided.where("kind > 0").groupBy("d").agg(F.collect_list("r").alias("rs"), F.collect_list("kind").alias("kinds"))
     asked = own.join(asked.withColumnRenamed("d", "k"), F.col("d") == F.col("k")).select("d", "text", "rs", "kinds")
     spans = _compared(_asked_runs(asked, shape).repartition("g").sortWithinPartitions("g", "d"), shape, first_stays)
     whole = decided.where("kind = 0").select("d", F.struct("r", F.array(F.lit(-1), F.lit(-1)).alias("spans")).alias("mark"))
