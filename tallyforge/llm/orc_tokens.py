@@ -12,12 +12,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import doc_columns, ragged_take, row_chunks, shared_dir, split_words
+from .common import doc_columns, row_chunks, shared_dir, split_words
 
 #: Word ids are gathered for about this many bytes of text at a time.
 GATHER_BYTES = 4 << 20
 
+#: A worker keeps the ids of words that a batch holds twice, up to so many words.
+CACHED_WORDS = 300_000
+
 _TOKENIZERS: dict = {}
+_ENDS: dict = {}
+_WORDS: dict[str, dict[str, bytes]] = {}
 
 
 def load_tokenizer(path: str):
@@ -30,6 +35,47 @@ def load_tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
+def _word_ends(tokenizer, path: str) -> np.ndarray | None:
+    """For each id, whether it ends a word; None where the file's tokens don't say so."""
+    if path not in _ENDS:
+        suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+        ends = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
+        for token, k in tokenizer.get_vocab(with_added_tokens=False).items() if suffix else ():
+            ends[k] = token.endswith(suffix)
+        _ENDS[path] = ends if suffix else None
+    return _ENDS[path]
+
+
+def _encoded(tokenizer, path: str, words: list[str], chosen: list[int]) -> Iterator[tuple[int, bytes]]:
+    """The ids of the chosen words, as bytes.
+
+    A word of Latin letters is one pre-token, whose last id alone ends a word;
+    such words go to the library many at a time, put apart by spaces, and the
+    ids are told apart by the ends. Other words go one by one.
+    """
+    encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+    ends = _word_ends(tokenizer, path)
+    # the one Latin letter whose lower case is more than a letter
+    plain = [k for k in chosen if (w := words[k]).isalpha() and (w.isascii() or max(w) < "\u0250" and "\u0130" not in w)] if ends is not None else []
+    own = set(plain)
+    other = [k for k in chosen if k not in own]
+    lines = [plain[at : at + 200] for at in range(0, len(plain), 200)]
+    for line, e in zip(lines, encode([" ".join(words[k] for k in line) for line in lines], add_special_tokens=False)):
+        ids = np.array(e.ids, dtype=np.uint32)
+        cuts = np.flatnonzero(ends[ids]) + 1
+        if len(cuts) != len(line):
+            other.extend(line)
+            continue
+        data, at = ids.tobytes(), 0
+        for k, cut in zip(line, (4 * cuts).tolist()):
+            yield k, data[at:cut]
+            at = cut
+    for at in range(0, len(other), 20000):
+        some = other[at : at + 20000]
+        for k, e in zip(some, encode([words[k] for k in some], add_special_tokens=False)):
+            yield k, np.array(e.ids, dtype=np.uint32).tobytes()
+
+
 def encode_column(text: pa.Array, path: str, end_id: int | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(rows, ids, offsets) pieces of a text column, encoded by the library.
 
@@ -38,26 +84,23 @@ def encode_column(text: pa.Array, path: str, end_id: int | None) -> Iterator[tup
     """
     tokenizer = load_tokenizer(path)
     words, codes, first = split_words(text)
-    encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-    ids, lengths = [], []
+    cache = _WORDS.setdefault(path, {})
     distinct = words.to_pylist()
-    for at in range(0, len(distinct), 20000):
-        found = [e.ids for e in encode(distinct[at : at + 20000], add_special_tokens=False)]
-        lengths.extend(map(len, found))
-        ids.append(np.fromiter((i for x in found for i in x), dtype=np.uint32))
-    flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-    length = np.array(lengths, dtype=np.int64)
-    start = np.cumsum(length) - length
-    extra = 0 if end_id is None else 1
+    ids = list(map(cache.get, distinct))
+    new = [k for k, x in enumerate(ids) if x is None]
+    for k, x in _encoded(tokenizer, path, distinct, new):
+        ids[k] = x
+    if len(cache) < CACHED_WORDS and new:
+        often = np.bincount(codes, minlength=len(distinct)) > 1
+        cache.update((distinct[k], ids[k]) for k in new if often[k])
+    length = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+    ids.append(b"" if end_id is None else np.array([end_id], dtype=np.uint32).tobytes())
+    length = np.append(length, 0 if end_id is None else 1)
     for a, b in row_chunks(first * 6, GATHER_BYTES):
-        own = codes[first[a] : first[b]]
-        n = length[own]
-        ends = np.concatenate([[0], np.cumsum(n)])[first[a : b + 1] - first[a]]
-        gathered = flat[ragged_take(start[own], n)]
-        if extra:
-            gathered = np.insert(gathered, ends[1:], np.uint32(end_id))
-            ends = ends + np.arange(len(ends))
-        yield b - a, gathered, ends
+        # each document's words and the end's id
+        own = np.insert(codes[first[a] : first[b]], first[a + 1 : b + 1] - first[a], len(ids) - 1)
+        ends = np.concatenate([[0], np.cumsum(length[own])])[first[a : b + 1] - first[a] + np.arange(b - a + 1)]
+        yield b - a, np.frombuffer(b"".join(map(ids.__getitem__, own.tolist())), dtype=np.uint32), ends
 
 
 def write_token_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, compression: str = "zstd") -> None:
@@ -92,7 +135,7 @@ def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
     parts = rows.groupBy("part").agg(F.max(F.col("part_start") + F.size("ids")).alias("n"), F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("has_null"))
     order = Window.orderBy(F.col("has_null").desc(), F.col("least").asc_nulls_first())
     bases = parts.select(F.col("part").alias("p"), (F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("base"))
-    return rows.join(bases, F.col("part") == F.col("p")).select("doc_id", (F.col("base") + F.col("part_start")).alias("start"), "ids")
+    return rows.join(F.broadcast(bases), F.col("part") == F.col("p")).select("doc_id", (F.col("base") + F.col("part_start")).alias("start"), "ids")
 
 
 def token_digests(tokens: DataFrame) -> DataFrame:
