@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from tallyforge.plans import q_aggregate, q_domain, q_join, q_scalar, q_scan  # noqa: F401
+from tallyforge.plans.registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
