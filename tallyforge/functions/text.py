@@ -59,10 +59,13 @@ def answers_equal(given: Column, right: Column, question_type: Column) -> Column
     return F.when(question_type == "choice", choice_answer(given) == choice_answer(right)).otherwise(fill_in_answer(given) == fill_in_answer(right))
 
 
-def option_markers(labels: Column, given: Column, right: Column) -> Column:
-    """Per option label: whether it was picked and whether it is right."""
-    picked, correct = F.split(choice_answer(given), ""), F.split(choice_answer(right), "")
-    return F.transform(labels, lambda x: F.struct(x.alias("label"), F.array_contains(picked, F.upper(x)).alias("picked"), F.array_contains(correct, F.upper(x)).alias("correct")))
+def option_markers(labels: Column, picked: Column, right: Column) -> Column:
+    """Per option label: whether it was picked and whether it is right.
+
+    picked and right are normalised answers in columns of their own, since a
+    lambda can't hold a Python function.
+    """
+    return F.transform(labels, lambda x: F.struct(x.alias("label"), F.contains(picked, F.upper(x)).alias("picked"), F.contains(right, F.upper(x)).alias("correct")))
 
 
 def chinese_number(c: Column) -> Column:

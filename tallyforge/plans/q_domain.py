@@ -1 +1,509 @@
-"""Queries."""
+"""Queries: composite operators, streams and the function surface (P, T and X rows)."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+from functools import reduce
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tallyforge.functions import number, text
+from tallyforge.operators import core, fuzzy
+from tallyforge.sources import model_calls
+from tallyforge.streaming import attempts
+
+from . import ingest, learning
+from .q_aggregate import ITEMS_SQL, STATS_SQL, items
+from .registry import query
+
+PLAN_SQL = """allowed AS (SELECT u.student_id, u.kp_id, row_number() OVER (PARTITION BY u.student_id ORDER BY u.kp_id) - 1 AS place FROM unlocked u JOIN kp USING (kp_id) JOIN student s ON s.student_id = u.student_id WHERE kp.subject_id = s.subject_id),
+am AS (SELECT a.*, coalesce(m.mastery_score, 0) AS m FROM allowed a LEFT JOIN mastery m USING (student_id, kp_id)),
+cand AS (SELECT r.student_id, r.kp_id, 'spaced_review' AS pool, greatest(0, (epoch_us(now) - epoch_us(next_review_at)) / 8.64e10) AS score, CAST(NULL AS BIGINT) AS source_question FROM review r JOIN allowed USING (student_id, kp_id), now_at WHERE next_review_at <= now
+ UNION ALL SELECT mi.student_id, q.primary_kp, 'mistake_variant', error_count, mi.question_id FROM mistake mi JOIN question q USING (question_id) JOIN allowed a ON a.student_id = mi.student_id AND a.kp_id = q.primary_kp WHERE mi.status = 'open'
+ UNION ALL SELECT student_id, kp_id, 'new_knowledge', (1 - m) * 100 - place / 100, NULL FROM am WHERE m < 0.5
+ UNION ALL SELECT student_id, kp_id, 'feynman_check', m, NULL FROM am WHERE m >= 0.5 AND m < 0.85),
+ranked AS (SELECT *, CASE pool WHEN 'spaced_review' THEN 100 WHEN 'mistake_variant' THEN 90 WHEN 'new_knowledge' THEN 60 ELSE 50 END AS rank FROM cand),
+one AS (SELECT * EXCLUDE n FROM (SELECT *, row_number() OVER (PARTITION BY student_id, kp_id ORDER BY rank DESC, score DESC, source_question NULLS FIRST) AS n FROM ranked) WHERE n = 1),
+ks AS (SELECT *, row_number() OVER (PARTITION BY student_id, pool ORDER BY score DESC, kp_id) AS k FROM one),
+ts AS (SELECT *, CASE WHEN k <= CASE pool WHEN 'new_knowledge' THEN 4 WHEN 'mistake_variant' THEN 2 WHEN 'spaced_review' THEN 2 ELSE 0 END THEN 1 ELSE 2 END AS turn FROM ks WHERE pool <> 'feynman_check' OR k = 1),
+slots AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY student_id ORDER BY turn, rank DESC, k) AS slot FROM ts) WHERE slot <= 8),
+mine AS (SELECT student_id, list(kp_id) AS mine FROM allowed GROUP BY student_id),
+fits AS (SELECT s.student_id, s.kp_id, q.question_id, row_number() OVER (PARTITION BY s.student_id, s.kp_id ORDER BY CASE WHEN s.source_question = q.question_id THEN 0 ELSE 1 END, CASE WHEN q.difficulty BETWEEN lo AND lo + 1 THEN 0 ELSE 1 END, abs(q.difficulty - (lo + 0.5)), q.question_id) AS n
+ FROM (SELECT s.*, CASE WHEN am.m < 0.2 THEN 1 WHEN am.m < 0.5 THEN 2 WHEN am.m < 0.85 THEN 3 ELSE 4 END AS lo FROM slots s JOIN am USING (student_id, kp_id) WHERE pool <> 'feynman_check') s JOIN mine USING (student_id) JOIN question q ON q.primary_kp = s.kp_id AND list_has_all(mine, q.kp_ids)),
+planned AS (SELECT s.student_id, s.slot, s.kp_id, s.pool, f.question_id, CASE WHEN f.question_id IS NULL THEN 'ai_generated' ELSE 'question_bank' END AS source FROM slots s LEFT JOIN fits f ON f.student_id = s.student_id AND f.kp_id = s.kp_id AND f.n = 1)"""
+
+
+def pools(v):
+    allowed = learning.allowed_points(v.student, v.unlocked, v.kp)
+    return allowed, learning.candidates(allowed, learning.mastery(v.graded), learning.mistakes(v.attempt), learning.reviews(v.graded), v.question.where("question_id < 25"), v.now)
+
+
+def planned(v):
+    allowed, found = pools(v)
+    slots = learning.plan_slots(found, learning.budgets())
+    return learning.choose_questions(slots, learning.mastery(v.graded), v.question, allowed)
+
+
+@query("p1_session_planner", f"WITH {PLAN_SQL} SELECT student_id, slot, kp_id, pool, question_id, source FROM planned")
+def _(v):
+    return planned(v).select("student_id", "slot", "kp_id", "pool", "question_id", "source")
+
+
+@query("p2_candidate_pools", f"WITH {PLAN_SQL} SELECT student_id, kp_id, pool, round(score, 6) AS score, source_question FROM cand")
+def _(v):
+    return pools(v)[1].select("student_id", "kp_id", "pool", F.round("score", 6).alias("score"), "source_question")
+
+
+@query("p3_session_plan", f"WITH {PLAN_SQL} SELECT student_id, array_to_string(list(question_id ORDER BY slot), ',') AS questions, array_to_string(list(CASE pool WHEN 'mistake_variant' THEN 'error_review' WHEN 'spaced_review' THEN 'spaced_repetition' ELSE 'new_knowledge' END ORDER BY slot), ',') AS sources, count(*) >= 3 AS is_enough FROM planned WHERE source = 'question_bank' GROUP BY student_id")
+def _(v):
+    plan = learning.session_plan(planned(v))
+    return plan.select("student_id", F.array_join(F.transform("question_ids", lambda x: x.cast("string")), ",").alias("questions"), F.array_join("pool_sources", ",").alias("sources"), "is_enough")
+
+
+@query("p4_planner_input", "SELECT student_id, question_id FROM (SELECT *, row_number() OVER (PARTITION BY student_id ORDER BY error_count DESC, question_id) AS n FROM mistake WHERE status = 'open') WHERE n <= 3")
+def _(v):
+    book = learning.mistakes(v.attempt).where("status = 'open'")
+    return core.top_k(book, ["student_id"], [F.col("error_count").desc(), "question_id"], 3).select("student_id", "question_id")
+
+
+@query("p5_submission", "SELECT a.session_id, count(*) AS answers, count(*) FILTER (WHERE is_correct) AS right_answers, round(avg(m.mastery_score), 6) AS mastery FROM graded a JOIN mastery m ON m.student_id = a.student_id AND m.kp_id = a.primary_kp GROUP BY a.session_id")
+def _(v):
+    scores = learning.mastery(v.graded).select("student_id", F.col("kp_id").alias("primary_kp"), "mastery_score")
+    rows = v.graded.join(scores, ["student_id", "primary_kp"])
+    return rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("answers"), F.count_if("is_correct").alias("right_answers"), F.round(F.avg("mastery_score"), 6).alias("mastery"))
+
+
+_REDO = "redone AS (SELECT m.student_id, m.question_id, m.error_count + CASE WHEN r.ok THEN 0 ELSE 1 END AS error_count, CASE WHEN r.ok THEN least(2, m.streak + 1) ELSE 0 END AS streak FROM mistake m JOIN (SELECT student_id, question_id, min_by(is_correct, redo_id) AS ok FROM redo GROUP BY ALL) r USING (student_id, question_id) WHERE m.status = 'open')"
+
+
+@query("p6_mistake_redo", f"WITH {_REDO} SELECT *, CASE WHEN streak >= 2 THEN 'resolved' ELSE 'open' END AS status FROM redone")
+def _(v):
+    return learning.redo(learning.mistakes(v.attempt), v.redo)
+
+
+@query("p7_progress_report", f"WITH {ITEMS_SQL} SELECT student_id, kp_id, name, chapter_no, status, progress_percent, practice_count, has_open_mistake, needs_review FROM items")
+def _(v):
+    return items(v).drop("last_practiced_at")
+
+
+def _ranked(order, limit, status):
+    return f"SELECT kp_id, '{status}' AS status, list(material_id ORDER BY n) AS materials FROM (SELECT *, row_number() OVER (PARTITION BY kp_id ORDER BY list_position({list(order)}, material_type), created_at DESC, material_id) AS n FROM material) WHERE n <= {limit} GROUP BY kp_id"
+
+
+GROUPS_SQL = f"""{STATS_SQL}, lists AS ({_ranked(learning.WORK_ORDER, 5, "needs_work")} UNION ALL {_ranked(learning.REVIEW_ORDER, 3, "review")}),
+grouped AS (SELECT s.*, l.materials, row_number() OVER (PARTITION BY session_id ORDER BY CASE WHEN s.status = 'needs_work' THEN 0 ELSE 1 END, total_count - correct_count DESC, total_count DESC, first_seen, s.kp_id) AS place
+ FROM (SELECT *, CASE WHEN correct_count < total_count THEN 'needs_work' ELSE 'review' END AS status FROM stats) s JOIN lists l ON l.kp_id = s.kp_id AND l.status = s.status)"""
+
+
+def groups(v):
+    return learning.result_groups(learning.point_stats(v.graded, v.unlocked), v.material)
+
+
+@query("p8_result_groups", f"WITH {GROUPS_SQL} SELECT session_id, kp_id, status, correct_count, total_count, place, array_to_string(materials, ',') AS materials FROM grouped")
+def _(v):
+    ids = F.array_join(F.transform("materials", lambda m: m["material_id"].cast("string")), ",")
+    return groups(v).select("session_id", "kp_id", "status", "correct_count", "total_count", "place", ids.alias("materials"))
+
+
+_PLAN = f"{GROUPS_SQL}, rp AS (SELECT session_id, count(*) FILTER (WHERE status = 'needs_work') AS weak, min_by(kp.name, place) AS first_name, list(kp.name ORDER BY place) FILTER (WHERE place <= 3) AS focus FROM grouped JOIN kp USING (kp_id) GROUP BY session_id)"
+
+
+@query("p9_review_plan", f"WITH {_PLAN} SELECT session_id, weak, CASE WHEN weak > 0 THEN '先把“' || first_name || '”补牢' ELSE '这次整体不错，顺手复习“' || first_name || '”' END AS headline, array_to_string(focus, ',') AS focus FROM rp")
+def _(v):
+    return learning.review_plan(groups(v), v.kp).select("session_id", "weak", "headline", F.array_join("focus_names", ",").alias("focus"))
+
+
+@query("p10_plan_selection", f"WITH {_PLAN} SELECT session_id, CASE WHEN session_id % 4 = 0 THEN 'advice' ELSE first_name END AS plan FROM rp")
+def _(v):
+    plan = learning.review_plan(groups(v), v.kp).select("session_id", F.get("focus_names", F.lit(0)).alias("own"))
+    advice = v.session.where("session_id % 4 = 0").select("session_id", F.lit("advice").alias("advice"))
+    return plan.join(advice, "session_id", "left").select("session_id", F.coalesce("advice", "own").alias("plan"))
+
+
+@query("p11_advice_input", f"WITH {GROUPS_SQL} SELECT session_id, array_to_string(list(kp_id || ':' || len(list_slice(materials, 1, 4)) ORDER BY place), ',') AS snapshot FROM grouped GROUP BY session_id")
+def _(v):
+    part = F.concat(F.col("kp_id").cast("string"), F.lit(":"), F.size(F.slice("materials", 1, 4)).cast("string"))
+    return groups(v).groupBy("session_id").agg(F.array_join(core.ordered_list(["place"], part), ",").alias("snapshot"))
+
+
+@query("p12_advice_lifecycle", "SELECT session_id, CASE WHEN session_id % 5 = 0 THEN 'generated' WHEN session_id % 5 = 1 THEN 'failed' ELSE 'ok' END AS status FROM session")
+def _(v):
+    k = F.col("session_id") % 5
+    known = v.session.where(k == 0).select("session_id", F.lit("generated").alias("status"))
+    asked = v.session.where(k != 0).select("session_id", F.col("session_id").cast("string").alias("prompt"))
+    client = lambda p: {"ok": int(p) % 5 != 1, "http_status": 400 if int(p) % 5 == 1 else 200, "text": "{}"}
+    called = model_calls.call(asked, "prompt", client).select("session_id", F.when(F.col("ok"), "ok").otherwise("failed").alias("status"))
+    return known.unionByName(called)
+
+
+@query("p13_textbook_scope", "SELECT subject_id, coalesce(chapter_no, 'unassigned') AS chapter_no, count(*) AS points FROM kp GROUP BY ALL")
+def _(v):
+    return learning.textbook_scope(v.kp).groupBy("subject_id", "chapter_no").agg(F.count(F.lit(1)).alias("points"))
+
+
+@query("p14_textbook_backfill", "SELECT upload_id, kp_id, row_number() OVER (PARTITION BY upload_id ORDER BY CASE WHEN chapter_no IS NULL THEN 'zzzz' ELSE lpad(split_part(chapter_no, '.', 1), 10, '0') || '.' || lpad(split_part(chapter_no, '.', 2), 10, '0') END, kp_id) AS sort_order FROM (SELECT DISTINCT upload_id, published_id AS kp_id FROM staging WHERE published_id IS NOT NULL) JOIN kp USING (kp_id)")
+def _(v):
+    published = v.staging.where("published_id IS NOT NULL").select("upload_id", F.col("published_id").alias("kp_id")).distinct()
+    return learning.textbook_scope(published.join(F.broadcast(v.kp), "kp_id"), "upload_id").select("upload_id", "kp_id", "sort_order")
+
+
+def _organised(v):
+    s = F.col("staging_id")
+    points = v.spark.createDataFrame([(1, 0, "alpha", "alpha beta"), (2, 0, "gamma", "gamma delta")], "kp_id int, grp int, name string, search_text string")
+    kind = F.when(F.col("entity_kind") == "question", "question").otherwise("method_card")
+    said = F.when(s % 4 == 0, "about alpha").when(s % 4 == 1, "gamma rays").when(s % 4 == 2, "扫码加群 alpha").otherwise("qqq")
+    rows = v.staging.select(s.alias("item_id"), F.lit(0).alias("grp"), kind.alias("kind"), said.alias("item_text"), F.lit("").alias("hint"))
+    return ingest.organise(rows, points, "grp")
+
+
+@query("p15_organise", "SELECT CAST(CASE WHEN staging_id % 4 = 0 THEN 1 ELSE 2 END AS INTEGER) AS kp_id, count(*) FILTER (WHERE entity_kind <> 'question') AS cards, count(*) FILTER (WHERE entity_kind = 'question') AS questions FROM staging WHERE staging_id % 4 < 2 GROUP BY 1")
+def _(v):
+    threads, _, _ = _organised(v)
+    return threads.select("kp_id", F.size("method_cards").cast("long").alias("cards"), F.size("questions").cast("long").alias("questions"))
+
+
+@query("p15b_filtered_summary", "SELECT 'filtered' AS part, count(*) AS n FROM staging WHERE staging_id % 4 = 2 UNION ALL SELECT 'unmapped', count(*) FROM staging WHERE staging_id % 4 = 3")
+def _(v):
+    _, unmapped, filtered = _organised(v)
+    return filtered.select(F.lit("filtered").alias("part"), "n").unionByName(unmapped.agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.lit("unmapped")).select("part", "n"))
+
+
+@query("p16_page_map_reduce", "SELECT upload_id, string_agg(review_status, '|' ORDER BY staging_id) AS text, count(*) AS pages FROM staging GROUP BY upload_id")
+def _(v):
+    return ingest.page_map_reduce(v.staging.withColumn("page", F.col("staging_id")), "upload_id", F.col("review_status"), "|")
+
+
+@query("p17_read_through", "SELECT CAST(staging_id AS VARCHAR) AS key, staging_id % 3 = 0 AS cached FROM staging")
+def _(v):
+    key = F.col("staging_id").cast("string")
+    cache = v.staging.where("staging_id % 3 = 0").select(key.alias("key"), F.lit("known").alias("text"))
+    client = lambda p: {"ok": True, "http_status": 200, "text": "new"}
+    answers, _ = model_calls.read_through(v.staging.select(key.alias("key"), key.alias("prompt")), cache, lambda misses: model_calls.call(misses, "prompt", client))
+    return answers.select("key", "cached")
+
+
+@query("p18_publish", "SELECT staging_id, CASE WHEN review_status = 'pending' AND staging_id % 9 > 0 THEN 'accepted' ELSE review_status END AS review_status, CASE WHEN staging_id % 9 = 0 THEN 'page' ELSE '' END AS problems FROM staging")
+def _(v):
+    problems = core.violations((F.get_json_object("payload", "$.page").cast("int") < 1, "page"))
+    return ingest.publish(v.staging, F.col("review_status") == "pending", problems)[1]
+
+
+@query("p19_bulk_publish", "SELECT staging_id, CASE WHEN staging_id % 4 = 3 THEN 'no_knowledge_point' ELSE '' END AS skip, greatest(1, least(5, CASE WHEN staging_id % 5 = 0 THEN 0 ELSE staging_id % 6 END)) AS difficulty FROM staging")
+def _(v):
+    points = v.spark.createDataFrame([(1, 0, "alpha"), (2, 0, "gamma")], "kp_id int, subject_id int, name string")
+    s = F.col("staging_id")
+    hint = F.when(s % 4 == 3, "xyz").otherwise("alpha")
+    found = fuzzy.match_hints(v.staging.select(s.alias("hint_id"), F.lit(0).alias("subject_id"), hint.alias("hint")), points)
+    rows = v.staging.join(found, s == F.col("hint_id"), "left")
+    level = F.coalesce(F.get_json_object("payload", "$.difficulty").try_cast("int"), F.lit(0))
+    return rows.select("staging_id", F.when(F.col("kp_id").isNull(), "no_knowledge_point").otherwise("").alias("skip"), F.greatest(F.lit(1), F.least(F.lit(5), level)).alias("difficulty"))
+
+
+@query("p20_job_outcome", "SELECT upload_id, CASE WHEN bool_or(staging_id % 7 = 0) AND sum(CASE WHEN review_status = 'accepted' THEN 1 ELSE 0 END) = 0 THEN 'failed' ELSE 'parsed' END AS job_status, CASE WHEN NOT bool_or(staging_id % 7 = 0) THEN 'ok' WHEN sum(CASE WHEN review_status = 'accepted' THEN 1 ELSE 0 END) = 0 THEN 'failed' ELSE 'partial' END AS analysis_status FROM staging GROUP BY upload_id")
+def _(v):
+    rows = v.staging.select("upload_id", F.when(F.col("review_status") == "accepted", 1).otherwise(0).alias("staged"), F.when(F.col("staging_id") % 7 == 0, "bad page").alias("reason"))
+    return ingest.outcome(rows, "upload_id")
+
+
+@query("p21_session_history", "SELECT student_id, session_id, accuracy FROM (SELECT *, row_number() OVER (PARTITION BY student_id ORDER BY at DESC) AS n FROM (SELECT student_id, session_id, CAST(floor(100.0 * count(*) FILTER (WHERE is_correct) / count(*) + 0.5) AS INTEGER) AS accuracy, max(answered_at) AS at FROM attempt GROUP BY student_id, session_id)) WHERE n <= 5")
+def _(v):
+    share = F.floor(F.count_if("is_correct") / F.count(F.lit(1)) * 100 + 0.5).cast("int")
+    rows = v.attempt.groupBy("student_id", "session_id").agg(share.alias("accuracy"), F.max("answered_at").alias("at"))
+    return core.top_k(rows, ["student_id"], [F.col("at").desc()], 5).select("student_id", "session_id", "accuracy")
+
+
+@query("p22_upload_history", "SELECT u.upload_id, max_by(s.review_status, s.staging_id) AS last_status, count(s.staging_id) AS staged FROM (SELECT upload_id FROM upload ORDER BY upload_id DESC LIMIT 10) u LEFT JOIN staging s USING (upload_id) GROUP BY u.upload_id")
+def _(v):
+    return ingest.latest_job(v.upload, v.staging, "upload_id")
+
+
+@query("p23_phase_mix", "SELECT student_id, CASE student_id % 3 WHEN 0 THEN 6 WHEN 1 THEN 4 ELSE 2 END AS new_slots FROM student")
+def _(v):
+    phases = v.spark.createDataFrame([(0, 6), (1, 4), (2, 2)], "phase int, new_slots int")
+    return v.student.join(F.broadcast(phases), F.col("student_id") % 3 == F.col("phase")).select("student_id", "new_slots")
+
+
+@query("p24_cause_routing", "SELECT student_id, question_id, CASE question_id % 3 WHEN 0 THEN 'recall' WHEN 1 THEN 'relearn' ELSE 'slow_down' END AS action FROM mistake")
+def _(v):
+    action = text.mapped({"0": "recall", "1": "relearn", "2": "slow_down"}, (F.col("question_id") % 3).cast("string"))
+    return learning.mistakes(v.attempt).select("student_id", "question_id", action.alias("action"))
+
+
+@query("p25_analysis_result", "SELECT upload_id, count(*) AS units, CAST(count(DISTINCT entity_kind) AS BIGINT) AS kinds, CASE WHEN bool_or(review_status = 'rejected') THEN 'partial' ELSE 'ok' END AS status FROM staging GROUP BY upload_id")
+def _(v):
+    result = F.struct(F.count(F.lit(1)).alias("units"), F.count_distinct("entity_kind").alias("kinds"), F.when(F.bool_or(F.col("review_status") == "rejected"), "partial").otherwise("ok").alias("status"))
+    return v.staging.groupBy("upload_id").agg(result.alias("r")).select("upload_id", "r.*")
+
+
+def _ingested(v):
+    body = lambda p: {"ok": True, "http_status": 200, "text": 'x {"learning_materials":[{"title":"易错 ' + p + '","content":"c"},{"name":"n"}]} y'}
+    called = model_calls.call(v.upload.where("upload_id % 10 = 0").select("upload_id", F.col("upload_id").cast("string").alias("prompt")), "prompt", body)
+    return ingest.materials_of(ingest.parse_batch(called), "upload_id")
+
+
+@query("p26_point_ingestion", "SELECT upload_id, i AS pos, CASE WHEN i = 0 THEN '易错 ' || upload_id ELSE 'n' END AS title FROM upload, (SELECT unnest([0, 1]) AS i) WHERE upload_id % 10 = 0")
+def _(v):
+    return _ingested(v).select("upload_id", "pos", "title")
+
+
+@query("p27_resource_ingestion", "SELECT upload_id, CASE WHEN i = 0 THEN 'common_mistake' ELSE 'concept_explanation' END AS material_type FROM upload, (SELECT unnest([0, 1]) AS i) WHERE upload_id % 10 = 0")
+def _(v):
+    return _ingested(v).select("upload_id", "material_type")
+
+
+@query("p28_rerun", "SELECT staging_id, CASE WHEN staging_id % 2 = 0 THEN 'new' ELSE 'old' END AS text, CASE WHEN staging_id % 2 = 0 THEN staging_id END AS lineage FROM staging")
+def _(v):
+    old = v.staging.select("staging_id", F.lit("old").alias("text"), F.lit(None).cast("long").alias("lineage"))
+    new = v.staging.where("staging_id % 2 = 0").select("staging_id", F.lit("new").alias("text"), F.col("staging_id").alias("lineage"))
+    return core.upsert(old, new, ["staging_id"])
+
+
+@query("p29_reject", "SELECT staging_id, CASE WHEN review_status = 'pending' AND upload_id = 7 THEN 'rejected' ELSE review_status END AS review_status FROM staging")
+def _(v):
+    return core.update_where(v.staging, (F.col("review_status") == "pending") & (F.col("upload_id") == 7), {"review_status": F.lit("rejected")}).select("staging_id", "review_status")
+
+
+@query("p30_source_once", "SELECT upload_id, min(staging_id) AS staging_id FROM staging s WHERE staging_id % 7 = 0 AND entity_kind = 'source_document' AND upload_id NOT IN (SELECT upload_id FROM staging WHERE staging_id % 7 = 0 AND entity_kind = 'source_document' AND published_id IS NOT NULL) GROUP BY upload_id")
+def _(v):
+    return ingest.once_per_upload(v.staging.where("staging_id % 7 = 0"))
+
+
+@query("p31_provenance", "SELECT published_id AS question_id, upload_id, max(staging_id) AS staging_id FROM staging WHERE published_id IS NOT NULL GROUP BY ALL")
+def _(v):
+    return v.staging.where("published_id IS NOT NULL").groupBy(F.col("published_id").alias("question_id"), "upload_id").agg(F.max("staging_id").alias("staging_id"))
+
+
+@query("p32_point_publish", "SELECT subject_id, name FROM kp UNION SELECT upload_id % 2, 'new ' || (upload_id % 3) FROM upload")
+def _(v):
+    wanted = v.upload.select((F.col("upload_id") % 2).cast("int").alias("subject_id"), F.concat(F.lit("new "), (F.col("upload_id") % 3).cast("string")).alias("name")).distinct()
+    known = v.kp.select(F.col("subject_id").cast("int"), "name")
+    return known.unionByName(wanted.join(known, ["subject_id", "name"], "left_anti"))
+
+
+@query("p33_answer_view", "SELECT s.session_id, CAST(i - 1 AS INTEGER) AS pos, q.stem, q.difficulty FROM (SELECT *, unnest(range(1, len(question_ids) + 1)) AS i FROM session WHERE session_id % 7 = 0) s JOIN question q ON q.question_id = s.question_ids[i]")
+def _(v):
+    rows = v.session.where("session_id % 7 = 0").select("session_id", F.posexplode("question_ids").alias("pos", "question_id"))
+    return rows.join(v.question, "question_id").select("session_id", "pos", "stem", "difficulty")
+
+
+@query("p34_result_view", f"WITH {GROUPS_SQL} SELECT s.session_id, count(DISTINCT g.kp_id) AS points, count(DISTINCT CASE WHEN m.resolved_at >= s.started_at AND m.resolved_at <= s.ended_at THEN m.question_id END) AS resolved FROM session s LEFT JOIN grouped g ON g.session_id = s.session_id LEFT JOIN mistake m ON m.student_id = s.student_id GROUP BY s.session_id")
+def _(v):
+    points = groups(v).groupBy("session_id").agg(F.count(F.lit(1)).alias("points"))
+    book = learning.mistakes(v.attempt).where("resolved_at IS NOT NULL").select("student_id", "question_id", "resolved_at")
+    solved = v.session.join(book, "student_id").where("resolved_at BETWEEN started_at AND ended_at").groupBy("session_id").agg(F.count_distinct("question_id").alias("resolved"))
+    rows = v.session.select("session_id").join(points, "session_id", "left").join(solved, "session_id", "left")
+    return rows.select("session_id", F.coalesce("points", F.lit(0)).alias("points"), F.coalesce("resolved", F.lit(0)).alias("resolved"))
+
+
+@query("p35_advice_context", "SELECT a.session_id, q.stem, kp.name, m.error_count FROM attempt a JOIN question q USING (question_id) JOIN kp ON kp.kp_id = q.primary_kp LEFT JOIN mistake m ON m.student_id = a.student_id AND m.question_id = a.question_id WHERE a.session_id % 50 = 1")
+def _(v):
+    rows = v.attempt.where("session_id % 50 = 1").join(v.question, "question_id").join(F.broadcast(v.kp.select("kp_id", "name")), F.col("primary_kp") == F.col("kp_id"))
+    return rows.join(learning.mistakes(v.attempt).select("student_id", "question_id", "error_count"), ["student_id", "question_id"], "left").select("session_id", "stem", "name", "error_count")
+
+
+@query("p36_mistake_book", "SELECT m.student_id, m.question_id, kp.name, epoch_us(m.last_at) AS last_us, substr(q.stem, 1, 57) AS preview FROM mistake m JOIN question q USING (question_id) JOIN kp ON kp.kp_id = q.primary_kp JOIN unlocked u ON u.student_id = m.student_id AND u.kp_id = kp.kp_id WHERE m.status = 'open'")
+def _(v):
+    rows = learning.mistakes(v.attempt).where("status = 'open'").join(v.question.select("question_id", F.col("primary_kp").alias("kp_id"), "stem"), "question_id")
+    rows = rows.join(F.broadcast(v.kp.select("kp_id", "name")), "kp_id").join(v.unlocked, ["student_id", "kp_id"], "left_semi")
+    return rows.select("student_id", "question_id", "name", F.unix_micros("last_at").alias("last_us"), text.truncate(F.col("stem"), 57).alias("preview"))
+
+
+@query("p37_redo_view", "SELECT m.student_id, m.question_id, q.stem FROM mistake m JOIN question q USING (question_id) WHERE m.status = 'open' AND m.student_id = 8")
+def _(v):
+    return learning.mistakes(v.attempt).where("status = 'open' AND student_id = 8").join(v.question, "question_id").select("student_id", "question_id", "stem")
+
+
+@query("p38_question_list", "SELECT primary_kp AS kp_id, question_id FROM (SELECT *, row_number() OVER (PARTITION BY primary_kp ORDER BY created_at DESC, question_id) AS n FROM question) WHERE n <= 20")
+def _(v):
+    return core.top_k(v.question, ["primary_kp"], [F.col("created_at").desc(), "question_id"], 20).select(F.col("primary_kp").alias("kp_id"), "question_id")
+
+
+@query("p39_point_list", "SELECT kp.kp_id, coalesce(q.n, 0) AS questions, coalesce(s.n, 0) AS students FROM kp LEFT JOIN (SELECT kp_id, count(*) AS n FROM (SELECT unnest(kp_ids) AS kp_id FROM question) GROUP BY kp_id) q USING (kp_id) LEFT JOIN (SELECT kp_id, count(*) AS n FROM unlocked GROUP BY kp_id) s USING (kp_id)")
+def _(v):
+    q = v.question.select(F.explode("kp_ids").alias("kp_id")).groupBy("kp_id").agg(F.count(F.lit(1)).alias("q"))
+    s = v.unlocked.groupBy("kp_id").agg(F.count(F.lit(1)).alias("s"))
+    return v.kp.join(q, "kp_id", "left").join(s, "kp_id", "left").select("kp_id", F.coalesce("q", F.lit(0)).alias("questions"), F.coalesce("s", F.lit(0)).alias("students"))
+
+
+@query("p40_student_list", "SELECT student_id, count(*) AS unlocked FROM unlocked GROUP BY student_id")
+def _(v):
+    return v.unlocked.groupBy("student_id").agg(F.count(F.lit(1)).alias("unlocked"))
+
+
+@query("p41_active_textbook", "SELECT student_id, CASE student_id % 4 WHEN 1 THEN 1 ELSE 0 END AS place FROM student")
+def _(v):
+    raw = F.element_at(F.array(*map(F.lit, ("0", "1", "9", "x"))), (F.col("student_id") % 4 + 1).cast("int")).try_cast("int")
+    return v.student.select("student_id", F.when(raw.between(0, 1), raw).otherwise(0).alias("place"))
+
+
+@query("p42_default_scope", "SELECT kp_id, 'default' AS textbook FROM kp WHERE subject_id = 0")
+def _(v):
+    return learning.textbook_scope(v.kp.where("subject_id = 0")).select("kp_id", F.lit("default").alias("textbook"))
+
+
+@query("p43_analysis_entry", "SELECT upload_id, count(*) AS materials FROM upload, (SELECT unnest([0, 1]) AS i) WHERE upload_id % 10 = 0 GROUP BY upload_id")
+def _(v):
+    return _ingested(v).groupBy("upload_id").agg(F.count(F.lit(1)).alias("materials"))
+
+
+@query("p44_question_entry", "SELECT staging_id FROM staging WHERE entity_kind = 'question' AND staging_id % 9 > 0")
+def _(v):
+    page = F.try_variant_get(F.parse_json("payload"), "$.page", "int")
+    return v.staging.where((F.col("entity_kind") == "question") & (page > 0)).select("staging_id")
+
+
+@query("p45_review_queue", "SELECT upload_id, entity_kind, count(*) FILTER (WHERE review_status = 'pending') AS pending, count(*) FILTER (WHERE review_status = 'accepted') AS accepted, count(*) FILTER (WHERE review_status = 'rejected') AS rejected FROM staging GROUP BY ALL")
+def _(v):
+    return ingest.review_queue(v.staging)
+
+
+@query("p46_advice_call", "SELECT session_id, CASE WHEN session_id % 3 = 0 THEN 'failed' WHEN session_id % 3 = 1 THEN 'partial' ELSE 'ok' END AS status FROM session")
+def _(v):
+    client = lambda p: {"ok": int(p) % 3 > 0, "http_status": 200 if int(p) % 3 else 400, "text": '{"headline":"h"}' if int(p) % 3 == 2 else "plain"}
+    called = model_calls.call(v.session.select("session_id", F.col("session_id").cast("string").alias("prompt")), "prompt", client)
+    parsed = ingest.parse_batch(called)
+    return parsed.select("session_id", F.when(~F.col("ok"), "failed").when(F.col("error").isNotNull(), "partial").otherwise("ok").alias("status"))
+
+
+def _stream(v, frame, start):
+    """Run a stream over a written copy of frame to its end and return what it wrote."""
+    base = v.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyforge-")
+    path, name = f"{base.rstrip('/')}/tallyforge-{uuid.uuid4().hex}", f"tallyforge_{uuid.uuid4().hex}"
+    frame.write.parquet(f"{path}/in")
+    stream = v.spark.readStream.schema(frame.schema).parquet(f"{path}/in")
+    out = f"{path}/out"
+
+    def put(batch, number_):
+        batch.withColumn("batch", F.lit(number_)).write.mode("append").parquet(out)
+
+    writer = start(stream).writeStream.foreachBatch(put).option("checkpointLocation", f"{path}/state").queryName(name).trigger(availableNow=True)
+    run = writer.outputMode("update").start()
+    run.awaitTermination()
+    return v.spark.read.parquet(out)
+
+
+@query("t1_learner_stream", "SELECT student_id, primary_kp AS kp_id, CAST(round(mastery_score * 100) AS INTEGER) AS score FROM (SELECT DISTINCT student_id, primary_kp FROM graded) JOIN mastery m USING (student_id) WHERE m.kp_id = primary_kp")
+def _(v):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = v.spark.conf.get(key, None)
+    v.spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        rows = v.graded.select("student_id", "attempt_id", "answered_at", F.col("primary_kp").cast("int").alias("primary_kp"), F.col("question_id").cast("long").alias("question_id"), F.col("difficulty").cast("int").alias("difficulty"), "is_correct")
+        out = _stream(v, rows, attempts.learner_states)
+    finally:
+        v.spark.conf.set(key, before) if before else v.spark.conf.unset(key)
+    return out.groupBy("student_id", "kp_id").agg(F.max_by("score", "batch").alias("score"))
+
+
+@query("t2_replay_guard", "SELECT DISTINCT session_id FROM attempt")
+def _(v):
+    rows = v.attempt.select("session_id", F.col("answered_at").alias("ts"))
+    return _stream(v, rows, lambda s: attempts.once(s, late="60 days")).select("session_id").distinct()
+
+
+@query("t3_serial_writes", "SELECT student_id, count(*) AS n FROM attempt GROUP BY student_id")
+def _(v):
+    out = _stream(v, v.attempt.select("student_id"), lambda s: s.groupBy("student_id").agg(F.count(F.lit(1)).alias("n")))
+    return out.groupBy("student_id").agg(F.max_by("n", "batch").alias("n"))
+
+
+@query("t4_job_snapshot", "SELECT upload_id AS job_id, max_by(review_status, staging_id) AS phase, max_by(staging_id % 100, staging_id) AS progress FROM staging GROUP BY upload_id")
+def _(v):
+    events = v.staging.select(F.col("upload_id").alias("job_id"), F.col("staging_id").alias("event_id"), F.col("review_status").alias("phase"), (F.col("staging_id") % 100).alias("progress"), F.col("staging_id").cast("timestamp").alias("ts"))
+    return attempts.job_snapshot(events)
+
+
+@query("t5_polling", "SELECT upload_id, count(*) AS staged FROM staging GROUP BY upload_id")
+def _(v):
+    out = _stream(v, v.staging.select("upload_id"), lambda s: s.groupBy("upload_id").agg(F.count(F.lit(1)).alias("staged")))
+    return out.groupBy("upload_id").agg(F.max_by("staged", "batch").alias("staged"))
+
+
+@query("t7_due_timer", "SELECT student_id, kp_id FROM review, now_at WHERE next_review_at <= now")
+def _(v):
+    return attempts.due(learning.reviews(v.graded), v.now).select("student_id", "kp_id")
+
+
+@query("t8_session_timeout", "WITH g AS (SELECT *, CASE WHEN answered_at - lag(answered_at) OVER w >= INTERVAL 25 MINUTE OR lag(answered_at) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM attempt WINDOW w AS (PARTITION BY student_id ORDER BY answered_at, attempt_id)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY student_id ORDER BY answered_at, attempt_id ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT student_id, epoch_us(min(answered_at)) AS start_us, count(*) AS answers FROM s GROUP BY student_id, k")
+def _(v):
+    out = attempts.session_timeouts(v.attempt.select("student_id", F.col("answered_at").alias("ts")))
+    return out.select("student_id", F.unix_micros("session_window.start").alias("start_us"), "answers")
+
+
+@query("t9_windows", "SELECT epoch_us(CAST(d AS TIMESTAMP)) AS start_us, count(*) AS answers, count(*) FILTER (WHERE is_correct) AS \"right\" FROM attempt, (SELECT unnest(range(DATE '2023-12-20', DATE '2024-02-05', INTERVAL 1 DAY)) AS d) WHERE answered_at >= d AND answered_at < d + INTERVAL 7 DAY GROUP BY d")
+def _(v):
+    out = attempts.activity(v.attempt.select("is_correct", F.col("answered_at").alias("ts")))
+    return out.select(F.unix_micros("window.start").alias("start_us"), "answers", "right")
+
+
+@query("t10_watermark", "SELECT epoch_us(CAST(date_trunc('day', answered_at) AS TIMESTAMP)) AS start_us, count(*) AS answers FROM attempt GROUP BY 1")
+def _(v):
+    out = attempts.activity(v.attempt.select("is_correct", F.col("answered_at").alias("ts")), "1 day", "1 day", "2 hours")
+    return out.select(F.unix_micros("window.start").alias("start_us"), "answers")
+
+
+@query("t11_artifact_ttl", "SELECT material_id FROM material, now_at WHERE created_at < now - INTERVAL 20 DAY")
+def _(v):
+    return attempts.expired(v.material, v.now, 20).select("material_id")
+
+
+@query("x1_injected_call")
+def _(v):
+    client = lambda p: {"ok": True, "http_status": 200, "text": p.upper()}
+    return model_calls.call(v.kp.select("kp_id", F.lower("name").alias("prompt")), "prompt", client).select("kp_id", "text")
+
+
+@query("x2_prompt_callback", "SELECT kp_id, 'point ' || name AS prompt FROM kp")
+def _(v):
+    builder = lambda row: F.concat(F.lit("point "), row["name"])
+    return v.kp.select("kp_id", builder(v.kp).alias("prompt"))
+
+
+@query("x3_keyed_dedupe", "SELECT min(material_id) AS material_id FROM material GROUP BY title")
+def _(v):
+    return core.dedupe(v.material, ["title"], ["material_id"]).select("material_id")
+
+
+@query("x4_parallel_map", "SELECT kp_id, length(name) AS n FROM kp")
+def _(v):
+    client = lambda p: {"ok": True, "http_status": 200, "text": str(len(p))}
+    return model_calls.call(v.kp.select("kp_id", F.col("name").alias("prompt")), "prompt", client, width=2).select("kp_id", F.col("text").cast("int").alias("n"))
+
+
+@query("x5_cache_rows", "SELECT count(*) AS n FROM kp WHERE kp_id % 2 = 1")
+def _(v):
+    key = F.col("kp_id").cast("string")
+    cache = v.kp.where("kp_id % 2 = 0").select(key.alias("key"), F.lit("c").alias("text"))
+    client = lambda p: {"ok": True, "http_status": 200, "text": "t"}
+    _, fresh = model_calls.read_through(v.kp.select(key.alias("key"), key.alias("prompt")), cache, lambda m: model_calls.call(m, "prompt", client))
+    return fresh.agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("x6_output_rules", "SELECT kp_id, CASE kp_id % 2 WHEN 0 THEN '§1.2,a' ELSE '§3.4 b' END AS t FROM kp")
+def _(v):
+    raw = F.when(F.col("kp_id") % 2 == 0, "1-2，a").otherwise("3 - 4 b")
+    steps = ["zh_punct_to_ascii", "normalize_chapter_subsection", "prefix_chapter_with_section_sign"]
+    return v.kp.select("kp_id", text.normalise_output(raw, steps).alias("t"))
+
+
+def chained(df, *steps):
+    return reduce(lambda d, f: f(d), steps, df)
+
+
+@query("x7_composition", "SELECT kp_id FROM kp WHERE subject_id = 1 AND chapter_no IS NOT NULL ORDER BY kp_id LIMIT 5")
+def _(v):
+    return chained(v.kp, lambda d: d.where("subject_id = 1"), lambda d: d.where("chapter_no IS NOT NULL"), lambda d: d.orderBy("kp_id").limit(5)).select("kp_id")
+
+
+@query("w12_due_by_band", "SELECT CASE WHEN m.mastery_score < 0.2 THEN 'not_started' WHEN m.mastery_score < 0.5 THEN 'needs_work' WHEN m.mastery_score < 0.85 THEN 'learning' ELSE 'mastered' END AS band, count(*) AS n FROM mastery m JOIN review r USING (student_id, kp_id), now_at WHERE next_review_at <= now GROUP BY 1")
+def _(v):
+    rows = learning.mastery(v.graded).join(attempts.due(learning.reviews(v.graded), v.now), ["student_id", "kp_id"])
+    return rows.groupBy(number.mastery_band(F.col("mastery_score")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("w13_rank_in_session", "SELECT session_id, question_id, rank() OVER (PARTITION BY session_id ORDER BY n DESC) AS place FROM (SELECT session_id, question_id, count(*) AS n FROM attempt GROUP BY ALL)")
+def _(v):
+    counted = v.attempt.groupBy("session_id", "question_id").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select("session_id", "question_id", F.rank().over(Window.partitionBy("session_id").orderBy(F.col("n").desc())).alias("place"))

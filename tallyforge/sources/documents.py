@@ -74,3 +74,11 @@ def read_documents(spark: SparkSession, path: str, mode: str, render: Callable |
 
         files = files.where("kind = 'word'").select("path", "content").mapInPandas(run, "path string, content binary")
     return page_rows(files, render)
+
+
+def store_root(driver: str, root: str) -> str:
+    """The path prefix of a storage driver; drivers without a connector are refused."""
+    schemes = {"fs": "file://", "hdfs": "hdfs://"}
+    if driver not in schemes:
+        raise NotImplementedError(f"storage driver {driver}")
+    return f"{schemes[driver]}{root.rstrip('/')}"
