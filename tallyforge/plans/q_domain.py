@@ -207,7 +207,7 @@ def _(v):
     return ingest.outcome(rows, "upload_id")
 
 
-@query("p21_session_history", "SELECT student_id, session_id, accuracy FROM (SELECT *, row_number() OVER (PARTITION BY student_id ORDER BY at DESC) AS n FROM (SELECT student_id, session_id, CAST(floor(100.0 * count(*) FILTER (WHERE is_correct) / count(*) + 0.5) AS INTEGER) AS accuracy, max(answered_at) AS at FROM attempt GROUP BY student_id, session_id)) WHERE n <= 5")
+@query("p21_session_history", "SELECT student_id, session_id, accuracy FROM (SELECT *, row_number() OVER (PARTITION BY student_id ORDER BY last_seen DESC) AS n FROM (SELECT student_id, session_id, CAST(floor(100.0 * count(*) FILTER (WHERE is_correct) / count(*) + 0.5) AS INTEGER) AS accuracy, max(answered_at) AS last_seen FROM attempt GROUP BY student_id, session_id)) WHERE n <= 5")
 def _(v):
     share = F.floor(F.count_if("is_correct") / F.count(F.lit(1)) * 100 + 0.5).cast("int")
     rows = v.attempt.groupBy("student_id", "session_id").agg(share.alias("accuracy"), F.max("answered_at").alias("at"))

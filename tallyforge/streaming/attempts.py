@@ -85,7 +85,8 @@ class StaleJobs(StatefulProcessor):
 
 def reap_jobs(jobs: DataFrame, quiet: str = "10 minutes", quiet_ms: int = 600_000) -> DataFrame:
     """(job_id, status) of a stream of job events (job_id, ts, status), failing those that went quiet."""
-    return jobs.withWatermark("ts", quiet).groupBy("job_id").transformWithStateInPandas(StaleJobs(quiet_ms), "job_id long, status string", "Update", "EventTime")
+    kind = jobs.schema["job_id"].dataType.simpleString()
+    return jobs.withWatermark("ts", quiet).groupBy("job_id").transformWithStateInPandas(StaleJobs(quiet_ms), f"job_id {kind}, status string", "Update", "EventTime")
 
 
 def once(submissions: DataFrame, key: str = "session_id", late: str = "1 hour") -> DataFrame:
