@@ -31,7 +31,7 @@ from .suffixes import equal_windows
 
 HOT = 4096
 #: Units that the windows of several anchors are compared in at once.
-BATCH_UNITS = 1 << 20
+BATCH_UNITS = 1 << 17
 #: Stands for a null doc_id: all such rows are one document, before all others.
 NO_ID = -(1 << 63)
 
@@ -40,15 +40,24 @@ _S32, _S29 = np.uint64(32), np.uint64(29)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> _S32)
+    return _mix(x.copy())
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """mixed() in place."""
+    spare = x >> _S32
+    x ^= spare
     x *= _A
-    x ^= x >> _S29
+    np.right_shift(x, _S29, out=spare)
+    x ^= spare
     return x
 
 
 def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A name of the pair of names (a, b)."""
-    return mixed(a * _B + b)
+    x = a * _B
+    x += b
+    return _mix(x)
 
 
 def _byte_values() -> np.ndarray:
@@ -59,9 +68,16 @@ _BYTE = _byte_values()
 
 
 def names_of(unit: np.ndarray, *sizes: int) -> list[np.ndarray]:
-    """For each size, a name of every stretch of so many units, by doubling."""
+    """For each size, a name of every stretch of so many units, by doubling.
+
+    Bytes start from stretches of eight, which are read as one number.
+    """
     out: dict[int, np.ndarray] = {}
     name, size = unit, 1
+    if unit.dtype == np.uint8:
+        whole = np.ascontiguousarray(unit)
+        eights = np.lib.stride_tricks.as_strided(whole.view(np.uint8), (max(len(unit) - 7, 0), 8), (1, 1))
+        name, size = _mix(np.ascontiguousarray(eights).view("<u8").reshape(-1).astype(np.uint64)), 8
     while True:
         for want in sizes:
             if want == size:
@@ -86,7 +102,7 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def byte_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return _BYTE[data], offsets
+    return data, offsets
 
 
 def word_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,19 +137,24 @@ WORDS = Shape(35, 18, word_units, False)
 
 @dataclass
 class Runs:
-    """The runs of a chunk: row, first unit, number of windows, anchor name and own name; and every window's name."""
+    """The runs of a chunk: row, first unit, number of windows, anchor name and own name; and the names of windows."""
 
     row: np.ndarray
     start: np.ndarray
     count: np.ndarray
     anchor: np.ndarray
     name: np.ndarray
-    window: np.ndarray
+    window: Callable[[np.ndarray], np.ndarray]
     unit: np.ndarray
 
 
 def runs_of(shape: Shape, unit: np.ndarray, offsets: np.ndarray) -> Runs:
-    gram, window = names_of(unit, shape.gram, shape.length)
+    half = 1 << (shape.length.bit_length() - 1)
+    gram, part = names_of(unit, shape.gram, half)
+
+    def window(at: np.ndarray) -> np.ndarray:
+        return joined(part[at], part[at + shape.length - half])
+
     least = _least(gram, shape.width)
     per_row = np.maximum(np.diff(offsets) - shape.length + 1, 0)
     at = ragged_take(offsets[:-1], per_row)
@@ -148,7 +169,7 @@ def runs_of(shape: Shape, unit: np.ndarray, offsets: np.ndarray) -> Runs:
     first = np.flatnonzero(fresh)
     count = np.diff(np.concatenate([first, [len(at)]]))
     start = at[first]
-    name = joined(joined(window[start], window[start + count - 1]), count.astype(np.uint64))
+    name = joined(joined(window(start), window(start + count - 1)), count.astype(np.uint64))
     return Runs(row[first], start, count, anchor[first], name, window, unit)
 
 
@@ -261,15 +282,16 @@ def _decided(docs: DataFrame, shape: Shape, first_stays: bool, hot: int) -> Data
 
 
 def _asked_runs(asked: DataFrame, shape: Shape) -> DataFrame:
-    """(g, r, d, o, body) of (d, text, rs, kinds): a run's text under its anchor, or its windows one by one."""
+    """(g, r, d, o, body) of (d, text, rs, kinds, ...): a run's text under its anchor, or its windows one by one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            sizes = np.concatenate([[0], np.cumsum(batch.column(2).value_lengths().to_numpy(zero_copy_only=False))])
-            names = batch.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            kinds = batch.column(3).flatten().to_numpy(zero_copy_only=False)
-            for a, b, data, _, unit, offsets in _chunks(shape, batch.column(1)):
+            ids, texts, rs, ks = (batch.column(batch.schema.get_field_index(c)) for c in ("d", "text", "rs", "kinds"))
+            ids = ids.to_numpy()
+            sizes = np.concatenate([[0], np.cumsum(rs.value_lengths().to_numpy(zero_copy_only=False))])
+            names = rs.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            kinds = ks.flatten().to_numpy(zero_copy_only=False)
+            for a, b, data, _, unit, offsets in _chunks(shape, texts):
                 runs = runs_of(shape, unit, offsets)
                 span = slice(sizes[a], sizes[b])
                 owner = np.repeat(np.arange(b - a), np.diff(sizes[a : b + 1])).astype(np.uint64)
@@ -286,7 +308,7 @@ def _asked_runs(asked: DataFrame, shape: Shape) -> DataFrame:
                 single = own[kind == 2]
                 n = runs.count[single]
                 window = ragged_take(runs.start[single], n)
-                group = np.concatenate([runs.anchor[text], joined(np.repeat(runs.anchor[single], n), runs.window[window])])
+                group = np.concatenate([runs.anchor[text], joined(np.repeat(runs.anchor[single], n), runs.window(window))])
                 place = np.concatenate([np.full(len(text), -1), ragged_take(np.zeros(len(n), np.int64), n)]).astype(np.int32)
                 rows = np.concatenate([text, np.repeat(single, n)])
                 bodies = pa.array(body + [None] * len(window), pa.binary())
@@ -378,7 +400,7 @@ def _inside(runs: Runs, first_stays: bool) -> np.ndarray:
     own = np.flatnonzero(times[back] > 1)
     n = runs.count[own]
     at = ragged_take(runs.start[own], n)
-    key = joined(runs.window[at], np.repeat(runs.row[own], n).astype(np.uint64))
+    key = joined(runs.window(at), np.repeat(runs.row[own], n).astype(np.uint64))
     _, first, back, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
     many = times[back] > 1
     if first_stays:
@@ -425,7 +447,8 @@ def with_removals(docs: DataFrame, shape: Shape, first_stays: bool, hot: int = H
     # the first job's shuffle files go once its plans are collected
     docs.sparkSession.sparkContext._jvm.System.gc()
     asked = decided.where("kind > 0").groupBy("d").agg(F.collect_list("r").alias("rs"), F.collect_list("kind").alias("kinds"))
-    asked = own.join(asked.withColumnRenamed("d", "k"), F.col("d") == F.col("k")).select("d", "text", "rs", "kinds")
+    # all columns come along, so that this shuffle of the documents is the last join's as well
+    asked = docs.join(asked.withColumnRenamed("d", "k"), F.col("d") == F.col("k")).drop("k")
     spans = _compared(_asked_runs(asked, shape).repartition("g").sortWithinPartitions("g", "d"), shape, first_stays)
     whole = decided.where("kind = 0").select("d", F.struct("r", F.array(F.lit(-1), F.lit(-1)).alias("spans")).alias("mark"))
     marks = whole.unionByName(spans.select("d", F.struct("r", "spans").alias("mark"))).groupBy("d").agg(F.collect_list("mark").alias("marks"))

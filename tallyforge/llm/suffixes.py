@@ -36,7 +36,7 @@ def suffix_order(t: np.ndarray, depth: int) -> np.ndarray:
     ones, twos, zeros = np.arange(1, n, 3), np.arange(2, n, 3), np.arange(0, n, 3)
     sample = np.concatenate([ones, twos])
     key = _packed(padded[sample], padded[sample + 1], padded[sample + 2])
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     fresh = np.concatenate([[True], np.diff(key[order]) != 0])
     names = np.empty(len(sample), dtype=np.int64)
     names[order] = np.cumsum(fresh)
@@ -49,7 +49,7 @@ def suffix_order(t: np.ndarray, depth: int) -> np.ndarray:
     ranked = sample[order]
     rank = np.zeros(n + 3, dtype=np.int64)
     rank[ranked] = np.arange(1, len(ranked) + 1)
-    rest = zeros[np.argsort(_packed(padded[zeros], rank[zeros + 1]), kind="stable")]
+    rest = zeros[np.argsort(_packed(padded[zeros], rank[zeros + 1]))]
     s1, s2 = ranked[ranked % 3 == 1], ranked[ranked % 3 == 2]
     both = np.concatenate([s1, rest])
     key = _packed(padded[both], rank[both + 1])
