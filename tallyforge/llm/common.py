@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on; bounds a task's temporary arrays.
 CHUNK_BYTES = 1 << 20
+#: Bytes of text whose words are worked on at once.
+SLICE_BYTES = 8 << 20
 #: Separator bytes [\x20\x09-\x0D] of the word contracts.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -68,6 +70,14 @@ def row_chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[
         first = last
 
 
+def text_slices(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut into pieces of about limit bytes of text, which bounds what a task holds of them at once."""
+    for batch in batches:
+        _, offsets = text_bytes(batch.column(column))
+        for a, b in row_chunks(offsets, limit):
+            yield batch.slice(a, b - a)
+
+
 def ragged_take(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indexes of the concatenation of the ranges [start, start + length)."""
     ends = np.cumsum(lengths)

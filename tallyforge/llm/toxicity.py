@@ -11,7 +11,6 @@ maximum and density gives the document's score.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -20,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_columns, ragged_take, row_chunks, split_words, text_bytes, word_spans
+from .common import doc_columns, ragged_take, row_chunks, split_words, text_bytes, text_slices, word_spans
 
 #: Bounds of the training sample: documents of each label, and bytes of one text.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 1500, 3000, 1 << 16
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 1000, 2000, 1 << 15
 #: A feature marks toxic words from this many toxic documents and this odds ratio on.
 LEAST_DOCS, LEAST_RATIO = 3, 8.0
 STEMS = range(5, 10)
@@ -140,6 +139,24 @@ def marginals(unary: np.ndarray, offsets: np.ndarray, moves: np.ndarray) -> np.n
     return odds / (1.0 + odds)
 
 
+def _ratios(docs: list[np.ndarray], y: np.ndarray, forms: list[str]) -> dict[str, float]:
+    """Odds ratio of each feature of LEAST_DOCS toxic documents or more; a small table of counts thins them out first."""
+    size = 1 << 21
+    cells = np.zeros(size, dtype=np.int32)
+    for d in (d for d, toxic in zip(docs, y) if toxic):
+        cells[np.unique([hash(f) % size for k in np.unique(d) for f in features(forms[k])]).astype(np.int64)] += 1
+    seen: dict[str, list[int]] = {}
+    for toxic in (1, 0):
+        for d in (d for d, t in zip(docs, y) if t == toxic):
+            for f in {f for k in np.unique(d) for f in features(forms[k])}:
+                if f in seen:
+                    seen[f][toxic] += 1
+                elif toxic and cells[hash(f) % size] >= LEAST_DOCS:
+                    seen[f] = [0, 1]
+    clean, bad = int((y == 0).sum()), int((y == 1).sum())
+    return {f: (n1 + 0.1) / (bad + 0.2) * (clean + 0.2) / (n0 + 0.1) for f, (n0, n1) in seen.items() if n1 >= LEAST_DOCS}
+
+
 def fit(texts: list[str], toxic: list[int], rate: float | None = None) -> Model:
     """A model from whole texts and their labels; rate is the toxic share outside the sample.
 
@@ -150,28 +167,22 @@ def fit(texts: list[str], toxic: list[int], rate: float | None = None) -> Model:
     floor = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
     if not len(y) or y.min() == y.max():
         return Model(curve=np.array([floor, 0.0, 0.0, 0.0]))
-    words = [t.split() for t in texts]
-    found: dict[str, list[str]] = {}
-    seen = defaultdict(lambda: [0, 0])
-    for ws, label in zip(words, y.tolist()):
-        for w in set(ws):
-            if w not in found:
-                found[w] = features(w)
-        for f in {f for w in set(ws) for f in found[w]}:
-            seen[f][label] += 1
-    clean, bad = int((y == 0).sum()), int((y == 1).sum())
-    ratio = {f: (n1 + 0.1) / (bad + 0.2) * (clean + 0.2) / (n0 + 0.1) for f, (n0, n1) in seen.items() if n1 >= LEAST_DOCS}
-    marked = {f for f, r in ratio.items() if r >= LEAST_RATIO}
-    names = sorted(marked)
+    vocabulary: dict[str, int] = {}
+    docs = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in t.split()), dtype=np.int32) for t in texts]
+    forms = list(vocabulary)
+    ratio = _ratios(docs, y, forms)
+    names = sorted(f for f, r in ratio.items() if r >= LEAST_RATIO)
     index = {f: k for k, f in enumerate(names)}
     # words of the training sequences: marked features, and labels from the documents
-    is_marked = {w: [index[f] for f in fs if f in index] for w, fs in found.items()}
-    flat = [w for ws in words for w in ws]
-    n = np.array([len(ws) for ws in words])
-    hits = np.array([bool(is_marked[w]) for w in flat], dtype=bool)
+    is_marked = {k: own for k, w in enumerate(forms) if (own := [index[f] for f in features(w) if f in index])}
+    flat = np.concatenate(docs)
+    n = np.array([len(d) for d in docs])
+    known = np.zeros(len(forms), dtype=bool)
+    known[list(is_marked)] = True
+    hits = known[flat]
     label = hits & np.repeat(y == 1, n)
     # sequences are cut to segments, and those without a marked word are not needed in full
-    owner = np.repeat(np.arange(len(words)), n)
+    owner = np.repeat(np.arange(len(docs)), n)
     within = ragged_take(np.zeros(len(n), np.int64), n) // SEGMENT
     seg = np.concatenate([[True], (np.diff(owner) != 0) | (np.diff(within) != 0)]) if len(flat) else np.zeros(0, bool)
     starts = np.flatnonzero(seg)
@@ -182,8 +193,8 @@ def fit(texts: list[str], toxic: list[int], rate: float | None = None) -> Model:
     offsets = np.concatenate([[0], np.cumsum(np.diff(bounds)[keep])])
     truth = label[take].astype(np.float64)
     rows, cols = [], []
-    for at, k in enumerate(take.tolist()):
-        for f in is_marked[flat[k]]:
+    for at, k in enumerate(flat[take].tolist()):
+        for f in is_marked.get(k, ()):
             rows.append(at)
             cols.append(f)
     rows, cols = np.array(rows, np.int64), np.array(cols, np.int64)
@@ -212,8 +223,7 @@ def fit(texts: list[str], toxic: list[int], rate: float | None = None) -> Model:
         w, bias, moves = w + 8 * RATE * speed[0], bias + 8 * RATE * speed[1], np.clip(moves + RATE * speed[2], -4, 4)
         w, bias = np.clip(w, -4.0, 8.0), float(np.clip(bias, -8.0, 0.0))
     model = Model({f: float(x) for f, x in zip(names, w) if abs(x) > 1e-3}, bias, moves)
-    emitted = {word: u for word, u in zip(found, model.emissions(list(found)))}
-    u = np.array([emitted[x] for x in flat], dtype=np.float64)
+    u = model.emissions(forms)[flat]
     ends = np.concatenate([[0], np.cumsum(n)])
     x = _summary(marginals(u, ends, moves), ends)
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
@@ -258,8 +268,11 @@ def tag(docs: DataFrame, model: Model, threshold: float = 0.5, keep: tuple[str,
     false. Rows are kept as they come, repeats included.
     """
 
+    others = [c for c in keep if c != "text"]
+    held = [1 if c == "text" else 3 + others.index(c) for c in keep]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches):
             words, codes, first = split_words(batch.column(1))
             unary = model.emissions(words.to_pylist())[codes]
             p = np.concatenate([marginals(unary[first[a] : first[b]], first[a : b + 1] - first[a], model.moves) for a, b in row_chunks(first * 6, 8 << 20)] or [np.zeros(0)])
@@ -275,10 +288,10 @@ def tag(docs: DataFrame, model: Model, threshold: float = 0.5, keep: tuple[str,
                 for part in np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1):
                     spans[row].append({"start": int(begin[part[0]]), "stop": int(end[part[-1]]), "marginal": float(own[part].max())})
             kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("marginal", pa.float64())]))
-            columns = [batch.column(0), *batch.columns[3:], batch.column(2), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(spans, kind)]
+            columns = [batch.column(0), *(batch.column(k) for k in held), batch.column(2), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(spans, kind)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", *keep, "held_out", "score", "predicted", "n_toxic_words", "spans"])
 
-    own = doc_columns(docs, F.coalesce(held_out(F.col("doc_id").cast("long")), F.lit(False)).alias("_held_out"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(keep)])
+    own = doc_columns(docs, F.coalesce(held_out(F.col("doc_id").cast("long")), F.lit(False)).alias("_held_out"), *[F.col(c).alias(f"_{c}") for c in keep if c != "text"])
     schema = ", ".join(["doc_id long", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), SCORES])
     return own.mapInArrow(run, schema)
 
