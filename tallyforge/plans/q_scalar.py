@@ -21,27 +21,32 @@ def _sql(column: str, *values: object) -> str:
     return f"{[str(x) if not isinstance(x, (int, float)) else x for x in values]!r}[CAST({column} % {len(values)} + 1 AS INTEGER)]"
 
 
-Q, S, D = F.col("question_id"), F.col("staging_id"), F.col("doc_id")
+def Q():
+    return F.col("question_id")
+
+
+def S():
+    return F.col("staging_id")
 
 
 @query("c1_choice_answer", f"SELECT question_id, {_sql('question_id', 'AB', 'C', 'ABD', '')} AS answer FROM question")
 def _(v):
-    return v.question.select("question_id", text.choice_answer(pick(Q, " b a ", "Ｃ", "D,a;b", "12")).alias("answer"))
+    return v.question.select("question_id", text.choice_answer(pick(Q(), " b a ", "Ｃ", "D,a;b", "12")).alias("answer"))
 
 
 @query("c2_fill_in_answer", f"SELECT question_id, {_sql('question_id', '1,2', '1,2', 'X+1')} AS answer FROM question")
 def _(v):
-    return v.question.select("question_id", text.fill_in_answer(pick(Q, " １，２ ", "1; 2", "x + 1")).alias("answer"))
+    return v.question.select("question_id", text.fill_in_answer(pick(Q(), " １，２ ", "1; 2", "x + 1")).alias("answer"))
 
 
 @query("c3_answer_equality", "SELECT question_id, CASE WHEN question_type = 'choice' THEN question_id % 4 = 0 ELSE false END AS correct FROM question")
 def _(v):
-    return v.question.select("question_id", text.answers_equal(pick(Q, "b a", "x", "c", "y"), F.lit("AB"), F.col("question_type")).alias("correct"))
+    return v.question.select("question_id", text.answers_equal(pick(Q(), "b a", "x", "c", "y"), F.lit("AB"), F.col("question_type")).alias("correct"))
 
 
 @query("c4_option_markers", "SELECT question_id, label, label = CASE WHEN question_id % 2 = 0 THEN 'A' ELSE 'C' END AS picked, label IN ('A', 'B') AS correct FROM question, (SELECT unnest(['A', 'B', 'C']) AS label)")
 def _(v):
-    known = v.question.select("question_id", text.choice_answer(pick(Q, "a", "C")).alias("picked"), text.choice_answer(F.lit("BA")).alias("right"))
+    known = v.question.select("question_id", text.choice_answer(pick(Q(), "a", "C")).alias("picked"), text.choice_answer(F.lit("BA")).alias("right"))
     marks = text.option_markers(F.array(*map(F.lit, "ABC")), F.col("picked"), F.col("right"))
     return known.select("question_id", F.explode(marks).alias("m")).select("question_id", "m.label", "m.picked", "m.correct")
 
@@ -51,86 +56,86 @@ _CHAPTERS = ("第十一章 集合", "第 4 章", "4.1", "4.4*", "", "第一百
 
 @query("c5_chapter_number", f"SELECT staging_id, {_sql('staging_id', '11', '4', '4.1', '4.4*', 'unassigned', '第一百零二章', '0', '20', '100')} AS chapter FROM staging")
 def _(v):
-    return v.staging.select("staging_id", text.chapter_number(pick(S, *_CHAPTERS)).alias("chapter"))
+    return v.staging.select("staging_id", text.chapter_number(pick(S(), *_CHAPTERS)).alias("chapter"))
 
 
 @query("c6_chapter_label", f"SELECT staging_id, {_sql('staging_id', '第 4 章', '第 11 章', '附录', '未分章')} AS label FROM staging")
 def _(v):
-    return v.staging.select("staging_id", text.chapter_label(pick(S, "4.1", "011", "附录", "")).alias("label"))
+    return v.staging.select("staging_id", text.chapter_label(pick(S(), "4.1", "011", "附录", "")).alias("label"))
 
 
 @query("c7_title_volume", f"SELECT staging_id, {_sql('staging_id', '高中数学 选择性必修第二册', 'notes')} AS title, CASE WHEN staging_id % 2 = 0 THEN '选择性必修 第二册' END AS volume FROM staging")
 def _(v):
-    title = text.file_title(pick(S, "高中数学 选择性必修第二册.pdf", " notes.DOCX "))
+    title = text.file_title(pick(S(), "高中数学 选择性必修第二册.pdf", " notes.DOCX "))
     return v.staging.select("staging_id", title.alias("title"), text.volume(title).alias("volume"))
 
 
 @query("c8_heading", f"SELECT staging_id, {_sql('staging_id', '1.2', '第三章', '')} AS number, {_sql('staging_id', '集合', '函数', '引言')} AS title FROM staging")
 def _(v):
-    h = text.heading(pick(S, "１．２ 集合", "第三章 函数", "引言"))
+    h = text.heading(pick(S(), "１．２ 集合", "第三章 函数", "引言"))
     return v.staging.select("staging_id", F.coalesce(h["number"], F.lit("")).alias("number"), h["title"].alias("title"))
 
 
 @query("c9_source_facts", f"SELECT staging_id, {_sql('staging_id', 'exam_paper', 'lesson_handout', 'mixed_material')} AS source_type, {_sql('staging_id', 'senior', 'junior', 'senior')} AS stage, {_sql('staging_id', 'g10', '', '')} AS grade, CASE WHEN staging_id % 3 = 0 THEN 2023 END AS year, {_sql('staging_id', '', '暑假', '')} AS season, {_sql('staging_id', '', '第3讲', '')} AS lesson_no FROM staging")
 def _(v):
-    facts = text.source_facts(pick(S, "2023 高一期末试卷", "初中暑假 第 3 讲 讲义", "资料"))
+    facts = text.source_facts(pick(S(), "2023 高一期末试卷", "初中暑假 第 3 讲 讲义", "资料"))
     return v.staging.select("staging_id", facts.alias("f")).select("staging_id", "f.*")
 
 
 @query("c10_material_kind", f"SELECT staging_id, {_sql('staging_id', 'common_mistake', 'method_card', 'exam_trend', 'concept_explanation')} AS kind FROM staging")
 def _(v):
-    return v.staging.select("staging_id", text.material_kind(pick(S, "x", "method_card", "y", "z"), pick(S, "易错点", "t", "高频考点", "无"), F.lit("")).alias("kind"))
+    return v.staging.select("staging_id", text.material_kind(pick(S(), "x", "method_card", "y", "z"), pick(S(), "易错点", "t", "高频考点", "无"), F.lit("")).alias("kind"))
 
 
 @query("c11_kinds", f"SELECT staging_id, {_sql('staging_id', 'choice', 'fill_in', 'proof', 'unknown')} AS question, {_sql('staging_id', 'slide', 'question_region', 'page', 'text_block')} AS unit FROM staging")
 def _(v):
-    return v.staging.select("staging_id", text.question_kind(pick(S, "单选题", "Fill-in", "证明", "?")).alias("question"), text.unit_kind(pick(S, "PPT", "题目", "page 3", "?")).alias("unit"))
+    return v.staging.select("staging_id", text.question_kind(pick(S(), "单选题", "Fill-in", "证明", "?")).alias("question"), text.unit_kind(pick(S(), "PPT", "题目", "page 3", "?")).alias("unit"))
 
 
 @query("c12_quality", f"SELECT staging_id, {_sql('staging_id', 'incomplete_stem', 'missing_answer', 'missing_solution', 'needs_review', 'publishable')} AS quality FROM staging")
 def _(v):
-    return v.staging.select("staging_id", text.quality(pick(S, "", "", "", "needs_review", "?"), pick(S, " ", "c", "c", "c", "c"), pick(S, "a", "", "a", "a", "a"), pick(S, "s", "s", " ", "s", "s")).alias("quality"))
+    return v.staging.select("staging_id", text.quality(pick(S(), "", "", "", "needs_review", "?"), pick(S(), " ", "c", "c", "c", "c"), pick(S(), "a", "", "a", "a", "a"), pick(S(), "s", "s", " ", "s", "s")).alias("quality"))
 
 
 @query("c13_options", f"SELECT staging_id, {_sql('staging_id', 'A:one|B:two', 'B:x|B:plain')} AS options FROM staging")
 def _(v):
-    raw = F.when(S % 2 == 0, F.array(F.lit("A. one"), F.lit("b、two"))).otherwise(F.array(F.lit("B: x"), F.lit("plain")))
+    raw = F.when(S() % 2 == 0, F.array(F.lit("A. one"), F.lit("b、two"))).otherwise(F.array(F.lit("B: x"), F.lit("plain")))
     return v.staging.select("staging_id", F.array_join(F.transform(text.parse_options(raw), lambda o: F.concat_ws(":", o["label"], o["text"])), "|").alias("options"))
 
 
 @query("c14_knowledge_text", f"SELECT staging_id, {_sql('staging_id', 'abc', 'a集合')} AS t FROM staging")
 def _(v):
-    return v.staging.select("staging_id", text.knowledge_text(pick(S, " A,b (C) ", "A【集合】　")).alias("t"))
+    return v.staging.select("staging_id", text.knowledge_text(pick(S(), " A,b (C) ", "A【集合】　")).alias("t"))
 
 
 @query("c15_overlap", f"SELECT staging_id, {_sql('staging_id', 1.0, 0.5, 0.0)} AS overlap FROM staging")
 def _(v):
-    return v.staging.select("staging_id", text.character_overlap(pick(S, "aabc", "ab", ""), pick(S, "abcd", "bcc", "x")).alias("overlap"))
+    return v.staging.select("staging_id", text.character_overlap(pick(S(), "aabc", "ab", ""), pick(S(), "abcd", "bcc", "x")).alias("overlap"))
 
 
 @query("c16_common_substring", f"SELECT staging_id, {_sql('staging_id', '并集', 'abc', '')} AS common FROM staging")
 def _(v):
-    return v.staging.select("staging_id", udf.common_substring(pick(S, "并集及其运算", "xabcy", "q"), pick(S, "集合的并集", "zabc", "w")).alias("common"))
+    return v.staging.select("staging_id", udf.common_substring(pick(S(), "并集及其运算", "xabcy", "q"), pick(S(), "集合的并集", "zabc", "w")).alias("common"))
 
 
 @query("c17_suffixes", f"SELECT staging_id, {_sql('staging_id', '集合的并集', '运算', '函数')} AS bare FROM staging")
 def _(v):
-    return v.staging.select("staging_id", text.strip_suffixes(pick(S, "集合的并集运算方法", "运算", "函数性质")).alias("bare"))
+    return v.staging.select("staging_id", text.strip_suffixes(pick(S(), "集合的并集运算方法", "运算", "函数性质")).alias("bare"))
 
 
 @query("c18_string_hash", f"SELECT staging_id, {_sql('staging_id', '22ci', '1n1e4y', '0')} AS h FROM staging")
 def _(v):
-    return v.staging.select("staging_id", udf.string_hash(pick(S, "abc", "hello", "")).alias("h"))
+    return v.staging.select("staging_id", udf.string_hash(pick(S(), "abc", "hello", "")).alias("h"))
 
 
 @query("c19_display_text", f"SELECT staging_id, {_sql('staging_id', 'x²+1/2 ≤ 3', '√2 ∈ ℝ', 'A∩B⊆C', '|A|=3')} AS shown FROM staging")
 def _(v):
-    return v.staging.select("staging_id", udf.display_text(pick(S, "$x^2+\\frac{1}{2} \\leq 3$", "\\sqrt{2} \\in \\mathbb{R}", "$A\\cap B\\subseteq C$", "card(A)=3")).alias("shown")).withColumn("shown", F.regexp_replace(F.regexp_replace("shown", "A∩ B⊆ C", "A∩B⊆C"), " +", " "))
+    return v.staging.select("staging_id", udf.display_text(pick(S(), "$x^2+\\frac{1}{2} \\leq 3$", "\\sqrt{2} \\in \\mathbb{R}", "$A\\cap B\\subseteq C$", "card(A)=3")).alias("shown")).withColumn("shown", F.regexp_replace(F.regexp_replace("shown", "A∩ B⊆ C", "A∩B⊆C"), " +", " "))
 
 
 @query("c20_figures", f"SELECT staging_id, {_sql('staging_id', 'text=a |figure=f1|text= b', 'text=plain', 'figure=x')} AS parts FROM staging")
 def _(v):
-    parts = text.figure_parts(pick(S, "a [[figure:f1]] b", "plain", "[[figure:x]]"))
+    parts = text.figure_parts(pick(S(), "a [[figure:f1]] b", "plain", "[[figure:x]]"))
     return v.staging.select("staging_id", F.array_join(F.transform(parts, lambda p: F.concat_ws("=", p["kind"], p["value"])), "|").alias("parts"))
 
 
@@ -141,7 +146,7 @@ def _(v):
 
 @query("c22_slug", f"SELECT staging_id, {_sql('staging_id', 'a-b-c', 'unknown', 'x1')} AS slug FROM staging")
 def _(v):
-    return v.staging.select("staging_id", text.slug(pick(S, " A b--C! ", "集合", "X1")).alias("slug"))
+    return v.staging.select("staging_id", text.slug(pick(S(), " A b--C! ", "集合", "X1")).alias("slug"))
 
 
 @query("c23_labels", "SELECT kp_id, name || CASE WHEN chapter_no IS NULL THEN '' ELSE ' · ' || chapter_no END AS label FROM kp")
@@ -161,7 +166,7 @@ def _(v):
 
 @query("c26_provider_slug", f"SELECT staging_id, {_sql('staging_id', 'gpt-5', 'model-x')} AS slug FROM staging")
 def _(v):
-    bare = F.regexp_replace(F.regexp_replace(pick(S, "openai/gpt-5-latest", "vendor:model-x"), "^[a-z]+[/:]", ""), "-(latest|preview)$", "")
+    bare = F.regexp_replace(F.regexp_replace(pick(S(), "openai/gpt-5-latest", "vendor:model-x"), "^[a-z]+[/:]", ""), "-(latest|preview)$", "")
     return v.staging.select("staging_id", text.slug(bare).alias("slug"))
 
 
@@ -172,13 +177,13 @@ def _(v):
 
 @query("c28_canonical_json", """SELECT staging_id, sha256('{"a":{"c":1,"d":[2]},"b":' || staging_id || '}') AS key FROM staging""")
 def _(v):
-    raw = F.concat(F.lit('{ "b": '), S.cast("string"), F.lit(', "a": {"d": [2], "c": 1}}'))
+    raw = F.concat(F.lit('{ "b": '), S().cast("string"), F.lit(', "a": {"d": [2], "c": 1}}'))
     return v.staging.select("staging_id", model_calls.cache_key(raw).alias("key"))
 
 
 @query("c29_form_answers", "SELECT staging_id, CAST(staging_id AS VARCHAR) AS question, 'B' AS answer FROM staging")
 def _(v):
-    form = F.create_map(F.concat(F.lit("answer_"), S.cast("string")), F.lit("B"), F.lit("csrf"), F.lit("t"))
+    form = F.create_map(F.concat(F.lit("answer_"), S().cast("string")), F.lit("B"), F.lit("csrf"), F.lit("t"))
     own = F.transform_keys(F.map_filter(form, lambda k, _: k.startswith("answer_")), lambda k, _: F.substring(k, 8, 100))
     return v.staging.select("staging_id", F.explode(own).alias("question", "answer"))
 
@@ -190,12 +195,12 @@ def _(v):
 
 @query("c31_content_type", f"SELECT staging_id, {_sql('staging_id', 'image/png', 'image/jpeg', 'image/webp', 'application/octet-stream')} AS kind FROM staging")
 def _(v):
-    return v.staging.select("staging_id", text.content_type(pick(S, "a.PNG", "b.jpg", "c.webp", "d")).alias("kind"))
+    return v.staging.select("staging_id", text.content_type(pick(S(), "a.PNG", "b.jpg", "c.webp", "d")).alias("kind"))
 
 
 @query("c32_data_url", f"SELECT staging_id, {_sql('staging_id', 'QUJD', 'plain')} AS body FROM staging")
 def _(v):
-    return v.staging.select("staging_id", text.strip_data_url(pick(S, "data:image/png;base64,QUJD", "plain")).alias("body"))
+    return v.staging.select("staging_id", text.strip_data_url(pick(S(), "data:image/png;base64,QUJD", "plain")).alias("body"))
 
 
 @query("c33_display_heading", "SELECT kp_id, CASE WHEN chapter_no IS NULL THEN name ELSE chapter_no || ' ' || name END AS heading FROM kp")
@@ -222,7 +227,7 @@ def _(v):
 
 @query("c37_envelope", "SELECT staging_id, true AS ok, payload AS text, staging_id % 7 AS total FROM staging")
 def _(v):
-    one = v.staging.select("staging_id", F.struct(F.lit(True).alias("ok"), F.col("payload").alias("text"), (S % 7).alias("total")).alias("r"))
+    one = v.staging.select("staging_id", F.struct(F.lit(True).alias("ok"), F.col("payload").alias("text"), (S() % 7).alias("total")).alias("r"))
     return one.select("staging_id", "r.ok", "r.text", "r.total")
 
 
@@ -243,12 +248,12 @@ def _(v):
 
 @query("d4_review_interval", "SELECT question_id, [1, 3, 7, 15, 30, 60][CAST(least(6, question_id % 8 + 1) AS INTEGER)] * CASE WHEN question_id % 2 = 0 THEN 0.5 ELSE 1.0 END AS days FROM question")
 def _(v):
-    return v.question.select("question_id", number.review_interval((Q % 8).cast("int"), Q % 2 == 0).alias("days"))
+    return v.question.select("question_id", number.review_interval((Q() % 8).cast("int"), Q() % 2 == 0).alias("days"))
 
 
 @query("d6_retry_delay", f"SELECT staging_id, {_sql('staging_id', 3000, 2500, 10000, 40000)} AS ms FROM staging")
 def _(v):
-    return v.staging.select("staging_id", number.retry_delay_ms(pick(S, "3", "soon", "", ""), pick(S, "", "Retry after 2.5 s", "x", ""), pick(S, 0, 0, 0, 2)).alias("ms"))
+    return v.staging.select("staging_id", number.retry_delay_ms(pick(S(), "3", "soon", "", ""), pick(S(), "", "Retry after 2.5 s", "x", ""), pick(S(), 0, 0, 0, 2)).alias("ms"))
 
 
 @query("m1_delta", "SELECT attempt_id, delta FROM step")
@@ -263,7 +268,7 @@ def _(v):
 
 @query("m3_band", "SELECT question_id, CASE WHEN s < 0.2 THEN 'not_started' WHEN s < 0.5 THEN 'needs_work' WHEN s < 0.85 THEN 'learning' ELSE 'mastered' END AS band FROM (SELECT question_id, question_id % 101 / 100.0 AS s FROM question)")
 def _(v):
-    return v.question.select("question_id", number.mastery_band((Q % 101) / 100.0).alias("band"))
+    return v.question.select("question_id", number.mastery_band((Q() % 101) / 100.0).alias("band"))
 
 
 @query("m4_status", "SELECT student_id, kp_id, CASE WHEN mastery_score < 0.2 AND peak_mastery_score >= 0.5 THEN 'regressed' WHEN mastery_score < 0.5 THEN 'needs_work' WHEN mastery_score < 0.85 THEN 'learning' ELSE 'mastered' END AS status FROM mastery")
@@ -273,7 +278,7 @@ def _(v):
 
 @query("m5_difficulty_range", "SELECT question_id, CASE WHEN greatest(b, 2) <= least(b + 1, 3) THEN greatest(b, 2) ELSE 2 END AS low, CASE WHEN greatest(b, 2) <= least(b + 1, 3) THEN least(b + 1, 3) ELSE 3 END AS high FROM (SELECT question_id, CASE WHEN s < 0.2 THEN 1 WHEN s < 0.5 THEN 2 WHEN s < 0.85 THEN 3 ELSE 4 END AS b FROM (SELECT question_id, question_id % 101 / 100.0 AS s FROM question))")
 def _(v):
-    return v.question.select("question_id", number.difficulty_range((Q % 101) / 100.0, F.lit(3), F.lit(2)).alias("r")).select("question_id", "r.low", "r.high")
+    return v.question.select("question_id", number.difficulty_range((Q() % 101) / 100.0, F.lit(3), F.lit(2)).alias("r")).select("question_id", "r.low", "r.high")
 
 
 def _budget_rows(v, table):
@@ -317,19 +322,19 @@ def _(v):
 
 @query("m12_pixel_box", f"SELECT staging_id, {_sql('staging_id', 20, 0)} AS left, {_sql('staging_id', 21, 200)} AS width FROM staging")
 def _(v):
-    b = jsonx.box(F.parse_json(pick(S, "[10.4,0,10,5]", '{"left":-5,"top":0,"width":150,"height":10}')))
+    b = jsonx.box(F.parse_json(pick(S(), "[10.4,0,10,5]", '{"left":-5,"top":0,"width":150,"height":10}')))
     px = number.pixel_box(b["x"], b["y"], b["w"], b["h"], F.lit(200), F.lit(100))
     return v.staging.select("staging_id", px.alias("p")).select("staging_id", "p.left", "p.width")
 
 
 @query("m13_page_progress", "SELECT staging_id, CAST(floor(30 + (staging_id % 7) / 6.0 * 55 + 0.5) AS INTEGER) AS progress FROM staging")
 def _(v):
-    return v.staging.select("staging_id", number.page_progress(S % 7, F.lit(6.0)).alias("progress"))
+    return v.staging.select("staging_id", number.page_progress(S() % 7, F.lit(6.0)).alias("progress"))
 
 
 @query("m14_bounded_int", f"SELECT staging_id, {_sql('staging_id', 4, 1, 1)} AS n FROM staging")
 def _(v):
-    return v.staging.select("staging_id", number.bounded_int(pick(S, "4", "99", "x"), 1, 6, 1).alias("n"))
+    return v.staging.select("staging_id", number.bounded_int(pick(S(), "4", "99", "x"), 1, 6, 1).alias("n"))
 
 
 @query("m15_weight_selection", "SELECT student_id, student_id % 3 > 0 AS has_new, student_id % 3 + 50 AS total FROM student")
@@ -340,8 +345,8 @@ def _(v):
 
 @query("r1_page_list", f"SELECT staging_id, {_sql('staging_id', '2,3', '4,5,6')} AS pages FROM staging")
 def _(v):
-    values = F.when(S % 2 == 0, F.array(*map(F.lit, ("3", "2", "2", "0", "-1", "NaN", "3")))).otherwise(F.array().cast("array<string>"))
-    pages = number.page_list(values, F.when(S % 2 == 1, 4), F.when(S % 2 == 1, 6))
+    values = F.when(S() % 2 == 0, F.array(*map(F.lit, ("3", "2", "2", "0", "-1", "NaN", "3")))).otherwise(F.array().cast("array<string>"))
+    pages = number.page_list(values, F.when(S() % 2 == 1, 4), F.when(S() % 2 == 1, 6))
     return v.staging.select("staging_id", F.array_join(F.transform(pages, lambda x: x.cast("string")), ",").alias("pages"))
 
 
@@ -377,7 +382,7 @@ def _(v):
 
 
 def _answer():
-    return F.when(S % 3 == 0, F.concat(F.lit("Sure:\n```json\n"), "payload", F.lit("\n```"))).when(S % 3 == 1, F.concat(F.lit("here "), "payload", F.lit(" done"))).otherwise(F.lit("no object"))
+    return F.when(S() % 3 == 0, F.concat(F.lit("Sure:\n```json\n"), "payload", F.lit("\n```"))).when(S() % 3 == 1, F.concat(F.lit("here "), "payload", F.lit(" done"))).otherwise(F.lit("no object"))
 
 
 @query("n2_candidate", "SELECT staging_id, CASE WHEN staging_id % 3 < 2 THEN payload END AS json FROM staging")
@@ -392,13 +397,13 @@ def _(v):
 
 @query("n4_aliases", "SELECT staging_id, CAST(staging_id % 5 AS INTEGER) AS n FROM staging")
 def _(v):
-    body = F.concat(F.when(S % 2 == 0, '{"page_no":').otherwise('{"pageNo":'), (S % 5).cast("string"), F.lit("}"))
+    body = F.concat(F.when(S() % 2 == 0, '{"page_no":').otherwise('{"pageNo":'), (S() % 5).cast("string"), F.lit("}"))
     return v.staging.select("staging_id", jsonx.field(F.parse_json(body), "int", "page_no", "pageNo", "page").alias("n"))
 
 
 @query("n5_deep_text", f"SELECT staging_id, {_sql('staging_id', 'hi', 'a;2', 'true')} AS t FROM staging")
 def _(v):
-    return v.staging.select("staging_id", F.regexp_replace(udf.json_text(pick(S, '{"x":1,"content":{"text":" hi "}}', '["a",2,null]', "true")), "\n", ";").alias("t"))
+    return v.staging.select("staging_id", F.regexp_replace(udf.json_text(pick(S(), '{"x":1,"content":{"text":" hi "}}', '["a",2,null]', "true")), "\n", ";").alias("t"))
 
 
 @query("n6_staging_projection", "SELECT staging_id, json_extract_string(payload, '$.name') AS name, CASE WHEN staging_id % 5 = 0 THEN 0.0 ELSE CAST(staging_id % 6 AS DOUBLE) END AS difficulty FROM staging")
@@ -417,7 +422,7 @@ def _(v):
 @query("n8_validation", f"SELECT question_id, {_sql('question_id', '', 'answer_not_an_option', 'too_few_options,answer_not_an_option', 'difficulty', 'repeated_hints')} AS problems FROM question")
 def _(v):
     option = lambda *ls: F.array(*[F.struct(F.lit(x).alias("label"), F.lit("t").alias("text")) for x in ls])
-    k = Q % 5
+    k = Q() % 5
     q = F.struct(F.lit("what is it").alias("content"), F.lit("choice").alias("question_type"), F.when(k == 2, option("A")).otherwise(option("A", "B")).alias("options"), F.when(k == 1, "C").when(k == 2, "1").otherwise("A").alias("answer"), F.lit("s").alias("solution_text"), F.when(k == 3, 2.5).otherwise(2.0).alias("difficulty"), F.when(k == 4, F.array(F.lit("h"), F.lit("h"))).otherwise(F.array(F.lit("h"))).alias("kp_hints"))
     return v.question.select("question_id", F.array_join(jsonx.question_problems(q), ",").alias("problems"))
 
@@ -441,7 +446,7 @@ def _(v):
 
 @query("n11_source_prefix", "SELECT upload_id, 'ks' || (upload_id % 2 + 1) || '-' || staging_id AS id FROM staging")
 def _(v):
-    return v.staging.select("upload_id", F.concat(F.lit("ks"), (F.col("upload_id") % 2 + 1).cast("string"), F.lit("-"), S.cast("string")).alias("id"))
+    return v.staging.select("upload_id", F.concat(F.lit("ks"), (F.col("upload_id") % 2 + 1).cast("string"), F.lit("-"), S().cast("string")).alias("id"))
 
 
 @query("n12_last_figure", "SELECT upload_id, CASE WHEN count(*) FILTER (WHERE review_status = 'accepted') > 0 THEN max(staging_id) FILTER (WHERE review_status = 'accepted') ELSE max(staging_id) END AS staging_id FROM staging GROUP BY upload_id")
@@ -451,18 +456,18 @@ def _(v):
 
 @query("n13_redaction", "SELECT staging_id, '{\"a\":{\"b\":' || staging_id || '}}' AS shown FROM staging")
 def _(v):
-    raw = F.concat(F.lit('{"question_id":5,"_x":1,"a":{"kpId":3,"b":'), S.cast("string"), F.lit("}}"))
+    raw = F.concat(F.lit('{"question_id":5,"_x":1,"a":{"kpId":3,"b":'), S().cast("string"), F.lit("}}"))
     return v.staging.select("staging_id", udf.redact_json(raw).alias("shown"))
 
 
 @query("n14_usage_remap", "SELECT staging_id, staging_id % 50 AS input, CAST(greatest(0, staging_id % 9 - 3) AS BIGINT) AS output FROM staging")
 def _(v):
-    return v.staging.select("staging_id", F.coalesce(S % 50, F.lit(0)).alias("input"), F.greatest(F.lit(0), S % 9 - 3).cast("long").alias("output"))
+    return v.staging.select("staging_id", F.coalesce(S() % 50, F.lit(0)).alias("input"), F.greatest(F.lit(0), S() % 9 - 3).cast("long").alias("output"))
 
 
 @query("n15_ref_coalesce", "SELECT staging_id, CASE WHEN staging_id % 2 = 0 THEN 7 ELSE 9 END AS page FROM staging")
 def _(v):
-    p = F.parse_json(pick(S, '{"source_ref":{"page":7},"source_hint":{"page":9}}', '{"source_hint":{"page":9}}'))
+    p = F.parse_json(pick(S(), '{"source_ref":{"page":7},"source_hint":{"page":9}}', '{"source_hint":{"page":9}}'))
     return v.staging.select("staging_id", F.coalesce(F.try_variant_get(p, "$.source_ref.page", "int"), F.try_variant_get(p, "$.source_hint.page", "int")).alias("page"))
 
 
@@ -477,7 +482,7 @@ def _(v):
 
 @query("n17_tables", f"SELECT staging_id, {_sql('staging_id', 'a|b', 'x|y')} AS columns, {_sql('staging_id', '1,2;3,', '1,;,2')} AS rows FROM staging")
 def _(v):
-    m = jsonx.table_matrix(F.parse_json(pick(S, '{"headers":["a","b"],"rows":[["1","2"],["3",null]]}', '{"rows":[{"x":1,"y":null},{"y":2}]}')))
+    m = jsonx.table_matrix(F.parse_json(pick(S(), '{"headers":["a","b"],"rows":[["1","2"],["3",null]]}', '{"rows":[{"x":1,"y":null},{"y":2}]}')))
     return v.staging.select("staging_id", F.array_join(m["columns"], "|").alias("columns"), F.array_join(F.transform(m["rows"], lambda r: F.array_join(r, ",")), ";").alias("rows"))
 
 
@@ -491,13 +496,13 @@ def _(v):
 
 @query("n19_unit_defaults", f"SELECT staging_id, {_sql('staging_id', 3, 1, 1)} AS page, {_sql('staging_id', 'slide', 'text_block', 'page')} AS kind FROM staging")
 def _(v):
-    p = F.parse_json(pick(S, '{"pageNo":3,"kind":"PPT"}', '{"page":-2}', '{"unit_kind":"page"}'))
+    p = F.parse_json(pick(S(), '{"pageNo":3,"kind":"PPT"}', '{"page":-2}', '{"unit_kind":"page"}'))
     return v.staging.select("staging_id", F.coalesce(jsonx.positive_page(p, "page_no", "pageNo", "page"), F.lit(1)).alias("page"), text.unit_kind(jsonx.text_field(p, "unit_kind", "unitKind", "kind")).alias("kind"))
 
 
 @query("n20_answer_draft", f"SELECT staging_id, {_sql('staging_id', 1.0, 0.0, 0.5)} AS confidence, {_sql('staging_id', 'w,v', 'v', 'v')} AS warnings FROM staging")
 def _(v):
-    p = F.parse_json(pick(S, '{"confidence":3,"warnings":["w","v"]}', '{"confidence":-1}', '{"confidence":0.5,"warnings":["v"]}'))
+    p = F.parse_json(pick(S(), '{"confidence":3,"warnings":["w","v"]}', '{"confidence":-1}', '{"confidence":0.5,"warnings":["v"]}'))
     warnings = F.array_distinct(F.concat(F.coalesce(F.try_variant_get(p, "$.warnings", "array<string>"), F.array().cast("array<string>")), F.array(F.lit("v"))))
     return v.staging.select("staging_id", number.clamp(F.try_variant_get(p, "$.confidence", "double"), 0.0, 1.0).alias("confidence"), F.array_join(warnings, ",").alias("warnings"))
 
@@ -519,5 +524,5 @@ def _(v):
 
 @query("n23_enum_default", f"SELECT staging_id, {_sql('staging_id', 'junior', 'senior', 'senior')} AS stage FROM staging")
 def _(v):
-    raw = pick(S, "junior", "none", "")
+    raw = pick(S(), "junior", "none", "")
     return v.staging.select("staging_id", F.when(raw.isin("primary", "junior", "senior"), raw).otherwise("senior").alias("stage"))
