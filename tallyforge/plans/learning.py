@@ -116,16 +116,22 @@ def choose_questions(slots: DataFrame, scores: DataFrame, questions: DataFrame,
     A question counts if all its points are the learner's to practise.
     """
     sets = allowed.groupBy("student_id").agg(F.collect_set(F.col("kp_id").cast("int")).alias("mine"))
-    rows = slots.join(scores.select("student_id", "kp_id", "mastery_score"), ["student_id", "kp_id"], "left").join(sets, "student_id")
-    rows = rows.withColumn("range", number.difficulty_range(F.coalesce("mastery_score", F.lit(0.0))))
+    rows = slots.where("pool <> 'feynman_check'").join(scores.select("student_id", "kp_id", "mastery_score"), ["student_id", "kp_id"], "left").join(sets, "student_id")
+    low = number.difficulty_range(F.coalesce("mastery_score", F.lit(0.0)))["low"]
+    rows = rows.select("student_id", "kp_id", "source_question", "mine", low.alias("low"))
+    mine = F.size(F.array_except("qs", "mine")) == 0
     bank = questions.select(F.col("primary_kp").alias("qk"), "question_id", F.col("kp_ids").alias("qs"), "difficulty")
-    fits = rows.where("pool <> 'feynman_check'").join(bank, F.col("kp_id") == F.col("qk")).where(F.size(F.array_except("qs", "mine")) == 0)
-    inside = F.col("difficulty").between(F.col("range.low"), F.col("range.high"))
-    away = F.abs(F.col("difficulty") - (F.col("range.low") + F.col("range.high")) / 2)
-    # the best of a slot is an aggregate, so the bank's rows are combined before the shuffle
-    key = F.struct((F.coalesce(F.col("source_question") != F.col("question_id"), F.lit(True))).alias("a"), (~inside).alias("b"), away.alias("c"), F.col("question_id").alias("d"))
-    best = fits.groupBy("student_id", "kp_id").agg(F.min(key).alias("best")).select("student_id", "kp_id", F.col("best.d").alias("question_id"))
-    return slots.join(best, ["student_id", "kp_id"], "left").withColumn("source", F.when(F.col("question_id").isNotNull(), "question_bank").otherwise("ai_generated"))
+    # of questions that are alike to every learner the first one alone can be chosen
+    kinds = bank.groupBy("qk", "qs", "difficulty").agg(F.min("question_id").alias("question_id"))
+    fits = rows.join(kinds, F.col("kp_id") == F.col("qk")).where(mine)
+    outside = F.when(F.col("difficulty").between(F.col("low"), F.col("low") + 1), 0).otherwise(1)
+    away = F.abs(F.col("difficulty") * 2 - F.col("low") * 2 - 1)
+    # one sortable number: outside the range, twice the distance, place in the bank
+    key = F.shiftleft((outside * 64 + away).cast("long"), 40) + F.col("question_id")
+    best = fits.groupBy("student_id", "kp_id").agg(F.min(key).alias("key")).select("student_id", "kp_id", F.col("key").bitwiseAND(F.lit((1 << 40) - 1)).alias("nearest"))
+    own = rows.join(bank, (F.col("source_question") == F.col("question_id")) & (F.col("kp_id") == F.col("qk"))).where(mine).select("student_id", "kp_id", F.col("question_id").alias("own"))
+    found = slots.join(best, ["student_id", "kp_id"], "left").join(own, ["student_id", "kp_id"], "left").withColumn("question_id", F.coalesce("own", "nearest")).drop("own", "nearest")
+    return found.withColumn("source", F.when(F.col("question_id").isNotNull(), "question_bank").otherwise("ai_generated"))
 
 
 def session_plan(slots: DataFrame, minimum: int = 3) -> DataFrame:
