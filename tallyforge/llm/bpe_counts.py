@@ -11,7 +11,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import doc_columns, split_words
+from .common import doc_columns, split_words, text_slices
 
 _LOADED: dict = {}
 #: Distinct pre-tokens merged in one ragged array.
@@ -140,7 +140,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
         import pyarrow.compute as pc
 
         own = merger(path)
-        for batch in batches:
+        for batch in text_slices(batches):
             words, codes, first = split_words(batch.column(1))
             per_word = own.word_counts(words.to_pylist())
             sums = np.concatenate([[0], np.cumsum(per_word[codes])])[first]

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import doc_columns, ragged_take, row_chunks
+from .common import doc_columns, ragged_take, row_chunks, text_slices
 
 MARK = "▁"
 #: Words whose ids a worker keeps between batches.
@@ -222,7 +222,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids array<int>) of every whole text; null and empty texts have no ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches):
             at = 0
             for rows, ids, ends in encode_rows(batch.column(1), path):
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
@@ -261,7 +261,7 @@ def round_trip(docs: DataFrame, path: str, keep: tuple[str, ...] = (), text: boo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(path)
-        for batch in batches:
+        for batch in text_slices(batches):
             at = 0
             for rows, ids, ends in encode_rows(batch.column(1), path):
                 texts = batch.column(1).slice(at, rows).to_pylist()
