@@ -23,8 +23,8 @@ from .common import doc_columns, ragged_take, row_chunks, split_words, text_byte
 
 #: Bounds of the training sample: documents of each label, and bytes of one text.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 1000, 2000, 1 << 15
-#: A feature marks toxic words from this many toxic documents and this odds ratio on.
-LEAST_DOCS, LEAST_RATIO = 3, 8.0
+#: A feature marks toxic words from this many toxic documents (or one in LEAST_SHARE) and this odds ratio on.
+LEAST_DOCS, LEAST_SHARE, LEAST_RATIO = 3, 150, 8.0
 STEMS = range(5, 10)
 FOLDS = 5
 SEGMENT, STEPS, RATE, DECAY = 128, 60, 0.2, 1e-3
@@ -154,7 +154,9 @@ def _ratios(docs: list[np.ndarray], y: np.ndarray, forms: list[str]) -> dict[str
                 elif toxic and cells[hash(f) % size] >= LEAST_DOCS:
                     seen[f] = [0, 1]
     clean, bad = int((y == 0).sum()), int((y == 1).sum())
-    return {f: (n1 + 0.1) / (bad + 0.2) * (clean + 0.2) / (n0 + 0.1) for f, (n0, n1) in seen.items() if n1 >= LEAST_DOCS}
+    # a word in a few near copies of one toxic document is no evidence in a large sample
+    least = max(LEAST_DOCS, bad // LEAST_SHARE)
+    return {f: (n1 + 0.1) / (bad + 0.2) * (clean + 0.2) / (n0 + 0.1) for f, (n0, n1) in seen.items() if n1 >= least}
 
 
 def fit(texts: list[str], toxic: list[int], rate: float | None = None) -> Model:
@@ -250,10 +252,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     some = own.select("doc_id").join(marks, "doc_id").distinct()
     ordered = lambda toxic, most: some.where((F.col("toxic") > 0) == F.lit(toxic)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     chosen = ordered(True, SAMPLE_TOXIC).unionByName(ordered(False, SAMPLE_CLEAN))
-    # at most SAMPLE_TOXIC + SAMPLE_CLEAN ids
+    # at most SAMPLE_TOXIC + SAMPLE_CLEAN ids; copies of a text count once
     rows = own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id").collect()
     total = sum(counts.values())
-    return fit([r["text"] for r in rows], [int(r["toxic"] > 0) for r in rows], (counts.get(1, 0) + 0.5) / (total + 1) if total else 0.0)
+    known: dict[str, int] = {}
+    for r in rows:
+        known[r["text"]] = max(known.get(r["text"], 0), int(r["toxic"] > 0))
+    return fit(list(known), list(known.values()), (counts.get(1, 0) + 0.5) / (total + 1) if total else 0.0)
 
 
 SCORES = "held_out boolean, score double, predicted int, n_toxic_words int, spans array<struct<start:int,stop:int,marginal:double>>"
