@@ -449,7 +449,7 @@ def _(v):
     return attempts.expired(v.material, v.now, 20).select("material_id")
 
 
-@query("x1_injected_call")
+@query("x1_injected_call", "SELECT kp_id, upper(name) AS text FROM kp")
 def _(v):
     client = lambda p: {"ok": True, "http_status": 200, "text": p.upper()}
     return model_calls.call(v.kp.select("kp_id", F.lower("name").alias("prompt")), "prompt", client).select("kp_id", "text")
