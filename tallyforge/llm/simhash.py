@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import doc_columns, materialize, ragged_take, row_chunks, text_bytes, word_spans
-from .components import components
+from .components import components, local_stars
 
 SEED = 42
 SHINGLE = 3
 RADIUS = 2
-TILE = 1024
+TILE = 256
 
 
 def _fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int, seed: int) -> np.ndarray:
@@ -78,10 +78,12 @@ def _blocks(radius: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
-def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE, stars: bool = False) -> DataFrame:
     """(u, v) of all pairs of distinct fingerprints in (fp, rep) with 1 to radius differing bits.
 
-    u and v are the reps. Groups beyond a tile are split by both sides, so no
+    u and v are the reps. With stars, each batch of tiles gives the links of its
+    nodes to their least node instead, which has the same components and no more
+    rows than nodes. Groups beyond a tile are split by both sides, so no
     task holds more than two tiles, whatever the size of a group.
     """
     blocks = _blocks(radius)
@@ -131,7 +133,10 @@ def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFram
                         keep &= (d & masks[k]) != 0
                     us.append(lr[la[i] : la[i + 1]][p[keep]])
                     vs.append(rr[ra[i] : ra[i + 1]][q[keep]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+            u, v = np.concatenate(us), np.concatenate(vs)
+            if stars:
+                u, v = local_stars(u, v)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     return tiles.select("b", "l", "r").mapInArrow(run, "u long, v long")
 
@@ -145,6 +150,6 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     """
     prints = materialize(fingerprints(docs, shingle, seed))
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    found = components(links(classes.where("rep is not null"), radius))
+    found = components(links(classes.where("rep is not null"), radius, stars=True))
     named = classes.join(found, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("f"), F.coalesce("component", "rep").alias("component_id"))
     return prints.join(named, F.col("fp") == F.col("f")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .components import components
+from .components import components, local_stars
 
 THRESHOLD, CELLS, ROUNDS, TILE, SALTS = 0.93, 16, 2, 2048, 16
 
@@ -112,7 +112,13 @@ def _placed(rows: DataFrame, centres: DataFrame, reach: float | None, salts: int
 
 
 def vector_links(rows: DataFrame, threshold: float = THRESHOLD, cells: int = CELLS, tile: int = TILE, rounds: int = ROUNDS, salts: int = SALTS) -> DataFrame:
-    """(u, v, nu, nv): pairs of distinct vectors (label, dim, rep, n, vec) of one label at the threshold or above."""
+    """(u, m, v) for distinct vectors (label, dim, rep, n, vec) linked inside their label at the threshold or above.
+
+    A tile pair gives one row a vector u: m, the rows that it links there, and v,
+    the least vector of its component there (null for that one itself). Summed
+    over all tile pairs m is a vector's number of links, and the pairs (u, v)
+    have the links' components, without a row for each pair.
+    """
     reach = math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
     centres = materialize(_seeds(rows, cells))
     for _ in range(rounds):
@@ -143,14 +149,24 @@ def vector_links(rows: DataFrame, threshold: float = THRESHOLD, cells: int = CEL
                 (lu, ln), (ru, rn) = ((s.field(0).to_numpy(), s.field(1).to_numpy()) for s in (l, r))
                 home = r.field(2).to_numpy(zero_copy_only=False)
                 step = max(1, (1 << 21) // len(y))
+                us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 for at in range(0, len(x), step):
                     p, q = np.nonzero(x[at : at + step] @ y.T >= threshold)
                     p = p + at
                     keep = np.where(home[q], lu[p] < ru[q], True)
-                    p, q = p[keep], q[keep]
-                    yield pa.RecordBatch.from_arrays([pa.array(lu[p]), pa.array(ru[q]), pa.array(ln[p]), pa.array(rn[q])], ["u", "v", "nu", "nv"])
+                    us.append(p[keep])
+                    vs.append(q[keep])
+                p, q = np.concatenate(us), np.concatenate(vs)
+                if not len(p):
+                    continue
+                ids, back = np.unique(np.concatenate([lu[p], ru[q]]), return_inverse=True)
+                linked = np.bincount(back, weights=np.concatenate([rn[q], ln[p]])).astype(np.int64)
+                node, root = local_stars(lu[p], ru[q])
+                to = np.full(len(ids), -1, dtype=np.int64)
+                to[np.searchsorted(ids, node)] = np.searchsorted(ids, root)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(linked), pa.array(ids[to], mask=to < 0)], ["u", "m", "v"])
 
-    return tiles.select("l", "r").mapInArrow(run, "u long, v long, nu long, nv long")
+    return tiles.select("l", "r").mapInArrow(run, "u long, m long, v long")
 
 
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, cells: int = CELLS, tile: int = TILE) -> DataFrame:
@@ -167,8 +183,8 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, cel
     own = own.withColumn("sound", sound).withColumn("dim", F.size("vec"))
     classes = materialize(own.where("sound").groupBy("label", "dim", "vec").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")).select("label", "dim", "rep", "n", "vec"))
     links = materialize(vector_links(classes, threshold, cells, tile))
-    degree = links.select(F.col("u").alias("k"), F.col("nv").alias("m")).unionByName(links.select(F.col("v").alias("k"), F.col("nu").alias("m"))).groupBy("k").agg(F.sum("m").alias("m"))
-    found = components(links.select("u", "v"))
+    degree = links.groupBy(F.col("u").alias("k")).agg(F.sum("m").alias("m"))
+    found = components(links.where("v IS NOT NULL").select("u", "v"))
     known = classes.join(degree, F.col("rep") == F.col("k"), "left").join(found, F.col("rep") == F.col("node"), "left")
     known = known.select(F.col("label").alias("cl"), F.col("vec").alias("cv"), (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component"))
     keyed = own.withColumn("kl", F.when(F.col("sound"), F.col("label"))).withColumn("kv", F.when(F.col("sound"), F.col("vec")))

@@ -177,6 +177,9 @@ def test_simhash_tiles_do_not_change_links(spark):
     for tile in (1024, 7):
         got = [(max(x["u"], x["v"]), min(x["u"], x["v"])) for x in simhash.links(prints, 2, tile).collect()]
         assert set(got) == want and len(got) == len(want)
+        whole = {x["node"]: x["component"] for x in components(simhash.links(prints, 2, tile)).collect()}
+        stars = simhash.links(prints, 2, tile, stars=True)
+        assert {x["node"]: x["component"] for x in components(stars).collect()} == whole and stars.count() <= len(got)
 
 
 @pytest.mark.parametrize("tile", [2048, 5])
