@@ -104,7 +104,9 @@ def encode_column(text: pa.Array, path: str, end_id: int | None) -> Iterator[tup
 
 
 def write_token_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, compression: str = "zstd") -> None:
-    """Write (doc_id, part, part_start, ids) as ORC under path, ascending by doc_id.
+    """Write (doc_id, part, part_start, n, ids) as ORC under path, ascending by doc_id.
+
+    n is the number of ids, so that offsets are read without the ids.
 
     Files are ranges of doc_id, so readers take stripes in parallel and skip
     files, stripes and row groups by the ids' minima, maxima and Bloom filters.
@@ -120,19 +122,19 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int
             for rows, ids, ends in encode_column(batch.column(1), tokenizer_path, end_id):
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 starts = pa.array(before + ends[:-1])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, rows), pa.array(np.full(rows, part, np.int32)), starts, lists], ["doc_id", "part", "part_start", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, rows), pa.array(np.full(rows, part, np.int32)), starts, pa.array(np.diff(ends).astype(np.int32)), lists], ["doc_id", "part", "part_start", "n", "ids"])
                 at, before = at + rows, before + int(ends[-1])
 
-    ordered.mapInArrow(run, "doc_id long, part int, part_start long, ids array<int>").write.option("compression", compression).option("orc.bloom.filter.columns", "doc_id").option(
+    ordered.mapInArrow(run, "doc_id long, part int, part_start long, n int, ids array<int>").write.option("compression", compression).option("orc.bloom.filter.columns", "doc_id").option(
         "orc.create.index", "true"
     ).option("orc.row.index.stride", "10000").orc(path)
 
 
 def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, ids): start counts the ids of all documents before, from the files alone."""
-    rows = spark.read.schema("doc_id long, part int, part_start long, ids array<int>").orc(path)
+    rows = spark.read.schema("doc_id long, part int, part_start long, n int, ids array<int>").orc(path)
     # one row a file range: a sum over a table as long as the list of files
-    parts = rows.groupBy("part").agg(F.max(F.col("part_start") + F.size("ids")).alias("n"), F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("has_null"))
+    parts = rows.groupBy("part").agg(F.max(F.col("part_start") + F.col("n")).alias("n"), F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("has_null"))
     order = Window.orderBy(F.col("has_null").desc(), F.col("least").asc_nulls_first())
     bases = parts.select(F.col("part").alias("p"), (F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("base"))
     return rows.join(F.broadcast(bases), F.col("part") == F.col("p")).select("doc_id", (F.col("base") + F.col("part_start")).alias("start"), "ids")
