@@ -76,6 +76,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int =
         _, offsets = text_bytes(batch.column(column))
         for a, b in row_chunks(offsets, limit):
             yield batch.slice(a, b - a)
+            pa.default_memory_pool().release_unused()
 
 
 def ragged_take(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -12,13 +13,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import doc_columns, row_chunks, shared_dir, split_words
+from .common import doc_columns, row_chunks, shared_dir, split_words, text_slices
 
 #: Word ids are gathered for about this many bytes of text at a time.
 GATHER_BYTES = 4 << 20
 
+#: Bytes of text whose distinct words are encoded together.
+ENCODE_BYTES = 24 << 20
 #: A worker keeps the ids of words that a batch holds twice, up to so many words.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
+
+#: Latin letters (but for one whose lower case is more than a letter) and signs that don't begin an ending like 's.
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]*)[!-&(-/:-;=?@\[-`{}~]*").fullmatch
 
 _TOKENIZERS: dict = {}
 _ENDS: dict = {}
@@ -46,34 +52,42 @@ def _word_ends(tokenizer, path: str) -> np.ndarray | None:
     return _ENDS[path]
 
 
-def _encoded(tokenizer, path: str, words: list[str], chosen: list[int]) -> Iterator[tuple[int, bytes]]:
-    """The ids of the chosen words, as bytes.
+def _encode_into(ids: list, tokenizer, path: str, words: list[str], chosen: list[int]) -> None:
+    """Put the ids of the chosen words, as bytes, into their places of ids.
 
-    A word of Latin letters is one pre-token, whose last id alone ends a word;
-    such words go to the library many at a time, put apart by spaces, and the
-    ids are told apart by the ends. Other words go one by one.
+    Latin letters are one pre-token and signs after them another, and the last
+    id alone of a pre-token ends a word; such words go to the library many at a
+    time, put apart by spaces, and the ids are told apart by the ends. Other
+    words go one by one.
     """
     encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
     ends = _word_ends(tokenizer, path)
-    # the one Latin letter whose lower case is more than a letter
-    plain = [k for k in chosen if (w := words[k]).isalpha() and (w.isascii() or max(w) < "\u0250" and "\u0130" not in w)] if ends is not None else []
-    own = set(plain)
-    other = [k for k in chosen if k not in own]
-    lines = [plain[at : at + 200] for at in range(0, len(plain), 200)]
-    for line, e in zip(lines, encode([" ".join(words[k] for k in line) for line in lines], add_special_tokens=False)):
-        ids = np.array(e.ids, dtype=np.uint32)
-        cuts = np.flatnonzero(ends[ids]) + 1
-        if len(cuts) != len(line):
-            other.extend(line)
-            continue
-        data, at = ids.tobytes(), 0
-        for k, cut in zip(line, (4 * cuts).tolist()):
-            yield k, data[at:cut]
-            at = cut
+    plain: list[tuple[int, int]] = []
+    other: list[int] = []
+    for k in chosen:
+        m = _PLAIN(words[k]) if ends is not None else None
+        if m:
+            plain.append((k, (m.end(1) > 0) + (m.end(1) < m.end())))
+        else:
+            other.append(k)
+    lines = [plain[at : at + 400] for at in range(0, len(plain), 400)]
+    for first in range(0, len(lines), 50):
+        some = lines[first : first + 50]
+        for line, e in zip(some, encode([" ".join([words[k] for k, _ in line]) for line in some], add_special_tokens=False)):
+            found = np.array(e.ids, dtype=np.uint32)
+            cuts = (4 * np.flatnonzero(ends[found]) + 4).tolist()
+            if len(cuts) != sum([n for _, n in line]):
+                other.extend([k for k, _ in line])
+                continue
+            data, at, seen = found.tobytes(), 0, -1
+            for k, n in line:
+                seen += n
+                ids[k] = data[at : cuts[seen]]
+                at = cuts[seen]
     for at in range(0, len(other), 20000):
         some = other[at : at + 20000]
         for k, e in zip(some, encode([words[k] for k in some], add_special_tokens=False)):
-            yield k, np.array(e.ids, dtype=np.uint32).tobytes()
+            ids[k] = np.array(e.ids, dtype=np.uint32).tobytes()
 
 
 def encode_column(text: pa.Array, path: str, end_id: int | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -88,8 +102,7 @@ def encode_column(text: pa.Array, path: str, end_id: int | None) -> Iterator[tup
     distinct = words.to_pylist()
     ids = list(map(cache.get, distinct))
     new = [k for k, x in enumerate(ids) if x is None]
-    for k, x in _encoded(tokenizer, path, distinct, new):
-        ids[k] = x
+    _encode_into(ids, tokenizer, path, distinct, new)
     if len(cache) < CACHED_WORDS and new:
         often = np.bincount(codes, minlength=len(distinct)) > 1
         cache.update((distinct[k], ids[k]) for k in new if often[k])
@@ -117,7 +130,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in text_slices(batches, limit=ENCODE_BYTES):
             at = 0
             for rows, ids, ends in encode_column(batch.column(1), tokenizer_path, end_id):
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
