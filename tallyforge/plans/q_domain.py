@@ -237,20 +237,30 @@ def _(v):
     return v.staging.groupBy("upload_id").agg(result.alias("r")).select("upload_id", "r.*")
 
 
-def _ingested(v):
+def _ingested(uploads):
     body = lambda p: {"ok": True, "http_status": 200, "text": 'x {"learning_materials":[{"title":"易错 ' + p + '","content":"c"},{"name":"n"}]} y'}
-    called = model_calls.call(v.upload.where("upload_id % 10 = 0").select("upload_id", F.col("upload_id").cast("string").alias("prompt")), "prompt", body)
+    called = model_calls.call(uploads.select("upload_id", F.col("upload_id").cast("string").alias("prompt")), "prompt", body)
     return ingest.materials_of(ingest.parse_batch(called), "upload_id")
 
 
 @query("p26_point_ingestion", "SELECT upload_id, i AS pos, CASE WHEN i = 0 THEN '易错 ' || upload_id ELSE 'n' END AS title FROM upload, (SELECT unnest([0, 1]) AS i) WHERE upload_id % 10 = 0")
 def _(v):
-    return _ingested(v).select("upload_id", "pos", "title")
+    return _ingested(v.upload.where("upload_id % 10 = 0")).select("upload_id", "pos", "title")
+
+
+@query("p26_point_ingestion_whole")
+def _(v):
+    return _ingested(v.upload).select("upload_id", "pos", "title")
 
 
 @query("p27_resource_ingestion", "SELECT upload_id, CASE WHEN i = 0 THEN 'common_mistake' ELSE 'concept_explanation' END AS material_type FROM upload, (SELECT unnest([0, 1]) AS i) WHERE upload_id % 10 = 0")
 def _(v):
-    return _ingested(v).select("upload_id", "material_type")
+    return _ingested(v.upload.where("upload_id % 10 = 0")).select("upload_id", "material_type")
+
+
+@query("p27_resource_ingestion_whole")
+def _(v):
+    return _ingested(v.upload).select("upload_id", "material_type")
 
 
 @query("p28_rerun", "SELECT staging_id, CASE WHEN staging_id % 2 = 0 THEN 'new' ELSE 'old' END AS text, CASE WHEN staging_id % 2 = 0 THEN staging_id END AS lineage FROM staging")
@@ -270,6 +280,11 @@ def _(v):
     return ingest.once_per_upload(v.staging.where("staging_id % 7 = 0"))
 
 
+@query("p30_source_once_whole")
+def _(v):
+    return ingest.once_per_upload(v.staging)
+
+
 @query("p31_provenance", "SELECT published_id AS question_id, upload_id, max(staging_id) AS staging_id FROM staging WHERE published_id IS NOT NULL GROUP BY ALL")
 def _(v):
     return v.staging.where("published_id IS NOT NULL").groupBy(F.col("published_id").alias("question_id"), "upload_id").agg(F.max("staging_id").alias("staging_id"))
@@ -282,10 +297,19 @@ def _(v):
     return known.unionByName(wanted.join(known, ["subject_id", "name"], "left_anti"))
 
 
+def _answers(v, sessions):
+    rows = sessions.select("session_id", F.posexplode("question_ids").alias("pos", "question_id"))
+    return rows.join(v.question, "question_id").select("session_id", "pos", "stem", "difficulty")
+
+
 @query("p33_answer_view", "SELECT s.session_id, CAST(i - 1 AS INTEGER) AS pos, q.stem, q.difficulty FROM (SELECT *, unnest(range(1, len(question_ids) + 1)) AS i FROM session WHERE session_id % 7 = 0) s JOIN question q ON q.question_id = s.question_ids[i]")
 def _(v):
-    rows = v.session.where("session_id % 7 = 0").select("session_id", F.posexplode("question_ids").alias("pos", "question_id"))
-    return rows.join(v.question, "question_id").select("session_id", "pos", "stem", "difficulty")
+    return _answers(v, v.session.where("session_id % 7 = 0"))
+
+
+@query("p33_answer_view_whole")
+def _(v):
+    return _answers(v, v.session)
 
 
 @query("p34_result_view", f"WITH {GROUPS_SQL} SELECT s.session_id, count(DISTINCT g.kp_id) AS points, count(DISTINCT CASE WHEN m.resolved_at >= s.started_at AND m.resolved_at <= s.ended_at THEN m.question_id END) AS resolved FROM session s LEFT JOIN grouped g ON g.session_id = s.session_id LEFT JOIN mistake m ON m.student_id = s.student_id GROUP BY s.session_id")
@@ -297,10 +321,19 @@ def _(v):
     return rows.select("session_id", F.coalesce("points", F.lit(0)).alias("points"), F.coalesce("resolved", F.lit(0)).alias("resolved"))
 
 
+def _advice_context(v, attempts):
+    rows = attempts.join(v.question, "question_id").join(F.broadcast(v.kp.select("kp_id", "name")), F.col("primary_kp") == F.col("kp_id"))
+    return rows.join(learning.mistakes(v.attempt).select("student_id", "question_id", "error_count"), ["student_id", "question_id"], "left").select("session_id", "stem", "name", "error_count")
+
+
 @query("p35_advice_context", "SELECT a.session_id, q.stem, kp.name, m.error_count FROM attempt a JOIN question q USING (question_id) JOIN kp ON kp.kp_id = q.primary_kp LEFT JOIN mistake m ON m.student_id = a.student_id AND m.question_id = a.question_id WHERE a.session_id % 50 = 1")
 def _(v):
-    rows = v.attempt.where("session_id % 50 = 1").join(v.question, "question_id").join(F.broadcast(v.kp.select("kp_id", "name")), F.col("primary_kp") == F.col("kp_id"))
-    return rows.join(learning.mistakes(v.attempt).select("student_id", "question_id", "error_count"), ["student_id", "question_id"], "left").select("session_id", "stem", "name", "error_count")
+    return _advice_context(v, v.attempt.where("session_id % 50 = 1"))
+
+
+@query("p35_advice_context_whole")
+def _(v):
+    return _advice_context(v, v.attempt)
 
 
 @query("p36_mistake_book", "SELECT m.student_id, m.question_id, kp.name, epoch_us(m.last_at) AS last_us, substr(q.stem, 1, 57) AS preview FROM mistake m JOIN question q USING (question_id) JOIN kp ON kp.kp_id = q.primary_kp JOIN unlocked u ON u.student_id = m.student_id AND u.kp_id = kp.kp_id WHERE m.status = 'open'")
@@ -345,7 +378,12 @@ def _(v):
 
 @query("p43_analysis_entry", "SELECT upload_id, count(*) AS materials FROM upload, (SELECT unnest([0, 1]) AS i) WHERE upload_id % 10 = 0 GROUP BY upload_id")
 def _(v):
-    return _ingested(v).groupBy("upload_id").agg(F.count(F.lit(1)).alias("materials"))
+    return _ingested(v.upload.where("upload_id % 10 = 0")).groupBy("upload_id").agg(F.count(F.lit(1)).alias("materials"))
+
+
+@query("p43_analysis_entry_whole")
+def _(v):
+    return _ingested(v.upload).groupBy("upload_id").agg(F.count(F.lit(1)).alias("materials"))
 
 
 @query("p44_question_entry", "SELECT staging_id FROM staging WHERE entity_kind = 'question' AND staging_id % 9 > 0")

@@ -51,10 +51,19 @@ def _(v):
     return v.material.join(F.broadcast(point), "kp_id", "left").select("material_id", "point.name", "point.chapter_no")
 
 
+def _session_materials(v, materials):
+    points = v.graded.select("session_id", F.explode("kp_ids").alias("kp_id")).distinct()
+    return points.join(materials, "kp_id").select("session_id", "material_id").distinct()
+
+
 @query("j8_array_key_join", "SELECT DISTINCT g.session_id, m.material_id FROM (SELECT DISTINCT session_id, unnest(kp_ids) AS kp_id FROM graded) g JOIN material m USING (kp_id) WHERE m.material_id % 10 = 0")
 def _(v):
-    points = v.graded.select("session_id", F.explode("kp_ids").alias("kp_id")).distinct()
-    return points.join(v.material.where("material_id % 10 = 0"), "kp_id").select("session_id", "material_id").distinct()
+    return _session_materials(v, v.material.where("material_id % 10 = 0"))
+
+
+@query("j8_array_key_join_whole")
+def _(v):
+    return _session_materials(v, v.material)
 
 
 @query("j9_provenance", "SELECT kp.kp_id, max_by(s.payload, s.staging_id) AS payload FROM kp JOIN staging s ON s.published_id = kp.kp_id AND s.entity_kind = 'knowledge_point' GROUP BY kp.kp_id")
