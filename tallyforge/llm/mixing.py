@@ -61,9 +61,10 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, temper:
 
 
 def probabilities(cells: DataFrame, rate: float = RATE, caps: int = CAPS) -> DataFrame:
-    """cells with p = min(1, f * scale): scale brings the expected tokens to rate of all.
+    """cells with e = f * scale and p = min(1, e): scale brings the expected tokens by p to rate of all.
 
-    A probability can't pass 1, so scale is raised again for what the caps cut off.
+    A probability can't pass 1, so scale is raised again for what the caps cut off;
+    p stays off the raked shares where e passes 1, e keeps them.
     """
     scale = rate
     total = F.sum("tokens").alias("t")
@@ -72,7 +73,7 @@ def probabilities(cells: DataFrame, rate: float = RATE, caps: int = CAPS) -> Dat
         if not row["e"]:
             break
         scale *= rate * row["t"] / row["e"]
-    return cells.withColumn("p", F.least(F.lit(1.0), F.col("f") * F.lit(scale)))
+    return cells.withColumn("e", F.col("f") * F.lit(scale)).withColumn("p", F.least(F.lit(1.0), F.col("e")))
 
 
 def uniform(key: Column, seed: str = SEED) -> Column:
@@ -81,21 +82,28 @@ def uniform(key: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rate: float = RATE, seed: str = SEED, temper: float = TEMPER, keep: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rate: float = RATE, seed: str = SEED, temper: float = TEMPER, keep: tuple[str, ...] = (), copies: bool = False) -> DataFrame:
     """(doc_id, source, lang, topic, n_tokens, weight, p, sampled) of every document, and the columns in keep as _0, _1, ...
 
     Documents are pre-aggregated to cells before any shuffle, so a source with a
     third of all rows is one row of each task's output. Rows with one doc_id are
     sampled together. Documents without words weigh nothing and keep their cell's
     probability; a cell without any words has weight 0 and is not sampled.
+
+    With copies, a column copies says how often a document stands in the sample:
+    the whole part of e, and once more by the digest for the rest. The copies'
+    tokens have the raked shares; copies > 0 is sampled, so rate is the share of
+    the input's tokens that occur at all.
     """
     own = describe(docs, keep)
     cells = describe(docs).groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens"))
     fitted = probabilities(rake(materialize(cells), targets, temper), rate)
-    named = fitted.select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], "f", "p")
+    named = fitted.select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], "f", "e", "p")
     rounded = lambda c: F.floor(F.col(c) * 1e6 + 0.5) / 1e6
     joined = own.join(named, [own[d] == named[f"_{d}"] for d in DIMENSIONS])
-    return joined.select("doc_id", *DIMENSIONS, "n_tokens", rounded("f").alias("weight"), rounded("p").alias("p"), (uniform(F.col("doc_id"), seed) < F.col("p")).alias("sampled"), *[f"_{k}" for k in range(len(keep))])
+    draw = uniform(F.col("doc_id"), seed)
+    times = [(F.floor("e") + (draw < F.col("e") - F.floor("e")).cast("long")).alias("copies")] if copies else []
+    return joined.select("doc_id", *DIMENSIONS, "n_tokens", rounded("f").alias("weight"), rounded("p").alias("p"), (draw < F.col("p")).alias("sampled"), *times, *[f"_{k}" for k in range(len(keep))])
 
 
 def _oracle() -> str:

@@ -375,3 +375,13 @@ def test_mixing_meets_targets(spark, docs, none):
     assert mixing.mix(docs).count() == docs.count() and mixing.mix(none).count() == 0
     plan = mixing.mix(big)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_copies_meet_targets(spark):
+    r = random.Random(8)
+    big = spark.createDataFrame([(i, "w " * r.randint(1, 60), r.choice(["en"] * 9 + ["de"]), r.choice(["a"] * 6 + ["b"]), 1, 1, "x", "y") for i in range(4000)], DOCS)
+    target = spark.createDataFrame([("a", 0.4), ("b", 0.6)], "source string, share double")
+    got = mixing.mix(big, {"source": target}, copies=True).toPandas()
+    share = lambda times: (got.n_tokens * times).groupby(got.source).sum()["b"] / (got.n_tokens * times).sum()
+    assert abs(share(got.copies) - 0.6) < 0.02 and share(got.sampled) < 0.3
+    assert ((got.copies > 0) == got.sampled).all() and got.copies.max() > 1
