@@ -68,6 +68,51 @@ def _(v):
     return core.top_k(book, ["student_id"], [F.col("error_count").desc(), "question_id"], 3).select("student_id", "question_id")
 
 
+def planner_bank(v, most=500):
+    """(student_id, kp_id, question_id, kp_ids): the first questions of each learner's unlocked points, by point and age.
+
+    A point's questions are ranked once; a learner's points add up to where each of them begins.
+    """
+    asked = v.question.where(F.col("question_type").isin("choice", "fill_in")).select(F.col("primary_kp").alias("kp_id"), "kp_ids", "created_at", "question_id")
+    ranked = core.top_k(asked.withColumn("n", F.row_number().over(Window.partitionBy("kp_id").orderBy("created_at", "question_id"))), ["kp_id"], ["n"], most)
+    before = Window.partitionBy("student_id").orderBy("kp_id").rowsBetween(Window.unboundedPreceding, -1)
+    counts = asked.groupBy("kp_id").agg(F.count(F.lit(1)).alias("all"))
+    starts = v.unlocked.join(F.broadcast(counts), "kp_id").withColumn("start", F.coalesce(F.sum("all").over(before), F.lit(0))).where(F.col("start") < most)
+    return starts.join(ranked, "kp_id").where(F.col("start") + F.col("n") <= most).select("student_id", "kp_id", "question_id", "kp_ids")
+
+
+def within(bank, points):
+    """The bank's questions whose points are all among the learner's points (student_id, kp_id)."""
+    sets = points.groupBy("student_id").agg(F.collect_set(F.col("kp_id").cast("int")).alias("allowed"))
+    return bank.join(sets, "student_id").where(F.size(F.array_except("kp_ids", "allowed")) == 0).drop("allowed")
+
+
+@query("p4_planner_input_whole")
+def _(v):
+    """(student_id, scan, kp_id, question_id, value) of the planner's six scans, on answerable points only."""
+    broad = within(planner_bank(v), v.unlocked)
+    narrow = broad.select("student_id", "kp_id").distinct()
+    bank = within(broad, narrow)
+    scan = lambda df, name, question, value: df.select("student_id", F.lit(name).alias("scan"), F.col("kp_id").cast("int").alias("kp_id"), question.cast("long").alias("question_id"), value.cast("string").alias("value"))
+    none = F.lit(None)
+    asked = v.question.select("question_id", F.col("primary_kp").alias("kp_id"))
+    book = learning.mistakes(v.attempt).where("status = 'open'").join(asked, "question_id").join(v.unlocked, ["student_id", "kp_id"], "left_semi")
+    book = core.top_k(book, ["student_id"], [F.col("error_count").desc(), "created_at", "question_id"], 100)
+    due = core.top_k(learning.reviews(v.graded).where(F.col("next_review_at") <= v.now).join(v.unlocked, ["student_id", "kp_id"], "left_semi"), ["student_id"], ["next_review_at", "kp_id"], 100)
+    mode = F.when(F.col("student_id") % 3 == 0, "custom").otherwise("auto")
+    points = v.unlocked.join(v.student, "student_id").join(F.broadcast(v.kp.select("kp_id", F.col("subject_id").alias("own"), "chapter_no")), "kp_id").where("own = subject_id")
+    inside = lambda df: df.join(narrow, ["student_id", "kp_id"], "left_semi")
+    parts = [
+        scan(v.student.withColumn("kp_id", none), "preference", none, mode),
+        scan(inside(points), "point", none, F.col("chapter_no")),
+        scan(bank, "bank", F.col("question_id"), none),
+        scan(inside(learning.mastery(v.graded)), "mastery", none, F.round(F.col("mastery_score") * 100).cast("int")),
+        scan(inside(book), "mistake", F.col("question_id"), F.col("error_count")),
+        scan(inside(due), "due", none, F.unix_micros("next_review_at")),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 @query("p5_submission", "SELECT a.session_id, count(*) AS answers, count(*) FILTER (WHERE is_correct) AS right_answers, round(avg(m.mastery_score), 6) AS mastery FROM graded a JOIN mastery m ON m.student_id = a.student_id AND m.kp_id = a.primary_kp GROUP BY a.session_id")
 def _(v):
     scores = learning.mastery(v.graded).select("student_id", F.col("kp_id").alias("primary_kp"), "mastery_score")
@@ -214,6 +259,15 @@ def _(v):
     return core.top_k(rows, ["student_id"], [F.col("at").desc()], 5).select("student_id", "session_id", "accuracy")
 
 
+@query("p21_session_history_whole")
+def _(v):
+    answers = F.count(F.lit(1)).alias("answers")
+    right = F.count_if("is_correct").alias("right_answers")
+    rows = v.attempt.groupBy("student_id", "session_id").agg(F.min("answered_at").alias("started_at"), F.max("answered_at").alias("ended_at"), answers, right)
+    share = F.floor(F.col("right_answers") / F.col("answers") * 100 + 0.5).cast("int").alias("accuracy")
+    return core.top_k(rows, ["student_id"], [F.col("ended_at").desc(), "session_id"], 20).select("student_id", "session_id", "started_at", "ended_at", "answers", "right_answers", share)
+
+
 @query("p22_upload_history", "SELECT u.upload_id, max_by(s.review_status, s.staging_id) AS last_status, count(s.staging_id) AS staged FROM (SELECT upload_id FROM upload ORDER BY upload_id DESC LIMIT 10) u LEFT JOIN staging s USING (upload_id) GROUP BY u.upload_id")
 def _(v):
     return ingest.latest_job(v.upload, v.staging, "upload_id")
@@ -353,6 +407,22 @@ def _(v):
     return core.top_k(v.question, ["primary_kp"], [F.col("created_at").desc(), "question_id"], 20).select(F.col("primary_kp").alias("kp_id"), "question_id")
 
 
+def question_list(v, subject=None, most=500):
+    """The first questions by point, newest first, with their point and options; a subject is kept of those, not looked for beyond."""
+    rows = v.question.orderBy("primary_kp", F.col("created_at").desc(), "question_id").limit(most)
+    rows = rows.join(F.broadcast(v.kp.withColumnRenamed("kp_id", "primary_kp")), "primary_kp", "left")
+    options = F.get_json_object("payload", "$.options")
+    staged = v.staging.where("entity_kind = 'question'").select(F.col("published_id").alias("question_id"), options.alias("options"), "staging_id").where("question_id IS NOT NULL AND startswith(options, '[') AND options <> '[]'")
+    rows = rows.join(staged.groupBy("question_id").agg(F.max_by("options", "staging_id").alias("options")), "question_id", "left")
+    rows = rows if subject is None else rows.where(F.col("subject_id") == subject)
+    return rows.select(F.col("primary_kp").alias("kp_id"), "name", "subject_id", "chapter_no", "question_id", "stem", "question_type", "difficulty", "created_at", "options")
+
+
+@query("p38_question_list_whole")
+def _(v):
+    return question_list(v)
+
+
 @query("p39_point_list", "SELECT kp.kp_id, coalesce(q.n, 0) AS questions, coalesce(s.n, 0) AS students FROM kp LEFT JOIN (SELECT kp_id, count(*) AS n FROM (SELECT unnest(kp_ids) AS kp_id FROM question) GROUP BY kp_id) q USING (kp_id) LEFT JOIN (SELECT kp_id, count(*) AS n FROM unlocked GROUP BY kp_id) s USING (kp_id)")
 def _(v):
     q = v.question.select(F.explode("kp_ids").alias("kp_id")).groupBy("kp_id").agg(F.count(F.lit(1)).alias("q"))

@@ -6,8 +6,10 @@ from collections import Counter
 import pytest
 
 from tallyforge import catalog
+from tallyforge.plans import q_domain
+from tallyforge.plans.views import Views
 
-EVENTS = [(k, k % 6, dt.datetime(2024, 1, 1 + k % 4, k % 24), ("click", "purchase", "error", "view")[k % 4]) for k in range(160)]
+EVENTS = [(k, k % 6, dt.datetime(2024, 1, 1 + k // 6 % 28, k % 24), ("click", "purchase", "error", "view")[k % 4]) for k in range(400)]
 DOCS = [(k, f"text {k}", "web") for k in range(1, 61)]
 
 
@@ -17,7 +19,7 @@ def sf(spark, tmp_path_factory):
     put = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{path}/{name}.parquet")
     put("events", EVENTS, "event_id long, user_id long, ts timestamp, event_type string")
     put("documents", DOCS, "doc_id long, text string, source string")
-    put("part", [(k, k % 50, f"part {k}") for k in range(1, 25)], "p_partkey long, p_size int, p_name string")
+    put("part", [(k, k % 50, f"part {k}") for k in range(1, 900)], "p_partkey long, p_size int, p_name string")
     put("nation", [(k, f"N{k}", k % 5) for k in range(25)], "n_nationkey int, n_name string, n_regionkey int")
     return path
 
@@ -65,3 +67,52 @@ def test_materials_of_every_session(spark, sf):
     points = {(s, k) for _, _, q, _, s in attempts() if q for k in (q % 12, (q * 7 + 5) % 25)}
     want = Counter({(s, d) for s, k in points for d, *_ in DOCS if d % 25 == k})
     assert rows(spark, sf, "j8_array_key_join_whole") == want
+
+
+def test_history_of_twenty_sessions(spark, sf):
+    found = {}
+    for e, u, _, ok, s in attempts():
+        found.setdefault((u, s), []).append((EVENTS[e][2], ok))
+    want = Counter()
+    for user in range(6):
+        mine = sorted(((max(t for t, _ in x), s, x) for (u, s), x in found.items() if u == user), reverse=True)[:20]
+        want.update((user, s, min(t for t, _ in x), at, len(x), sum(ok for _, ok in x), int(100 * sum(ok for _, ok in x) / len(x) + 0.5)) for at, s, x in mine)
+    assert rows(spark, sf, "p21_session_history_whole") == want and len(want) > 100
+
+
+def test_question_list(spark, sf):
+    first = sorted(range(1, 900), key=lambda q: (q % 12, -(q % 50), q))[:500]
+    got = catalog.queries()["p38_question_list_whole"](spark, sf).collect()
+    assert Counter((r["kp_id"], r["question_id"], r["subject_id"]) for r in got) == Counter((q % 12, q, q % 12 % 5 % 2) for q in first)
+    kept = q_domain.question_list(Views(spark, sf), subject=1).collect()
+    assert Counter(r["question_id"] for r in kept) == Counter(q for q in first if q % 12 % 5 % 2 == 1)
+
+
+def test_question_list_takes_options_from_staging(spark, sf):
+    v = Views(spark, sf)
+    v.staging = spark.createDataFrame([(1, "question", 12, '{"options":[{"label":"A"}]}'), (2, "question", 12, '{"options":[{"label":"B"}]}'), (3, "question", 12, '{"options":[]}'), (4, "material", 24, '{"options":[1]}')], "staging_id long, entity_kind string, published_id long, payload string")
+    got = {r["question_id"]: r["options"] for r in q_domain.question_list(v).collect()}
+    assert got[12] == '[{"label":"B"}]' and got[24] is None
+
+
+def test_planner_input_has_six_scans(spark, sf):
+    got = catalog.queries()["p4_planner_input_whole"](spark, sf).collect()
+    of = lambda scan: Counter((r["student_id"], r["kp_id"], r["question_id"], r["value"]) for r in got if r["scan"] == scan)
+    unlocked = {(u, k) for u in range(6) for k in range(25) if (k + u) % 3}
+    bank = {(u, q % 12, q) for u in range(6) for q in sorted((q for q in range(1, 900) if (u, q % 12) in unlocked), key=lambda q: (q % 12, q % 50, q))[:500]}
+    assert max(Counter(u for u, *_ in bank).values()) == 500
+    points = lambda q: (q % 12, (q * 7 + 5) % 25)
+    bank = {x for x in bank if all((x[0], k) in unlocked for k in points(x[2]))}
+    narrow = {(u, k) for u, k, _ in bank}
+    bank = {x for x in bank if all((x[0], k) in narrow for k in points(x[2]))}
+    assert of("bank") == Counter((u, k, q, None) for u, k, q in bank) and bank
+    assert of("preference") == Counter((u, None, None, "auto" if u % 3 else "custom") for u in range(6))
+    assert {x[:2] for x in of("point")} == {(u, k) for u, k in narrow if k % 5 % 2 == u % 2}
+    log = {}
+    for _, u, q, ok, _ in sorted(attempts()):
+        log.setdefault((u, q), []).append(ok)
+    tail = lambda x: len(x) - 1 - max(k for k, ok in enumerate(x) if not ok)
+    open_ = {k: x for k, x in log.items() if not all(x) and tail(x) < 2 and k[1]}
+    assert of("mistake") == Counter((u, q % 12, q, str(x.count(False))) for (u, q), x in open_.items() if (u, q % 12) in narrow) and len(of("mistake")) > 3
+    seen = {(u, q % 12) for u, q in log if q} & narrow
+    assert {x[:2] for x in of("mastery")} == seen and {x[:2] for x in of("due")} == seen
