@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .views import VIEWS_SQL, Views
+from .views import VIEWS_SQL, Views, WholeTexts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Queries on titles or payloads, registered once more with suffix _whole over whole texts.
+TEXT_QUERIES = ("x3_keyed_dedupe", "a10_mode", "a18_merge_duplicates", "w11_sequential_ids", "s7_model_calls", "n1_json_field", "n2_candidate", "n6_staging_projection")
 
 
 def query(name: str, oracle: str | None = None, views: bool = True) -> Callable:
@@ -17,6 +19,8 @@ def query(name: str, oracle: str | None = None, views: bool = True) -> Callable:
 
     def put(f: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
         QUERIES[name] = lambda spark, sf_dir: f(Views(spark, sf_dir))
+        if name in TEXT_QUERIES:
+            QUERIES[f"{name}_whole"] = lambda spark, sf_dir: f(WholeTexts(spark, sf_dir))
         if oracle is not None:
             text = oracle.strip()
             if views:

@@ -24,6 +24,12 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def title(self):
+        return F.substring("text", 1, 20)
+
+    def name(self):
+        return F.regexp_replace(F.substring("text", 1, 12), '["\\\\\\x00-\\x1f]', " ")
+
     @cached_property
     def now(self):
         return F.lit(NOW).cast("timestamp")
@@ -86,7 +92,7 @@ class Views:
     def material(self) -> DataFrame:
         d = F.col("doc_id")
         kind = F.element_at(F.array(*map(F.lit, TYPES)), (d % 8 + 1).cast("int"))
-        return self.table("documents").select(d.alias("material_id"), (d % 25).cast("int").alias("kp_id"), kind.alias("material_type"), F.substring("text", 1, 20).alias("title"), (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(F.lit(0), (d % 1000).cast("int"))).alias("created_at"))
+        return self.table("documents").select(d.alias("material_id"), (d % 25).cast("int").alias("kp_id"), kind.alias("material_type"), self.title().alias("title"), (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(F.lit(0), (d % 1000).cast("int"))).alias("created_at"))
 
     @cached_property
     def upload(self) -> DataFrame:
@@ -97,12 +103,22 @@ class Views:
     def staging(self) -> DataFrame:
         """Parsed items of uploads: a JSON payload, its kind and review state."""
         d = F.col("doc_id")
-        payload = F.concat(F.lit('{"name":"'), F.regexp_replace(F.substring("text", 1, 12), '["\\\\\\x00-\\x1f]', " "), F.lit('","_subject_id":"'), (d % 2).cast("string"), F.lit('","page":'), (d % 9).cast("string"), F.lit(',"difficulty":'), F.when(d % 5 == 0, "null").otherwise((d % 6).cast("string")), F.lit("}"))
+        payload = F.concat(F.lit('{"name":"'), self.name(), F.lit('","_subject_id":"'), (d % 2).cast("string"), F.lit('","page":'), (d % 9).cast("string"), F.lit(',"difficulty":'), F.when(d % 5 == 0, "null").otherwise((d % 6).cast("string")), F.lit("}"))
         kind = F.element_at(F.array(*map(F.lit, ("source_document", "learning_material", "question", "knowledge_point"))), (d % 4 + 1).cast("int"))
         state = F.element_at(F.array(*map(F.lit, ("pending", "accepted", "rejected"))), (d % 3 + 1).cast("int"))
         return self.table("documents").select(d.alias("staging_id"), (d % 50).alias("upload_id"), kind.alias("entity_kind"), state.alias("review_status"), payload.alias("payload"), F.when(d % 3 == 1, d % 25).alias("published_id"))
 
 
+class WholeTexts(Views):
+    """The tables with whole texts as titles and payload names; names are escaped as JSON."""
+
+    def title(self):
+        return F.col("text")
+
+    def name(self):
+        return F.when(F.col("text").isNotNull(), F.expr("substr(to_json(struct(text)), 10, length(to_json(struct(text))) - 11)"))
+
+
 #: The same tables as DuckDB CTEs; queries put them in front of their own SQL.
 VIEWS_SQL = f"""WITH subject AS (SELECT r_regionkey AS subject_id, r_name AS name FROM region WHERE r_regionkey < 2),
 kp AS (SELECT n_nationkey AS kp_id, n_name AS name, n_regionkey % 2 AS subject_id, CASE WHEN n_nationkey % 7 <> 0 THEN (n_nationkey % 5 + 1) || '.' || (n_nationkey + 1) END AS chapter_no FROM nation),

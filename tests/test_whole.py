@@ -116,3 +116,11 @@ def test_planner_input_has_six_scans(spark, sf):
     assert of("mistake") == Counter((u, q % 12, q, str(x.count(False))) for (u, q), x in open_.items() if (u, q % 12) in narrow) and len(of("mistake")) > 3
     seen = {(u, q % 12) for u, q in log if q} & narrow
     assert {x[:2] for x in of("mastery")} == seen and {x[:2] for x in of("due")} == seen
+
+
+def test_titles_and_payloads_are_whole_texts(spark, tmp_path):
+    texts = ["the same twenty letters, then one end", "the same twenty letters, then another", "the same twenty letters, then one end", 'a "quoted" \\ line\n{"b": 1} end', None]
+    spark.createDataFrame([(k, t, "web") for k, t in enumerate(texts, 1)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert rows(spark, tmp_path, "x3_keyed_dedupe_whole") == Counter([(1,), (2,), (4,), (5,)])
+    named = {r["staging_id"]: r["name"] for r in catalog.queries()["n6_staging_projection_whole"](spark, str(tmp_path)).collect()}
+    assert named == dict(enumerate(texts, 1))
