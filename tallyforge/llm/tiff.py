@@ -214,17 +214,19 @@ def read_tiff(data: bytes) -> Iterator[np.ndarray]:
     try:
         for order, tags in _directories(data):
             yield _page(data, order, tags)
-    except (struct.error, zlib.error, KeyError, IndexError) as e:
+    except TiffError:
+        raise
+    except (struct.error, zlib.error, KeyError, IndexError, TypeError, ValueError) as e:
         raise TiffError(f"damaged file: {e}") from e
 
 
 def _page(data: bytes, order: str, tags: dict[int, tuple]) -> np.ndarray:
     one = lambda tag, other: tags.get(tag, (other,))[0]
     width, height, samples = tags[WIDTH][0], tags[HEIGHT][0], one(SAMPLES, 1)
-    kind = np.dtype(f"{order}u{one(BITS, 8) // 8}")
     unpack = _UNPACK.get(one(COMPRESSION, 1))
-    if unpack is None or one(BITS, 8) % 8:
+    if unpack is None or one(BITS, 8) not in (8, 16, 32, 64):
         raise TiffError("compression or sample size not taken")
+    kind = np.dtype(f"{order}u{one(BITS, 8) // 8}")
     planes = one(PLANAR, 1) == 2
     deep = 1 if planes else samples
     if TILE_OFFSETS in tags:
@@ -253,7 +255,8 @@ def _page(data: bytes, order: str, tags: dict[int, tuple]) -> np.ndarray:
 def tiff_pages(files: DataFrame, content: str = "content", key: str = "path") -> DataFrame:
     """One row per page: key, page, width, height, samples, bits, pixels (row by row), error.
 
-    A null or damaged file gives one row whose error is set and whose page is null.
+    A null or damaged file gives one row whose error is set and whose page is null;
+    pages in front of the damage keep their rows.
     """
     fields = "page int, width int, height int, samples int, bits int, pixels binary, error string"
     kind = files.schema[key].dataType.simpleString()
@@ -266,7 +269,7 @@ def tiff_pages(files: DataFrame, content: str = "content", key: str = "path") ->
                     for n, page in enumerate(read_tiff(data.as_py() or b"")):
                         rows.append((n, page.shape[1], page.shape[0], page.shape[2], page.dtype.itemsize * 8, page.tobytes(), None))
                 except TiffError as e:
-                    rows = [(None, None, None, None, None, None, str(e))]
+                    rows.append((None, None, None, None, None, None, str(e)))
                 kinds = [pa.int32()] * 5 + [pa.binary(), pa.string()]
                 columns = [pa.array([k.as_py()] * len(rows), batch.schema.field(0).type)] + [pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [[]] * 7, kinds)]
                 yield pa.RecordBatch.from_arrays(columns, [key, "page", "width", "height", "samples", "bits", "pixels", "error"])

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import struct
 import re
 import zlib
 
@@ -385,3 +386,16 @@ def test_copies_meet_targets(spark):
     share = lambda times: (got.n_tokens * times).groupby(got.source).sum()["b"] / (got.n_tokens * times).sum()
     assert abs(share(got.copies) - 0.6) < 0.02 and share(got.sampled) < 0.3
     assert ((got.copies > 0) == got.sampled).all() and got.copies.max() > 1
+
+
+def test_tiff_damage_leaves_good_pages(spark):
+    page = np.arange(192, dtype=np.uint8).reshape(1, -1)
+    good = tiff.write_tiff([page, page], tiff.NONE, 1)
+    pages = list(tiff._directories(good))
+    bits = bytearray(good).replace(struct.pack("<HHIHH", 258, 3, 1, 8, 0), struct.pack("<HHIHH", 258, 3, 1, 1, 0))
+    at = pages[1][1][tiff.STRIP_OFFSETS][0]
+    short = bytearray(good).replace(struct.pack("<HHII", tiff.STRIP_OFFSETS, 4, 1, at), struct.pack("<HHII", tiff.STRIP_OFFSETS, 4, 1, len(good) - 5))
+    assert bits != good and short != good
+    files = spark.createDataFrame([("bits", bits), ("short", short)], "path string, content binary")
+    rows = sorted((x["path"], x["page"] is None, x["error"] is not None) for x in tiff.tiff_pages(files).collect())
+    assert rows == [("bits", True, True), ("short", False, False), ("short", True, True)]
