@@ -1,19 +1,20 @@
 """Windows of a text that also occur elsewhere, for any corpus size.
 
 Every window of `length` units has one anchor: the last of its least `gram`-unit
-names. Neighbouring windows with one anchor are a run, so equal windows always
-lie in runs with equal anchor names, and a copied passage gives equal runs. The
-steps, each pre-aggregated or split so that a hot passage does not gather:
-
-1. Each batch keeps one row of every run it holds; the batch's other documents
-   with that run are decided on the spot.
-2. The rows of an anchor are read as a stream: runs equal as a whole are decided
-   by their documents, anchors with one run only need nothing more.
-3. Only runs that share an anchor but differ, those at a copy's ends, are
-   compared window by window: one text of each such run goes to its anchor's
-   task. Anchors of more than HOT runs send single windows instead, so a task
-   never holds more than HOT runs of one anchor.
-4. Repeats inside one document are found while its text is read for the result.
+names. Neighbouring windows with one anchor are a run, and the text of a run is
+its segment. Equal windows have equal anchors, so only segments of one anchor
+need to meet. Names (64 bits) only choose where segments meet and so may
+collide; what is equal is decided on the texts themselves.
+
+1. Each batch tells which anchors it has seen, in one row an anchor. Anchors
+   that occur once in the corpus drop out.
+2. The segments of the others go to their anchor's task as text, one copy of
+   each a batch; owners of further copies are settled in the batch. Anchors of
+   more than HOT runs send each window under a key of its own instead, so that
+   no key gathers more than HOT segments that differ.
+3. A task decides the windows of a block of segments: the shape's function does
+   that, by a difference cover (bytes) or by relative factors (words).
+4. The stretches that go come back to their documents.
 """
 
 from __future__ import annotations
@@ -23,28 +24,27 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import factors, suffixes
 from .common import materialize, ragged_take, row_chunks, text_bytes, word_spans
-from .suffixes import equal_windows
 
-HOT = 4096
-#: Units that the windows of several anchors are compared in at once.
-BATCH_UNITS = 1 << 17
-#: Stands for a null doc_id: all such rows are one document, before all others.
+#: Runs of an anchor beyond which its windows are dealt out one by one.
+HOT = 2048
+#: Bytes of segments that one block gathers before it is decided.
+BLOCK_BYTES = 1 << 19
+#: Least value that the id of a document without doc_id gets; such documents come before all others.
 NO_ID = -(1 << 63)
+_SINGLE, _HEAD, _PARKED, _HOT = 0, 1, 2, 3
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _S32, _S29 = np.uint64(32), np.uint64(29)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    return _mix(x.copy())
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
-    """mixed() in place."""
+    """Mixes the bits of x in place."""
     spare = x >> _S32
     x ^= spare
     x *= _A
@@ -101,12 +101,27 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - shift], x[shift:]) if shift and len(x) > shift else x if not shift else x[:0]
 
 
-def byte_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return data, offsets
+@dataclass
+class Units:
+    """The units of a chunk of rows: names, first unit of each row, and each unit's bytes in text.
+
+    For words, text has one space after each word, so that segments don't differ by white space alone.
+    """
+
+    name: np.ndarray
+    offsets: np.ndarray
+    text: bytes
+    starts: np.ndarray
+    ends: np.ndarray
+
+
+def byte_units(data: np.ndarray, offsets: np.ndarray) -> Units:
+    at = np.arange(len(data) + 1)
+    return Units(data, offsets, data.tobytes(), at[:-1], at[1:])
 
 
-def word_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit name of each word: a polynomial over its bytes' values, mixed with its length."""
+def word_units(data: np.ndarray, offsets: np.ndarray) -> Units:
+    """Names are polynomials over the words' bytes, mixed with their lengths."""
     starts, ends, first = word_spans(data, offsets)
     base, inverse = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
     n = len(data) + 1
@@ -114,364 +129,368 @@ def word_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     up = np.multiply.accumulate(np.concatenate([one, np.full(n - 1, base, dtype=np.uint64)]))
     down = np.multiply.accumulate(np.concatenate([one, np.full(n - 1, inverse, dtype=np.uint64)]))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * up[:-1], dtype=np.uint64)])
-    return joined(mixed((sums[ends] - sums[starts]) * down[starts]), (ends - starts).astype(np.uint64)), first
+    size = ends - starts
+    name = joined(_mix((sums[ends] - sums[starts]) * down[starts]), size.astype(np.uint64))
+    text = np.full(int(size.sum()) + len(size), 0x20, dtype=np.uint8)
+    after = np.cumsum(size + 1)
+    inside = np.ones(len(text), dtype=bool)
+    inside[after - 1] = False
+    text[inside] = data[ragged_take(starts, size)]
+    return Units(name, first, text.tobytes(), after - size - 1, after - 1)
 
 
 @dataclass(frozen=True)
 class Shape:
-    """What a window is: its length in units, the anchor's size, and how texts become units."""
+    """What a window is, how texts become units, and how a block of segments is decided.
+
+    decide(bodies, length, rank, place) gives for each window of each body
+    whether it goes; rank orders the bodies' documents, place is the unit a body
+    starts at.
+    """
 
     length: int
     gram: int
     units: Callable
     as_bytes: bool
+    decide: Callable
 
     @property
     def width(self) -> int:
         return self.length - self.gram + 1
 
 
-BYTES = Shape(100, 27, byte_units, True)
-WORDS = Shape(35, 18, word_units, False)
+BYTES = Shape(100, 27, byte_units, True, suffixes.later_windows)
+WORDS = Shape(35, 18, word_units, False, factors.repeated_windows)
 
 
 @dataclass
 class Runs:
-    """The runs of a chunk: row, first unit, number of windows, anchor name and own name; and the names of windows."""
+    """The runs of a chunk: row, first unit, number of windows and anchor name."""
 
     row: np.ndarray
     start: np.ndarray
     count: np.ndarray
     anchor: np.ndarray
-    name: np.ndarray
-    window: Callable[[np.ndarray], np.ndarray]
-    unit: np.ndarray
 
 
 def runs_of(shape: Shape, unit: np.ndarray, offsets: np.ndarray) -> Runs:
-    half = 1 << (shape.length.bit_length() - 1)
-    gram, part = names_of(unit, shape.gram, half)
-
-    def window(at: np.ndarray) -> np.ndarray:
-        return joined(part[at], part[at + shape.length - half])
-
+    (gram,) = names_of(unit, shape.gram)
     least = _least(gram, shape.width)
     per_row = np.maximum(np.diff(offsets) - shape.length + 1, 0)
     at = ragged_take(offsets[:-1], per_row)
     row = np.repeat(np.arange(len(per_row)), per_row)
     if not len(at):
-        none, names = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        return Runs(none, none, none, names, names, window, unit)
+        none = np.zeros(0, np.int64)
+        return Runs(none, none, none, np.zeros(0, np.uint64))
     anchor = least[at]
     fresh = np.ones(len(at), dtype=bool)
     # a run ends with its row, when its least name changes, or when an equal one comes in
     fresh[1:] = (np.diff(row) != 0) | (anchor[1:] != anchor[:-1]) | (gram[at[1:] + shape.width - 1] == anchor[:-1])
     first = np.flatnonzero(fresh)
-    count = np.diff(np.concatenate([first, [len(at)]]))
-    start = at[first]
-    name = joined(joined(window(start), window(start + count - 1)), count.astype(np.uint64))
-    return Runs(row[first], start, count, anchor[first], name, window, unit)
+    return Runs(row[first], at[first], np.diff(np.concatenate([first, [len(at)]])), anchor[first])
 
 
-def _chunks(shape: Shape, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, last row, bytes, byte offsets, units, unit offsets) of a text column's chunks."""
+def _chunks(shape: Shape, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, Units]]:
+    """(first row, last row, bytes, byte offsets, units) of a text column's chunks."""
     data, offsets = text_bytes(column)
     for a, b in row_chunks(offsets):
         part, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-        yield a, b, part, own, *shape.units(part, own)
+        yield a, b, part, own, shape.units(part, own)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _all_runs(docs: DataFrame, shape: Shape) -> DataFrame:
-    """(a, r, d, c): each batch's distinct runs, with the least d that has them.
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    """Whether a row differs from the one before it."""
+    fresh = np.ones(len(columns[0]), dtype=bool)
+    fresh[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return fresh
+
 
-    c is 1 where other documents of the batch have the run as well. Those are
-    decided here already and go along as rows of c 2 under keys of their own, so
-    a passage of many documents is one row of a batch for its anchor's task.
+def _seen(docs: DataFrame, shape: Shape) -> DataFrame:
+    """(a, d, n, kind): an anchor that a batch holds once is a row with its document.
+
+    One it holds more often is a row of kind _HEAD with the number of its runs,
+    and rows of kind _PARKED for its documents, which need not meet the head.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             parts = []
-            for a, _, _, _, unit, offsets in _chunks(shape, batch.column(1)):
-                runs = runs_of(shape, unit, offsets)
-                parts.append((runs.anchor, runs.name, ids[a + runs.row]))
+            for a, _, _, _, units in _chunks(shape, batch.column(1)):
+                runs = runs_of(shape, units.name, units.offsets)
+                parts.append((runs.anchor, ids[a + runs.row]))
             if not parts:
                 continue
-            anchor, name, d = (np.concatenate(x) for x in zip(*parts))
-            order = np.lexsort((d, joined(anchor, name)))
-            anchor, name, d = anchor[order], name[order], d[order]
-            fresh = np.ones(len(d), dtype=bool)
-            fresh[1:] = (anchor[1:] != anchor[:-1]) | (name[1:] != name[:-1])
-            new = fresh.copy()
-            new[1:] |= d[1:] != d[:-1]
-            anchor, name, d, fresh = anchor[new], name[new], d[new], fresh[new]
-            heads = np.flatnonzero(fresh)
-            mark = np.where(fresh, 0, 2).astype(np.int8)
-            mark[heads[np.diff(np.concatenate([heads, [len(d)]])) > 1]] = 1
-            anchor = np.where(fresh, anchor, joined(name, d.view(np.uint64)))
-            yield pa.RecordBatch.from_arrays([_signed(anchor), _signed(name), pa.array(d), pa.array(mark)], ["a", "r", "d", "c"])
-
-    return docs.mapInArrow(run, "a long, r long, d long, c tinyint")
-
-
-def _decide(a: np.ndarray, r: np.ndarray, d: np.ndarray, c: np.ndarray, first_stays: bool, hot: int, goes_on: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """d, r and kind of rows sorted by a, r, d; goes_on: the first anchor is known to be hot and to differ."""
-    none = np.zeros(0, np.int64)
-    if not len(a):
-        return none, none, none
-    new_a = np.concatenate([[True], a[1:] != a[:-1]])
-    new_r = new_a | np.concatenate([[True], r[1:] != r[:-1]])
-    run, group = np.cumsum(new_r) - 1, np.cumsum(new_a) - 1
-    heads = np.flatnonzero(new_r)
-    tails = np.concatenate([heads[1:], [len(a)]]) - 1
-    differ = np.bincount(group[heads]) > 1
-    many = np.bincount(group) > hot
-    differ[0] |= goes_on
-    many[0] |= goes_on
-    if first_stays:
-        gone = d > d[heads][run]
-    else:
-        gone = ((d[tails] > d[heads]) | (np.maximum.reduceat(c, heads) > 0))[run]
-    asked = new_r & differ[group]
-    kind = np.where(many[group[asked]], 2, 1)
-    return np.concatenate([d[gone], d[asked]]), np.concatenate([r[gone], r[asked]]), np.concatenate([np.zeros(int(gone.sum()), np.int64), kind])
-
-
-def _decided(docs: DataFrame, shape: Shape, first_stays: bool, hot: int) -> DataFrame:
-    """(d, r, kind): runs that go as a whole (0), runs to compare by text (1) or window by window (2).
-
-    Reads each anchor's rows as a stream and holds at most hot of them, or those
-    of one run (no more than there are batches).
+            anchor, d = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((d, anchor))
+            anchor, d = anchor[order], d[order]
+            first = np.flatnonzero(_heads(anchor))
+            n = np.diff(np.concatenate([first, [len(anchor)]]))
+            many = np.repeat(n > 1, n)
+            kind = np.where(many, _PARKED, _SINGLE).astype(np.int8)
+            new = _heads(anchor, d)
+            first, n = first[n > 1], n[n > 1]
+            columns = [np.concatenate(x) for x in ((anchor[new], anchor[first]), (d[new], np.zeros(len(first), np.int64)), (np.ones(int(new.sum()), np.int64), n), (kind[new], np.full(len(first), _HEAD, np.int8)))]
+            yield pa.RecordBatch.from_arrays([_signed(columns[0]), pa.array(columns[1]), pa.array(columns[2].astype(np.int32)), pa.array(columns[3])], ["a", "d", "n", "kind"])
+
+    return docs.mapInArrow(run, "a long, d long, n int, kind tinyint")
+
+
+def _shared(docs: DataFrame, shape: Shape, hot: int) -> DataFrame:
+    """(d, a, hot): the anchors of a document that occur more than once; with hot, a row of an anchor beyond the limit.
+
+    Reads each anchor's rows as a stream and holds one of them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, goes_on = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.int8)], False
+        # the first row of the last anchor, if it is not yet known to have others
+        wait: list[tuple[int, int]] = []
+        last, total = None, 0
 
-        def out(d: np.ndarray, r: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(d), pa.array(r), pa.array(kind.astype(np.int8))], ["d", "r", "kind"])
+        def out(d: np.ndarray, a: np.ndarray, is_hot: bool) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(a, pa.int64()), pa.array(np.full(len(d), is_hot))], ["d", "a", "hot"])
 
         for batch in batches:
-            rows = [batch.column(k).to_numpy() for k in range(4)]
-            known = rows[3] == 2
-            if known.any():
-                yield out(rows[2][known], rows[1][known], np.zeros(int(known.sum())))
-                rows = [x[~known] for x in rows]
-            rows = [np.concatenate(x) for x in zip(held, rows)]
-            if not len(rows[0]):
+            a, d, n, kind = (batch.column(k).to_numpy() for k in range(4))
+            parked = kind == _PARKED
+            if parked.any():
+                yield out(d[parked], a[parked], False)
+                a, d, n, kind = (x[~parked] for x in (a, d, n, kind))
+            if not len(a):
                 continue
-            a, r = rows[0], rows[1]
-            cut = int(np.searchsorted(a, a[-1]))
-            if cut:
-                yield out(*_decide(*(x[:cut] for x in rows), first_stays, hot, goes_on))
-                goes_on = False
-            held = [x[cut:] for x in rows]
-            if len(held[0]) > hot:
-                last = int(np.searchsorted(held[1], held[1][-1]))
-                if last:
-                    yield out(*_decide(*(x[:last] for x in held), first_stays, hot, True))
-                    held, goes_on = [x[last:] for x in held], True
-        if len(held[0]):
-            yield out(*_decide(*held, first_stays, hot, goes_on))
-
-    return _all_runs(docs, shape).repartition("a").sortWithinPartitions("a", "r", "d").mapInArrow(run, "d long, r long, kind tinyint")
-
-
-def _asked_runs(asked: DataFrame, shape: Shape) -> DataFrame:
-    """(g, r, d, o, body) of (d, text, rs, kinds, ...): a run's text under its anchor, or its windows one by one."""
+            fresh = _heads(a)
+            fresh[0] = a[0] != last
+            if wait and not fresh[0]:
+                yield out([wait[0][0]], [wait[0][1]], False)
+            if fresh[0] and total > hot:
+                yield out([0], [last], True)
+            wait = []
+            more = np.zeros(len(a), dtype=bool)
+            more[:-1] = ~fresh[1:]
+            is_head = kind == _HEAD
+            given = (~fresh | more) & ~is_head
+            yield out(d[given], a[given], False)
+            if fresh[-1] and not is_head[-1]:
+                wait = [(int(d[-1]), int(a[-1]))]
+            first = np.flatnonzero(_heads(a))
+            sums = np.add.reduceat(n.astype(np.int64), first)
+            if not fresh[0]:
+                sums[0] += total
+            many = sums[:-1] > hot
+            yield out(np.zeros(int(many.sum()), np.int64), a[first[:-1][many]], True)
+            last, total = int(a[-1]), int(sums[-1])
+        if total > hot:
+            yield out([0], [last], True)
+
+    spread = F.when(F.col("kind") == _PARKED, F.xxhash64("a", "d")).otherwise(F.col("a"))
+    return _seen(docs, shape).repartition(spread).sortWithinPartitions("a").mapInArrow(run, "d long, a long, hot boolean")
+
+
+def _segments(asked: DataFrame, shape: Shape) -> DataFrame:
+    """(g, body, d, q, s, n, many) of (d, q, text, anchors): a segment's text under its key, once a batch.
+
+    d, q and s are its first owner in the batch and the unit where it starts
+    there, n its windows; many tells of other owners, which follow as rows
+    without a body.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, rs, ks = (batch.column(batch.schema.get_field_index(c)) for c in ("d", "text", "rs", "kinds"))
-            ids = ids.to_numpy()
-            sizes = np.concatenate([[0], np.cumsum(rs.value_lengths().to_numpy(zero_copy_only=False))])
-            names = rs.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            kinds = ks.flatten().to_numpy(zero_copy_only=False)
-            for a, b, data, _, unit, offsets in _chunks(shape, texts):
-                runs = runs_of(shape, unit, offsets)
+            ids, qs, texts, lists = (batch.column(batch.schema.get_field_index(c)) for c in ("d", "q", "text", "anchors"))
+            ids, qs = ids.to_numpy(), qs.to_numpy()
+            sizes = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+            flat = lists.flatten()
+            names = flat.field(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            is_hot = flat.field(1).to_numpy(zero_copy_only=False)
+            parts: list[tuple] = []
+            bodies: list[bytes] = []
+            for a, b, _, _, units in _chunks(shape, texts):
+                runs = runs_of(shape, units.name, units.offsets)
                 span = slice(sizes[a], sizes[b])
                 owner = np.repeat(np.arange(b - a), np.diff(sizes[a : b + 1])).astype(np.uint64)
                 wanted = joined(names[span], owner)
-                order = np.argsort(wanted)
-                key, own = np.unique(joined(runs.name, runs.row.astype(np.uint64)), return_index=True)
-                if not len(wanted) or not len(key):
+                if not len(wanted) or not len(runs.row):
                     continue
+                order = np.argsort(wanted)
+                key = joined(runs.anchor, runs.row.astype(np.uint64))
                 at = np.minimum(np.searchsorted(wanted[order], key), len(wanted) - 1)
                 hit = wanted[order][at] == key
-                own, kind = own[hit], kinds[span][order][at[hit]]
-                text = own[kind == 1]
-                body = [data[s : s + n].tobytes() if shape.as_bytes else unit[s : s + n].tobytes() for s, n in zip(runs.start[text].tolist(), (runs.count[text] + shape.length - 1).tolist())]
-                single = own[kind == 2]
-                n = runs.count[single]
-                window = ragged_take(runs.start[single], n)
-                group = np.concatenate([runs.anchor[text], joined(np.repeat(runs.anchor[single], n), runs.window(window))])
-                place = np.concatenate([np.full(len(text), -1), ragged_take(np.zeros(len(n), np.int64), n)]).astype(np.int32)
-                rows = np.concatenate([text, np.repeat(single, n)])
-                bodies = pa.array(body + [None] * len(window), pa.binary())
-                yield pa.RecordBatch.from_arrays([_signed(group), _signed(runs.name[rows]), pa.array(ids[a + runs.row[rows]]), pa.array(place), bodies], ["g", "r", "d", "o", "body"])
-
-    return asked.mapInArrow(run, "g long, r long, d long, o int, body binary")
-
-
-def _spans(flags: np.ndarray, ends: np.ndarray) -> Iterator[list[int]]:
-    """For each stretch of flags up to an end, its runs of true values as start, stop, start, stop."""
-    at = 0
-    for end in ends.tolist():
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], flags[at:end].view(np.int8), [0]])))
-        yield edge.tolist()
-        at = end
-
-
-def _compare_texts(shape: Shape, names: list[int], ids: list[int], bodies: list[bytes], first_stays: bool) -> pa.RecordBatch:
-    kind = np.uint8 if shape.as_bytes else np.uint64
-    parts = [np.frombuffer(b, dtype=kind) for b in bodies]
-    size = np.array([len(p) for p in parts])
-    flat = np.concatenate(parts)
-    values = flat.astype(np.int64) if shape.as_bytes else np.unique(flat, return_inverse=True)[1]
-    # a 1 after each run; units start at 2
-    spread = size + 1
-    at = np.cumsum(spread) - spread
-    t = np.ones(int(spread.sum()), dtype=np.int64)
-    t[ragged_take(at, size)] = values + 2
-    count = size - shape.length + 1
-    group = equal_windows(t, ragged_take(at, count), shape.length)
-    owner = np.repeat(np.array(ids), count)
-    if first_stays:
-        least = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, group, owner)
-        gone = owner > least[group]
-    else:
-        gone = np.bincount(group)[group] > 1
-    spans = list(_spans(gone, np.cumsum(count)))
-    keep = [k for k, s in enumerate(spans) if s]
-    return pa.RecordBatch.from_arrays([pa.array([ids[k] for k in keep], pa.int64()), pa.array([names[k] for k in keep], pa.int64()), pa.array([spans[k] for k in keep], pa.list_(pa.int32()))], ["d", "r", "spans"])
-
-
-def _compared(rows: DataFrame, shape: Shape, first_stays: bool) -> DataFrame:
-    """(d, r, spans) of rows sorted by (g, d): the windows of each run that go."""
+                hot = hit & is_hot[span][order][at]
+                whole = np.flatnonzero(hit & ~hot)
+                row, first, count, group = runs.row[whole], runs.start[whole], runs.count[whole], runs.anchor[whole]
+                single = np.flatnonzero(hot)
+                if len(single):
+                    half = 1 << (shape.length.bit_length() - 1)
+                    (part,) = names_of(units.name, half)
+                    n = runs.count[single]
+                    window = ragged_take(runs.start[single], n)
+                    own = joined(joined(part[window], part[window + shape.length - half]), np.repeat(runs.anchor[single], n))
+                    row, first, count, group = (np.concatenate(x) for x in ((row, np.repeat(runs.row[single], n)), (first, window), (count, np.ones(len(window), np.int64)), (group, own)))
+                text = units.text
+                lo, hi = units.starts[first], units.ends[first + count + shape.length - 2]
+                bodies += [text[x:y] for x, y in zip(lo.tolist(), hi.tolist())]
+                parts.append((group, ids[a + row], qs[a + row], first - units.offsets[row], count))
+            if not parts:
+                continue
+            g, d, q, s, n = (np.concatenate(x) for x in zip(*parts))
+            coded = pa.array(bodies, pa.large_binary()).dictionary_encode()
+            code = coded.indices.to_numpy()
+            order = np.lexsort((s, q, d, code))
+            first = _heads(code[order])
+            differ = _heads(d[order], q[order], s[order]) | first
+            order, first = order[differ], first[differ]
+            heads = np.flatnonzero(first)
+            many = np.zeros(len(order), dtype=bool)
+            many[heads] = np.diff(np.concatenate([heads, [len(order)]])) > 1
+            g = np.where(first, g[order], joined(g[order], d[order].view(np.uint64) + s[order].astype(np.uint64)))
+            body = coded.dictionary.take(pa.array(np.where(first, code[order], 0), mask=~first)).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([_signed(g), body, pa.array(d[order]), pa.array(q[order]), pa.array(s[order]), pa.array(n[order].astype(np.int32)), pa.array(many)], ["g", "body", "d", "q", "s", "n", "many"])
+
+    return asked.mapInArrow(run, "g long, body binary, d long, q int, s long, n int, many boolean")
+
+
+def _spans(flags: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(stretch, start, stop) of the runs of true values, within stretches of flags that end at ends."""
+    begin = np.concatenate([[0], ends])[:-1]
+    padded = np.zeros(len(flags) + len(ends) + 1, dtype=np.int8)
+    padded[np.arange(len(flags)) + np.repeat(np.arange(len(ends)), ends - begin) + 1] = flags
+    edge = np.flatnonzero(np.diff(padded))
+    start, stop = edge[::2], edge[1::2]
+    base = begin + np.arange(len(ends))
+    owner = np.searchsorted(base, start, side="right") - 1
+    return owner, start - base[owner], stop - base[owner]
+
+
+def _gone(d: np.ndarray, q: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(d), pa.array(q), pa.array(lo), pa.array(hi)], ["d", "q", "lo", "hi"])
+
+
+def _decided(segments: DataFrame, shape: Shape, first_stays: bool) -> DataFrame:
+    """(d, q, lo, hi) of rows sorted by g: windows lo to hi of a document go.
+
+    Holds the distinct segments of the keys of one block; a key ends before its block does.
+    """
+
+    def distinct(rows: pa.Table) -> tuple[pa.Table, pa.RecordBatch | None]:
+        """One row of each segment, that of its first owner, and what other owners lose."""
+        code = pa.concat_arrays(rows.column("body").chunks).dictionary_encode().indices.to_numpy()
+        g, d, q, s = (rows.column(c).to_numpy() for c in "gdqs")
+        order = np.lexsort((s, q, d, code, g))
+        first = _heads(g[order], code[order])
+        other = ~first & _heads(d[order], q[order], s[order])
+        if first.all():
+            return rows, None
+        heads = np.flatnonzero(first)
+        many = np.logical_or.reduceat(rows.column("many").to_numpy()[order] | other, heads)
+        kept = rows.take(pa.array(order[heads])).set_column(6, "many", pa.array(many))
+        lost = order[other]
+        return kept, _gone(d[lost], q[lost], s[lost], s[lost] + rows.column("n").to_numpy()[lost])
+
+    def decide(rows: pa.Table) -> pa.RecordBatch:
+        g, d, q, s, n = (rows.column(c).to_numpy() for c in "gdqsn")
+        # segments alone under their key repeat as a whole or not at all
+        order = np.argsort(g, kind="stable")
+        first = np.flatnonzero(_heads(g[order]))
+        size = np.diff(np.concatenate([first, [len(g)]]))
+        differ = order[np.repeat(size > 1, size)]
+        whole = np.zeros(len(g), dtype=bool) if first_stays else rows.column("many").to_numpy().copy()
+        parts = [np.flatnonzero(whole)] * 3
+        parts = [parts[0], np.zeros(len(parts[0]), np.int64), n[parts[0]].astype(np.int64)]
+        asked = differ[~whole[differ]]
+        if len(asked):
+            # rank orders documents, so that "earlier" is a comparison of numbers
+            by = np.lexsort((q[differ], d[differ]))
+            rank = np.empty(len(differ), dtype=np.int64)
+            rank[by] = np.cumsum(_heads(d[differ][by], q[differ][by]))
+            bodies = pa.concat_arrays(rows.column("body").take(pa.array(differ)).chunks)
+            flags = shape.decide(bodies, shape.length, rank, s[differ])
+            owner, lo, hi = _spans(flags, np.cumsum(n[differ].astype(np.int64)))
+            stay = ~whole[differ[owner]]
+            parts = [np.concatenate(x) for x in zip(parts, (differ[owner[stay]], lo[stay], hi[stay]))]
+        who, lo, hi = parts
+        return _gone(d[who], q[who], s[who] + lo, s[who] + hi)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[list, list, list] = ([], [], [])
-        units, last = 0, None
-        lone = None  # the one window of its group so far, not yet known to repeat
-        least = None
+        held: pa.Table | None = None
         for batch in batches:
-            g, r, d, o = (batch.column(k).to_numpy() for k in range(4))
-            is_text = o < 0
-            bodies = batch.column(4)
-            for k in np.flatnonzero(is_text).tolist():
-                if units >= BATCH_UNITS and g[k] != last:
-                    yield _compare_texts(shape, *held, first_stays)
-                    held, units = ([], [], []), 0
-                body = bodies[k].as_py()
-                held[0].append(int(r[k]))
-                held[1].append(int(d[k]))
-                held[2].append(body)
-                units, last = units + (len(body) if shape.as_bytes else len(body) // 8), g[k]
-            out = []
-            for k in np.flatnonzero(~is_text).tolist():
-                if least is None or g[k] != least[0]:
-                    least, lone = (g[k], d[k]), k
-                    first = (int(d[k]), int(r[k]), int(o[k]))
-                    continue
-                if first_stays:
-                    if d[k] > least[1]:
-                        out.append((int(d[k]), int(r[k]), [int(o[k]), int(o[k]) + 1]))
-                    continue
-                if lone is not None:
-                    out.append((first[0], first[1], [first[2], first[2] + 1]))
-                    lone = None
-                out.append((int(d[k]), int(r[k]), [int(o[k]), int(o[k]) + 1]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.list_(pa.int32()))], ["d", "r", "spans"])
-        if held[0]:
-            yield _compare_texts(shape, *held, first_stays)
-
-    return rows.mapInArrow(run, "d long, r long, spans array<int>")
-
-
-def _inside(runs: Runs, first_stays: bool) -> np.ndarray:
-    """Units at which a window starts that repeats inside its row (the first of them stays, if it may)."""
-    _, back, times = np.unique(joined(runs.anchor, runs.row.astype(np.uint64)), return_inverse=True, return_counts=True)
-    own = np.flatnonzero(times[back] > 1)
-    n = runs.count[own]
-    at = ragged_take(runs.start[own], n)
-    key = joined(runs.window(at), np.repeat(runs.row[own], n).astype(np.uint64))
-    _, first, back, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-    many = times[back] > 1
-    if first_stays:
-        many &= first[back] != np.arange(len(at))
-    return at[many]
-
-
-def covered(shape: Shape, unit: np.ndarray, offsets: np.ndarray, gone: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], first_stays: bool) -> np.ndarray:
-    """For each unit of a chunk, whether a window that goes covers it.
-
-    gone holds row, run name, and first and one past the last window (or -1, -1: all).
-    """
-    runs = runs_of(shape, unit, offsets)
-    change = np.zeros(len(unit) + 1, dtype=np.int64)
-    if len(runs.row):
-        single = _inside(runs, first_stays)
-        np.add.at(change, single, 1)
-        np.add.at(change, single + shape.length, -1)
-        row, name, lo, hi = gone
-        if len(row):
-            key = joined(runs.name, runs.row.astype(np.uint64))
-            order = np.argsort(key, kind="stable")
-            wanted = joined(name, row.astype(np.uint64))
-            left, right = np.searchsorted(key[order], wanted), np.searchsorted(key[order], wanted, side="right")
-            n = right - left
-            hit = order[ragged_take(left, n)]
-            lo, hi = np.repeat(lo, n), np.repeat(hi, n)
-            begin = runs.start[hit] + np.maximum(lo, 0)
-            end = runs.start[hit] + np.where(hi < 0, runs.count[hit], hi) - 1 + shape.length
-            np.add.at(change, begin, 1)
-            np.add.at(change, end, -1)
-    return np.cumsum(change[:-1]) > 0
+            rows = pa.Table.from_batches([batch])
+            settled = rows.filter(rows.column("body").is_null())
+            if len(settled):
+                d, q, s, n = (settled.column(c).to_numpy() for c in "dqsn")
+                yield _gone(d, q, s, s + n)
+                rows = rows.filter(rows.column("body").is_valid())
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            while len(rows):
+                # up to the key where a block is full
+                size = np.cumsum(pa.compute.binary_length(rows.column("body")).to_numpy().astype(np.int64))
+                g = rows.column("g").to_numpy()
+                cut = int(np.searchsorted(size, BLOCK_BYTES))
+                if cut >= len(g) or g[cut] == g[-1]:
+                    break
+                cut = int(np.flatnonzero(g[cut:] != g[cut])[0]) + cut
+                part, lost = distinct(rows.slice(0, cut))
+                if lost is not None:
+                    yield lost
+                yield decide(part)
+                rows = rows.slice(cut)
+            held = rows.combine_chunks()
+            if len(held) and held.nbytes > 2 * BLOCK_BYTES:
+                held, lost = distinct(held)
+                if lost is not None:
+                    yield lost
+        if held is not None and len(held):
+            part, lost = distinct(held)
+            if lost is not None:
+                yield lost
+            yield decide(part)
+
+    return segments.mapInArrow(run, "d long, q int, lo long, hi long")
 
 
 def with_removals(docs: DataFrame, shape: Shape, first_stays: bool, hot: int = HOT) -> DataFrame:
-    """docs (d, text, ...) with marks: the runs and windows of each document that occur elsewhere.
+    """docs (d, h, text, ...) with q and marks: the windows of each document that occur elsewhere.
 
-    marks is an array of (r, lo, hi) for covered(); it is null where there are
-    none. first_stays: only windows that start earlier in a smaller d count as
-    elsewhere, else any other document's do. Rows with one d are one document.
+    q numbers the different texts under one d. marks is an array of (q, lo, hi),
+    null where there are none. first_stays: only windows that start earlier (in
+    the order d, q, place) count as elsewhere, else all others do.
     """
-    own = docs.select("d", "text")
-    decided = materialize(_decided(own, shape, first_stays, hot))
-    # the first job's shuffle files go once its plans are collected
-    docs.sparkSession.sparkContext._jvm.System.gc()
-    asked = decided.where("kind > 0").groupBy("d").agg(F.collect_list("r").alias("rs"), F.collect_list("kind").alias("kinds"))
+    shared = materialize(_shared(docs.select("d", "text"), shape, hot))
+    beyond = materialize(shared.where("hot").select(F.col("a").alias("_a")).distinct())
+    # a few rows (one for each `hot` runs at most), joined as Spark's own size check says
+    anchors = shared.where("not hot").join(beyond, F.col("a") == F.col("_a"), "left").groupBy(F.col("d").alias("k")).agg(F.collect_list(F.struct("a", F.col("_a").isNotNull().alias("hot"))).alias("anchors"))
+    numbered = docs.withColumn("q", F.dense_rank().over(Window.partitionBy("d").orderBy("h")))
     # all columns come along, so that this shuffle of the documents is the last join's as well
-    asked = docs.join(asked.withColumnRenamed("d", "k"), F.col("d") == F.col("k")).drop("k")
-    spans = _compared(_asked_runs(asked, shape).repartition("g").sortWithinPartitions("g", "d"), shape, first_stays)
-    whole = decided.where("kind = 0").select("d", F.struct("r", F.array(F.lit(-1), F.lit(-1)).alias("spans")).alias("mark"))
-    marks = whole.unionByName(spans.select("d", F.struct("r", "spans").alias("mark"))).groupBy("d").agg(F.collect_list("mark").alias("marks"))
-    return docs.join(marks.withColumnRenamed("d", "k"), F.col("d") == F.col("k"), "left").drop("k")
-
-
-def mark_arrays(column: pa.Array, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The marks of rows a to b for covered(), with rows counted from a."""
-    part = column.slice(a, b - a)
-    lengths = part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    marks = part.flatten()
-    spans = marks.field(1)
-    n = spans.value_lengths().to_numpy(zero_copy_only=False) // 2
-    pairs = spans.flatten().to_numpy(zero_copy_only=False).reshape(-1, 2)
-    row = np.repeat(np.repeat(np.arange(b - a), lengths), n)
-    name = np.repeat(marks.field(0).to_numpy(zero_copy_only=False).view(np.uint64), n)
-    return row, name, pairs[:, 0], pairs[:, 1]
+    asked = numbered.join(anchors, F.col("d") == F.col("k")).drop("k")
+    gone = _decided(_segments(asked, shape).repartition("g").sortWithinPartitions("g"), shape, first_stays)
+    marks = gone.groupBy(F.col("d").alias("k")).agg(F.collect_list(F.struct("q", "lo", "hi")).alias("marks"))
+    return numbered.join(marks, F.col("d") == F.col("k"), "left").drop("k")
+
+
+def covered(shape: Shape, offsets: np.ndarray, marks: pa.Array, qs: np.ndarray) -> np.ndarray:
+    """For each unit of a chunk's rows, whether a window that goes covers it."""
+    lengths = marks.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    q, lo, hi = (marks.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(3))
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    own = q == qs[row]
+    row, lo, hi = row[own], lo[own], hi[own]
+    total = int(offsets[-1]) + 1
+    opens = np.bincount(offsets[row] + lo, minlength=total)
+    ends = np.bincount(offsets[row] + hi - 1 + shape.length, minlength=total)
+    return np.cumsum(opens - ends)[:-1] > 0
 
 
 def keyed(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """d (never null), doc_id and text of documents; the columns in keep follow as _0, _1, ..."""
-    doc_id = F.col("doc_id").cast("long")
-    return docs.select(F.coalesce(doc_id, F.lit(NO_ID)).alias("d"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), doc_id.alias("doc_id"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(keep)])
+    """d (never null), h (a hash of the text), doc_id and text of documents; the columns in keep follow as _0, _1, ...
+
+    Documents without an id get ids by their texts, before the ids above -(1 << 62).
+    """
+    doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    h = F.xxhash64(text)
+    return docs.select(F.coalesce(doc_id, F.lit(NO_ID) + F.shiftrightunsigned(h, 2)).alias("d"), h.alias("h"), text.alias("text"), doc_id.alias("doc_id"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(keep)])
 
 
 def removals(docs: DataFrame, shape: Shape, first_stays: bool, hot: int = HOT, text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -481,8 +500,9 @@ def removals(docs: DataFrame, shape: Shape, first_stays: bool, hot: int = HOT, t
     and with text also kept: the remaining text. Kept bytes are concatenated,
     kept words joined by one space. In kept, a character goes only with all of
     its bytes, so that it stays valid UTF-8. Null, empty and short texts lose
-    nothing. Rows that share a doc_id are one document: they don't count as
-    elsewhere for each other. Rows with a null doc_id are one document as well.
+    nothing. A document is a doc_id with a text: rows that repeat both are one
+    document and give equal rows, different texts under one doc_id are different
+    documents (ordered by a hash of the text). Documents without an id come first.
     """
     import hashlib
 
@@ -492,45 +512,35 @@ def removals(docs: DataFrame, shape: Shape, first_stays: bool, hot: int = HOT, t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, marks = batch.column(1), batch.column(2)
-            for a, b, data, offsets, unit, ends in _chunks(shape, batch.column(0)):
-                gone = covered(shape, unit, ends, mark_arrays(marks, a, b), first_stays)
+            ids, marks, qs = batch.column(1), batch.column(2), batch.column(3).to_numpy()
+            for a, b, data, offsets, units in _chunks(shape, batch.column(0)):
+                ends = units.offsets
+                gone = covered(shape, ends, marks.slice(a, b - a), qs[a:b])
                 total = np.concatenate([[0], np.cumsum(gone)])[ends]
                 opens = gone.copy()
                 opens[1:] &= ~gone[:-1]
                 inner = ends[(ends > 0) & (ends < len(gone))]
                 opens[inner] = gone[inner]
                 spans = np.concatenate([[0], np.cumsum(opens)])[ends]
-                if shape.as_bytes:
-                    stay, out = ~gone, data
-                else:
-                    # a word's bytes and the place after it, which holds a space
-                    starts, stops, _ = word_spans(data, offsets)
-                    out = np.concatenate([data, [0x20]]).astype(np.uint8)
-                    stay = np.zeros(len(out), dtype=bool)
-                    stay[ragged_take(starts[~gone], (stops - starts)[~gone])] = True
+                # a word stays with the space after it, and the last space of a row goes
+                after = 0 if shape.as_bytes else 1
+                edge = np.zeros(len(units.text) + 1, dtype=np.int8)
+                np.add.at(edge, units.starts[~gone], 1)
+                np.add.at(edge, units.ends[~gone] + after, -1)
+                stay, out = np.cumsum(edge[:-1]) > 0, np.frombuffer(units.text, np.uint8)
+                bounds = np.concatenate([units.starts, [len(units.text)]])[ends]
                 digests, kept = [], []
                 for row in range(b - a):
-                    x, y = offsets[row], offsets[row + 1]
-                    if shape.as_bytes:
-                        body = out[x:y] if total[row] == total[row + 1] else out[x:y][stay[x:y]]
-                        left = body.tobytes()
-                    else:
-                        words = np.flatnonzero(~gone[ends[row] : ends[row + 1]]) + ends[row]
-                        last = stops[words] if len(words) else words
-                        mask = stay[x : y + 1].copy()
-                        mask[-1] = False
-                        mask[last - x] = True
-                        piece = out[x : y + 1].copy()
-                        piece[last - x] = 0x20
-                        left = piece[mask].tobytes()[:-1] if len(words) else b""
+                    x, y = bounds[row], bounds[row + 1]
+                    left = (units.text[x:y] if total[row] == total[row + 1] else out[x:y][stay[x:y]].tobytes())
+                    left = left[: len(left) - after] if left else left
                     digests.append(hashlib.sha256(left).hexdigest())
                     if text:
-                        kept.append(_whole_characters(data[x:y], gone[x:y]) if shape.as_bytes else left.decode())
-                columns = [ids.slice(a, b - a), *(c.slice(a, b - a) for c in batch.columns[3:]), pa.array(np.diff(ends)), pa.array(np.diff(total)), pa.array(np.diff(spans)), pa.array(digests, pa.string())]
+                        kept.append(_whole_characters(data[offsets[row] : offsets[row + 1]], gone[x:y]) if shape.as_bytes else left.decode())
+                columns = [ids.slice(a, b - a), *(c.slice(a, b - a) for c in batch.columns[4:]), pa.array(np.diff(ends)), pa.array(np.diff(total)), pa.array(np.diff(spans)), pa.array(digests, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns + ([pa.array(kept, pa.string())] if text else []), names)
 
-    return with_removals(keyed(docs, keep), shape, first_stays, hot).select("text", "doc_id", "marks", *[f"_{k}" for k in range(len(keep))]).mapInArrow(run, kind)
+    return with_removals(keyed(docs, keep), shape, first_stays, hot).select("text", "doc_id", "marks", "q", *[f"_{k}" for k in range(len(keep))]).mapInArrow(run, kind)
 
 
 def _whole_characters(data: np.ndarray, gone: np.ndarray) -> str:

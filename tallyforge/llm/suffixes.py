@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+
+from .common import ragged_take, text_bytes
 
 _BITS = 21
 
@@ -90,3 +93,23 @@ def equal_windows(t: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     out = np.empty(len(starts), dtype=np.int64)
     out[picked] = np.concatenate([[0], np.cumsum(~same)]) if len(at) else []
     return out
+
+
+def later_windows(bodies: pa.Array, length: int, rank: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Whether an equal window starts earlier in the block, for each window of each body.
+
+    Earlier means in a body of lower rank, or of equal rank at a lower place;
+    place is where a body starts.
+    """
+    data, offsets = text_bytes(bodies.cast(pa.large_binary()).view(pa.large_string()))
+    size = np.diff(offsets)
+    # a 1 after each body; bytes start at 2
+    at = offsets[:-1] + np.arange(len(size))
+    t = np.ones(len(data) + len(size), dtype=np.int64)
+    t[ragged_take(at, size)] = data.astype(np.int64) + 2
+    count = np.maximum(size - length + 1, 0)
+    group = equal_windows(t, ragged_take(at, count), length)
+    own = np.repeat(rank, count) << 40 | ragged_take(place, count)
+    least = np.full(int(group.max(initial=0)) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, group, own)
+    return own > least[group]
