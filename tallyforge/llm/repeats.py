@@ -105,19 +105,23 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
 class Units:
     """The units of a chunk of rows: names, first unit of each row, and each unit's bytes in text.
 
-    For words, text has one space after each word, so that segments don't differ by white space alone.
+    For words, text has one space after each word, so that segments don't differ
+    by white space alone; a byte is where it is, without starts and ends.
     """
 
     name: np.ndarray
     offsets: np.ndarray
     text: bytes
-    starts: np.ndarray
-    ends: np.ndarray
+    starts: np.ndarray | None = None
+    ends: np.ndarray | None = None
+
+    def stretch(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of text from each first unit to the unit before last."""
+        return (first, last) if self.starts is None else (self.starts[first], self.ends[last - 1])
 
 
 def byte_units(data: np.ndarray, offsets: np.ndarray) -> Units:
-    at = np.arange(len(data) + 1)
-    return Units(data, offsets, data.tobytes(), at[:-1], at[1:])
+    return Units(data, offsets, data.tobytes())
 
 
 def word_units(data: np.ndarray, offsets: np.ndarray) -> Units:
@@ -331,7 +335,7 @@ def _segments(asked: DataFrame, shape: Shape) -> DataFrame:
                     own = joined(joined(part[window], part[window + shape.length - half]), np.repeat(runs.anchor[single], n))
                     row, first, count, group = (np.concatenate(x) for x in ((row, np.repeat(runs.row[single], n)), (first, window), (count, np.ones(len(window), np.int64)), (group, own)))
                 text = units.text
-                lo, hi = units.starts[first], units.ends[first + count + shape.length - 2]
+                lo, hi = units.stretch(first, first + count + shape.length - 1)
                 bodies += [text[x:y] for x, y in zip(lo.tolist(), hi.tolist())]
                 parts.append((group, ids[a + row], qs[a + row], first - units.offsets[row], count))
             if not parts:
@@ -348,7 +352,10 @@ def _segments(asked: DataFrame, shape: Shape) -> DataFrame:
             many[heads] = np.diff(np.concatenate([heads, [len(order)]])) > 1
             g = np.where(first, g[order], joined(g[order], d[order].view(np.uint64) + s[order].astype(np.uint64)))
             body = coded.dictionary.take(pa.array(np.where(first, code[order], 0), mask=~first)).cast(pa.binary())
+            bodies, coded, parts = [], None, []
             yield pa.RecordBatch.from_arrays([_signed(g), body, pa.array(d[order]), pa.array(q[order]), pa.array(s[order]), pa.array(n[order].astype(np.int32)), pa.array(many)], ["g", "body", "d", "q", "s", "n", "many"])
+            del body
+            pa.default_memory_pool().release_unused()
 
     return asked.mapInArrow(run, "g long, body binary, d long, q int, s long, n int, many boolean")
 
@@ -522,13 +529,13 @@ def removals(docs: DataFrame, shape: Shape, first_stays: bool, hot: int = HOT, t
                 inner = ends[(ends > 0) & (ends < len(gone))]
                 opens[inner] = gone[inner]
                 spans = np.concatenate([[0], np.cumsum(opens)])[ends]
-                # a word stays with the space after it, and the last space of a row goes
-                after = 0 if shape.as_bytes else 1
-                edge = np.zeros(len(units.text) + 1, dtype=np.int8)
-                np.add.at(edge, units.starts[~gone], 1)
-                np.add.at(edge, units.ends[~gone] + after, -1)
-                stay, out = np.cumsum(edge[:-1]) > 0, np.frombuffer(units.text, np.uint8)
-                bounds = np.concatenate([units.starts, [len(units.text)]])[ends]
+                out = np.frombuffer(units.text, np.uint8)
+                if shape.as_bytes:
+                    after, stay, bounds = 0, ~gone, ends
+                else:
+                    # a word stays with the space after it, and the last space of a row goes
+                    after, stay = 1, np.repeat(~gone, units.ends - units.starts + 1)
+                    bounds = np.concatenate([units.starts, [len(units.text)]])[ends]
                 digests, kept = [], []
                 for row in range(b - a):
                     x, y = bounds[row], bounds[row + 1]
@@ -539,6 +546,7 @@ def removals(docs: DataFrame, shape: Shape, first_stays: bool, hot: int = HOT, t
                         kept.append(_whole_characters(data[offsets[row] : offsets[row + 1]], gone[x:y]) if shape.as_bytes else left.decode())
                 columns = [ids.slice(a, b - a), *(c.slice(a, b - a) for c in batch.columns[4:]), pa.array(np.diff(ends)), pa.array(np.diff(total)), pa.array(np.diff(spans)), pa.array(digests, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns + ([pa.array(kept, pa.string())] if text else []), names)
+            pa.default_memory_pool().release_unused()
 
     return with_removals(keyed(docs, keep), shape, first_stays, hot).select("text", "doc_id", "marks", "q", *[f"_{k}" for k in range(len(keep))]).mapInArrow(run, kind)
 
