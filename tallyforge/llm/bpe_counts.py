@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-import unicodedata
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,8 +12,12 @@ import regex
 from pyspark.sql import DataFrame
 
 from .common import doc_columns, split_words, text_slices
+from .orc_tokens import load_tokenizer
 
 _LOADED: dict = {}
+#: Printable ASCII, Latin letters (but for one whose lower case is more than a letter) and
+#: basic Cyrillic: characters that every version of Unicode lower-cases and classes alike.
+_COMMON = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f\u0410-\u044f]*").fullmatch
 #: Distinct pre-tokens merged in one ragged array.
 BATCH = 50_000
 
@@ -29,7 +33,9 @@ class RankMerger:
         self.special = [t["content"] for t in spec["added_tokens"]]
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"])
+        self.library = load_tokenizer(path)
         letters = _byte_letters()
+        self.back = {ord(c): b for b, c in enumerate(letters)}
         self.inner = np.array([vocab.get(c, -1) for c in letters], dtype=np.int64)
         self.final = np.array([vocab.get(c + suffix, -1) for c in letters], dtype=np.int64)
         pairs, made = [], []
@@ -79,11 +85,16 @@ class RankMerger:
             ids, row = ids[keep], row[keep]
         return out
 
-    def pretokens(self, piece: str) -> list[str]:
-        text = unicodedata.normalize("NFC", piece)
-        # lower case goes character by character: a final sigma is no special case
-        text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
-        return [m for m in self.pattern.findall(text) if m]
+    def pretokens(self, piece: str) -> list[bytes]:
+        """The pre-tokens of a part of a word without special strings.
+
+        Beyond common characters the library itself normalises and splits, since
+        what is a letter, a digit or a lower case depends on its Unicode tables.
+        """
+        if _COMMON(piece):
+            return [m.encode() for m in self.pattern.findall(piece.lower()) if m]
+        text = self.library.normalizer.normalize_str(piece)
+        return [token.translate(self.back).encode("latin-1") for token, _ in self.library.pre_tokenizer.pre_tokenize_str(text) if token]
 
     def word_counts(self, words: list[str]) -> np.ndarray:
         """Tokens of each word (no ASCII white space in it)."""
@@ -104,7 +115,7 @@ class RankMerger:
                     continue
                 for token in self.pretokens(part):
                     owner.append(i)
-                    pieces.append(token.encode())
+                    pieces.append(token)
         for at in range(0, len(pieces), BATCH):
             some = pieces[at : at + BATCH]
             lengths = np.fromiter(map(len, some), dtype=np.int64, count=len(some))
