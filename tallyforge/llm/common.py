@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_FOLDERS: list[tuple[SparkSession, str]] = []
 #: Bytes of text that one numpy step works on; bounds a task's temporary arrays.
 CHUNK_BYTES = 1 << 20
 #: Bytes of text whose words are worked on at once.
@@ -25,12 +29,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir, which executors and driver share."""
+    """A fresh folder under spark.checkpoint.dir, which executors and driver share.
+
+    Without that setting a local session, whose one machine shares its disk, gets
+    a temporary folder; on a cluster the setting must be given. Folders are
+    deleted when the Python process ends.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tallyforge-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tallyforge-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/tallyforge-{uuid.uuid4().hex}"
+    if not _FOLDERS:
+        atexit.register(_clear)
+    _FOLDERS.append((spark, path))
+    return path
+
+
+def _clear() -> None:
+    """Delete the folders of this process, where their session still runs."""
+    for spark, path in _FOLDERS:
+        try:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        except Exception:  # noqa: BLE001  a stopped session can't delete
+            continue
 
 
 def materialize(df: DataFrame) -> DataFrame:

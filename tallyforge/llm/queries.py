@@ -15,10 +15,6 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-def op1_target_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), copies=True)
-
-
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.removals(table(spark, sf_dir, "documents"), repeats.WORDS, first_stays=False)
     return found.select("doc_id", found.n_units.alias("n_words"), "n_removed", "kept_sha256", "n_spans")

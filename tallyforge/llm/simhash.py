@@ -54,8 +54,8 @@ def _fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int, seed: int
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp long) of every document: signed form of the 64-bit fingerprint.
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp long) of every document: signed form of the 64-bit fingerprint; the columns in keep follow as _0, _1, ...
 
     Null and wordless texts have fingerprint 0; fewer words than a shingle make
     one shingle of all words. Rows are kept as they come, repeats included.
@@ -67,9 +67,11 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
             parts = [np.zeros(0, np.uint64)]
             for a, b in row_chunks(offsets):
                 parts.append(_fingerprints(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shingle, seed))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(parts).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(parts).view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *names])
 
-    return doc_columns(docs).mapInArrow(run, "doc_id long, fp long")
+    names = [f"_{k}" for k in range(len(keep))]
+    kinds = [f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, keep)]
+    return doc_columns(docs, *[F.col(c).alias(n) for n, c in zip(names, keep)]).mapInArrow(run, ", ".join(["doc_id long", "fp long", *kinds]))
 
 
 def _blocks(radius: int) -> list[tuple[int, int]]:
@@ -141,15 +143,15 @@ def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE, stars: bool
     return tiles.select("b", "l", "r").mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every document.
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every document; the columns in keep follow as _0, _1, ...
 
     Documents with equal fingerprints are one class; classes at radius or fewer
     differing bits are linked, and component_id is the smallest doc_id that links
     reach. A null doc_id forms a class but is never a component_id unless alone.
     """
-    prints = materialize(fingerprints(docs, shingle, seed))
+    prints = materialize(fingerprints(docs, shingle, seed, keep))
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     found = components(links(classes.where("rep is not null"), radius, stars=True))
     named = classes.join(found, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("f"), F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, F.col("fp") == F.col("f")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(named, F.col("fp") == F.col("f")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *[f"_{k}" for k in range(len(keep))])

@@ -372,7 +372,7 @@ def test_mixing_meets_targets(spark, docs, none):
     assert np.allclose(mass / mass.sum(), [{"a": 0.2, "b": 0.5, "(none)": 0.3}[s] for s in mass.index], atol=0.01)
     got = mixing.mix(big).toPandas()
     assert len(got) == 601 and got.p.between(0, 1).all() and abs((got.p * got.n_tokens).sum() / got.n_tokens.sum() - 0.9) < 0.02
-    assert got[got.doc_id == 0].sampled.nunique() == 1
+    assert got[got.doc_id == 0].sampled.nunique() == 1 and ((got.copies > 0) == got.sampled).all()
     assert mixing.mix(docs).count() == docs.count() and mixing.mix(none).count() == 0
     plan = mixing.mix(big)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -382,12 +382,80 @@ def test_copies_meet_targets(spark):
     r = random.Random(8)
     big = spark.createDataFrame([(i, "w " * r.randint(1, 60), r.choice(["en"] * 9 + ["de"]), r.choice(["a"] * 6 + ["b"]), 1, 1, "x", "y") for i in range(4000)], DOCS)
     target = spark.createDataFrame([("a", 0.4), ("b", 0.6)], "source string, share double")
-    got = mixing.mix(big, {"source": target}, copies=True).toPandas()
+    got = mixing.mix(big, {"source": target}).toPandas()
     share = lambda times: (got.n_tokens * times).groupby(got.source).sum()["b"] / (got.n_tokens * times).sum()
     assert abs(share(got.copies) - 0.6) < 0.02 and share(got.sampled) < 0.3
     assert ((got.copies > 0) == got.sampled).all() and got.copies.max() > 1
 
 
+def test_sample_meets_targets_on_the_tables(spark):
+    got = mixing.mix(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).toPandas()
+    for dim in mixing.DIMENSIONS:
+        observed = got.n_tokens.groupby(got[dim]).sum()
+        target = (observed**mixing.TEMPER) / (observed**mixing.TEMPER).sum()
+        for times, most in ((got.weight, 0.001), (got.copies, 0.02)):
+            mass = (got.n_tokens * times).groupby(got[dim]).sum()
+            assert (mass / mass.sum() - target).abs().max() < most, dim
+    assert abs((got.n_tokens * got.p).sum() / got.n_tokens.sum() - mixing.RATE) < 1e-4
+
+
+def test_targets_that_conflict_warn_and_end(spark):
+    rows = [(i, "w " * 5, "en" if i < 30 else "de", "a" if i < 30 else "b", 1, 1, "x", "y") for i in range(40)]
+    target = spark.createDataFrame([("a", 0.9), ("b", 0.1)], "source string, share double")
+    with pytest.warns(UserWarning, match="missed"):
+        got = mixing.mix(spark.createDataFrame(rows, DOCS), {"source": target}).toPandas()
+    assert len(got) == 40 and got.p.between(0, 1).all()
+
+
+def test_token_counts_equal_the_library_on_all_characters(spark):
+    r = random.Random(12)
+    ranges = [range(1, 0x250), range(0x250, 0x3000), range(0x3000, 0xD800), range(0xE000, 0x11000), range(0x11000, 0x20000), range(0x20000, 0x110000)]
+    every = [chr(c) for c in (*range(1, 0xD800), *range(0xE000, 0x32000), *range(0xE0000, 0xE0200))]
+    pairs = ["".join(chr(r.choice(r.choice(ranges))) for _ in range(r.randint(2, 4))) for _ in range(60_000)]
+    mixed = ["".join(r.choice(["a", "1", "'", "é", "я", chr(r.choice(r.choice(ranges)))]) for _ in range(4)) for _ in range(40_000)]
+    words = [*every, *pairs, *mixed, "\u0130\u0558", "\u200d\U00018f68", "\u0441\U00018d13", "\ua7cb", "\ua7dc", "<|endoftext|>\u0130<|startoftext|>"]
+    texts = [" ".join(words[at : at + 50]) for at in range(0, len(words), 50)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {x["doc_id"]: x["n_tokens"] for x in bpe_counts.token_counts(df, word_path()).collect()}
+    want = [len(e.ids) for e in orc_tokens.load_tokenizer(word_path()).encode_batch(texts, add_special_tokens=False)]
+    assert [got[i] for i in range(len(texts))] == want
+    # op8 writes the same ids and one more
+    some = df.where("doc_id % 20 = 0")
+    stored = {x["doc_id"]: x["n_tokens"] for x in orc_tokens.token_file_report(some, word_path()).collect()}
+    assert stored == {i: n + 1 for i, n in got.items() if i % 20 == 0}
+
+
+def test_double_vectors_at_the_threshold(spark):
+    import math
+
+    near = lambda cosine: [cosine, math.sqrt(1 - cosine * cosine), 0.0]
+    rows = [(1, [2.0, 0.0, 0.0], 1), (2, near(0.93 + 1e-10), 1), (3, [1.0, 0.0, 0.0], 2), (4, near(0.93 - 1e-10), 2), (5, [1e-200, 0.0, 0.0], 3), (6, [3e200, 1e190, 0.0], 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {x["vec_id"]: (x["n_links"], x["component_id"]) for x in vectors.near_duplicate_vectors(df).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4), 5: (1, 5), 6: (1, 5)}
+
+
+def test_vectors_spread_evenly(spark):
+    """Directions all over, where cells spare nothing: a vector is copied once a tile at most."""
+    r = np.random.default_rng(3)
+    x = r.normal(size=(50_000, 16)).astype(np.float32)
+    x[1::100] = x[0::100] + r.normal(size=(500, 16)).astype(np.float32) * 0.02
+    df = spark.createDataFrame(zip(range(len(x)), x.tolist()), "rep long, vec array<float>").selectExpr("7L as label", "16 as dim", "rep", "1L as n", "vec")
+    links = vectors.vector_links(df).cache()
+    got = {y["u"]: y["m"] for y in links.groupBy("u").sum("m").withColumnRenamed("sum(m)", "m").collect()}
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = {}
+    for at in range(0, len(x), 2000):
+        near = (unit[at : at + 2000] @ unit.T >= 0.93).sum(axis=1) - 1
+        want |= {at + int(k): int(near[k]) for k in np.flatnonzero(near)}
+    assert got == want and len(want) >= 1000
+    rows = vectors._sized(df, vectors.BLOCK, None)
+    packed = vectors.materialize(vectors._tiled(rows, vectors.materialize(vectors._seeds(rows)), vectors.TILE))
+    tiles = {t for y in packed.collect() for t in range(y["tile"], y["tile"] + 2 * y["slots"], 2)}
+    copies = vectors._placed(rows, packed, 0.4, "array<float>").count()
+    assert len(tiles) <= 8 and copies <= len(x) * len(tiles)
+
+
 def test_tiff_damage_leaves_good_pages(spark):
     page = np.arange(192, dtype=np.uint8).reshape(1, -1)
     good = tiff.write_tiff([page, page], tiff.NONE, 1)

@@ -85,9 +85,9 @@ def simhash_stage(rows):
                 if (prints[x] ^ prints[y]).bit_count() <= 2:
                     least[x] = least[y] = min(least[x], least[y])
     first = {}
-    for row in sorted(rows, key=lambda x: (x[1] is not None, x[1] or "", str(x[2:]))):
-        first.setdefault(row[0], row)
-    return [row for d, row in first.items() if least[d] == d]
+    for row in sorted(rows, key=lambda x: (x[0], x[1] or "", str(x[2:]))):
+        first.setdefault(least[row[0]], row)
+    return list(first.values())
 
 
 def suffix_stage(rows):
@@ -130,11 +130,15 @@ def mixing_stage(rows):
             for c, n in tokens.items():
                 mass[c[dim]] += n * f[c]
             f = {c: f[c] * goals[dim][c[dim]] * total / mass[c[dim]] if mass[c[dim]] else 0.0 for c in f}
-    scale = corpus_pipeline.MIX_RATE
-    for _ in range(mixing.CAPS):
-        scale *= corpus_pipeline.MIX_RATE * total / sum(n * min(1.0, f[c] * scale) for c, n in tokens.items())
+    # by bisection: the documents that occur hold MIX_RATE of the tokens
+    low, high = 0.0, 1e9
+    for _ in range(200):
+        scale = (low + high) / 2
+        over = sum(n * min(1.0, f[c] * scale) for c, n in tokens.items()) > corpus_pipeline.MIX_RATE * total
+        low, high = (low, scale) if over else (scale, high)
     draw = lambda d: int(hashlib.md5(f"{mixing.SEED}:{'null' if d is None else d}".encode()).hexdigest()[:13], 16) / (1 << 52)
-    return [r for k, r in enumerate(rows) if draw(r[0]) < min(1.0, f[cell[k]] * scale)]
+    copies = lambda k, r: int(f[cell[k]] * scale) + (draw(r[0]) < f[cell[k]] * scale % 1)
+    return [r for k, r in enumerate(rows) for _ in range(copies(k, r))]
 
 
 def pieces_stage(rows):
@@ -159,7 +163,7 @@ def test_stages_and_run_equal_plain_python(spark, tables, tmp_path):
         docs = spark.read.parquet(f"{tmp_path}/{k}")
         assert order(docs.collect()) == order(brute[k](rows)), name
         sizes.append(docs.count())
-    assert sizes[0] > sizes[1] > sizes[2] and sizes[3] > sizes[4] > 0
+    assert sizes[0] > sizes[1] > sizes[2] and sizes[3] != sizes[4] > 0
     assert order(corpus_pipeline.run(spark, path).collect()) == order(docs.collect())
 
 
@@ -168,3 +172,14 @@ def test_stages_take_empty_tables(spark, tables):
     empty = spark.createDataFrame([], DOCS)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, path).count() == 0, name
+
+
+def test_near_copies_go_by_row(spark, tables):
+    path, _ = tables
+    one, two = "alpha beta gamma delta epsilon zeta", "one two three four five six seven eight"
+    rows = [(3, one), (5, one), (5, two), (None, two + " nine"), (None, one), (None, "quite another text that stands alone here"), (7, None)]
+    docs = spark.createDataFrame([(d, t, None, None, 1) for d, t in rows], DOCS)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, path).collect()
+    got = {(x["doc_id"], x["text"]) for x in kept}
+    assert {(3, one), (5, two), (None, "quite another text that stands alone here"), (7, "")} <= got
+    assert (5, one) not in got and (None, one) not in got and len(kept) == len(got)
