@@ -8,14 +8,14 @@ columns of documents. Null texts count as empty; extra columns are left out.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm import mixing, pieces, repeats, simhash, toxicity
 from tallyforge.llm.common import materialize, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: The sampled stage aims at this share of its input's words.
+#: The documents that the mixing stage samples hold this share of its input's words.
 MIX_RATE = 0.9
 
 
@@ -27,16 +27,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays: that of the smallest doc_id.
+    """One document of each SimHash group stays: that of the smallest doc_id, then of the least text.
 
-    Of rows with one doc_id the least text stays. Documents without an id go,
-    since a group can't name them.
+    Groups are of rows: a row without an id is grouped by its fingerprint as any
+    other and stays where its group has no row with an id; rows of one doc_id
+    with different texts each stay or go with their own group.
     """
-    groups = simhash.near_duplicates(docs)
-    stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias("stay")).distinct()
-    own = docs.select(*COLUMNS).join(stay, F.col("doc_id") == F.col("stay"), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first(), "lang", "source", "n_chars")
-    return own.withColumn("row", F.row_number().over(first)).where("row = 1").select(*COLUMNS)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # ids for rows without one, after all others
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 62) + (1 << 61)) + F.shiftrightunsigned(F.xxhash64(text), 4))
+    own = docs.select(key.alias("doc_id"), text.alias("text"), F.struct(F.col("doc_id").isNull().alias("is_null"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), "lang", "source", "n_chars").alias("row"))
+    groups = simhash.near_duplicates(own, keep=("row",))
+    return groups.groupBy("component_id").agg(F.min("_0").alias("row")).select(*[f"row.{c}" for c in COLUMNS])
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +48,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled by raked source, language and topic weights."""
-    found = mixing.mix(docs, rate=MIX_RATE, keep=("text", "lang", "source", "n_chars"))
-    return found.where("sampled").select("doc_id", F.col("_0").alias("text"), F.col("_1").alias("lang"), F.col("_2").alias("source"), F.col("_3").alias("n_chars"))
+    """Documents sampled by raked source, language and topic weights; a document asked for more than once is repeated."""
+    found = mixing.mix(docs, rate=MIX_RATE, keep=("text", "lang", "source", "n_chars")).where("copies > 0")
+    again = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return again.select("doc_id", F.col("_0").alias("text"), F.col("_1").alias("lang"), F.col("_2").alias("source"), F.col("_3").alias("n_chars"))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
