@@ -294,3 +294,29 @@ def normalise_output(c: Column, steps: list[str]) -> Column:
     for step in steps:
         c = rules[step](c)
     return c
+
+
+#: What asks for an action, what introduces or advertises, and kinds of question that are no action.
+ACTION = "(?<!要)求|计算|证明|选择|选出|填空|填写|回答|解答|完成|补全|写出|列出|判断|化简|解方程|作图|画出|说明理由|请说明|问[:：]|多少|哪(?:个|项|一项)|下列|正确|错误|_{2,}|____|（\\s*）|\\(\\s*\\)|\\?|？"
+INSTRUCTION = "(?i)题型\\s*[一二三四五六七八九十\\d]+|题型讲解|知识点|方法总结|考点|技巧|口诀|扫码|二维码|公众号|课程|视频|讲解|例题|广告|LOOK AT ME|看成一个整体|插空法|捆绑法"
+KINDS = "(?:选择|填空|解答|判断|材料|计算|证明)题"
+
+
+def is_question(q: Column) -> Column:
+    """Whether a parsed question is one: it has content, and asks for something if it reads like an instruction.
+
+    q is a struct of type, stem, answer_area, answer, analysis, figure_description,
+    raw_text, options (strings), sub_questions (number, stem, answer, analysis) and
+    figures (description, labels). Two options or a sub-question ask by themselves.
+    """
+    given = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
+    size = lambda c: F.greatest(F.size(c), F.lit(0))
+    options, subs, figures = q["options"], q["sub_questions"], q["figures"]
+    content = given(q["stem"]) | (size(options) > 0) | (size(subs) > 0) | given(q["answer_area"]) | given(q["answer"]) | given(q["analysis"])
+    parts = [q[c] for c in ("stem", "answer_area", "answer", "analysis", "raw_text")]
+    inner = lambda *names: F.array_join(F.transform(subs, lambda s: F.concat_ws("\n", *[s[n] for n in names])), "\n")
+    action = F.regexp_replace(F.concat_ws("\n", *parts, F.array_join(options, "\n"), inner("stem", "answer", "analysis")), KINDS, "")
+    drawn = F.array_join(F.transform(figures, lambda f: F.concat_ws("\n", f["description"], F.array_join(f["labels"], "\n"))), "\n")
+    every = F.concat_ws("\n", q["type"], *parts, q["figure_description"], F.array_join(options, "\n"), inner("number", "stem", "answer", "analysis"), drawn)
+    asks = (size(options) >= 2) | (size(subs) > 0) | action.rlike(ACTION)
+    return content & (~every.rlike(INSTRUCTION) | asks)

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .latex import show_latex
+
 
 def _text_udf(f: Callable[[str], str | None]) -> Callable[[Column], Column]:
     """A column function of f; the UDF is made on use, so that workers can import this module."""
@@ -28,16 +30,21 @@ nfkc = _text_udf(lambda x: x if x.isascii() else unicodedata.normalize("NFKC", x
 
 
 def longest_common(a: str, b: str) -> str:
-    """The longest common substring; of equal ones that which ends first in a."""
-    best, end = 0, 0
-    row = [0] * (len(b) + 1)
-    for i, x in enumerate(a, 1):
-        before = 0
-        for j, y in enumerate(b, 1):
-            row[j], before = (before + 1 if x == y else 0), row[j]
-            if row[j] > best:
-                best, end = row[j], i
-    return a[end - best : end]
+    """The longest common substring; of equal ones that which ends first in a.
+
+    Whether one of n characters exists is a question of two sets of substrings,
+    and falls with n, so the length is found by halving.
+    """
+    found, low, high = "", 1, min(len(a), len(b))
+    while low <= high:
+        n = (low + high) // 2
+        there = {b[k : k + n] for k in range(len(b) - n + 1)}
+        hit = next((a[k : k + n] for k in range(len(a) - n + 1) if a[k : k + n] in there), None)
+        if hit is None:
+            high = n - 1
+        else:
+            found, low = hit, n + 1
+    return found
 
 
 def common_substring(a: Column, b: Column) -> Column:
@@ -118,96 +125,4 @@ def redact(value: object) -> object:
 
 redact_json = _text_udf(lambda x: json.dumps(redact(json.loads(x)), separators=(",", ":"), ensure_ascii=False, sort_keys=True))
 
-#: Commands that stand for one character.
-SYMBOLS = {
-    "therefore": "∴", "because": "∵", "angle": "∠", "parallel": "∥", "perp": "⊥", "triangle": "△", "odot": "⊙", "degree": "°", "circ": "°",
-    "times": "×", "div": "÷", "ldots": "…", "dots": "…", "cdots": "⋯", "cdot": "·", "leqslant": "≤", "leq": "≤", "le": "≤", "geqslant": "≥", "geq": "≥", "ge": "≥",
-    "nRightarrow": "⇏", "Longleftrightarrow": "⇔", "Leftrightarrow": "⇔", "Longrightarrow": "⇒", "Longleftarrow": "⇐", "Leftarrow": "⇐", "Rightarrow": "⇒",
-    "Downarrow": "⇓", "Uparrow": "⇑", "Updownarrow": "⇕", "rightarrow": "→", "leftarrow": "←", "leftrightarrow": "↔", "downarrow": "↓", "uparrow": "↑", "updownarrow": "↕", "to": "→",
-    "forall": "∀", "exists": "∃", "neg": "¬", "epsilon": "ε", "varepsilon": "ε", "neq": "≠", "ne": "≠", "lt": "<", "gt": ">", "approx": "≈", "cong": "≌", "equiv": "≡", "sim": "∼",
-    "pm": "±", "mp": "∓", "mid": "|", "notin": "∉", "infty": "∞", "in": "∈", "emptyset": "∅", "varnothing": "∅",
-    "subsetneqq": "⫋", "subsetneq": "⊊", "subseteq": "⊆", "subset": "⊂", "supsetneqq": "⫌", "supsetneq": "⊋", "supseteq": "⊇", "supset": "⊃", "cup": "∪", "cap": "∩",
-    "alpha": "α", "beta": "β", "gamma": "γ", "delta": "δ", "varphi": "φ", "phi": "φ", "theta": "θ", "lambda": "λ", "mu": "μ", "omega": "ω", "Omega": "Ω", "Delta": "△", "pi": "π", "complement": "∁",
-    "qquad": " ", "quad": " ",
-}
-SUPERSCRIPTS = str.maketrans("0123456789+-/abcdefghijklmnoprstuvwxyz", "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻⁄ᵃᵇᶜᵈᵉᶠᵍʰⁱʲᵏˡᵐⁿᵒᵖʳˢᵗᵘᵛʷˣʸᶻ")
-SUBSCRIPTS = str.maketrans("0123456789aehijklmnoprstuvx", "₀₁₂₃₄₅₆₇₈₉ₐₑₕᵢⱼₖₗₘₙₒₚᵣₛₜᵤᵥₓ")
-BOARD = {"C": "ℂ", "H": "ℍ", "N": "ℕ", "P": "ℙ", "Q": "ℚ", "R": "ℝ", "Z": "ℤ"}
-_COMMAND = re.compile(r"\\(?:not\\(Rightarrow)|(" + "|".join(sorted(SYMBOLS, key=len, reverse=True)) + "))")
-_FUNCTION = re.compile(r"\\(sin|cos|tan|cot|log|lg|ln|max|min)(?=[^A-Za-z]|$)")
-_WRAPPED = re.compile(r"\\(?:operatorname|text|boldsymbol|mathbf|mathit|mathrm|rm|overline|bar)\s*\{([^{}]*)\}")
-_FRACTION = re.compile(r"\\[dt]?frac\{([^{}]+)\}\{([^{}]+)\}")
-_ROOT = re.compile(r"\\sqrt(?:\[([^\]]+)\])?(?:\{([^{}]+)\}|([A-Za-z0-9]+))")
-_POWER = re.compile(r"(?<=[A-Za-z0-9)ℕℤℚℝℂ])\^(?:\(([0-9A-Za-z+*/-]+)\)|\{([0-9A-Za-z+*/-]+)\}|([0-9A-Za-z*]))")
-_INDEX = re.compile(r"(?<=[A-Za-z])_(?:\{([0-9A-Za-z]+)\}|([0-9]+)|([A-Za-z]))")
-
-
-def _part(text: str) -> str:
-    t = text.strip()
-    return f"({t})" if re.search(r"[+-]", t[1:] if t[:1] in "+-" else t) else t
-
-
-def _root(m: re.Match) -> str:
-    index, body = m[1], m[2] or m[3]
-    sign = "√" if index is None else "∛" if index == "3" else f"{index}√" if index.isdigit() else f"{index.translate(SUPERSCRIPTS)}√"
-    return sign + body
-
-
-def _cardinals(t: str) -> str:
-    """card(x) as |x|, by matching brackets; an open one stays."""
-    out, at = "", 0
-    while (start := t.find("card(", at)) >= 0:
-        depth, end = 1, start + 5
-        while end < len(t) and depth:
-            depth += {"(": 1, ")": -1}.get(t[end], 0)
-            end += 1
-        if depth:
-            break
-        out += t[at:start] + f"|{t[start + 5 : end - 1].strip()}|"
-        at = end
-    return out + t[at:]
-
-
-def _commands(t: str) -> str:
-    t = re.sub(r"\\\\(?=[A-Za-z])", r"\\", t)
-    t = re.sub(r"\\begin\{?cases\}?", "{ ", t)
-    t = re.sub(r"\\end\{?cases\}?", " }", t)
-    t = re.sub(r"\\(?:begin|end)\{(?:aligned|array|[pbv]?matrix)\}(?:\{[^{}]*\})?", "", t)
-    t = re.sub(r"\s*\\\\\s*", "； ", t)
-    t = re.sub(r"\s*&\s*", "，", t)
-    t = re.sub(r"\\mathbb\{?([A-Za-z])\}?", lambda m: BOARD.get(m[1].upper(), m[1]), t)
-    t = _WRAPPED.sub(r"\1", t)
-    t = re.sub(r"\\(?:vec|overrightarrow)\s*(?:\{([^{}]+)\}|([A-Za-z0-9]+))", lambda m: "→" + (m[1] or m[2]), t)
-    t = re.sub(r"\\hat\s*(?:\{([^{}]+)\}|([A-Za-z0-9]+))", lambda m: (m[1] or m[2]) + "\u0302", t)
-    t = re.sub(r"\\widehat\{([^{}]+)\}", r"⌒\1", t)
-    t = re.sub(r"\\(?:left|right)\s*\\([{}()\[\]|])", r"\1", t)
-    t = re.sub(r"\\(?:left|right)\s*\.", "", t)
-    t = re.sub(r"\\(?:left|right)\s*([()\[\]{}|])", r"\1", t)
-    t = re.sub(r"\\[dt]?frac\{([^{}]+)\}\{(\\sqrt(?:\[[^\]]+\])?\{[^{}]+\})\}", lambda m: f"{_part(m[1])}/{_part(_ROOT.sub(_root, m[2]))}", t)
-    t = _FRACTION.sub(lambda m: f"{_part(m[1])}/{_part(m[2])}", t)
-    t = re.sub(r"\\underline(?:\{[^{}]*\}|\b)", "____", t)
-    t = _ROOT.sub(_root, t)
-    t = re.sub(r"\^(?:\\circ|\{\\circ\})", "°", t)
-    t = re.sub(r"(\\(?:triangle|odot))\s+", r"\1", t)
-    t = _COMMAND.sub(lambda m: "⇏" if m[1] else SYMBOLS[m[2]], t)
-    t = _FUNCTION.sub(r"\1", t)
-    t = re.sub(r"\\[,;:!]", "", t)
-    t = re.sub(r"\\([{}()\[\]|.%-])", r"\1", t)
-    t = re.sub(r"\\([A-Za-z])\b", r"\1", t)
-    t = re.sub(r"\\(?=\s|$)", "", t)
-    t = _POWER.sub(lambda m: (m[1] or m[2] or m[3]).translate(SUPERSCRIPTS), t)
-    t = _INDEX.sub(lambda m: (m[1] or m[2] or m[3]).translate(SUBSCRIPTS), t)
-    return _cardinals(t)
-
-
-def _tidy(t: str) -> str:
-    return re.sub(r"\s{2,}", " ", re.sub(r"\s*//\s*", " // ", t)).strip()
-
-
-def show_latex(text: str) -> str:
-    """Plain text of content with LaTeX: formulas between dollars lose their braces."""
-    t = re.sub(r"\$([^$]+)\$", lambda m: _tidy(re.sub(r"[{}]", "", _commands(m[1]))), text.replace("\r\n", "\n"))
-    return _tidy(_commands(t))
-
-
 display_text = _text_udf(show_latex)

@@ -82,3 +82,17 @@ def search(df: DataFrame, column: str, query: str) -> DataFrame:
 
 def maybe(df: DataFrame, condition: Column | None) -> DataFrame:
     return df if condition is None else df.where(condition)
+
+
+def sound_preferences(rows: DataFrame) -> DataFrame:
+    """Rows (mode, weights) whose mode is known and whose own weights are 0 to 100 and add up to 100."""
+    total = F.aggregate("weights", F.lit(0), lambda a, w: a + w)
+    fine = F.forall("weights", lambda w: w.between(0, 100)) & (total == 100)
+    return rows.where((F.col("mode") != "custom") | fine)
+
+
+def enqueue(uploads: DataFrame, content: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """(uploads to keep, queued jobs): the first upload of each content, with a job of its own."""
+    first = uploads.groupBy(content).agg(F.min(key).alias(key), (F.count(F.lit(1)) - 1).alias("repeats"))
+    kept = uploads.join(first.select(key), key, "left_semi")
+    return kept, first.select(content, key, F.concat(F.lit("job-"), F.col(key).cast("string")).alias("job_id"), F.lit("queued").alias("status"), "repeats")

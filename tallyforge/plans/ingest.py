@@ -8,7 +8,17 @@ from pyspark.sql import functions as F
 from tallyforge.functions import jsonx, text
 from tallyforge.operators import core, fuzzy
 
-THREAD_KEYS = {t: f"{t}s" if t.endswith(("card", "trend", "dive", "mistake", "explanation")) else f"{t[:-1]}ies" if t.endswith("summary") else t for t in text.MATERIAL_LABELS}
+#: The list of a thread that holds the materials of a type.
+THREAD_KEYS = {
+    "method_card": "method_cards",
+    "common_mistake": "common_mistakes",
+    "question_type_summary": "question_type_summaries",
+    "solution_summary": "solution_summaries",
+    "concept_explanation": "concept_explanations",
+    "textbook_deep_dive": "textbook_deep_dives",
+    "exam_trend": "exam_trends",
+    "study_advice": "study_advice",
+}
 
 
 def page_map_reduce(pages: DataFrame, doc: str, per_page: Column, separator: str = "\n\n") -> DataFrame:

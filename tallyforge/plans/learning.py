@@ -50,6 +50,57 @@ def mistakes(attempts: DataFrame) -> DataFrame:
     return out.select(*key, "error_count", "streak", F.when(F.col("streak") == 2, "resolved").otherwise("open").alias("status"), F.get("right_at", F.lit(1)).alias("resolved_at"), "created_at", "last_at")
 
 
+def submit(sessions: DataFrame, answers: DataFrame, scores: DataFrame, due: DataFrame, book: DataFrame) -> dict[str, DataFrame]:
+    """The state after sessions are handed in: attempts, mastery, reviews, mistakes and sessions.
+
+    sessions (session_id, student_id, status), answers (session_id, question_id,
+    kp_id, difficulty, is_correct, pos, answered_at), and the state before: scores
+    (student_id, kp_id, mastery_score, peak_mastery_score), due (student_id,
+    kp_id, next_review_at), book (student_id, question_id, error_count, streak,
+    status). Only sessions in progress count, so a replay changes nothing.
+    Answers move a point's score in their order; a wrong one, or the first
+    contact with a point, is due again a day later; a wrong one opens its row of
+    the book, two right ones after another resolve an open row.
+    """
+    point, question = ["student_id", "kp_id"], ["student_id", "question_id"]
+    attempts = answers.join(sessions.where("status = 'in_progress'").select("session_id", "student_id"), "session_id")
+    in_order = lambda *c: F.array_sort(F.collect_list(F.struct("answered_at", "session_id", "pos", *c)))
+    change = number.mastery_delta(F.col("difficulty"), F.col("is_correct")).alias("change")
+    moves = attempts.groupBy(*point).agg(in_order(change).alias("moves"), F.max("answered_at").alias("at"), F.max(F.when(~F.col("is_correct"), F.col("answered_at"))).alias("wrong_at"), F.min("answered_at").alias("first_at"))
+    moved = moves.join(scores.withColumn("known", F.lit(True)), point, "left")
+    whole = lambda c: F.round(F.coalesce(c, F.lit(0.0)) * 100).cast("int")
+    start = F.struct(whole("mastery_score").alias("now"), whole("peak_mastery_score").alias("peak"))
+
+    def step(s: Column, x: Column) -> Column:
+        now = F.greatest(F.lit(0), F.least(F.lit(100), s["now"] + x["change"]))
+        return F.struct(now.alias("now"), F.greatest(s["peak"], now).alias("peak"))
+
+    moved = moved.withColumn("s", F.aggregate("moves", start, step))
+    fresh = moved.select(*point, (F.col("s.now") / 100.0).alias("mastery_score"), (F.col("s.peak") / 100.0).alias("peak_mastery_score"))
+    again = F.greatest(F.col("wrong_at"), F.when(F.col("known").isNull(), F.col("first_at")))
+    asked = moved.where(again.isNotNull()).select(*point, (again + F.expr("INTERVAL 24 HOURS")).alias("next_review_at"))
+    before = book.select(*question, F.struct(F.col("error_count").cast("long").alias("errors"), F.col("streak").cast("int").alias("streak"), "status").alias("b"))
+    tried = attempts.groupBy(*question).agg(in_order("is_correct").alias("tries")).join(before, question, "left")
+    none = F.struct(F.lit(0).cast("long").alias("errors"), F.lit(0).alias("streak"), F.lit("none").alias("status"))
+
+    def marked(s: Column, x: Column) -> Column:
+        streak = F.when(s["status"] == "open", s["streak"] + 1).otherwise(s["streak"])
+        right = F.struct(s["errors"].alias("errors"), streak.cast("int").alias("streak"), F.when((s["status"] == "open") & (streak >= 2), "resolved").otherwise(s["status"]).alias("status"))
+        wrong = F.struct((s["errors"] + 1).alias("errors"), F.lit(0).alias("streak"), F.lit("open").alias("status"))
+        return F.when(x["is_correct"], right).otherwise(wrong)
+
+    tried = tried.withColumn("s", F.aggregate("tries", F.coalesce("b", none), marked)).where("s.status <> 'none'")
+    touched = tried.select(*question, F.col("s.errors").alias("error_count"), F.col("s.streak").alias("streak"), F.col("s.status").alias("status"))
+    merged = lambda old, new, keys: old.join(new.select(*keys), keys, "left_anti").select(*new.columns).unionByName(new)
+    return {
+        "attempts": attempts,
+        "mastery": merged(scores, fresh, point),
+        "reviews": merged(due, asked, point),
+        "mistakes": merged(book.withColumn("error_count", F.col("error_count").cast("long")).withColumn("streak", F.col("streak").cast("int")), touched, question),
+        "sessions": sessions.withColumn("status", F.when(F.col("status") == "in_progress", "completed").otherwise(F.col("status"))),
+    }
+
+
 def reviews(graded: DataFrame) -> DataFrame:
     """(student_id, kp_id, next_review_at): a day after the first contact or the last wrong answer."""
     wrong = F.max(F.when(~F.col("is_correct"), F.col("answered_at")))
@@ -219,3 +270,35 @@ def budgets(count: int = 8, mode: str = "daily_mixed", chapter: bool = False) ->
     shares = number.mode_budgets(count, mode)
     shares["chapter_practice" if chapter else "new_knowledge"] = shares.pop("progress")
     return shares
+
+
+#: Slots of a session by phase of the term, pool by pool; a learner without answers starts cold.
+PHASE_SLOTS = {
+    "cold_start": {"new_knowledge": 8, "mistake_variant": 0, "spaced_review": 0},
+    "learning": {"new_knowledge": 4, "mistake_variant": 2, "spaced_review": 2},
+    "consolidation": {"new_knowledge": 2, "mistake_variant": 3, "spaced_review": 3},
+    "before_exam": {"new_knowledge": 0, "mistake_variant": 5, "spaced_review": 3},
+}
+
+
+def phases(students: DataFrame, attempts: DataFrame, now: Column, exam: Column, cold: int = 5) -> DataFrame:
+    """(student_id, phase, pool, slots): cold below so many answers, then by the days that are left until the exam."""
+    counts = attempts.groupBy("student_id").agg(F.count(F.lit(1)).alias("n"))
+    left = F.datediff(exam, now)
+    phase = F.when(F.coalesce("n", F.lit(0)) < cold, "cold_start").when(left <= 14, "before_exam").when(left <= 45, "consolidation").otherwise("learning")
+    slots = F.create_map(*[F.lit(x) for name, pools in PHASE_SLOTS.items() for pool, n in pools.items() for x in (f"{name}:{pool}", n)])
+    rows = students.select("student_id").join(counts, "student_id", "left").select("student_id", phase.alias("phase"), F.explode(F.array(*map(F.lit, PHASE_SLOTS["learning"]))).alias("pool"))
+    return rows.withColumn("slots", F.element_at(slots, F.concat_ws(":", "phase", "pool")))
+
+
+def causes(graded: DataFrame, book: DataFrame, scores: DataFrame) -> DataFrame:
+    """(student_id, question_id, cause, action) of each mistake, read off its answers and its point's mastery.
+
+    A slip on a mastered point, a relapse after a peak, a gap on a point never
+    learnt, a stubborn error of three or more, else a weak point.
+    """
+    rows = book.join(graded.select("question_id", F.col("primary_kp").alias("kp_id")).distinct(), "question_id").join(scores, ["student_id", "kp_id"], "left")
+    score, peak = F.coalesce("mastery_score", F.lit(0.0)), F.coalesce("peak_mastery_score", F.lit(0.0))
+    cause = F.when(score >= 0.85, "slip").when((peak >= 0.5) & (score < 0.2), "relapse").when(peak < 0.2, "gap").when(F.col("error_count") >= 3, "stubborn").otherwise("weak")
+    actions = {"slip": "slow_down", "relapse": "recall", "gap": "relearn", "stubborn": "explain_back", "weak": "practise"}
+    return rows.select("student_id", "question_id", cause.alias("cause")).withColumn("action", text.mapped(actions, F.col("cause")))

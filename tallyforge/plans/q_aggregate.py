@@ -20,7 +20,7 @@ _WORK = "status IN ('needs_work', 'regressed')"
 
 
 def items(v):
-    return learning.progress_items(v.unlocked.join(F.broadcast(v.kp), "kp_id").select("student_id", "kp_id", "name", "chapter_no"), learning.mastery(v.graded), learning.mistakes(v.attempt), learning.reviews(v.graded), v.question.where("question_id < 25"), v.now)
+    return learning.progress_items(v.unlocked.join(v.kp, "kp_id").select("student_id", "kp_id", "name", "chapter_no"), learning.mastery(v.graded), learning.mistakes(v.attempt), learning.reviews(v.graded), v.question, v.now)
 
 
 @query("a1_count", "SELECT count(*) AS n FROM attempt WHERE is_correct")
@@ -278,11 +278,11 @@ def _(v):
     return core.dedupe(v.staging.where("published_id IS NOT NULL"), ["published_id"], [F.col("staging_id").desc()]).select("published_id", "staging_id")
 
 
-@query("w11_sequential_ids", "SELECT title, 'kp-' || row_number() OVER (ORDER BY first) AS id FROM (SELECT title, min(material_id) AS first FROM material WHERE kp_id = 5 GROUP BY title)")
+@query("w11_sequential_ids", "SELECT kp_id, title, 'kp-' || row_number() OVER (PARTITION BY kp_id ORDER BY first) AS id FROM (SELECT kp_id, title, min(material_id) AS first FROM material GROUP BY kp_id, title)")
 def _(v):
-    # ids run over the distinct names of one document
-    first = v.material.where("kp_id = 5").groupBy("title").agg(F.min("material_id").alias("first"))
-    return first.select("title", F.concat(F.lit("kp-"), F.row_number().over(Window.orderBy("first")).cast("string")).alias("id"))
+    """Ids run over the distinct names of each document."""
+    first = v.material.groupBy("kp_id", "title").agg(F.min("material_id").alias("first"))
+    return first.select("kp_id", "title", F.concat(F.lit("kp-"), F.row_number().over(Window.partitionBy("kp_id").orderBy("first")).cast("string")).alias("id"))
 
 
 @query("o1_multi_key", "SELECT question_id, row_number() OVER (ORDER BY difficulty DESC, question_id) AS place FROM question ORDER BY difficulty DESC, question_id LIMIT 50")

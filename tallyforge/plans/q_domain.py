@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from functools import reduce
@@ -37,7 +39,7 @@ planned AS (SELECT s.student_id, s.slot, s.kp_id, s.pool, f.question_id, CASE WH
 
 def pools(v):
     allowed = learning.allowed_points(v.student, v.unlocked, v.kp)
-    return allowed, learning.candidates(allowed, learning.mastery(v.graded), learning.mistakes(v.attempt), learning.reviews(v.graded), v.question.where("question_id < 25"), v.now)
+    return allowed, learning.candidates(allowed, learning.mastery(v.graded), learning.mistakes(v.attempt), learning.reviews(v.graded), v.question, v.now)
 
 
 def planned(v):
@@ -62,10 +64,21 @@ def _(v):
     return plan.select("student_id", F.array_join(F.transform("question_ids", lambda x: x.cast("string")), ",").alias("questions"), F.array_join("pool_sources", ",").alias("sources"), "is_enough")
 
 
-@query("p4_planner_input", "SELECT student_id, question_id FROM (SELECT *, row_number() OVER (PARTITION BY student_id ORDER BY error_count DESC, question_id) AS n FROM mistake WHERE status = 'open') WHERE n <= 3")
-def _(v):
-    book = learning.mistakes(v.attempt).where("status = 'open'")
-    return core.top_k(book, ["student_id"], [F.col("error_count").desc(), "question_id"], 3).select("student_id", "question_id")
+#: The planner's six scans; points, bank and the rest narrowed to points that a learner can be asked on.
+P4_SQL = """WITH asked AS (SELECT primary_kp AS kp_id, kp_ids, created_at, question_id FROM question WHERE question_type IN ('choice', 'fill_in')),
+placed AS (SELECT u.student_id, u.kp_id, a.question_id, a.kp_ids, row_number() OVER (PARTITION BY u.student_id ORDER BY u.kp_id, a.created_at, a.question_id) AS n FROM unlocked u JOIN asked a USING (kp_id)),
+sets AS (SELECT student_id, list(kp_id) AS allowed FROM unlocked GROUP BY student_id),
+broad AS (SELECT p.* FROM placed p JOIN sets USING (student_id) WHERE n <= 500 AND list_has_all(allowed, kp_ids)),
+narrow AS (SELECT DISTINCT student_id, kp_id FROM broad),
+narrowed AS (SELECT student_id, list(kp_id) AS allowed FROM narrow GROUP BY student_id),
+book AS (SELECT student_id, q.primary_kp AS kp_id, question_id, error_count, row_number() OVER (PARTITION BY student_id ORDER BY error_count DESC, mi.created_at, question_id) AS n FROM mistake mi JOIN question q USING (question_id) WHERE status = 'open' AND EXISTS (SELECT 1 FROM unlocked u WHERE u.student_id = mi.student_id AND u.kp_id = q.primary_kp)),
+due AS (SELECT student_id, kp_id, next_review_at, row_number() OVER (PARTITION BY student_id ORDER BY next_review_at, kp_id) AS n FROM review JOIN unlocked USING (student_id, kp_id), now_at WHERE next_review_at <= now)
+SELECT student_id, 'preference' AS scan, CAST(NULL AS INTEGER) AS kp_id, CAST(NULL AS BIGINT) AS question_id, CASE WHEN student_id % 3 = 0 THEN 'custom' ELSE 'auto' END AS value FROM student
+UNION ALL SELECT n.student_id, 'point', n.kp_id, NULL, kp.chapter_no FROM narrow n JOIN student s ON s.student_id = n.student_id JOIN kp ON kp.kp_id = n.kp_id WHERE kp.subject_id = s.subject_id
+UNION ALL SELECT student_id, 'bank', kp_id, question_id, NULL FROM broad JOIN narrowed USING (student_id) WHERE list_has_all(narrowed.allowed, kp_ids)
+UNION ALL SELECT student_id, 'mastery', kp_id, NULL, CAST(CAST(round(mastery_score * 100) AS INTEGER) AS VARCHAR) FROM mastery JOIN narrow USING (student_id, kp_id)
+UNION ALL SELECT student_id, 'mistake', kp_id, question_id, CAST(error_count AS VARCHAR) FROM book JOIN narrow USING (student_id, kp_id) WHERE n <= 100
+UNION ALL SELECT student_id, 'due', kp_id, NULL, CAST(epoch_us(next_review_at) AS VARCHAR) FROM due JOIN narrow USING (student_id, kp_id) WHERE n <= 100"""
 
 
 def planner_bank(v, most=500):
@@ -77,7 +90,7 @@ def planner_bank(v, most=500):
     ranked = core.top_k(asked.withColumn("n", F.row_number().over(Window.partitionBy("kp_id").orderBy("created_at", "question_id"))), ["kp_id"], ["n"], most)
     before = Window.partitionBy("student_id").orderBy("kp_id").rowsBetween(Window.unboundedPreceding, -1)
     counts = asked.groupBy("kp_id").agg(F.count(F.lit(1)).alias("all"))
-    starts = v.unlocked.join(F.broadcast(counts), "kp_id").withColumn("start", F.coalesce(F.sum("all").over(before), F.lit(0))).where(F.col("start") < most)
+    starts = v.unlocked.join(counts, "kp_id").withColumn("start", F.coalesce(F.sum("all").over(before), F.lit(0))).where(F.col("start") < most)
     return starts.join(ranked, "kp_id").where(F.col("start") + F.col("n") <= most).select("student_id", "kp_id", "question_id", "kp_ids")
 
 
@@ -87,7 +100,7 @@ def within(bank, points):
     return bank.join(sets, "student_id").where(F.size(F.array_except("kp_ids", "allowed")) == 0).drop("allowed")
 
 
-@query("p4_planner_input_whole")
+@query("p4_planner_input", P4_SQL)
 def _(v):
     """(student_id, scan, kp_id, question_id, value) of the planner's six scans, on answerable points only."""
     broad = within(planner_bank(v), v.unlocked)
@@ -100,7 +113,7 @@ def _(v):
     book = core.top_k(book, ["student_id"], [F.col("error_count").desc(), "created_at", "question_id"], 100)
     due = core.top_k(learning.reviews(v.graded).where(F.col("next_review_at") <= v.now).join(v.unlocked, ["student_id", "kp_id"], "left_semi"), ["student_id"], ["next_review_at", "kp_id"], 100)
     mode = F.when(F.col("student_id") % 3 == 0, "custom").otherwise("auto")
-    points = v.unlocked.join(v.student, "student_id").join(F.broadcast(v.kp.select("kp_id", F.col("subject_id").alias("own"), "chapter_no")), "kp_id").where("own = subject_id")
+    points = v.unlocked.join(v.student, "student_id").join(v.kp.select("kp_id", F.col("subject_id").alias("own"), "chapter_no"), "kp_id").where("own = subject_id")
     inside = lambda df: df.join(narrow, ["student_id", "kp_id"], "left_semi")
     parts = [
         scan(v.student.withColumn("kp_id", none), "preference", none, mode),
@@ -113,11 +126,35 @@ def _(v):
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-@query("p5_submission", "SELECT a.session_id, count(*) AS answers, count(*) FILTER (WHERE is_correct) AS right_answers, round(avg(m.mastery_score), 6) AS mastery FROM graded a JOIN mastery m ON m.student_id = a.student_id AND m.kp_id = a.primary_kp GROUP BY a.session_id")
-def _(v):
-    scores = learning.mastery(v.graded).select("student_id", F.col("kp_id").alias("primary_kp"), "mastery_score")
-    rows = v.graded.join(scores, ["student_id", "primary_kp"])
-    return rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("answers"), F.count_if("is_correct").alias("right_answers"), F.round(F.avg("mastery_score"), 6).alias("mastery"))
+P5_SQL = """WITH live AS (SELECT session_id FROM session WHERE session_id % 100 >= 20 AND session_id % 4 > 0),
+counted AS (SELECT * FROM step WHERE day(answered_at) < 20 OR session_id IN (SELECT session_id FROM live)),
+folded AS (SELECT student_id, primary_kp AS kp_id, list_reduce(list({'c': CAST(delta AS INTEGER), 'p': 0} ORDER BY answered_at, attempt_id), lambda a, x: {'c': greatest(0, least(100, a.c + x.c)), 'p': greatest(a.p, greatest(0, least(100, a.c + x.c)))}, {'c': 0, 'p': 0}) AS s FROM counted GROUP BY ALL),
+due AS (SELECT student_id, primary_kp AS kp_id, greatest(min(answered_at), max(CASE WHEN NOT is_correct THEN answered_at END)) + INTERVAL 24 HOUR AS due_at FROM counted GROUP BY ALL),
+bad AS (SELECT student_id, question_id, max(CASE WHEN NOT is_correct THEN attempt_id END) AS last_wrong, count(*) FILTER (WHERE NOT is_correct) AS errors FROM counted GROUP BY ALL HAVING count(*) FILTER (WHERE NOT is_correct) > 0),
+book AS (SELECT b.student_id, b.question_id, b.errors, least(2, count(c.attempt_id)) AS streak FROM bad b LEFT JOIN counted c ON c.student_id = b.student_id AND c.question_id = b.question_id AND c.is_correct AND c.attempt_id > b.last_wrong GROUP BY ALL)
+SELECT 'mastery' AS part, student_id, CAST(kp_id AS BIGINT) AS key, CAST(s.c AS VARCHAR) || '/' || CAST(s.p AS VARCHAR) AS value FROM folded
+UNION ALL SELECT 'review', student_id, kp_id, CAST(epoch_us(due_at) AS VARCHAR) FROM due
+UNION ALL SELECT 'mistake', student_id, question_id, errors || '/' || streak || '/' || CASE WHEN streak = 2 THEN 'resolved' ELSE 'open' END FROM book
+UNION ALL SELECT 'session', student_id, session_id, CASE WHEN session_id % 4 > 0 THEN 'completed' ELSE 'abandoned' END FROM session WHERE session_id % 100 >= 20"""
+
+
+@query("p5_submission", P5_SQL)
+def _(v):
+    """The sessions from the 20th on are handed in upon the state before; those that are no longer in progress change nothing."""
+    before = v.graded.where("day(answered_at) < 20")
+    old = {"scores": learning.mastery(before).select("student_id", "kp_id", "mastery_score", "peak_mastery_score"), "due": learning.reviews(before), "book": learning.mistakes(before).select("student_id", "question_id", "error_count", "streak", "status")}
+    sessions = v.session.where("session_id % 100 >= 20").select("session_id", "student_id", F.when(F.col("session_id") % 4 > 0, "in_progress").otherwise("abandoned").alias("status"))
+    answers = v.graded.select("session_id", "question_id", F.col("primary_kp").alias("kp_id"), "difficulty", "is_correct", F.col("attempt_id").alias("pos"), "answered_at")
+    new = learning.submit(sessions, answers, **old)
+    part = lambda name, rows, key, value: rows.select(F.lit(name).alias("part"), "student_id", F.col(key).cast("long").alias("key"), value.alias("value"))
+    hundredths = lambda c: F.round(F.col(c) * 100).cast("int").cast("string")
+    parts = [
+        part("mastery", new["mastery"], "kp_id", F.concat_ws("/", hundredths("mastery_score"), hundredths("peak_mastery_score"))),
+        part("review", new["reviews"], "kp_id", F.unix_micros("next_review_at").cast("string")),
+        part("mistake", new["mistakes"], "question_id", F.concat_ws("/", F.col("error_count").cast("string"), F.col("streak").cast("string"), "status")),
+        part("session", new["sessions"], "session_id", F.col("status")),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 _REDO = "redone AS (SELECT m.student_id, m.question_id, m.error_count + CASE WHEN r.ok THEN 0 ELSE 1 END AS error_count, CASE WHEN r.ok THEN least(2, m.streak + 1) ELSE 0 END AS streak FROM mistake m JOIN (SELECT student_id, question_id, min_by(is_correct, redo_id) AS ok FROM redo GROUP BY ALL) r USING (student_id, question_id) WHERE m.status = 'open')"
@@ -191,7 +228,7 @@ def _(v):
 @query("p14_textbook_backfill", "SELECT upload_id, kp_id, row_number() OVER (PARTITION BY upload_id ORDER BY CASE WHEN chapter_no IS NULL THEN 'zzzz' ELSE lpad(split_part(chapter_no, '.', 1), 10, '0') || '.' || lpad(split_part(chapter_no, '.', 2), 10, '0') END, kp_id) AS sort_order FROM (SELECT DISTINCT upload_id, published_id AS kp_id FROM staging WHERE published_id IS NOT NULL) JOIN kp USING (kp_id)")
 def _(v):
     published = v.staging.where("published_id IS NOT NULL").select("upload_id", F.col("published_id").alias("kp_id")).distinct()
-    return learning.textbook_scope(published.join(F.broadcast(v.kp), "kp_id"), "upload_id").select("upload_id", "kp_id", "sort_order")
+    return learning.textbook_scope(published.join(v.kp, "kp_id"), "upload_id").select("upload_id", "kp_id", "sort_order")
 
 
 def _organised(v):
@@ -252,15 +289,9 @@ def _(v):
     return ingest.outcome(rows, "upload_id")
 
 
-@query("p21_session_history", "SELECT student_id, session_id, accuracy FROM (SELECT *, row_number() OVER (PARTITION BY student_id ORDER BY last_seen DESC) AS n FROM (SELECT student_id, session_id, CAST(floor(100.0 * count(*) FILTER (WHERE is_correct) / count(*) + 0.5) AS INTEGER) AS accuracy, max(answered_at) AS last_seen FROM attempt GROUP BY student_id, session_id)) WHERE n <= 5")
-def _(v):
-    share = F.floor(F.count_if("is_correct") / F.count(F.lit(1)) * 100 + 0.5).cast("int")
-    rows = v.attempt.groupBy("student_id", "session_id").agg(share.alias("accuracy"), F.max("answered_at").alias("at"))
-    return core.top_k(rows, ["student_id"], [F.col("at").desc()], 5).select("student_id", "session_id", "accuracy")
-
-
-@query("p21_session_history_whole")
+@query("p21_session_history", "SELECT student_id, session_id, started_at, ended_at, answers, right_answers, CAST(floor(100.0 * right_answers / answers + 0.5) AS INTEGER) AS accuracy FROM (SELECT *, row_number() OVER (PARTITION BY student_id ORDER BY ended_at DESC, session_id) AS n FROM (SELECT student_id, session_id, min(answered_at) AS started_at, max(answered_at) AS ended_at, count(*) AS answers, count(*) FILTER (WHERE is_correct) AS right_answers FROM attempt GROUP BY student_id, session_id)) WHERE n <= 20")
 def _(v):
+    """A learner's last 20 sessions, which is the feature's own limit."""
     answers = F.count(F.lit(1)).alias("answers")
     right = F.count_if("is_correct").alias("right_answers")
     rows = v.attempt.groupBy("student_id", "session_id").agg(F.min("answered_at").alias("started_at"), F.max("answered_at").alias("ended_at"), answers, right)
@@ -273,16 +304,21 @@ def _(v):
     return ingest.latest_job(v.upload, v.staging, "upload_id")
 
 
-@query("p23_phase_mix", "SELECT student_id, CASE student_id % 3 WHEN 0 THEN 6 WHEN 1 THEN 4 ELSE 2 END AS new_slots FROM student")
+@query("p23_phase_mix", """WITH n AS (SELECT student_id, count(a.attempt_id) AS n FROM student LEFT JOIN attempt a USING (student_id) GROUP BY student_id),
+p AS (SELECT student_id, CASE WHEN n < 5 THEN 'cold_start' WHEN days <= 14 THEN 'before_exam' WHEN days <= 45 THEN 'consolidation' ELSE 'learning' END AS phase FROM n, (SELECT date_diff('day', CAST(now AS DATE), DATE '2024-03-01') AS days FROM now_at)),
+slots(phase, pool, slots) AS (VALUES ('cold_start', 'new_knowledge', 8), ('cold_start', 'mistake_variant', 0), ('cold_start', 'spaced_review', 0), ('learning', 'new_knowledge', 4), ('learning', 'mistake_variant', 2), ('learning', 'spaced_review', 2),
+ ('consolidation', 'new_knowledge', 2), ('consolidation', 'mistake_variant', 3), ('consolidation', 'spaced_review', 3), ('before_exam', 'new_knowledge', 0), ('before_exam', 'mistake_variant', 5), ('before_exam', 'spaced_review', 3))
+SELECT student_id, phase, pool, slots FROM p JOIN slots USING (phase)""")
 def _(v):
-    phases = v.spark.createDataFrame([(0, 6), (1, 4), (2, 2)], "phase int, new_slots int")
-    return v.student.join(F.broadcast(phases), F.col("student_id") % 3 == F.col("phase")).select("student_id", "new_slots")
+    return learning.phases(v.student, v.attempt, v.now, F.lit("2024-03-01").cast("timestamp"))
 
 
-@query("p24_cause_routing", "SELECT student_id, question_id, CASE question_id % 3 WHEN 0 THEN 'recall' WHEN 1 THEN 'relearn' ELSE 'slow_down' END AS action FROM mistake")
+@query("p24_cause_routing", """WITH c AS (SELECT m.student_id, m.question_id, CASE WHEN coalesce(s.mastery_score, 0) >= 0.85 THEN 'slip' WHEN coalesce(s.peak_mastery_score, 0) >= 0.5 AND coalesce(s.mastery_score, 0) < 0.2 THEN 'relapse' WHEN coalesce(s.peak_mastery_score, 0) < 0.2 THEN 'gap' WHEN m.error_count >= 3 THEN 'stubborn' ELSE 'weak' END AS cause
+ FROM mistake m JOIN question q USING (question_id) LEFT JOIN mastery s ON s.student_id = m.student_id AND s.kp_id = q.primary_kp)
+SELECT *, CASE cause WHEN 'slip' THEN 'slow_down' WHEN 'relapse' THEN 'recall' WHEN 'gap' THEN 'relearn' WHEN 'stubborn' THEN 'explain_back' ELSE 'practise' END AS action FROM c""")
 def _(v):
-    action = text.mapped({"0": "recall", "1": "relearn", "2": "slow_down"}, (F.col("question_id") % 3).cast("string"))
-    return learning.mistakes(v.attempt).select("student_id", "question_id", action.alias("action"))
+    scores = learning.mastery(v.graded).select("student_id", "kp_id", "mastery_score", "peak_mastery_score")
+    return learning.causes(v.graded, learning.mistakes(v.attempt).select("student_id", "question_id", "error_count"), scores)
 
 
 @query("p25_analysis_result", "SELECT upload_id, count(*) AS units, CAST(count(DISTINCT entity_kind) AS BIGINT) AS kinds, CASE WHEN bool_or(review_status = 'rejected') THEN 'partial' ELSE 'ok' END AS status FROM staging GROUP BY upload_id")
@@ -297,22 +333,12 @@ def _ingested(uploads):
     return ingest.materials_of(ingest.parse_batch(called), "upload_id")
 
 
-@query("p26_point_ingestion", "SELECT upload_id, i AS pos, CASE WHEN i = 0 THEN '易错 ' || upload_id ELSE 'n' END AS title FROM upload, (SELECT unnest([0, 1]) AS i) WHERE upload_id % 10 = 0")
-def _(v):
-    return _ingested(v.upload.where("upload_id % 10 = 0")).select("upload_id", "pos", "title")
-
-
-@query("p26_point_ingestion_whole")
+@query("p26_point_ingestion", "SELECT upload_id, i AS pos, CASE WHEN i = 0 THEN '易错 ' || upload_id ELSE 'n' END AS title FROM upload, (SELECT unnest([0, 1]) AS i)")
 def _(v):
     return _ingested(v.upload).select("upload_id", "pos", "title")
 
 
-@query("p27_resource_ingestion", "SELECT upload_id, CASE WHEN i = 0 THEN 'common_mistake' ELSE 'concept_explanation' END AS material_type FROM upload, (SELECT unnest([0, 1]) AS i) WHERE upload_id % 10 = 0")
-def _(v):
-    return _ingested(v.upload.where("upload_id % 10 = 0")).select("upload_id", "material_type")
-
-
-@query("p27_resource_ingestion_whole")
+@query("p27_resource_ingestion", "SELECT upload_id, CASE WHEN i = 0 THEN 'common_mistake' ELSE 'concept_explanation' END AS material_type FROM upload, (SELECT unnest([0, 1]) AS i)")
 def _(v):
     return _ingested(v.upload).select("upload_id", "material_type")
 
@@ -329,12 +355,7 @@ def _(v):
     return core.update_where(v.staging, (F.col("review_status") == "pending") & (F.col("upload_id") == 7), {"review_status": F.lit("rejected")}).select("staging_id", "review_status")
 
 
-@query("p30_source_once", "SELECT upload_id, min(staging_id) AS staging_id FROM staging s WHERE staging_id % 7 = 0 AND entity_kind = 'source_document' AND upload_id NOT IN (SELECT upload_id FROM staging WHERE staging_id % 7 = 0 AND entity_kind = 'source_document' AND published_id IS NOT NULL) GROUP BY upload_id")
-def _(v):
-    return ingest.once_per_upload(v.staging.where("staging_id % 7 = 0"))
-
-
-@query("p30_source_once_whole")
+@query("p30_source_once", "SELECT upload_id, min(staging_id) AS staging_id FROM staging s WHERE entity_kind = 'source_document' AND upload_id NOT IN (SELECT upload_id FROM staging WHERE entity_kind = 'source_document' AND published_id IS NOT NULL) GROUP BY upload_id")
 def _(v):
     return ingest.once_per_upload(v.staging)
 
@@ -351,19 +372,10 @@ def _(v):
     return known.unionByName(wanted.join(known, ["subject_id", "name"], "left_anti"))
 
 
-def _answers(v, sessions):
-    rows = sessions.select("session_id", F.posexplode("question_ids").alias("pos", "question_id"))
-    return rows.join(v.question, "question_id").select("session_id", "pos", "stem", "difficulty")
-
-
-@query("p33_answer_view", "SELECT s.session_id, CAST(i - 1 AS INTEGER) AS pos, q.stem, q.difficulty FROM (SELECT *, unnest(range(1, len(question_ids) + 1)) AS i FROM session WHERE session_id % 7 = 0) s JOIN question q ON q.question_id = s.question_ids[i]")
-def _(v):
-    return _answers(v, v.session.where("session_id % 7 = 0"))
-
-
-@query("p33_answer_view_whole")
+@query("p33_answer_view", "SELECT s.session_id, CAST(i - 1 AS INTEGER) AS pos, q.stem, q.difficulty FROM (SELECT *, unnest(range(1, len(question_ids) + 1)) AS i FROM session) s JOIN question q ON q.question_id = s.question_ids[i]")
 def _(v):
-    return _answers(v, v.session)
+    rows = v.session.select("session_id", F.posexplode("question_ids").alias("pos", "question_id"))
+    return rows.join(v.question, "question_id").select("session_id", "pos", "stem", "difficulty")
 
 
 @query("p34_result_view", f"WITH {GROUPS_SQL} SELECT s.session_id, count(DISTINCT g.kp_id) AS points, count(DISTINCT CASE WHEN m.resolved_at >= s.started_at AND m.resolved_at <= s.ended_at THEN m.question_id END) AS resolved FROM session s LEFT JOIN grouped g ON g.session_id = s.session_id LEFT JOIN mistake m ON m.student_id = s.student_id GROUP BY s.session_id")
@@ -375,25 +387,21 @@ def _(v):
     return rows.select("session_id", F.coalesce("points", F.lit(0)).alias("points"), F.coalesce("resolved", F.lit(0)).alias("resolved"))
 
 
-def _advice_context(v, attempts):
-    rows = attempts.join(v.question, "question_id").join(F.broadcast(v.kp.select("kp_id", "name")), F.col("primary_kp") == F.col("kp_id"))
-    return rows.join(learning.mistakes(v.attempt).select("student_id", "question_id", "error_count"), ["student_id", "question_id"], "left").select("session_id", "stem", "name", "error_count")
-
-
-@query("p35_advice_context", "SELECT a.session_id, q.stem, kp.name, m.error_count FROM attempt a JOIN question q USING (question_id) JOIN kp ON kp.kp_id = q.primary_kp LEFT JOIN mistake m ON m.student_id = a.student_id AND m.question_id = a.question_id WHERE a.session_id % 50 = 1")
-def _(v):
-    return _advice_context(v, v.attempt.where("session_id % 50 = 1"))
-
-
-@query("p35_advice_context_whole")
+@query("p35_advice_context", "SELECT a.session_id, a.attempt_id, epoch_us(s.started_at) AS started_us, q.stem, kp.name, m.error_count, round(coalesce(my.mastery_score, 0), 6) AS mastery, coalesce(c.n, 0) AS materials FROM attempt a JOIN session s USING (session_id) JOIN question q USING (question_id) JOIN kp ON kp.kp_id = q.primary_kp LEFT JOIN mistake m ON m.student_id = a.student_id AND m.question_id = a.question_id LEFT JOIN mastery my ON my.student_id = a.student_id AND my.kp_id = kp.kp_id LEFT JOIN (SELECT kp_id, count(*) AS n FROM material GROUP BY kp_id) c ON c.kp_id = kp.kp_id")
 def _(v):
-    return _advice_context(v, v.attempt)
+    """Each answer of a session with its question, point, mistake, mastery and number of materials: one join a relation, for all sessions."""
+    rows = v.attempt.select("attempt_id", "session_id", "student_id", "question_id").join(v.session.select("session_id", "started_at"), "session_id")
+    rows = rows.join(v.question.select("question_id", "stem", F.col("primary_kp").alias("kp_id")), "question_id").join(v.kp.select("kp_id", "name"), "kp_id")
+    rows = rows.join(learning.mistakes(v.attempt).select("student_id", "question_id", "error_count"), ["student_id", "question_id"], "left")
+    rows = rows.join(learning.mastery(v.graded).select("student_id", "kp_id", "mastery_score"), ["student_id", "kp_id"], "left")
+    rows = rows.join(v.material.groupBy("kp_id").agg(F.count(F.lit(1)).alias("n")), "kp_id", "left")
+    return rows.select("session_id", "attempt_id", F.unix_micros("started_at").alias("started_us"), "stem", "name", "error_count", F.round(F.coalesce("mastery_score", F.lit(0.0)), 6).alias("mastery"), F.coalesce("n", F.lit(0)).alias("materials"))
 
 
 @query("p36_mistake_book", "SELECT m.student_id, m.question_id, kp.name, epoch_us(m.last_at) AS last_us, substr(q.stem, 1, 57) AS preview FROM mistake m JOIN question q USING (question_id) JOIN kp ON kp.kp_id = q.primary_kp JOIN unlocked u ON u.student_id = m.student_id AND u.kp_id = kp.kp_id WHERE m.status = 'open'")
 def _(v):
     rows = learning.mistakes(v.attempt).where("status = 'open'").join(v.question.select("question_id", F.col("primary_kp").alias("kp_id"), "stem"), "question_id")
-    rows = rows.join(F.broadcast(v.kp.select("kp_id", "name")), "kp_id").join(v.unlocked, ["student_id", "kp_id"], "left_semi")
+    rows = rows.join(v.kp.select("kp_id", "name"), "kp_id").join(v.unlocked, ["student_id", "kp_id"], "left_semi")
     return rows.select("student_id", "question_id", "name", F.unix_micros("last_at").alias("last_us"), text.truncate(F.col("stem"), 57).alias("preview"))
 
 
@@ -402,15 +410,10 @@ def _(v):
     return learning.mistakes(v.attempt).where("status = 'open' AND student_id = 8").join(v.question, "question_id").select("student_id", "question_id", "stem")
 
 
-@query("p38_question_list", "SELECT primary_kp AS kp_id, question_id FROM (SELECT *, row_number() OVER (PARTITION BY primary_kp ORDER BY created_at DESC, question_id) AS n FROM question) WHERE n <= 20")
-def _(v):
-    return core.top_k(v.question, ["primary_kp"], [F.col("created_at").desc(), "question_id"], 20).select(F.col("primary_kp").alias("kp_id"), "question_id")
-
-
 def question_list(v, subject=None, most=500):
     """The first questions by point, newest first, with their point and options; a subject is kept of those, not looked for beyond."""
     rows = v.question.orderBy("primary_kp", F.col("created_at").desc(), "question_id").limit(most)
-    rows = rows.join(F.broadcast(v.kp.withColumnRenamed("kp_id", "primary_kp")), "primary_kp", "left")
+    rows = rows.join(v.kp.withColumnRenamed("kp_id", "primary_kp"), "primary_kp", "left")
     options = F.get_json_object("payload", "$.options")
     staged = v.staging.where("entity_kind = 'question'").select(F.col("published_id").alias("question_id"), options.alias("options"), "staging_id").where("question_id IS NOT NULL AND startswith(options, '[') AND options <> '[]'")
     rows = rows.join(staged.groupBy("question_id").agg(F.max_by("options", "staging_id").alias("options")), "question_id", "left")
@@ -418,7 +421,7 @@ def question_list(v, subject=None, most=500):
     return rows.select(F.col("primary_kp").alias("kp_id"), "name", "subject_id", "chapter_no", "question_id", "stem", "question_type", "difficulty", "created_at", "options")
 
 
-@query("p38_question_list_whole")
+@query("p38_question_list", "SELECT q.primary_kp AS kp_id, kp.name, kp.subject_id, kp.chapter_no, q.question_id, q.stem, q.question_type, q.difficulty, q.created_at, o.options FROM (SELECT * FROM question ORDER BY primary_kp, created_at DESC, question_id LIMIT 500) q LEFT JOIN kp ON kp.kp_id = q.primary_kp LEFT JOIN (SELECT published_id AS question_id, max_by(json_extract(payload, '$.options')::VARCHAR, staging_id) AS options FROM staging WHERE entity_kind = 'question' AND published_id IS NOT NULL AND json_extract(payload, '$.options')::VARCHAR LIKE '[_%]' GROUP BY published_id) o USING (question_id)")
 def _(v):
     return question_list(v)
 
@@ -446,12 +449,7 @@ def _(v):
     return learning.textbook_scope(v.kp.where("subject_id = 0")).select("kp_id", F.lit("default").alias("textbook"))
 
 
-@query("p43_analysis_entry", "SELECT upload_id, count(*) AS materials FROM upload, (SELECT unnest([0, 1]) AS i) WHERE upload_id % 10 = 0 GROUP BY upload_id")
-def _(v):
-    return _ingested(v.upload.where("upload_id % 10 = 0")).groupBy("upload_id").agg(F.count(F.lit(1)).alias("materials"))
-
-
-@query("p43_analysis_entry_whole")
+@query("p43_analysis_entry", "SELECT upload_id, count(*) AS materials FROM upload, (SELECT unnest([0, 1]) AS i) GROUP BY upload_id")
 def _(v):
     return _ingested(v.upload).groupBy("upload_id").agg(F.count(F.lit(1)).alias("materials"))
 
@@ -475,60 +473,92 @@ def _(v):
     return parsed.select("session_id", F.when(~F.col("ok"), "failed").when(F.col("error").isNotNull(), "partial").otherwise("ok").alias("status"))
 
 
-def _stream(v, frame, start):
-    """Run a stream over a written copy of frame to its end and return what it wrote."""
-    base = v.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyforge-")
-    path, name = f"{base.rstrip('/')}/tallyforge-{uuid.uuid4().hex}", f"tallyforge_{uuid.uuid4().hex}"
-    frame.write.parquet(f"{path}/in")
-    stream = v.spark.readStream.schema(frame.schema).parquet(f"{path}/in")
+def _stream(v, frames, start, mode="update"):
+    """Run a stream over written copies of frames, one after another, and return what it wrote.
+
+    After each frame the stream ends; the next one starts again from the
+    checkpoint, with the state and the watermark that the last one left.
+    """
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = v.spark.conf.get(key, None)
+    v.spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    path = f"{stream_folder(v.spark).rstrip('/')}/tallyforge-{uuid.uuid4().hex}"
     out = f"{path}/out"
 
     def put(batch, number_):
         batch.withColumn("batch", F.lit(number_)).write.mode("append").parquet(out)
 
-    writer = start(stream).writeStream.foreachBatch(put).option("checkpointLocation", f"{path}/state").queryName(name).trigger(availableNow=True)
-    run = writer.outputMode("update").start()
-    run.awaitTermination()
+    try:
+        for frame in frames:
+            frame.write.mode("append").parquet(f"{path}/in")
+            stream = v.spark.readStream.schema(frames[0].schema).parquet(f"{path}/in")
+            writer = start(stream).writeStream.foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
+            writer.outputMode(mode).start().awaitTermination()
+    finally:
+        v.spark.conf.set(key, before) if before else v.spark.conf.unset(key)
     return v.spark.read.parquet(out)
 
 
+def stream_folder(spark):
+    """spark.checkpoint.dir; without it a temporary folder for a local session, and none for a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base
+    if not spark.conf.get("spark.master", "").startswith("local") or "cluster" in spark.conf.get("spark.master"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    base = tempfile.mkdtemp(prefix="tallyforge-")
+    atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return base
+
+
+def _halves(frame, column):
+    """The rows of even and of odd columns as two frames of a stream."""
+    return [frame.where(F.col(column) % 2 == k) for k in (0, 1)]
+
+
 @query("t1_learner_stream", "SELECT student_id, primary_kp AS kp_id, CAST(round(mastery_score * 100) AS INTEGER) AS score FROM (SELECT DISTINCT student_id, primary_kp FROM graded) JOIN mastery m USING (student_id) WHERE m.kp_id = primary_kp")
 def _(v):
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = v.spark.conf.get(key, None)
-    v.spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        rows = v.graded.select("student_id", "attempt_id", "answered_at", F.col("primary_kp").cast("int").alias("primary_kp"), F.col("question_id").cast("long").alias("question_id"), F.col("difficulty").cast("int").alias("difficulty"), "is_correct")
-        out = _stream(v, rows, attempts.learner_states)
-    finally:
-        v.spark.conf.set(key, before) if before else v.spark.conf.unset(key)
+    rows = v.graded.select("student_id", "attempt_id", "answered_at", F.col("primary_kp").cast("int").alias("primary_kp"), F.col("question_id").cast("long").alias("question_id"), F.col("difficulty").cast("int").alias("difficulty"), "is_correct")
+    out = _stream(v, [rows.where("answered_at < '2024-01-15'"), rows.where("answered_at >= '2024-01-15'")], attempts.learner_states)
     return out.groupBy("student_id", "kp_id").agg(F.max_by("score", "batch").alias("score"))
 
 
-@query("t2_replay_guard", "SELECT DISTINCT session_id FROM attempt")
+@query("t2_replay_guard", "SELECT session_id, 1 AS times FROM attempt GROUP BY session_id")
 def _(v):
+    """Every session is handed in by each of its answers, and a second time after a restart; one stays."""
     rows = v.attempt.select("session_id", F.col("answered_at").alias("ts"))
-    return _stream(v, rows, lambda s: attempts.once(s, late="60 days")).select("session_id").distinct()
+    out = _stream(v, [rows, rows], lambda s: attempts.once(s, late="60 days"))
+    return out.groupBy("session_id").agg(F.count(F.lit(1)).cast("int").alias("times"))
 
 
-@query("t3_serial_writes", "SELECT student_id, count(*) AS n FROM attempt GROUP BY student_id")
+@query("t3_serial_writes", "SELECT student_id AS key, attempt_id AS write_id, row_number() OVER (PARTITION BY student_id ORDER BY answered_at < TIMESTAMP '2024-01-15' DESC, answered_at, attempt_id) AS number FROM attempt")
 def _(v):
-    out = _stream(v, v.attempt.select("student_id"), lambda s: s.groupBy("student_id").agg(F.count(F.lit(1)).alias("n")))
-    return out.groupBy("student_id").agg(F.max_by("n", "batch").alias("n"))
+    rows = v.attempt.select(F.col("student_id").cast("long").alias("key"), F.col("attempt_id").cast("long").alias("write_id"), F.col("answered_at").alias("ts"))
+    return _stream(v, [rows.where("ts < '2024-01-15'"), rows.where("ts >= '2024-01-15'")], attempts.serial_writes, "append").select("key", "write_id", "number")
 
 
 @query("t4_job_snapshot", "SELECT upload_id AS job_id, max_by(review_status, staging_id) AS phase, max_by(staging_id % 100, staging_id) AS progress FROM staging GROUP BY upload_id")
 def _(v):
     events = v.staging.select(F.col("upload_id").alias("job_id"), F.col("staging_id").alias("event_id"), F.col("review_status").alias("phase"), (F.col("staging_id") % 100).alias("progress"), F.col("staging_id").cast("timestamp").alias("ts"))
-    return attempts.job_snapshot(events)
+    out = _stream(v, _halves(events, "event_id"), attempts.job_snapshot)
+    return out.groupBy("job_id").agg(F.max_by("phase", "batch").alias("phase"), F.max_by("progress", "batch").alias("progress"))
 
 
 @query("t5_polling", "SELECT upload_id, count(*) AS staged FROM staging GROUP BY upload_id")
 def _(v):
-    out = _stream(v, v.staging.select("upload_id"), lambda s: s.groupBy("upload_id").agg(F.count(F.lit(1)).alias("staged")))
+    out = _stream(v, _halves(v.staging.select("upload_id", "staging_id"), "staging_id"), lambda s: s.groupBy("upload_id").agg(F.count(F.lit(1)).alias("staged")))
     return out.groupBy("upload_id").agg(F.max_by("staged", "batch").alias("staged"))
 
 
+@query("t6_stale_jobs", "SELECT job_id, CASE WHEN status IN ('queued', 'running') AND said < most - 1200 THEN 'failed' ELSE status END AS status FROM (SELECT upload_id % 97 AS job_id, max_by(status, upload_id) AS status, max(upload_id) * 20 AS said FROM upload GROUP BY 1), (SELECT max(upload_id) * 20 AS most FROM upload)")
+def _(v):
+    """Jobs that say nothing for ten minutes fail; the event clock is ten minutes behind the newest event."""
+    events = v.upload.select((F.col("upload_id") % 97).alias("job_id"), (F.col("upload_id") * 20).cast("timestamp").alias("ts"), "status")
+    clock = events.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("long").alias("job_id"), "ts", F.lit("parsed").alias("status"))
+    out = _stream(v, [events, clock], attempts.reap_jobs)
+    return out.where("job_id >= 0").groupBy("job_id").agg(F.max_by("status", F.struct("batch", (F.col("status") == "failed").alias("f"))).alias("status"))
+
+
 @query("t7_due_timer", "SELECT student_id, kp_id FROM review, now_at WHERE next_review_at <= now")
 def _(v):
     return attempts.due(learning.reviews(v.graded), v.now).select("student_id", "kp_id")
@@ -536,20 +566,28 @@ def _(v):
 
 @query("t8_session_timeout", "WITH g AS (SELECT *, CASE WHEN answered_at - lag(answered_at) OVER w >= INTERVAL 25 MINUTE OR lag(answered_at) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM attempt WINDOW w AS (PARTITION BY student_id ORDER BY answered_at, attempt_id)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY student_id ORDER BY answered_at, attempt_id ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT student_id, epoch_us(min(answered_at)) AS start_us, count(*) AS answers FROM s GROUP BY student_id, k")
 def _(v):
-    out = attempts.session_timeouts(v.attempt.select("student_id", F.col("answered_at").alias("ts")))
-    return out.select("student_id", F.unix_micros("session_window.start").alias("start_us"), "answers")
+    """A session is written when the watermark passes its end; a last event far ahead ends them all."""
+    rows = v.attempt.select("student_id", F.col("answered_at").alias("ts"))
+    last = rows.limit(1).select(F.lit(-1).cast(rows.schema["student_id"].dataType).alias("student_id"), F.lit("2100-01-01").cast("timestamp").alias("ts"))
+    out = _stream(v, [rows, last], attempts.session_timeouts, "append")
+    return out.where("student_id >= 0").select("student_id", F.unix_micros("session_window.start").alias("start_us"), "answers")
 
 
 @query("t9_windows", "SELECT epoch_us(CAST(d AS TIMESTAMP)) AS start_us, count(*) AS answers, count(*) FILTER (WHERE is_correct) AS \"right\" FROM attempt, (SELECT unnest(range(DATE '2023-12-20', DATE '2024-02-05', INTERVAL 1 DAY)) AS d) WHERE answered_at >= d AND answered_at < d + INTERVAL 7 DAY GROUP BY d")
 def _(v):
-    out = attempts.activity(v.attempt.select("is_correct", F.col("answered_at").alias("ts")))
-    return out.select(F.unix_micros("window.start").alias("start_us"), "answers", "right")
+    rows = v.attempt.select("attempt_id", "is_correct", F.col("answered_at").alias("ts"))
+    out = _stream(v, _halves(rows, "attempt_id"), lambda s: attempts.activity(s, late="90 days"))
+    last = out.groupBy("window").agg(F.max_by(F.struct("answers", "right"), "batch").alias("r"))
+    return last.select(F.unix_micros("window.start").alias("start_us"), "r.answers", "r.right")
 
 
-@query("t10_watermark", "SELECT epoch_us(CAST(date_trunc('day', answered_at) AS TIMESTAMP)) AS start_us, count(*) AS answers FROM attempt GROUP BY 1")
+@query("t10_watermark", "WITH mark AS (SELECT max(answered_at) - INTERVAL 2 HOUR AS closed FROM attempt WHERE attempt_id % 10 < 9) SELECT epoch_us(CAST(date_trunc('day', answered_at) AS TIMESTAMP)) AS start_us, count(*) AS answers FROM attempt, mark WHERE attempt_id % 10 < 9 OR date_trunc('day', answered_at) + INTERVAL 1 DAY > closed GROUP BY 1")
 def _(v):
-    out = attempts.activity(v.attempt.select("is_correct", F.col("answered_at").alias("ts")), "1 day", "1 day", "2 hours")
-    return out.select(F.unix_micros("window.start").alias("start_us"), "answers")
+    """A tenth of the answers comes after the others; those of days that the watermark has closed are too late."""
+    rows = v.attempt.select("is_correct", F.col("answered_at").alias("ts"), (F.col("attempt_id") % 10).alias("k"))
+    out = _stream(v, [rows.where("k < 9"), rows.where("k = 9")], lambda s: attempts.activity(s, "1 day", "1 day", "2 hours"))
+    last = out.groupBy("window").agg(F.max_by("answers", "batch").alias("answers"))
+    return last.select(F.unix_micros("window.start").alias("start_us"), "answers")
 
 
 @query("t11_artifact_ttl", "SELECT material_id FROM material, now_at WHERE created_at < now - INTERVAL 20 DAY")

@@ -48,22 +48,15 @@ def _(v):
 @query("j7_nested_select", "SELECT material_id, kp.name, kp.chapter_no FROM material LEFT JOIN kp USING (kp_id)")
 def _(v):
     point = v.kp.select("kp_id", F.struct("name", "chapter_no").alias("point"))
-    return v.material.join(F.broadcast(point), "kp_id", "left").select("material_id", "point.name", "point.chapter_no")
+    return v.material.join(point, "kp_id", "left").select("material_id", "point.name", "point.chapter_no")
 
 
-def _session_materials(v, materials):
-    points = v.graded.select("session_id", F.explode("kp_ids").alias("kp_id")).distinct()
-    return points.join(materials, "kp_id").select("session_id", "material_id").distinct()
-
-
-@query("j8_array_key_join", "SELECT DISTINCT g.session_id, m.material_id FROM (SELECT DISTINCT session_id, unnest(kp_ids) AS kp_id FROM graded) g JOIN material m USING (kp_id) WHERE m.material_id % 10 = 0")
+@query("j8_array_key_join", "SELECT g.session_id, g.kp_id, m.materials, m.newest FROM (SELECT DISTINCT session_id, unnest(kp_ids) AS kp_id FROM graded) g JOIN (SELECT kp_id, count(*) AS materials, max_by(material_id, {'t': created_at, 'i': material_id}) AS newest FROM material GROUP BY kp_id) m USING (kp_id)")
 def _(v):
-    return _session_materials(v, v.material.where("material_id % 10 = 0"))
-
-
-@query("j8_array_key_join_whole")
-def _(v):
-    return _session_materials(v, v.material)
+    """A session's points by its questions' arrays, each with its materials counted before the join: no row for each pair of session and material."""
+    points = v.graded.select("session_id", F.explode("kp_ids").alias("kp_id")).distinct()
+    counted = v.material.groupBy("kp_id").agg(F.count(F.lit(1)).alias("materials"), F.max_by("material_id", F.struct("created_at", "material_id")).alias("newest"))
+    return points.join(counted, "kp_id").select("session_id", "kp_id", "materials", "newest")
 
 
 @query("j9_provenance", "SELECT kp.kp_id, max_by(s.payload, s.staging_id) AS payload FROM kp JOIN staging s ON s.published_id = kp.kp_id AND s.entity_kind = 'knowledge_point' GROUP BY kp.kp_id")
@@ -94,7 +87,7 @@ def _(v):
 @query("j13_scope_intersection", "SELECT u.student_id, u.kp_id, coalesce(kp.chapter_no, 'unassigned') AS chapter FROM unlocked u JOIN kp USING (kp_id)")
 def _(v):
     scope = learning.textbook_scope(v.kp).select("kp_id", F.col("chapter_no").alias("chapter"))
-    return v.unlocked.join(F.broadcast(scope), "kp_id").select("student_id", "kp_id", "chapter")
+    return v.unlocked.join(scope, "kp_id").select("student_id", "kp_id", "chapter")
 
 
 @query("j14_tiered_fuzzy", "SELECT staging_id AS hint_id, CASE staging_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 3 END AS kp_id, CASE staging_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 4 END AS tier FROM staging")
@@ -123,7 +116,7 @@ def _(v):
 def _(v):
     byid = v.kp.select(F.col("kp_id").alias("k1"))
     byname = v.kp.groupBy("subject_id").agg(F.min("kp_id").alias("k2"))
-    rows = v.staging.join(F.broadcast(byid), F.col("published_id") == F.col("k1"), "left").join(F.broadcast(byname), F.col("upload_id") % 2 == F.col("subject_id"), "left")
+    rows = v.staging.join(byid, F.col("published_id") == F.col("k1"), "left").join(byname, F.col("upload_id") % 2 == F.col("subject_id"), "left")
     return rows.select("staging_id", F.coalesce("k1", "k2").alias("kp_id"))
 
 
@@ -162,7 +155,7 @@ def _(v):
 
 @query("j23_slot_view", "SELECT attempt_id, row_number() OVER (PARTITION BY session_id ORDER BY attempt_id) AS place, coalesce(kp.name, '未命名') AS title FROM graded LEFT JOIN kp ON kp.kp_id = primary_kp AND kp.kp_id <> 3")
 def _(v):
-    named = v.graded.join(F.broadcast(v.kp.where("kp_id <> 3").select("kp_id", "name")), F.col("primary_kp") == F.col("kp_id"), "left")
+    named = v.graded.join(v.kp.where("kp_id <> 3").select("kp_id", "name"), F.col("primary_kp") == F.col("kp_id"), "left")
     place = F.row_number().over(Window.partitionBy("session_id").orderBy("attempt_id"))
     return named.select("attempt_id", place.alias("place"), F.coalesce("name", F.lit("未命名")).alias("title"))
 
@@ -170,7 +163,7 @@ def _(v):
 @query("j24_missing_default", "SELECT question_id, coalesce(CAST(kp.kp_id AS VARCHAR), '__missing__' || question_id) AS group_key FROM question LEFT JOIN kp ON kp.kp_id = primary_kp AND kp.chapter_no IS NOT NULL")
 def _(v):
     known = v.kp.where("chapter_no IS NOT NULL").select("kp_id")
-    rows = v.question.join(F.broadcast(known), F.col("primary_kp") == F.col("kp_id"), "left")
+    rows = v.question.join(known, F.col("primary_kp") == F.col("kp_id"), "left")
     return rows.select("question_id", F.coalesce(F.col("kp_id").cast("string"), F.concat(F.lit("__missing__"), F.col("question_id").cast("string"))).alias("group_key"))
 
 

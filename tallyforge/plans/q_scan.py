@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text
@@ -126,9 +128,46 @@ def _(v):
     return v.staging.select("staging_id", F.concat(F.substring(model_calls.log_text(raw, 43), 1, F.length(F.lit('{"key":"api_key=***","body":"')) + 10), F.lit("...")).alias("line"))
 
 
-@query("s22_read_modes", "SELECT page_id, CAST(len(regexp_extract_all(html, '<p>([^<]*)', 1)) AS INTEGER) AS n_parts FROM pages", views=False)
+@query("s22_read_modes", "WITH parts AS (SELECT page_id, regexp_extract_all(html, '<p>([^<]*)', 1) AS p, page_id % 3 AS k, html FROM pages) SELECT page_id, 'direct' AS mode, CAST(NULL AS INTEGER) AS page, sha256(html) AS sha256 FROM parts WHERE k = 0 UNION ALL SELECT page_id, CASE k WHEN 1 THEN 'pages' ELSE 'word' END, CAST(i AS INTEGER), sha256(CASE k WHEN 1 THEN p[i] ELSE 'W:' || p[i] END) FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM parts WHERE k > 0)", views=False)
+def _(v):
+    """Pages as files of three kinds: images go whole, PDF files by page, Word files by page after a conversion."""
+    k = F.col("page_id") % 3
+    suffix = F.when(k == 0, ".png").when(k == 1, ".pdf").otherwise(".docx")
+    files = v.table("pages").select(F.concat(F.col("page_id").cast("string"), suffix).alias("path"), F.col("html").cast("binary").alias("content"))
+    render = lambda _, data: (m.encode() for m in re.findall("<p>([^<]*)", data.decode()))
+    convert = lambda _, data: data.replace(b"<p>", b"<p>W:")
+    out = documents.read_parts(files.withColumn("kind", documents.file_kind(F.col("path"))), render, convert)
+    return out.select(F.split_part("path", F.lit("."), F.lit(1)).cast("long").alias("page_id"), "mode", "page", F.sha2("content", 256).alias("sha256"))
+
+
+@query("s12_delete_blobs", "SELECT key, gone FROM (SELECT 'uploads/sha256/' || substr(sha256, 1, 2) || '/' || sha256 || '.pdf' AS key, bool_and(upload_id % 2 = 0) AS gone FROM upload GROUP BY sha256)")
+def _(v):
+    """A blob goes with the last upload that refers to it."""
+    rows = v.upload.withColumn("key", documents.storage_key(F.col("sha256"), F.lit("pdf")))
+    kept = documents.delete_blobs(rows.select("key").distinct(), rows.where("upload_id % 2 = 0").select("key"), rows.where("upload_id % 2 = 1").select("key"))
+    return documents.exists(rows.select("key").distinct(), kept).select("key", (~F.col("found")).alias("gone"))
+
+
+_FIGURES = "SELECT s.staging_id, s.published_id, u.sha256, 'f' || (s.staging_id % 3) AS figure, CAST(json_extract_string(payload, '$.page') AS INTEGER) AS page FROM staging s LEFT JOIN upload u ON u.upload_id = s.staging_id WHERE s.entity_kind = 'question' AND s.review_status = 'accepted' AND s.published_id IS NOT NULL"
+
+
+@query("s27_figure_records", f"SELECT staging_id, 'question-' || published_id || '-' || figure || '.png' AS asset_key, 'derived/' || sha256 || '/figure-crop/1/question-' || published_id || '-' || figure || '.png' AS storage_path, page AS source_page FROM ({_FIGURES}) WHERE page > 0")
+def _(v):
+    return _figures(v)[0].select("staging_id", "asset_key", "storage_path", "source_page")
+
+
+@query("s28_figure_backfill", f"SELECT count(*) AS scanned, count(*) FILTER (WHERE page <= 0) AS skipped, count(*) FILTER (WHERE page > 0) AS generated, CAST(0 AS BIGINT) AS failed FROM ({_FIGURES})")
 def _(v):
-    return v.table("pages").select("page_id", F.size(F.regexp_extract_all(F.col("html"), F.lit("<p>([^<]*)"), F.lit(1))).alias("n_parts"))
+    records, scanned = _figures(v)
+    return documents.backfill_summary(scanned, records, "staging_id")
+
+
+def _figures(v):
+    asked = v.staging.where("entity_kind = 'question' AND review_status = 'accepted' AND published_id IS NOT NULL").join(v.upload.select(F.col("upload_id").alias("staging_id"), "sha256"), "staging_id", "left")
+    page = F.get_json_object("payload", "$.page").cast("int")
+    figure = F.struct(F.concat(F.lit("f"), (F.col("staging_id") % 3).cast("string")).alias("id"), page.alias("source_page"), F.array(*[F.lit(x) for x in (0.0, 0.0, 50.0, 50.0)]).alias("bbox"), F.lit("").alias("description"))
+    rows = asked.select("staging_id", F.col("published_id").cast("string").alias("question_id"), "sha256", F.array(figure).alias("figures"))
+    return documents.figure_records(rows), asked
 
 
 @query("s23_request_body", "SELECT staging_id, CASE staging_id % 4 WHEN 0 THEN 'user' WHEN 1 THEN 'input_text' WHEN 2 THEN title ELSE '4096' END AS probe FROM (SELECT staging_id, 'p' || staging_id AS title FROM staging)")
@@ -158,24 +197,32 @@ def _(v):
 @query("s29_key_rename", "SELECT material_id, CASE kp_id WHEN 3 THEN 4 WHEN 24 THEN 0 ELSE kp_id END AS kp_id FROM material")
 def _(v):
     mapping = v.spark.createDataFrame([(3, 4), (24, 0)], "old_key int, new_key int")
-    return core.rename_keys(v.material.select("material_id", "kp_id"), F.broadcast(mapping), "kp_id")
+    return core.rename_keys(v.material.select("material_id", "kp_id"), mapping, "kp_id")
 
 
-@query("s30_preferences", "SELECT student_id, CASE WHEN student_id % 3 = 0 THEN 'custom' ELSE 'auto' END AS mode FROM student")
+@query("s30_preferences", "SELECT student_id, CASE WHEN student_id % 3 = 0 AND student_id % 2 = 0 THEN 'custom' ELSE 'auto' END AS mode, CASE WHEN student_id % 3 = 0 AND student_id % 2 = 0 THEN '10/20/30/40' ELSE '40/30/20/10' END AS weights FROM student")
 def _(v):
-    old = v.student.select("student_id", F.lit("auto").alias("mode"))
-    return core.upsert(old, v.student.where("student_id % 3 = 0").select("student_id", F.lit("custom").alias("mode")), ["student_id"])
+    """Every third learner asks for weights of their own; those of odd numbers don't add up to 100 and are refused."""
+    weights = lambda *w: F.array(*[F.lit(x) for x in w])
+    old = v.student.select("student_id", F.lit("auto").alias("mode"), weights(40, 30, 20, 10).alias("weights"))
+    asked = v.student.where("student_id % 3 = 0").select("student_id", F.lit("custom").alias("mode"), F.when(F.col("student_id") % 2 == 0, weights(10, 20, 30, 40)).otherwise(weights(10, 20, 30, 50)).alias("weights"))
+    out = core.upsert(old, core.sound_preferences(asked), ["student_id"])
+    return out.select("student_id", "mode", F.array_join(F.col("weights").cast("array<string>"), "/").alias("weights"))
 
 
-@query("s31_provider_registry", "SELECT c_custkey, c_acctbal > 5000 AS enabled FROM customer WHERE c_acctbal > 0", views=False)
+@query("s31_provider_registry", "SELECT 'p-' || c_nationkey AS id, arg_min(c_custkey, {'own': CASE WHEN c_custkey % 7 = 0 THEN 0 ELSE 1 END, 'k': c_custkey}) AS db_id FROM customer WHERE c_acctbal > 5000 GROUP BY c_nationkey", views=False)
 def _(v):
-    rows = v.table("customer").where("c_acctbal > 0").withColumn("enabled", F.lit(False))
-    return core.update_where(rows, F.col("c_acctbal") > 5000, {"enabled": F.lit(True)}).select("c_custkey", "enabled")
+    """Providers that are switched on, listed by public id: the row whose own id is the public one stands before its aliases."""
+    rows = v.table("customer").select(F.col("c_custkey").alias("db_id"), F.concat(F.lit("p-"), F.col("c_nationkey").cast("string")).alias("id"), "c_acctbal", F.lit(False).alias("enabled"), (F.col("c_custkey") % 7 == 0).alias("is_own"))
+    switched = core.update_where(rows, F.col("c_acctbal") > 5000, {"enabled": F.lit(True)})
+    return core.dedupe(switched.where("enabled"), ["id"], [F.col("is_own").desc(), "db_id"]).select("id", "db_id")
 
 
-@query("s32_enqueue", "SELECT sha256, min(upload_id) AS upload_id, 'queued' AS job_status FROM upload GROUP BY sha256")
+@query("s32_enqueue", "SELECT sha256, min(upload_id) AS upload_id, 'job-' || min(upload_id) AS job_id, 'queued' AS status, count(*) - 1 AS repeats FROM upload GROUP BY sha256")
 def _(v):
-    return v.upload.groupBy("sha256").agg(F.min("upload_id").alias("upload_id")).withColumn("job_status", F.lit("queued"))
+    """One stored upload and one queued job for each content; the files that repeat it are counted."""
+    _, jobs = core.enqueue(v.upload, "sha256", "upload_id")
+    return jobs.select("sha256", "upload_id", "job_id", "status", "repeats")
 
 
 @query("f1_projection", "SELECT question_id AS id, primary_kp AS primaryKpId, difficulty FROM question")
@@ -283,12 +330,22 @@ def _(v):
     return v.material.select("material_id", F.array_join(text.non_learning(said), ",").alias("categories"))
 
 
-@query("f19_question_text", "SELECT staging_id FROM staging WHERE staging_id % 3 <> 0")
+_SAID = "CASE material_id % 6 WHEN 0 THEN title || ' 扫码加群' WHEN 1 THEN '例题：要求 ' || title WHEN 2 THEN '题型一 ' || title || ' ?' WHEN 3 THEN '选择题 知识点' WHEN 4 THEN '' ELSE title END"
+_ASKS = "(^|[^要])求|计算|证明|选择|选出|填空|填写|回答|解答|完成|补全|写出|列出|判断|化简|解方程|作图|画出|说明理由|请说明|问[:：]|多少|哪(个|项|一项)|下列|正确|错误|_{2,}|（\\s*）|\\(\\s*\\)|\\?|？"
+_TELLS = "题型\\s*[一二三四五六七八九十0-9]+|题型讲解|知识点|方法总结|考点|技巧|口诀|扫码|二维码|公众号|课程|视频|讲解|例题|广告|look at me|看成一个整体|插空法|捆绑法"
+
+
+@query("f19_question_text", f"SELECT material_id FROM (SELECT material_id, trim(coalesce({_SAID}, '')) <> '' AS filled, regexp_matches(lower({_SAID}), '{_TELLS}') AS tells, regexp_matches(replace({_SAID}, '选择题', ''), '{_ASKS}') AS asks, material_id % 7 = 0 AS opts FROM material WHERE title IS NOT NULL) WHERE (filled OR opts) AND (NOT tells OR asks OR opts)")
 def _(v):
-    k = F.col("staging_id") % 3
-    said = F.when(k == 0, "答题前请仔细阅读注意事项").when(k == 1, "注意：求 x 的值").otherwise("已知集合 A，求 A 的子集个数")
-    instruction, action = said.rlike("注意|阅读|须知|答题前"), said.rlike("求|证明|计算|(?<!请)选择|填空")
-    return v.staging.where(~(instruction & ~action)).select("staging_id")
+    k, title = F.col("material_id") % 6, F.col("title")
+    said = F.when(k == 0, F.concat(title, F.lit(" 扫码加群"))).when(k == 1, F.concat(F.lit("例题：要求 "), title)).when(k == 2, F.concat(F.lit("题型一 "), title, F.lit(" ?"))).when(k == 3, "选择题 知识点").when(k == 4, "").otherwise(title)
+    none = F.lit(None).cast("string")
+    empty = {c: none.alias(c) for c in ("type", "answer_area", "answer", "analysis", "figure_description", "raw_text")}
+    options = F.when(F.col("material_id") % 7 == 0, F.array(F.lit("A"), F.lit("B"))).alias("options")
+    subs = F.lit(None).cast("array<struct<number:string,stem:string,answer:string,analysis:string>>").alias("sub_questions")
+    figures = F.lit(None).cast("array<struct<description:string,labels:array<string>>>").alias("figures")
+    question = F.struct(said.alias("stem"), *empty.values(), options, subs, figures)
+    return v.material.where("title IS NOT NULL").select("material_id", question.alias("q")).where(text.is_question(F.col("q"))).select("material_id")
 
 
 @query("f20_preflight", "SELECT question_id, CASE WHEN question_type = 'choice' THEN 'no_options' ELSE '' END AS issues FROM question")
@@ -325,8 +382,8 @@ def _(v):
 
 @query("f25_group_filter", "SELECT upload_id FROM upload WHERE original_name = (SELECT original_name FROM upload WHERE upload_id = 3) AND subject_id = 1")
 def _(v):
-    groups = v.upload.groupBy("original_name").agg(F.collect_list("upload_id").alias("ids")).where(F.array_contains("ids", 3)).select("original_name")
-    return v.upload.where("subject_id = 1").join(groups, "original_name", "left_semi").select("upload_id")
+    group = v.upload.where("upload_id = 3").select("original_name")
+    return v.upload.where("subject_id = 1").join(group, "original_name", "left_semi").select("upload_id")
 
 
 @query("f26_usable_figures", "SELECT staging_id, CAST(CASE WHEN staging_id % 9 > 0 THEN 1 ELSE 0 END AS INTEGER) AS usable FROM staging")

@@ -24,12 +24,6 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def title(self):
-        return F.substring("text", 1, 20)
-
-    def name(self):
-        return F.regexp_replace(F.substring("text", 1, 12), '["\\\\\\x00-\\x1f]', " ")
-
     @cached_property
     def now(self):
         return F.lit(NOW).cast("timestamp")
@@ -68,7 +62,7 @@ class Views:
     @cached_property
     def graded(self) -> DataFrame:
         """Attempts with their question's point, points and difficulty."""
-        q = self.question.where("question_id < 25").select("question_id", "primary_kp", "kp_ids", "difficulty", "question_type")
+        q = self.question.select("question_id", "primary_kp", "kp_ids", "difficulty", "question_type")
         return self.attempt.join(q, "question_id")
 
     @cached_property
@@ -92,7 +86,7 @@ class Views:
     def material(self) -> DataFrame:
         d = F.col("doc_id")
         kind = F.element_at(F.array(*map(F.lit, TYPES)), (d % 8 + 1).cast("int"))
-        return self.table("documents").select(d.alias("material_id"), (d % 25).cast("int").alias("kp_id"), kind.alias("material_type"), self.title().alias("title"), (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(F.lit(0), (d % 1000).cast("int"))).alias("created_at"))
+        return self.table("documents").select(d.alias("material_id"), (d % 25).cast("int").alias("kp_id"), kind.alias("material_type"), F.col("text").alias("title"), (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(F.lit(0), (d % 1000).cast("int"))).alias("created_at"))
 
     @cached_property
     def upload(self) -> DataFrame:
@@ -103,20 +97,12 @@ class Views:
     def staging(self) -> DataFrame:
         """Parsed items of uploads: a JSON payload, its kind and review state."""
         d = F.col("doc_id")
-        payload = F.concat(F.lit('{"name":"'), self.name(), F.lit('","_subject_id":"'), (d % 2).cast("string"), F.lit('","page":'), (d % 9).cast("string"), F.lit(',"difficulty":'), F.when(d % 5 == 0, "null").otherwise((d % 6).cast("string")), F.lit("}"))
+        # the text as a JSON string, without the object around it
+        name = F.when(F.col("text").isNotNull(), F.expr("substr(to_json(struct(text)), 9, length(to_json(struct(text))) - 9)"))
+        payload = F.concat(F.lit('{"name":'), name, F.lit(',"_subject_id":"'), (d % 2).cast("string"), F.lit('","page":'), (d % 9).cast("string"), F.lit(',"difficulty":'), F.when(d % 5 == 0, "null").otherwise((d % 6).cast("string")), F.lit("}"))
         kind = F.element_at(F.array(*map(F.lit, ("source_document", "learning_material", "question", "knowledge_point"))), (d % 4 + 1).cast("int"))
         state = F.element_at(F.array(*map(F.lit, ("pending", "accepted", "rejected"))), (d % 3 + 1).cast("int"))
-        return self.table("documents").select(d.alias("staging_id"), (d % 50).alias("upload_id"), kind.alias("entity_kind"), state.alias("review_status"), payload.alias("payload"), F.when(d % 3 == 1, d % 25).alias("published_id"))
-
-
-class WholeTexts(Views):
-    """The tables with whole texts as titles and payload names; names are escaped as JSON."""
-
-    def title(self):
-        return F.col("text")
-
-    def name(self):
-        return F.when(F.col("text").isNotNull(), F.expr("substr(to_json(struct(text)), 10, length(to_json(struct(text))) - 11)"))
+        return self.table("documents").select(d.alias("staging_id"), (d % 48).alias("upload_id"), kind.alias("entity_kind"), state.alias("review_status"), payload.alias("payload"), F.when(d % 3 == 1, d % 25).alias("published_id"))
 
 
 #: The same tables as DuckDB CTEs; queries put them in front of their own SQL.
@@ -130,10 +116,10 @@ student AS (SELECT DISTINCT user_id AS student_id, user_id % 2 AS subject_id FRO
 unlocked AS (SELECT student_id, kp_id FROM student, (SELECT unnest(range(25)) AS kp_id) WHERE (kp_id + student_id) % 3 <> 0),
 session AS (SELECT session_id, student_id, min(answered_at) AS started_at, max(answered_at) AS ended_at, list(question_id ORDER BY attempt_id) AS question_ids FROM attempt GROUP BY ALL),
 redo AS (SELECT event_id AS redo_id, user_id AS student_id, (event_id * 7919) % 25 AS question_id, event_id % 3 <> 0 AS is_correct, ts AS answered_at FROM events WHERE event_type = 'signup'),
-material AS (SELECT doc_id AS material_id, doc_id % 25 AS kp_id, {list(TYPES)}[CAST(doc_id % 8 + 1 AS INTEGER)] AS material_type, substr(text, 1, 20) AS title, TIMESTAMP '2024-01-01' + to_hours(CAST(doc_id % 1000 AS INTEGER)) AS created_at FROM documents),
+material AS (SELECT doc_id AS material_id, doc_id % 25 AS kp_id, {list(TYPES)}[CAST(doc_id % 8 + 1 AS INTEGER)] AS material_type, text AS title, TIMESTAMP '2024-01-01' + to_hours(CAST(doc_id % 1000 AS INTEGER)) AS created_at FROM documents),
 upload AS (SELECT doc_id AS upload_id, sha256(text) AS sha256, source || '.pdf' AS original_name, CASE WHEN doc_id % 4 <> 0 THEN doc_id % 2 END AS subject_id, ['queued', 'running', 'parsed', 'failed'][CAST(doc_id % 4 + 1 AS INTEGER)] AS status FROM documents),
-staging AS (SELECT doc_id AS staging_id, doc_id % 50 AS upload_id, ['source_document', 'learning_material', 'question', 'knowledge_point'][CAST(doc_id % 4 + 1 AS INTEGER)] AS entity_kind, ['pending', 'accepted', 'rejected'][CAST(doc_id % 3 + 1 AS INTEGER)] AS review_status,
- '{{"name":"' || regexp_replace(substr(text, 1, 12), '["\\\\\\x00-\\x1f]', ' ', 'g') || '","_subject_id":"' || (doc_id % 2) || '","page":' || (doc_id % 9) || ',"difficulty":' || CASE WHEN doc_id % 5 = 0 THEN 'null' ELSE CAST(doc_id % 6 AS VARCHAR) END || '}}' AS payload, CASE WHEN doc_id % 3 = 1 THEN doc_id % 25 END AS published_id FROM documents),
+staging AS (SELECT doc_id AS staging_id, doc_id % 48 AS upload_id, ['source_document', 'learning_material', 'question', 'knowledge_point'][CAST(doc_id % 4 + 1 AS INTEGER)] AS entity_kind, ['pending', 'accepted', 'rejected'][CAST(doc_id % 3 + 1 AS INTEGER)] AS review_status,
+ '{{"name":' || CAST(to_json(text) AS VARCHAR) || ',"_subject_id":"' || (doc_id % 2) || '","page":' || (doc_id % 9) || ',"difficulty":' || CASE WHEN doc_id % 5 = 0 THEN 'null' ELSE CAST(doc_id % 6 AS VARCHAR) END || '}}' AS payload, CASE WHEN doc_id % 3 = 1 THEN doc_id % 25 END AS published_id FROM documents),
 step AS (SELECT *, CASE WHEN difficulty <= 2 THEN CASE WHEN is_correct THEN 5 ELSE -15 END WHEN difficulty = 3 THEN CASE WHEN is_correct THEN 10 ELSE -8 END ELSE CASE WHEN is_correct THEN 15 ELSE -3 END END AS delta FROM graded),
 mastery AS (SELECT student_id, kp_id, s.c / 100.0 AS mastery_score, s.p / 100.0 AS peak_mastery_score, n AS attempts, last_at FROM (SELECT student_id, primary_kp AS kp_id, count(*) AS n, max(answered_at) AS last_at,
  list_reduce(list({{'c': CAST(delta AS INTEGER), 'p': 0}} ORDER BY answered_at, attempt_id), lambda a, x: {{'c': greatest(0, least(100, a.c + x.c)), 'p': greatest(a.p, greatest(0, least(100, a.c + x.c)))}}, {{'c': 0, 'p': 0}}) AS s FROM step GROUP BY ALL)),

@@ -89,6 +89,27 @@ def reap_jobs(jobs: DataFrame, quiet: str = "10 minutes", quiet_ms: int = 600_00
     return jobs.withWatermark("ts", quiet).groupBy("job_id").transformWithStateInPandas(StaleJobs(quiet_ms), f"job_id {kind}, status string", "Update", "EventTime")
 
 
+class SerialWrites(StatefulProcessor):
+    """Writes of one key one after another: each gets the next number of its key, over batches and restarts."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.done = handle.getValueState("done", "n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        todo = pd.concat(list(rows)).sort_values(["ts", "write_id"])
+        n = self.done.get()[0] if self.done.exists() else 0
+        self.done.update((n + len(todo),))
+        yield pd.DataFrame({"key": key[0], "write_id": todo["write_id"].to_numpy(), "number": range(n + 1, n + len(todo) + 1)})
+
+    def close(self) -> None:
+        pass
+
+
+def serial_writes(writes: DataFrame) -> DataFrame:
+    """(key, write_id, number) of a stream of writes (key, write_id, ts): a key's writes are numbered by one task a batch."""
+    return writes.groupBy("key").transformWithStateInPandas(SerialWrites(), "key long, write_id long, number long", "Append", "None")
+
+
 def once(submissions: DataFrame, key: str = "session_id", late: str = "1 hour") -> DataFrame:
     """Each submission once: replays inside the watermark are dropped."""
     return submissions.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])

@@ -215,7 +215,8 @@ def test_fuzzy_tiers(spark):
 
 @pytest.mark.parametrize(
     "raw,shown",
-    [("$\\frac{a+1}{2}$", "(a+1)/2"), ("\\sqrt[3]{8}", "∛8"), ("x_{12}^2", "x₁₂^2"), ("$A\\subseteq B$", "A⊆ B"), ("\\leqslant\\leq\\le", "≤≤≤"), ("card(A(1))", "|A(1)|"), ("card(A", "card(A"), ("a\r\nb", "a\nb"), ("30^\\circ", "30°"), ("\\vec{AB}", "→AB"), ("\\mathbb{N}", "ℕ")],
+    [("$\\frac{a+1}{2}$", "(a+1)/2"), ("\\sqrt[3]{8}", "∛8"), ("x_{12}^2", "x₁₂^2"), ("$A\\subseteq B$", "A⊆ B"), ("\\leqslant\\leq\\le", "≤≤≤"), ("card(A(1))", "|A(1)|"), ("card(A", "card(A"), ("a\r\nb", "a\nb"), ("30^\\circ", "30°"), ("\\vec{AB}", "→AB"), ("\\mathbb{N}", "ℕ"), ("$\\left\\ x \\right\\ $", "x"), ("\\left\\{ x \\right.", "{ x"), ("\\overleftarrow{AB}", "←AB"), ("\\rm kg", "kg"), ("5\\mathrm{km}", "5km"), ("\\frac12", "1/2"), ("\\frac√32", "√3/2"), ("\\frac{1}{\\sqrt[n]{b}}", "1/ⁿ√b"),
+     ("\\frac{\\frac{a}{b}}{c+d}", "a/b/(c+d)"), ("\\begin{cases} x & 1 \\\\ y & 2 \\end{cases}", "{ x，1； y，2 }"), ("$\\sqrt[3]{8}$ costs $5", "∛8 costs $5"), ("\\unknown x", "\\unknown x"), ("\\times2", "×2"), ("a_1^2 x^{n+1}", "a₁^2 xⁿ⁺¹"), ("\\textbf", "bf"), ("\\not\\Rightarrow", "⇏"), ("m^{a,b}", "m^{a,b}"), ("", "")],
 )
 def test_display_text(raw, shown):
     assert udf.show_latex(raw) == shown
