@@ -1,16 +1,20 @@
 """Toxic spans by a linear-chain conditional random field over words.
 
 Labels mark documents, so the training words are labelled first: a word of a
-toxic document is toxic when its form or a stem of it is far commoner in toxic
-than in clean documents of the sample. The field is fitted to those labels by
-the gradient of its log-likelihood (forward-backward). Scoring takes the
+toxic document is toxic when its form or a stem of it is far and significantly
+commoner in toxic than in clean documents of the sample. The field, with the
+word's features, its neighbours' and its shape, is fitted to those labels by the
+gradient of its log-likelihood (forward-backward); then words that the field
+doesn't believe lose their label, and it is fitted again. Scoring takes the
 marginals of every word of the whole text; a logistic curve over their sum,
 maximum and density gives the document's score.
 """
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,8 +27,12 @@ from .common import doc_columns, ragged_take, row_chunks, split_words, text_byte
 
 #: Bounds of the training sample: documents of each label, and bytes of one text.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 1000, 2000, 1 << 15
-#: A feature marks toxic words from this many toxic documents (or one in LEAST_SHARE) and this odds ratio on.
-LEAST_DOCS, LEAST_SHARE, LEAST_RATIO = 3, 150, 8.0
+#: A feature marks toxic words from this many toxic documents, this odds ratio and this likelihood-ratio statistic on.
+LEAST_DOCS, LEAST_RATIO, LEAST_EVIDENCE = 3, 8.0, 12.0
+#: Times that the field is fitted and the words' labels are estimated from it.
+ROUNDS = 2
+#: One quiet segment in so many enters training, with so many times its weight.
+QUIET = 5
 STEMS = range(5, 10)
 FOLDS = 5
 SEGMENT, STEPS, RATE, DECAY = 128, 60, 0.2, 1e-3
@@ -43,19 +51,45 @@ def features(word: str) -> list[str]:
     return [f"={form}", *(form[:n] for n in STEMS if len(form) >= n)] if form else []
 
 
+def _shape(words: list[str]) -> np.ndarray:
+    """For each word, whether it is in capitals, and whether it ends in an exclamation mark."""
+    return np.array([(len(w) > 1 and w.isupper(), w.endswith("!")) for w in words], dtype=np.float64).reshape(len(words), 2)
+
+
+def _context(marked: np.ndarray, shape: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Columns of each word: the word before it is marked, that behind it is, and for marked words their shape."""
+    before, after = np.zeros(len(marked)), np.zeros(len(marked))
+    before[1:], after[:-1] = marked[:-1], marked[1:]
+    begins = offsets[:-1][np.diff(offsets) > 0]
+    before[begins] = 0.0
+    after[offsets[1:][np.diff(offsets) > 0] - 1] = 0.0
+    return np.column_stack([before, after, shape * marked[:, None]])
+
+
 @dataclass
 class Model:
-    """Emission weights of the toxic state, transition potentials, and the document curve."""
+    """Emission weights of the toxic state by feature and context, transition potentials, and the document curve."""
 
     weights: dict[str, float] = field(default_factory=dict)
+    context: np.ndarray = field(default_factory=lambda: np.zeros(4))
     bias: float = -CLIP
     moves: np.ndarray = field(default_factory=lambda: np.zeros(3))  # clean-toxic, toxic-clean, toxic-toxic
     curve: np.ndarray = field(default_factory=lambda: np.array([-3.0, 0.0, 0.0, 0.0]))
 
-    def emissions(self, words: list[str]) -> np.ndarray:
+    def emissions(self, words: list[str], codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Emission of every word of the sequences in offsets, whose words are numbered by codes."""
         get = self.weights.get
         raw = np.fromiter((sum(get(f, 0.0) for f in features(w)) for w in words), dtype=np.float64, count=len(words))
-        return np.clip(raw + self.bias, -CLIP, CLIP)
+        own = raw[codes]
+        if self.context.any() and len(codes):
+            marked = (raw != 0).astype(np.float64)[codes]
+            near = np.flatnonzero(marked)
+            if len(near):
+                # only words beside or at a marked one have context
+                shape = np.zeros((len(codes), 2))
+                shape[near] = _shape([words[k] for k in codes[near].tolist()])
+                own = own + _context(marked, shape, offsets) @ self.context
+        return np.clip(own + self.bias, -CLIP, CLIP)
 
     def score(self, marginals: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Score of each document from its words' marginals; wordless documents get the curve's floor."""
@@ -139,24 +173,91 @@ def marginals(unary: np.ndarray, offsets: np.ndarray, moves: np.ndarray) -> np.n
     return odds / (1.0 + odds)
 
 
-def _ratios(docs: list[np.ndarray], y: np.ndarray, forms: list[str]) -> dict[str, float]:
-    """Odds ratio of each feature of LEAST_DOCS toxic documents or more; a small table of counts thins them out first."""
+def _marks(docs: list[np.ndarray], y: np.ndarray, forms: list[str]) -> list[str]:
+    """The features that mark toxic words, by one rule for samples of every size; a small table of counts thins them out first."""
     size = 1 << 21
     cells = np.zeros(size, dtype=np.int32)
+    slot = lambda f: zlib.crc32(f.encode("utf-8", "surrogatepass")) % size
     for d in (d for d, toxic in zip(docs, y) if toxic):
-        cells[np.unique([hash(f) % size for k in np.unique(d) for f in features(forms[k])]).astype(np.int64)] += 1
+        cells[np.unique([slot(f) for k in np.unique(d) for f in features(forms[k])]).astype(np.int64)] += 1
     seen: dict[str, list[int]] = {}
     for toxic in (1, 0):
         for d in (d for d, t in zip(docs, y) if t == toxic):
             for f in {f for k in np.unique(d) for f in features(forms[k])}:
                 if f in seen:
                     seen[f][toxic] += 1
-                elif toxic and cells[hash(f) % size] >= LEAST_DOCS:
+                elif toxic and cells[slot(f)] >= LEAST_DOCS:
                     seen[f] = [0, 1]
     clean, bad = int((y == 0).sum()), int((y == 1).sum())
-    # a word in a few near copies of one toxic document is no evidence in a large sample
-    least = max(LEAST_DOCS, bad // LEAST_SHARE)
-    return {f: (n1 + 0.1) / (bad + 0.2) * (clean + 0.2) / (n0 + 0.1) for f, (n0, n1) in seen.items() if n1 >= least}
+
+    def evidence(n0: int, n1: int) -> float:
+        """Likelihood-ratio statistic of the table of documents with and without the feature."""
+        total, having = clean + bad, n0 + n1
+        table = [(n1, bad, having), (n0, clean, having), (bad - n1, bad, total - having), (clean - n0, clean, total - having)]
+        return 2 * sum(n * math.log(n * total / (row * column)) for n, row, column in table if n)
+
+    ratio = lambda n0, n1: (n1 + 0.1) / (bad + 0.2) * (clean + 0.2) / (n0 + 0.1)
+    return sorted(f for f, (n0, n1) in seen.items() if n1 >= LEAST_DOCS and ratio(n0, n1) >= LEAST_RATIO and evidence(n0, n1) >= LEAST_EVIDENCE)
+
+
+@dataclass
+class Sequences:
+    """Training sequences: (row, col) of the words' features, context, offsets, labels and weights of the words."""
+
+    rows: np.ndarray
+    cols: np.ndarray
+    size: int
+    context: np.ndarray
+    offsets: np.ndarray
+    truth: np.ndarray
+    weight: np.ndarray
+
+    def unary(self, w: np.ndarray, v: np.ndarray, bias: float) -> np.ndarray:
+        return np.clip(bias + np.bincount(self.rows, weights=w[self.cols], minlength=len(self.truth)) + self.context @ v, -CLIP, CLIP)
+
+
+def likelihood(data: Sequences, w: np.ndarray, v: np.ndarray, bias: float, moves: np.ndarray) -> tuple[float, list]:
+    """The weighted log-likelihood of the labels and its gradient by w, v, bias and moves.
+
+    With the clean state's potentials at 1, the clean path's share of the
+    partition sum grows by 1 + forward * exp(moves[1]) a word.
+    """
+    u = data.unary(w, v, bias)
+    f, g, e = chain(u, data.offsets, moves)
+    a, b, c = np.exp(moves)
+    n = len(u)
+    first, last = np.zeros(n, bool), np.zeros(n, bool)
+    some = np.diff(data.offsets) > 0
+    first[data.offsets[:-1][some]] = True
+    last[data.offsets[1:][some] - 1] = True
+    before, prior = np.concatenate([[0.0], f[:-1]]), np.concatenate([[0.0], data.truth[:-1]])
+    before[first], prior[first] = 0.0, 0.0
+    pairs = np.stack([(1 - prior) * data.truth, prior * (1 - data.truth), prior * data.truth])
+    # the pair's four states: clean-clean, clean-toxic, toxic-clean, toxic-toxic
+    four = np.stack([np.ones(n), a * e * g, before * b, before * c * e * g])
+    four /= four.sum(axis=0)
+    miss = (data.truth - f * g / (1.0 + f * g)) * data.weight
+    value = float((data.weight * (data.truth * u + moves @ pairs - np.log1p(before * b) - np.where(last, np.log1p(f), 0.0))).sum())
+    inside = np.abs(u) < CLIP
+    miss = np.where(inside, miss, 0.0)
+    return value, [np.bincount(data.cols, weights=miss[data.rows], minlength=data.size), data.context.T @ miss, float(miss.sum()), ((pairs - four[1:]) * data.weight).sum(axis=1)]
+
+
+def _climb(data: Sequences) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
+    """Parameters after STEPS steps of scaled gradient ascent with momentum."""
+    w, v, bias, moves = np.zeros(data.size), np.zeros(data.context.shape[1]), -3.0, np.zeros(3)
+    prior = np.concatenate([[0.0], data.truth[:-1]])
+    prior[data.offsets[:-1][np.diff(data.offsets) > 0]] = 0.0
+    real = np.array([((1 - prior) * data.truth).sum(), (prior * (1 - data.truth)).sum(), (prior * data.truth).sum()])
+    scale = [np.bincount(data.cols, minlength=data.size) + 1.0, np.abs(data.context).sum(axis=0) + 10.0, float(data.weight.sum()) + 1.0, np.maximum(real, 1.0) + 10.0]
+    speed = [np.zeros_like(w), np.zeros_like(v), 0.0, np.zeros(3)]
+    for _ in range(STEPS if len(data.truth) else 0):
+        _, gradient = likelihood(data, w, v, bias, moves)
+        for k, value in enumerate((w, v, bias, moves)):
+            speed[k] = 0.7 * speed[k] + gradient[k] / scale[k] - DECAY * value
+        w, v = np.clip(w + 8 * RATE * speed[0], -4.0, 8.0), np.clip(v + RATE * speed[1], -2.0, 2.0)
+        bias, moves = float(np.clip(bias + 8 * RATE * speed[2], -8.0, 0.0)), np.clip(moves + RATE * speed[3], -4, 4)
+    return w, v, bias, moves
 
 
 def fit(texts: list[str], toxic: list[int], rate: float | None = None) -> Model:
@@ -172,10 +273,8 @@ def fit(texts: list[str], toxic: list[int], rate: float | None = None) -> Model:
     vocabulary: dict[str, int] = {}
     docs = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in t.split()), dtype=np.int32) for t in texts]
     forms = list(vocabulary)
-    ratio = _ratios(docs, y, forms)
-    names = sorted(f for f, r in ratio.items() if r >= LEAST_RATIO)
+    names = _marks(docs, y, forms)
     index = {f: k for k, f in enumerate(names)}
-    # words of the training sequences: marked features, and labels from the documents
     is_marked = {k: own for k, w in enumerate(forms) if (own := [index[f] for f in features(w) if f in index])}
     flat = np.concatenate(docs)
     n = np.array([len(d) for d in docs])
@@ -183,51 +282,34 @@ def fit(texts: list[str], toxic: list[int], rate: float | None = None) -> Model:
     known[list(is_marked)] = True
     hits = known[flat]
     label = hits & np.repeat(y == 1, n)
-    # sequences are cut to segments, and those without a marked word are not needed in full
+    # sequences are cut to segments; of those without a marked word one in QUIET stands for all
     owner = np.repeat(np.arange(len(docs)), n)
     within = ragged_take(np.zeros(len(n), np.int64), n) // SEGMENT
-    seg = np.concatenate([[True], (np.diff(owner) != 0) | (np.diff(within) != 0)]) if len(flat) else np.zeros(0, bool)
-    starts = np.flatnonzero(seg)
+    starts = np.flatnonzero(np.concatenate([[True], (np.diff(owner) != 0) | (np.diff(within) != 0)])) if len(flat) else np.zeros(0, np.int64)
     bounds = np.concatenate([starts, [len(flat)]])
     busy = np.add.reduceat(hits, starts) > 0 if len(starts) else np.zeros(0, bool)
-    keep = busy | (np.arange(len(starts)) % 5 == 0)
-    take = ragged_take(bounds[:-1][keep], np.diff(bounds)[keep])
-    offsets = np.concatenate([[0], np.cumsum(np.diff(bounds)[keep])])
-    truth = label[take].astype(np.float64)
+    keep = busy | (np.arange(len(starts)) % QUIET == 0)
+    lengths = np.diff(bounds)[keep]
+    take = ragged_take(bounds[:-1][keep], lengths)
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
     rows, cols = [], []
     for at, k in enumerate(flat[take].tolist()):
         for f in is_marked.get(k, ()):
             rows.append(at)
             cols.append(f)
-    rows, cols = np.array(rows, np.int64), np.array(cols, np.int64)
-    w = np.zeros(len(names))
-    bias, moves = -3.0, np.zeros(3)
-    first = np.zeros(len(truth), bool)
-    first[offsets[:-1][np.diff(offsets) > 0]] = True
-    prior = np.concatenate([[0.0], truth[:-1]])
-    prior[first] = 0.0
-    real = np.array([((1 - prior) * truth).sum(), (prior * (1 - truth)).sum(), (prior * truth).sum()])
-    speed = [np.zeros_like(w), 0.0, np.zeros(3)]
-    for _ in range(STEPS if len(truth) else 0):
-        u = np.clip(bias + np.bincount(rows, weights=w[cols], minlength=len(truth)), -CLIP, CLIP)
-        f, g, e = chain(u, offsets, moves)
-        p = f * g / (1.0 + f * g)
-        a, b, c = np.exp(moves)
-        before = np.concatenate([[0.0], f[:-1]])
-        before[first] = 0.0
-        # the pair's four states: clean-clean, clean-toxic, toxic-clean, toxic-toxic
-        four = np.stack([np.ones(len(e)), a * e * g, before * b, before * c * e * g])
-        four /= four.sum(axis=0)
-        gradient = [np.bincount(cols, weights=(truth - p)[rows], minlength=len(w)), float((truth - p).sum()), real - four[1:].sum(axis=1)]
-        scale = [np.bincount(cols, minlength=len(w)) + 1.0, float(len(truth)), np.maximum(real, 1.0) + 10.0]
-        for k, value in enumerate((w, bias, moves)):
-            speed[k] = 0.7 * speed[k] + gradient[k] / scale[k] - DECAY * value
-        w, bias, moves = w + 8 * RATE * speed[0], bias + 8 * RATE * speed[1], np.clip(moves + RATE * speed[2], -4, 4)
-        w, bias = np.clip(w, -4.0, 8.0), float(np.clip(bias, -8.0, 0.0))
-    model = Model({f: float(x) for f, x in zip(names, w) if abs(x) > 1e-3}, bias, moves)
-    u = model.emissions(forms)[flat]
+    shape = _shape(forms)[flat[take]] if len(forms) else np.zeros((0, 2))
+    context = _context(hits[take].astype(np.float64), shape, offsets)
+    data = Sequences(np.array(rows, np.int64), np.array(cols, np.int64), len(names), context, offsets, label[take].astype(np.float64), np.repeat(np.where(busy, 1.0, float(QUIET))[keep], lengths))
+    for turn in range(ROUNDS):
+        w, v, bias, moves = _climb(data)
+        if turn < ROUNDS - 1:
+            # a word keeps its label where the field believes it, or believes no other word of its segment more
+            p = marginals(data.unary(w, v, bias), offsets, moves)
+            most = np.maximum.reduceat(p, offsets[:-1][lengths > 0]) if len(p) else p
+            data.truth = data.truth * ((p >= 0.5) | (p >= np.repeat(most, lengths[lengths > 0])))
+    model = Model({f: float(x) for f, x in zip(names, w) if abs(x) > 1e-3}, v, bias, moves)
     ends = np.concatenate([[0], np.cumsum(n)])
-    x = _summary(marginals(u, ends, moves), ends)
+    x = _summary(marginals(model.emissions(forms, flat, ends), ends, moves), ends)
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     curve = np.zeros(4)
     for _ in range(40):
@@ -279,7 +361,7 @@ def tag(docs: DataFrame, model: Model, threshold: float = 0.5, keep: tuple[str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             words, codes, first = split_words(batch.column(1))
-            unary = model.emissions(words.to_pylist())[codes]
+            unary = model.emissions(words.to_pylist(), codes, first)
             p = np.concatenate([marginals(unary[first[a] : first[b]], first[a : b + 1] - first[a], model.moves) for a, b in row_chunks(first * 6, 8 << 20)] or [np.zeros(0)])
             score = model.score(p, first)
             flagged = p >= threshold

@@ -328,6 +328,38 @@ def test_chain_marginals_equal_enumeration():
         assert np.allclose(got[a:b], on / total)
 
 
+def test_field_gradient_equals_differences():
+    r = np.random.default_rng(5)
+    lengths = [6, 1, 9, 2]
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    n = int(offsets[-1])
+    rows, cols = r.integers(0, n, 25), r.integers(0, 4, 25)
+    data = toxicity.Sequences(rows, cols, 4, r.normal(size=(n, 4)), offsets, r.integers(0, 2, n).astype(float), np.repeat([1.0, 5.0, 1.0, 5.0], lengths))
+    at = [r.normal(size=4), r.normal(size=4) * 0.3, -0.7, r.normal(size=3)]
+    value, gradient = toxicity.likelihood(data, *at)
+    assert value < 0
+    for part in range(4):
+        for k in range(np.size(at[part])):
+            shifted = []
+            for d in (1e-6, -1e-6):
+                moved = [np.array(x, dtype=float, copy=True) for x in at]
+                moved[part].reshape(-1)[k] += d
+                moved[2] = float(moved[2])
+                shifted.append(toxicity.likelihood(data, *moved)[0])
+            assert np.isclose((shifted[0] - shifted[1]) / 2e-6, np.reshape(gradient[part], -1)[k], rtol=1e-4, atol=1e-5), (part, k)
+
+
+def test_toxicity_on_the_tables(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = {x["doc_id"]: x for x in toxicity.toxicity(docs, labels).select("doc_id", "held_out", "score", "predicted").collect()}
+    truth = {x["doc_id"]: x["toxic"] for x in labels.where("toxic IS NOT NULL").collect()}
+    held = [d for d in truth if d in got and got[d]["held_out"]]
+    found = sum(truth[d] == 1 == got[d]["predicted"] for d in held)
+    toxic, flagged = sum(truth[d] for d in held), sum(got[d]["predicted"] for d in held)
+    print(f"held out: {len(held)}, toxic {toxic}, recall {found / toxic:.3f}, precision {found / flagged:.3f}")
+    assert toxic >= 50 and found / toxic >= 0.9 and found / flagged >= 0.95
+
+
 def toxic_corpus(n=600):
     r = random.Random(3)
     words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(300)]

@@ -58,7 +58,11 @@ def toxic_stage(rows, labels):
     a, b, c = np.exp(model.moves)
     keep = []
     for row in rows:
-        e = [float(np.exp(model.emissions([w])[0])) for w in re.findall(r"[^ \t-\r]+", row[1] or "")]
+        words = re.findall(r"[^ \t-\r]+", row[1] or "")
+        own = [sum(model.weights.get(x, 0.0) for x in toxicity.features(w)) for w in words]
+        mark = [0, *[x != 0 for x in own], 0]
+        near = lambda k: np.array([mark[k], mark[k + 2], mark[k + 1] and len(words[k]) > 1 and words[k].isupper(), mark[k + 1] and words[k].endswith("!")], dtype=float) @ model.context
+        e = [float(np.exp(min(20.0, max(-20.0, x + near(k) + model.bias)))) for k, x in enumerate(own)]
         forward, back, p = [], 1.0, [0.0] * len(e)
         for x in e:
             forward.append(x * a if not forward else x * (a + forward[-1] * c) / (1 + forward[-1] * b))
