@@ -67,11 +67,14 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, keep
             parts = [np.zeros(0, np.uint64)]
             for a, b in row_chunks(offsets):
                 parts.append(_fingerprints(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shingle, seed))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(parts).view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(parts).view(np.int64)), *[batch.column(k) for k in places]], ["doc_id", "fp", *names])
 
     names = [f"_{k}" for k in range(len(keep))]
     kinds = [f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, keep)]
-    return doc_columns(docs, *[F.col(c).alias(n) for n, c in zip(names, keep)]).mapInArrow(run, ", ".join(["doc_id long", "fp long", *kinds]))
+    # the text itself is there already
+    others = [(n, c) for n, c in zip(names, keep) if c != "text"]
+    places = [1 if c == "text" else 2 + [o for o, _ in others].index(n) for n, c in zip(names, keep)]
+    return doc_columns(docs, *[F.col(c).alias(n) for n, c in others]).mapInArrow(run, ", ".join(["doc_id long", "fp long", *kinds]))
 
 
 def _blocks(radius: int) -> list[tuple[int, int]]:

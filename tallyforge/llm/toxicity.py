@@ -37,6 +37,8 @@ STEMS = range(5, 10)
 FOLDS = 5
 SEGMENT, STEPS, RATE, DECAY = 128, 60, 0.2, 1e-3
 CLIP = 20.0
+#: Bytes of text that are tagged at once.
+TAG_BYTES = 4 << 20
 _EDGES = re.compile(r"^\W+|\W+$")
 
 
@@ -81,14 +83,14 @@ class Model:
         get = self.weights.get
         raw = np.fromiter((sum(get(f, 0.0) for f in features(w)) for w in words), dtype=np.float64, count=len(words))
         own = raw[codes]
-        if self.context.any() and len(codes):
-            marked = (raw != 0).astype(np.float64)[codes]
-            near = np.flatnonzero(marked)
-            if len(near):
-                # only words beside or at a marked one have context
-                shape = np.zeros((len(codes), 2))
-                shape[near] = _shape([words[k] for k in codes[near].tolist()])
-                own = own + _context(marked, shape, offsets) @ self.context
+        # only words beside or at a marked one have context
+        near = np.flatnonzero((raw != 0)[codes]) if self.context.any() else np.zeros(0, np.int64)
+        if len(near):
+            row = np.searchsorted(offsets, near, side="right")
+            behind, ahead = near[near + 1 < offsets[row]], near[near > offsets[row - 1]]
+            own[behind + 1] += self.context[0]
+            own[ahead - 1] += self.context[1]
+            own[near] += _shape([words[k] for k in codes[near].tolist()]) @ self.context[2:]
         return np.clip(own + self.bias, -CLIP, CLIP)
 
     def score(self, marginals: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -359,7 +361,7 @@ def tag(docs: DataFrame, model: Model, threshold: float = 0.5, keep: tuple[str,
     held = [1 if c == "text" else 3 + others.index(c) for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, limit=TAG_BYTES):
             words, codes, first = split_words(batch.column(1))
             unary = model.emissions(words.to_pylist(), codes, first)
             p = np.concatenate([marginals(unary[first[a] : first[b]], first[a : b + 1] - first[a], model.moves) for a, b in row_chunks(first * 6, 8 << 20)] or [np.zeros(0)])
