@@ -36,9 +36,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # ids for rows without one, after all others
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 62) + (1 << 61)) + F.shiftrightunsigned(F.xxhash64(text), 4))
-    own = docs.select(key.alias("doc_id"), text.alias("text"), F.struct(F.col("doc_id").isNull().alias("is_null"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), "lang", "source", "n_chars").alias("row"))
-    groups = simhash.near_duplicates(own, keep=("row",))
-    return groups.groupBy("component_id").agg(F.min("_0").alias("row")).select(*[f"row.{c}" for c in COLUMNS])
+    own = docs.select(key.alias("doc_id"), text.alias("text"), F.col("doc_id").cast("long").alias("given"), "lang", "source", "n_chars")
+    groups = simhash.near_duplicates(own, keep=("text", "given", "lang", "source", "n_chars"))
+    row = F.struct(F.col("_1").isNull().alias("without"), F.col("_1").alias("doc_id"), F.col("_0").alias("text"), F.col("_2").alias("lang"), F.col("_3").alias("source"), F.col("_4").alias("n_chars"))
+    return groups.groupBy("component_id").agg(F.min(row).alias("row")).select(*[f"row.{c}" for c in COLUMNS])
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
