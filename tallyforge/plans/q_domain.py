@@ -18,6 +18,7 @@ from tallyforge.streaming import attempts
 
 from . import ingest, learning
 from .q_aggregate import ITEMS_SQL, STATS_SQL, items
+from .q_join import HINTS_SQL, name_hints
 from .registry import query
 
 PLAN_SQL = """allowed AS (SELECT u.student_id, u.kp_id, row_number() OVER (PARTITION BY u.student_id ORDER BY u.kp_id) - 1 AS place FROM unlocked u JOIN kp USING (kp_id) JOIN student s ON s.student_id = u.student_id WHERE kp.subject_id = s.subject_id),
@@ -272,15 +273,13 @@ def _(v):
     return ingest.publish(v.staging, F.col("review_status") == "pending", problems)[1]
 
 
-@query("p19_bulk_publish", "SELECT staging_id, CASE WHEN staging_id % 4 = 3 THEN 'no_knowledge_point' ELSE '' END AS skip, greatest(1, least(5, CASE WHEN staging_id % 5 = 0 THEN 0 ELSE staging_id % 6 END)) AS difficulty FROM staging")
+@query("p19_bulk_publish", f"WITH {HINTS_SQL} SELECT staging_id, kp_id, CASE WHEN kp_id IS NULL THEN 'no_knowledge_point' ELSE '' END AS skip, greatest(1, least(5, CASE WHEN staging_id % 5 = 0 THEN 0 ELSE staging_id % 6 END)) AS difficulty FROM staging LEFT JOIN (SELECT h.hint_id, m.kp_id FROM hints h JOIN matched m USING (subject_id, h) WHERE hint_id % 3 > 0) ON hint_id = staging_id")
 def _(v):
-    points = v.spark.createDataFrame([(1, 0, "alpha"), (2, 0, "gamma")], "kp_id int, subject_id int, name string")
-    s = F.col("staging_id")
-    hint = F.when(s % 4 == 3, "xyz").otherwise("alpha")
-    found = fuzzy.match_hints(v.staging.select(s.alias("hint_id"), F.lit(0).alias("subject_id"), hint.alias("hint")), points)
-    rows = v.staging.join(found, s == F.col("hint_id"), "left")
+    """Two thirds of the staged rows come with a hint; the others, and those without a match, are left out for a reason."""
+    found = fuzzy.match_hints(name_hints(v).where("hint_id % 3 > 0"), v.kp).select("hint_id", "kp_id")
+    rows = v.staging.join(found, F.col("staging_id") == F.col("hint_id"), "left")
     level = F.coalesce(F.get_json_object("payload", "$.difficulty").try_cast("int"), F.lit(0))
-    return rows.select("staging_id", F.when(F.col("kp_id").isNull(), "no_knowledge_point").otherwise("").alias("skip"), F.greatest(F.lit(1), F.least(F.lit(5), level)).alias("difficulty"))
+    return rows.select("staging_id", "kp_id", F.when(F.col("kp_id").isNull(), "no_knowledge_point").otherwise("").alias("skip"), F.greatest(F.lit(1), F.least(F.lit(5), level)).alias("difficulty"))
 
 
 @query("p20_job_outcome", "SELECT upload_id, CASE WHEN bool_or(staging_id % 7 = 0) AND sum(CASE WHEN review_status = 'accepted' THEN 1 ELSE 0 END) = 0 THEN 'failed' ELSE 'parsed' END AS job_status, CASE WHEN NOT bool_or(staging_id % 7 = 0) THEN 'ok' WHEN sum(CASE WHEN review_status = 'accepted' THEN 1 ELSE 0 END) = 0 THEN 'failed' ELSE 'partial' END AS analysis_status FROM staging GROUP BY upload_id")

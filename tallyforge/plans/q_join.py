@@ -90,12 +90,26 @@ def _(v):
     return v.unlocked.join(scope, "kp_id").select("student_id", "kp_id", "chapter")
 
 
-@query("j14_tiered_fuzzy", "SELECT staging_id AS hint_id, CASE staging_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 3 END AS kp_id, CASE staging_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 4 END AS tier FROM staging")
+#: Hints made of the points' names, matched again by all their substrings.
+HINTS_SQL = """hints AS (SELECT staging_id AS hint_id, subject_id, lower(CASE staging_id % 4 WHEN 0 THEN name WHEN 1 THEN name || ' basics' WHEN 2 THEN substr(name, 1, 3) ELSE 'zz' || substr(name, 2, 3) || 'q' END) AS h FROM staging JOIN kp ON kp.kp_id = staging_id % 25),
+asked AS (SELECT DISTINCT subject_id, h FROM hints),
+pairs AS (SELECT a.subject_id, a.h, k.kp_id, lower(k.name) AS n FROM asked a JOIN kp k USING (subject_id)),
+direct AS (SELECT subject_id, h, kp_id, CASE WHEN h = n THEN 1 ELSE 2 END AS tier, 0 AS shared FROM pairs WHERE contains(h, n) OR contains(n, h)),
+parts AS (SELECT DISTINCT h, substr(h, i, l) AS part FROM asked, (SELECT unnest(range(1, 40)) AS i), (SELECT unnest(range(2, 40)) AS l) WHERE i + l - 1 <= length(h)),
+common AS (SELECT p.subject_id, p.h, p.kp_id, 4 AS tier, max(length(part)) AS shared FROM pairs p JOIN parts s ON s.h = p.h AND contains(p.n, s.part) WHERE NOT EXISTS (SELECT 1 FROM direct d WHERE d.subject_id = p.subject_id AND d.h = p.h) GROUP BY ALL),
+matched AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subject_id, h ORDER BY tier, shared DESC, kp_id) AS k FROM (SELECT * FROM direct UNION ALL SELECT * FROM common)) WHERE k = 1)"""
+
+
+def name_hints(v):
+    k, name = F.col("staging_id") % 4, F.col("name")
+    hint = F.when(k == 0, name).when(k == 1, F.concat(name, F.lit(" basics"))).when(k == 2, F.substring(name, 1, 3)).otherwise(F.concat(F.lit("zz"), F.substring(name, 2, 3), F.lit("q")))
+    rows = v.staging.withColumn("kp_id", F.col("staging_id") % 25).join(v.kp, "kp_id")
+    return rows.select(F.col("staging_id").alias("hint_id"), "subject_id", hint.alias("hint"))
+
+
+@query("j14_tiered_fuzzy", f"WITH {HINTS_SQL} SELECT hint_id, kp_id, tier FROM hints LEFT JOIN matched USING (subject_id, h)")
 def _(v):
-    points = v.spark.createDataFrame([(1, 0, "集合的并集"), (2, 0, "函数单调性"), (3, 0, "等差数列求和公式")], "kp_id int, subject_id int, name string")
-    k = F.col("staging_id") % 4
-    hint = F.when(k == 0, "集合的并集").when(k == 1, "函数单调").when(k == 2, "数列求和公式判定").otherwise("数列求和技巧")
-    return fuzzy.match_hints(v.staging.select(F.col("staging_id").alias("hint_id"), F.lit(0).alias("subject_id"), hint.alias("hint")), points)
+    return fuzzy.match_hints(name_hints(v), v.kp)
 
 
 @query("j15_scored_match", "SELECT staging_id AS item_id, CASE staging_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 END AS kp_id, CASE staging_id % 3 WHEN 0 THEN 0.98 WHEN 1 THEN 0.82 END AS score FROM staging WHERE staging_id % 3 < 2")
