@@ -29,14 +29,14 @@ def S():
     return F.col("staging_id")
 
 
-@query("c1_choice_answer", f"SELECT question_id, {_sql('question_id', 'AB', 'C', 'ABD', '')} AS answer FROM question")
+@query("c1_choice_answer", "SELECT question_id, array_to_string(list_sort(list_filter(string_split(regexp_replace(upper(stem), '[^A-Z]', '', 'g'), ''), lambda x: x <> '')), '') AS answer FROM question")
 def _(v):
-    return v.question.select("question_id", text.choice_answer(pick(Q(), " b a ", "Ｃ", "D,a;b", "12")).alias("answer"))
+    return v.question.select("question_id", text.choice_answer(F.col("stem")).alias("answer"))
 
 
-@query("c2_fill_in_answer", f"SELECT question_id, {_sql('question_id', '1,2', '1,2', 'X+1')} AS answer FROM question")
+@query("c2_fill_in_answer", "SELECT question_id, regexp_replace(translate(upper(stem || ' ， １；' || question_id || '、 x ;y'), '，、；;１', ',,,,1'), '\\s+', '', 'g') AS answer FROM question")
 def _(v):
-    return v.question.select("question_id", text.fill_in_answer(pick(Q(), " １，２ ", "1; 2", "x + 1")).alias("answer"))
+    return v.question.select("question_id", text.fill_in_answer(F.concat("stem", F.lit(" ， １；"), F.col("question_id").cast("string"), F.lit("、 x ;y"))).alias("answer"))
 
 
 @query("c3_answer_equality", "SELECT question_id, CASE WHEN question_type = 'choice' THEN question_id % 4 = 0 ELSE false END AS correct FROM question")
@@ -54,14 +54,16 @@ def _(v):
 _CHAPTERS = ("第十一章 集合", "第 4 章", "4.1", "4.4*", "", "第一百零二章", "第〇章", "第二十章", "第百章")
 
 
-@query("c5_chapter_number", f"SELECT staging_id, {_sql('staging_id', '11', '4', '4.1', '4.4*', 'unassigned', '第一百零二章', '0', '20', '100')} AS chapter FROM staging")
+@query("c5_chapter_number", "SELECT staging_id, CASE staging_id % 3 WHEN 0 THEN CAST(staging_id % 300 AS VARCHAR) WHEN 1 THEN (staging_id % 20) || '.' || (staging_id % 7) ELSE 'unassigned' END AS chapter FROM staging")
 def _(v):
-    return v.staging.select("staging_id", text.chapter_number(pick(S(), *_CHAPTERS)).alias("chapter"))
+    n = lambda k: (S() % k).cast("string")
+    raw = F.when(S() % 3 == 0, F.concat(F.lit(" 第 0"), n(300), F.lit(" 章 集合"))).when(S() % 3 == 1, F.concat(F.lit(" "), n(20), F.lit("."), n(7), F.lit("\t"))).otherwise(F.lit("  "))
+    return v.staging.select("staging_id", text.chapter_number(raw).alias("chapter"))
 
 
-@query("c6_chapter_label", f"SELECT staging_id, {_sql('staging_id', '第 4 章', '第 11 章', '附录', '未分章')} AS label FROM staging")
+@query("c6_chapter_label", "SELECT kp_id, CASE WHEN chapter_no IS NULL THEN '未分章' ELSE '第 ' || split_part(chapter_no, '.', 1) || ' 章' END AS label FROM kp")
 def _(v):
-    return v.staging.select("staging_id", text.chapter_label(pick(S(), "4.1", "011", "附录", "")).alias("label"))
+    return v.kp.select("kp_id", text.chapter_label(F.col("chapter_no")).alias("label"))
 
 
 @query("c7_title_volume", f"SELECT staging_id, {_sql('staging_id', '高中数学 选择性必修第二册', 'notes')} AS title, CASE WHEN staging_id % 2 = 0 THEN '选择性必修 第二册' END AS volume FROM staging")
@@ -103,19 +105,23 @@ def _(v):
     return v.staging.select("staging_id", F.array_join(F.transform(text.parse_options(raw), lambda o: F.concat_ws(":", o["label"], o["text"])), "|").alias("options"))
 
 
-@query("c14_knowledge_text", f"SELECT staging_id, {_sql('staging_id', 'abc', 'a集合')} AS t FROM staging")
+@query("c14_knowledge_text", "SELECT material_id, sha256(regexp_replace(regexp_replace(lower(coalesce(title, '')), '\\s+', '', 'g'), '[，。、“”‘’；：:,.()\\[\\]{}<>《》【】|_—-]', '', 'g')) AS t FROM material")
 def _(v):
-    return v.staging.select("staging_id", text.knowledge_text(pick(S(), " A,b (C) ", "A【集合】　")).alias("t"))
+    return v.material.select("material_id", F.sha2(text.knowledge_text(F.col("title")), 256).alias("t"))
 
 
-@query("c15_overlap", f"SELECT staging_id, {_sql('staging_id', 1.0, 0.5, 0.0)} AS overlap FROM staging")
+@query("c15_overlap", "SELECT question_id, round(len(list_intersect(x, y)) / least(len(x), len(y)), 9) AS overlap FROM (SELECT question_id, list_distinct(string_split(upper(stem), '')) AS x, list_distinct(string_split(name, '')) AS y FROM question JOIN kp ON kp.kp_id = primary_kp)")
 def _(v):
-    return v.staging.select("staging_id", text.character_overlap(pick(S(), "aabc", "ab", ""), pick(S(), "abcd", "bcc", "x")).alias("overlap"))
+    rows = v.question.join(v.kp, F.col("primary_kp") == F.col("kp_id"))
+    return rows.select("question_id", F.round(text.character_overlap(F.upper("stem"), F.col("name")), 9).alias("overlap"))
 
 
-@query("c16_common_substring", f"SELECT staging_id, {_sql('staging_id', '并集', 'abc', '')} AS common FROM staging")
+@query("c16_common_substring", """WITH pairs AS (SELECT question_id, upper(stem) AS a, upper(name) AS b FROM question JOIN kp ON kp.kp_id = primary_kp),
+parts AS (SELECT question_id, i, l, substr(a, i, l) AS part FROM pairs, (SELECT unnest(range(1, 80)) AS i), (SELECT unnest(range(1, 30)) AS l) WHERE i + l - 1 <= length(a) AND contains(b, substr(a, i, l)))
+SELECT question_id, coalesce(min_by(part, {'l': -l, 'i': i}), '') AS common FROM pairs LEFT JOIN parts USING (question_id) GROUP BY question_id""")
 def _(v):
-    return v.staging.select("staging_id", udf.common_substring(pick(S(), "并集及其运算", "xabcy", "q"), pick(S(), "集合的并集", "zabc", "w")).alias("common"))
+    rows = v.question.join(v.kp, F.col("primary_kp") == F.col("kp_id"))
+    return rows.select("question_id", udf.common_substring(F.upper("stem"), F.upper("name")).alias("common"))
 
 
 @query("c17_suffixes", f"SELECT staging_id, {_sql('staging_id', '集合的并集', '运算', '函数')} AS bare FROM staging")
@@ -123,9 +129,9 @@ def _(v):
     return v.staging.select("staging_id", text.strip_suffixes(pick(S(), "集合的并集运算方法", "运算", "函数性质")).alias("bare"))
 
 
-@query("c18_string_hash", f"SELECT staging_id, {_sql('staging_id', '22ci', '1n1e4y', '0')} AS h FROM staging")
+@query("c18_string_hash", "SELECT question_id, lower(to_base(abs(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END), 36)) AS h FROM (SELECT question_id, list_reduce(list_transform(string_split(stem, ''), lambda c: CAST(unicode(c) AS BIGINT)), lambda a, c: (31 * a + c) & 4294967295, CAST(0 AS BIGINT)) AS h FROM question)")
 def _(v):
-    return v.staging.select("staging_id", udf.string_hash(pick(S(), "abc", "hello", "")).alias("h"))
+    return v.question.select("question_id", udf.string_hash(F.col("stem")).alias("h"))
 
 
 @query("c19_display_text", f"SELECT staging_id, {_sql('staging_id', 'x²+1/2 ≤ 3', '√2 ∈ ℝ', 'A∩B⊆C', '|A|=3')} AS shown FROM staging")
@@ -144,9 +150,9 @@ def _(v):
     return v.table("documents").select("doc_id", text.truncate(F.col("text"), 57).alias("preview"))
 
 
-@query("c22_slug", f"SELECT staging_id, {_sql('staging_id', 'a-b-c', 'unknown', 'x1')} AS slug FROM staging")
+@query("c22_slug", "SELECT material_id, sha256(CASE WHEN s = '' THEN 'unknown' ELSE s END) AS slug FROM (SELECT material_id, regexp_replace(regexp_replace(lower(trim(title)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM material WHERE title IS NOT NULL)")
 def _(v):
-    return v.staging.select("staging_id", text.slug(pick(S(), " A b--C! ", "集合", "X1")).alias("slug"))
+    return v.material.where("title IS NOT NULL").select("material_id", F.sha2(text.slug(F.col("title")), 256).alias("slug"))
 
 
 @query("c23_labels", "SELECT kp_id, name || CASE WHEN chapter_no IS NULL THEN '' ELSE ' · ' || chapter_no END AS label FROM kp")
@@ -164,10 +170,11 @@ def _(v):
     return v.kp.groupBy("subject_id").agg(text.task_summary(core.ordered_list(["kp_id"], F.col("name"))).alias("summary"))
 
 
-@query("c26_provider_slug", f"SELECT staging_id, {_sql('staging_id', 'gpt-5', 'model-x')} AS slug FROM staging")
+@query("c26_provider_slug", "SELECT question_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(CASE WHEN question_id % 2 = 0 THEN 'openai/' || stem || '-latest' ELSE stem || ' preview' END), '^[a-z]+[/:]', ''), '-(latest|preview)$', ''), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM question")
 def _(v):
-    bare = F.regexp_replace(F.regexp_replace(pick(S(), "openai/gpt-5-latest", "vendor:model-x"), "^[a-z]+[/:]", ""), "-(latest|preview)$", "")
-    return v.staging.select("staging_id", text.slug(bare).alias("slug"))
+    raw = F.when(Q() % 2 == 0, F.concat(F.lit("openai/"), "stem", F.lit("-latest"))).otherwise(F.concat("stem", F.lit(" preview")))
+    bare = F.regexp_replace(F.regexp_replace(F.lower(raw), "^[a-z]+[/:]", ""), "-(latest|preview)$", "")
+    return v.question.select("question_id", text.slug(bare).alias("slug"))
 
 
 @query("c27_sha256", "SELECT doc_id, sha256(text) AS h FROM documents", views=False)
@@ -193,14 +200,16 @@ def _(v):
     return v.staging.select("staging_id", jsonx.text_field(F.parse_json("payload"), "source_page", "page_number", "page").alias("page"))
 
 
-@query("c31_content_type", f"SELECT staging_id, {_sql('staging_id', 'image/png', 'image/jpeg', 'image/webp', 'application/octet-stream')} AS kind FROM staging")
+@query("c31_content_type", "SELECT question_id, CASE WHEN regexp_matches(n, '\\.png$') THEN 'image/png' WHEN regexp_matches(n, '\\.jpe?g$') THEN 'image/jpeg' WHEN regexp_matches(n, '\\.webp$') THEN 'image/webp' ELSE 'application/octet-stream' END AS kind FROM (SELECT question_id, lower(stem || ['.PNG', '.jpg', '.Jpeg', '.webp', '.png.txt', ''][CAST(question_id % 6 + 1 AS INTEGER)]) AS n FROM question)")
 def _(v):
-    return v.staging.select("staging_id", text.content_type(pick(S(), "a.PNG", "b.jpg", "c.webp", "d")).alias("kind"))
+    suffix = F.element_at(F.array(*map(F.lit, (".PNG", ".jpg", ".Jpeg", ".webp", ".png.txt", ""))), (Q() % 6 + 1).cast("int"))
+    return v.question.select("question_id", text.content_type(F.concat("stem", suffix)).alias("kind"))
 
 
-@query("c32_data_url", f"SELECT staging_id, {_sql('staging_id', 'QUJD', 'plain')} AS body FROM staging")
+@query("c32_data_url", "SELECT upload_id, CASE WHEN upload_id % 2 = 0 THEN sha256 ELSE 'x;base64,' || sha256 END AS body FROM upload")
 def _(v):
-    return v.staging.select("staging_id", text.strip_data_url(pick(S(), "data:image/png;base64,QUJD", "plain")).alias("body"))
+    head = F.when(F.col("upload_id") % 2 == 0, "data:image/png;base64,").otherwise("x;base64,")
+    return v.upload.select("upload_id", text.strip_data_url(F.concat(head, F.col("sha256"))).alias("body"))
 
 
 @query("c33_display_heading", "SELECT kp_id, CASE WHEN chapter_no IS NULL THEN name ELSE chapter_no || ' ' || name END AS heading FROM kp")

@@ -255,3 +255,41 @@ def test_entry_without_llm(tmp_path):
     code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert 'p1_session_planner' in q and 'pipeline' not in q and not [k for k in q if k.startswith('op')]; print(len(q), len(o))"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(tmp_path / "r")})
     assert out.returncode == 0, out.stderr
+
+
+@pytest.mark.parametrize(
+    "function,cases",
+    [
+        (text.choice_answer, {" b a ": "AB", "Ｃ": "C", "D,a;b": "ABD", "12": ""}),
+        (text.fill_in_answer, {" １，２ ": "1,2", "1; 2": "1,2", "x + 1": "X+1"}),
+        (text.chapter_number, {"第十一章 集合": "11", "第 4 章": "4", "4.1": "4.1", "4.4*": "4.4*", "": "unassigned", "第一百零二章": "第一百零二章", "第〇章": "0", "第二十章": "20", "第百章": "100"}),
+        (text.chapter_label, {"4.1": "第 4 章", "011": "第 11 章", "附录": "附录", "": "未分章"}),
+        (text.knowledge_text, {" A,b (C) ": "abc", "A【集合】　": "a集合"}),
+        (text.slug, {" A b--C! ": "a-b-c", "集合": "unknown", "X1": "x1"}),
+        (text.content_type, {"a.PNG": "image/png", "b.jpg": "image/jpeg", "c.webp": "image/webp", "d": "application/octet-stream"}),
+        (text.strip_data_url, {"data:image/png;base64,QUJD": "QUJD", "plain": "plain"}),
+        (udf.string_hash, {"abc": "22ci", "hello": "1n1e4y", "": "0"}),
+    ],
+)
+def test_text_functions_on_fixed_cases(spark, function, cases):
+    rows = spark.createDataFrame([(k,) for k in cases], "raw string")
+    assert {r["raw"]: r["out"] for r in rows.select("raw", function(F.col("raw")).alias("out")).collect()} == cases
+
+
+def test_pairs_of_texts_on_fixed_cases(spark):
+    rows = spark.createDataFrame([("aabc", "abcd", 1.0, "abc"), ("ab", "bcc", 0.5, "b"), ("", "x", 0.0, ""), ("并集及其运算", "集合的并集", 0.4, "并集"), ("xabcy", "zabc", 0.75, "abc"), ("abXbc", "bcab", 1.0, "ab")], "a string, b string, overlap double, common string")
+    got = rows.select("overlap", text.character_overlap(F.col("a"), F.col("b")).alias("o"), "common", udf.common_substring(F.col("a"), F.col("b")).alias("c")).collect()
+    assert [r["c"] for r in got] == [r["common"] for r in got]
+    assert [round(r["o"], 6) for r in got[:3]] == [r["overlap"] for r in got[:3]]
+
+
+def test_questions_are_told_from_instructions(spark):
+    kind = "type string, stem string, answer_area string, answer string, analysis string, figure_description string, raw_text string, options array<string>, sub_questions array<struct<number:string,stem:string,answer:string,analysis:string>>, figures array<struct<description:string,labels:array<string>>>"
+    make = lambda stem, options=None, subs=None, figures=None: (None, stem, None, None, None, None, None, options, subs, figures)
+    cases = [
+        (make("已知集合 A，求 A 的子集个数"), True), (make("扫码关注公众号"), False), (make("题型一 讲解"), False), (make("例题：求 x"), True), (make("例题：要求 x"), False), (make(" "), False), (make(None, ["A", "B"]), True),
+        (make("知识点", ["A"]), False), (make("知识点", ["A", "B"]), True), (make("方法总结", None, [("1", "x", None, None)]), True), (make("选择题 技巧"), False), (make("plain text"), True), (make("看图", None, None, [("视频讲解", ["a"])]), False), (make("look at me"), False), (make("look at me ?"), True),
+    ]
+    rows = spark.createDataFrame([q for q, _ in cases], kind)
+    got = [r["ok"] for r in rows.select(text.is_question(F.struct(*[F.col(c) for c in rows.columns])).alias("ok")).collect()]
+    assert got == [ok for _, ok in cases]
