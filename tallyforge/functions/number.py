@@ -136,3 +136,8 @@ def apportion(shares: Column, count: Column) -> Column:
     key = lambda x: F.struct(F.negative(x["exact"] - F.floor(x["exact"])).alias("a"), F.negative(x["weight"]).alias("b"), F.negative(x["rank"]).alias("c"))
     order = F.array_sort(F.transform(exact, key))
     return F.transform(exact, lambda x: F.struct(x["key"].alias("key"), (F.floor(x["exact"]) + F.when(F.array_position(order, key(x)) <= left, 1).otherwise(0)).cast("int").alias("slots")))
+
+
+def is_expired(expires: Column, now: Column) -> Column:
+    """Whether a token's expiry, in whole seconds, is before now; one without an expiry never expires."""
+    return F.coalesce(expires < F.unix_seconds(now), F.lit(False))

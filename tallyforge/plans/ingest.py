@@ -101,3 +101,42 @@ def latest_job(uploads: DataFrame, jobs: DataFrame, key: str, most: int = 10) ->
 
 def in_order(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     return df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def take_rerun(old: DataFrame, new: DataFrame, found: DataFrame) -> DataFrame:
+    """old (old_id, payload, ...) with the payload of the new row (new_id, new_payload) that was found for it, its id as lineage, and the tier."""
+    rows = old.join(found, "old_id", "left").join(new, "new_id", "left")
+    return rows.withColumn("payload", F.coalesce("new_payload", "payload")).withColumn("lineage", F.col("new_id")).drop("new_id", "new_payload")
+
+
+#: Fixed value: the range of points that a textbook is expected to give.
+EXPECTED_RANGE = "100-180"
+
+
+def coverage(summary: Column, points: Column) -> Column:
+    """What went in and came out of a parse: the model's own counts and notes by their aliases, the points that were read, the expected range."""
+    first = lambda kind, *names: F.coalesce(*[F.try_variant_get(summary, f"$.{n}", kind) for n in names])
+    notes = F.coalesce(first("array<string>", "coverage_notes", "coverageNotes"), F.array().cast("array<string>"))
+    return F.struct(
+        first("int", "input_candidate_count", "inputCandidateCount").alias("input_candidate_count"), points.alias("output_knowledge_point_count"),
+        F.coalesce(first("string", "expected_range", "expectedRange"), F.lit(EXPECTED_RANGE)).alias("expected_range"), F.filter(F.transform(notes, lambda x: F.trim(x)), lambda x: x != "").alias("coverage_notes"),
+    )
+
+
+def verification(tables: dict[str, DataFrame], checks: dict[str, tuple[str, Column]]) -> DataFrame:
+    """(name, passed, detail): a row for each check on a table (rows that break it), for each table (rows), and 'ok' for all together.
+
+    checks maps a name to a table and the condition that every row has to meet;
+    each table is read once.
+    """
+    parts = []
+    for table, df in tables.items():
+        own = {name: c for name, (t, c) in checks.items() if t == table}
+        counts = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(~F.coalesce(c, F.lit(False))).alias(name) for name, c in own.items()])
+        rows = [F.struct(F.lit(f"{table}_found").alias("name"), (F.col("n") > 0).alias("passed"), F.col("n").alias("detail"))]
+        rows += [F.struct(F.lit(name).alias("name"), (F.col(name) == 0).alias("passed"), F.col(name).alias("detail")) for name in own]
+        parts.append(counts.select(F.inline(F.array(*rows))))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every.unionByName(every.agg(F.lit("ok").alias("name"), F.bool_and("passed").alias("passed"), F.count_if(~F.col("passed")).alias("detail")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import number, text
 from tallyforge.operators import core
 
-from . import learning
+from . import ingest, learning
 from .registry import query
 
 _STATUS = "CASE WHEN m.mastery_score IS NULL THEN 'not_started' WHEN m.mastery_score < 0.2 AND m.peak_mastery_score >= 0.5 THEN 'regressed' WHEN m.mastery_score < 0.5 THEN 'needs_work' WHEN m.mastery_score < 0.85 THEN 'learning' ELSE 'mastered' END"
@@ -204,15 +204,42 @@ def _(v):
     return v.kp.groupBy(text.chapter_label(F.col("chapter_no")).alias("chapter")).agg(F.array_join(core.ordered_list(["kp_id"], F.col("name")), "|").alias("points"))
 
 
-@query("a32_coverage", "SELECT count(*) AS inputs, count(DISTINCT kp_id) AS points, coalesce(max(NULL::INTEGER), 20) AS expected FROM material")
-def _(v):
-    return v.material.agg(F.count(F.lit(1)).alias("inputs"), F.count_distinct("kp_id").alias("points"), F.coalesce(F.max(F.lit(None).cast("int")), F.lit(20)).alias("expected"))
-
-
-@query("a33_verification", "SELECT 'materials' AS name, count(*) > 0 AS passed FROM material UNION ALL SELECT 'questions', count(*) > 0 FROM question UNION ALL SELECT 'all', true")
-def _(v):
-    checks = v.material.agg((F.count(F.lit(1)) > 0).alias("passed")).withColumn("name", F.lit("materials")).unionByName(v.question.agg((F.count(F.lit(1)) > 0).alias("passed")).withColumn("name", F.lit("questions")))
-    return checks.unionByName(checks.agg(F.bool_and("passed").alias("passed")).withColumn("name", F.lit("all"))).select("name", "passed")
+@query("a32_coverage", "SELECT upload_id, CASE WHEN upload_id % 3 = 0 THEN count(*) ELSE NULL END AS inputs, count(DISTINCT published_id) AS points, CASE WHEN upload_id % 4 = 0 THEN (upload_id + 1) || '-' || (upload_id + 9) ELSE '100-180' END AS expected, CASE WHEN upload_id % 2 = 0 THEN 'note ' || upload_id ELSE '' END AS notes FROM staging GROUP BY upload_id")
+def _(v):
+    """The model's summary of each upload under one spelling or another, or without some of its parts."""
+    got = v.staging.groupBy("upload_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("published_id").alias("points"))
+    u = F.col("upload_id")
+    parts = [
+        F.when(u % 3 == 0, F.concat(F.when(u % 2 == 0, '"input_candidate_count":').otherwise('"inputCandidateCount":'), F.col("n").cast("string"))),
+        F.when(u % 4 == 0, F.concat(F.lit('"expectedRange":"'), (u + 1).cast("string"), F.lit("-"), (u + 9).cast("string"), F.lit('"'))),
+        F.when(u % 2 == 0, F.concat(F.lit('"coverage_notes":[" note '), u.cast("string"), F.lit('",""]'))),
+    ]
+    summary = F.parse_json(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")))
+    c = ingest.coverage(summary, F.col("points"))
+    return got.select("upload_id", c.alias("c")).select("upload_id", F.col("c.input_candidate_count").cast("long").alias("inputs"), F.col("c.output_knowledge_point_count").alias("points"), F.col("c.expected_range").alias("expected"), F.array_join("c.coverage_notes", "|").alias("notes"))
+
+
+_CHECKS_SQL = """checks AS (SELECT 'materials_found' AS name, count(*) > 0 AS passed, count(*) AS detail FROM material
+UNION ALL SELECT 'titles_filled', count(*) = 0, count(*) FROM material WHERE title IS NULL OR trim(title) = ''
+UNION ALL SELECT 'types_known', count(*) = 0, count(*) FROM material WHERE material_type = 'study_advice'
+UNION ALL SELECT 'questions_found', count(*) > 0, count(*) FROM question
+UNION ALL SELECT 'stems_filled', count(*) = 0, count(*) FROM question WHERE trim(stem) = ''
+UNION ALL SELECT 'levels_in_range', count(*) = 0, count(*) FROM question WHERE difficulty NOT BETWEEN 1 AND 5
+UNION ALL SELECT 'points_unique', count(*) = 0, count(*) FROM question WHERE len(kp_ids) <> len(list_distinct(kp_ids))
+UNION ALL SELECT 'first_point_listed', count(*) = 0, count(*) FROM question WHERE NOT list_contains(kp_ids, primary_kp)
+UNION ALL SELECT 'staged_found', count(*) > 0, count(*) FROM staging
+UNION ALL SELECT 'pages_from_one', count(*) = 0, count(*) FROM staging WHERE NOT coalesce(CAST(json_extract_string(payload, '$.page') AS INTEGER) > 0, false)
+UNION ALL SELECT 'accepted_published', count(*) = 0, count(*) FROM staging WHERE review_status = 'accepted' AND published_id IS NULL)"""
+
+
+@query("a33_verification", f"WITH {_CHECKS_SQL} SELECT * FROM checks UNION ALL SELECT 'ok', bool_and(passed), count(*) FILTER (WHERE NOT passed) FROM checks")
+def _(v):
+    checks = {
+        "titles_filled": ("materials", F.trim("title") != ""), "types_known": ("materials", F.col("material_type") != "study_advice"),
+        "stems_filled": ("questions", F.trim("stem") != ""), "levels_in_range": ("questions", F.col("difficulty").between(1, 5)), "points_unique": ("questions", F.size("kp_ids") == F.size(F.array_distinct("kp_ids"))), "first_point_listed": ("questions", F.array_contains("kp_ids", F.col("primary_kp"))),
+        "pages_from_one": ("staged", F.get_json_object("payload", "$.page").cast("int") > 0), "accepted_published": ("staged", (F.col("review_status") != "accepted") | F.col("published_id").isNotNull()),
+    }
+    return ingest.verification({"materials": v.material, "questions": v.question, "staged": v.staging}, checks)
 
 
 @query("a34_dashboard_counts", "SELECT student_id, count(*) AS unlocked, count(*) FILTER (WHERE (SELECT count(*) FROM session s WHERE s.student_id = u.student_id AND s.ended_at >= date_trunc('week', (SELECT now FROM now_at))) > 0) > 0 AS active FROM unlocked u GROUP BY student_id")

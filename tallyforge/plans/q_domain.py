@@ -18,7 +18,7 @@ from tallyforge.streaming import attempts
 
 from . import ingest, learning
 from .q_aggregate import ITEMS_SQL, STATS_SQL, items
-from .q_join import HINTS_SQL, name_hints
+from .q_join import HINTS_SQL, RERUN_SQL, name_hints, rerun_rows
 from .registry import query
 
 PLAN_SQL = """allowed AS (SELECT u.student_id, u.kp_id, row_number() OVER (PARTITION BY u.student_id ORDER BY u.kp_id) - 1 AS place FROM unlocked u JOIN kp USING (kp_id) JOIN student s ON s.student_id = u.student_id WHERE kp.subject_id = s.subject_id),
@@ -342,11 +342,13 @@ def _(v):
     return _ingested(v.upload).select("upload_id", "material_type")
 
 
-@query("p28_rerun", "SELECT staging_id, CASE WHEN staging_id % 2 = 0 THEN 'new' ELSE 'old' END AS text, CASE WHEN staging_id % 2 = 0 THEN staging_id END AS lineage FROM staging")
+@query("p28_rerun", f"WITH {RERUN_SQL} SELECT s.staging_id, sha256(coalesce(n.content, s.payload)) AS payload, f.new_id AS lineage, CAST(f.tier AS INTEGER) AS tier FROM staging s LEFT JOIN found f ON f.old_id = s.staging_id LEFT JOIN n ON n.new_id = f.new_id WHERE s.staging_id % 96 < 48")
 def _(v):
-    old = v.staging.select("staging_id", F.lit("old").alias("text"), F.lit(None).cast("long").alias("lineage"))
-    new = v.staging.where("staging_id % 2 = 0").select("staging_id", F.lit("new").alias("text"), F.col("staging_id").alias("lineage"))
-    return core.upsert(old, new, ["staging_id"])
+    """Each old row takes the payload of the new row that its rerun matches, and keeps which one that was and how it was found."""
+    old, new = rerun_rows(v)
+    kept = v.staging.select(F.col("staging_id").alias("old_id"), "payload").where("old_id % 96 < 48")
+    rows = ingest.take_rerun(kept, new.select("new_id", F.col("content").alias("new_payload")), fuzzy.rerun_match(old, new))
+    return rows.select(F.col("old_id").alias("staging_id"), F.sha2("payload", 256).alias("payload"), "lineage", "tier")
 
 
 @query("p29_reject", "SELECT staging_id, CASE WHEN review_status = 'pending' AND upload_id = 7 THEN 'rejected' ELSE review_status END AS review_status FROM staging")

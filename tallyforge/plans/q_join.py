@@ -134,12 +134,24 @@ def _(v):
     return rows.select("staging_id", F.coalesce("k1", "k2").alias("kp_id"))
 
 
-@query("j18_rerun_match", "WITH o AS (SELECT upload_id, staging_id AS old_id, staging_id // 50 AS number FROM staging WHERE staging_id % 100 < 50), n AS (SELECT upload_id, staging_id AS new_id, CASE WHEN staging_id % 3 = 0 THEN (staging_id - 50) // 50 END AS number FROM staging WHERE staging_id % 100 >= 50) SELECT old_id, (min({'t': CASE WHEN o.number = n.number THEN 1 ELSE 3 END, 'n': new_id})).n AS new_id, CAST((min({'t': CASE WHEN o.number = n.number THEN 1 ELSE 3 END, 'n': new_id})).t AS INTEGER) AS tier FROM o JOIN n USING (upload_id) GROUP BY old_id")
+#: Old and new rows of an upload: every fifth row's content is one that its upload shares, every third new row keeps its old number.
+RERUN_SQL = """said AS (SELECT *, CASE WHEN staging_id % 5 = 0 THEN 'content that upload ' || upload_id || ' shares' ELSE payload END AS content FROM staging),
+o AS (SELECT upload_id, staging_id AS old_id, staging_id // 96 AS number, substr(regexp_replace(content, '\\s+', '', 'g'), 1, 30) AS c FROM said WHERE staging_id % 96 < 48),
+n AS (SELECT upload_id, staging_id AS new_id, content, CASE WHEN staging_id % 3 = 0 THEN staging_id // 96 END AS number, substr(regexp_replace(content, '\\s+', '', 'g'), 1, 30) AS c FROM said WHERE staging_id % 96 >= 48),
+found AS (SELECT old_id, new_id, tier FROM (SELECT *, row_number() OVER (PARTITION BY old_id ORDER BY tier, new_id) AS k FROM (SELECT old_id, new_id, CASE WHEN o.number = n.number THEN 1 WHEN length(o.c) > 10 AND o.c = n.c THEN 2 ELSE 3 END AS tier FROM o JOIN n USING (upload_id))) WHERE k = 1)"""
+
+
+def rerun_rows(v):
+    content = F.when(F.col("staging_id") % 5 == 0, F.concat(F.lit("content that upload "), F.col("upload_id").cast("string"), F.lit(" shares"))).otherwise(F.col("payload"))
+    rows = v.staging.select("upload_id", "staging_id", content.alias("content"), F.expr("staging_id div 96").alias("number"))
+    old = rows.where("staging_id % 96 < 48").withColumnRenamed("staging_id", "old_id")
+    new = rows.where("staging_id % 96 >= 48").withColumn("number", F.when(F.col("staging_id") % 3 == 0, F.col("number"))).withColumnRenamed("staging_id", "new_id")
+    return old, new
+
+
+@query("j18_rerun_match", f"WITH {RERUN_SQL} SELECT old_id, new_id, CAST(tier AS INTEGER) AS tier FROM found")
 def _(v):
-    rows = v.staging.withColumn("content", F.lit("x"))
-    old = rows.where("staging_id % 100 < 50").select("upload_id", F.col("staging_id").alias("old_id"), F.expr("staging_id div 50").alias("number"), "content")
-    new = rows.where("staging_id % 100 >= 50").select("upload_id", F.col("staging_id").alias("new_id"), F.expr("CASE WHEN staging_id % 3 = 0 THEN (staging_id - 50) div 50 END").alias("number"), "content")
-    return fuzzy.rerun_match(old, new)
+    return fuzzy.rerun_match(*rerun_rows(v))
 
 
 @query("j19_find_or_create", "SELECT DISTINCT s.upload_id, CASE WHEN s.staging_id % 2 = 0 THEN s.staging_id % 9 END AS page FROM staging s WHERE NOT EXISTS (SELECT 1 FROM staging e WHERE e.staging_id < 200 AND e.upload_id = s.upload_id AND (CASE WHEN e.staging_id % 2 = 0 THEN e.staging_id % 9 END) IS NOT DISTINCT FROM (CASE WHEN s.staging_id % 2 = 0 THEN s.staging_id % 9 END))")

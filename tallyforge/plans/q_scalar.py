@@ -260,6 +260,12 @@ def _(v):
     return v.question.select("question_id", number.review_interval((Q() % 8).cast("int"), Q() % 2 == 0).alias("days"))
 
 
+@query("d5_token_expiry", "SELECT attempt_id, CASE WHEN attempt_id % 5 = 0 THEN false ELSE epoch_us(answered_at) // 1000000 + 86400 * (attempt_id % 40) < epoch_us(now) // 1000000 END AS expired FROM attempt, now_at")
+def _(v):
+    expires = F.when(F.col("attempt_id") % 5 != 0, F.unix_seconds("answered_at") + 86400 * (F.col("attempt_id") % 40))
+    return v.attempt.select("attempt_id", number.is_expired(expires, v.now).alias("expired"))
+
+
 @query("d6_retry_delay", f"SELECT staging_id, {_sql('staging_id', 3000, 2500, 10000, 40000)} AS ms FROM staging")
 def _(v):
     return v.staging.select("staging_id", number.retry_delay_ms(pick(S(), "3", "soon", "", ""), pick(S(), "", "Retry after 2.5 s", "x", ""), pick(S(), 0, 0, 0, 2)).alias("ms"))
