@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -145,11 +146,48 @@ def test_a_cluster_needs_a_shared_folder(spark):
         common.shared_dir(Session)
 
 
-def test_tiff_media_equals_its_own_definition(spark):
-    """The stored form is read by the documented layout alone: deflate after the horizontal difference, rows of 192 samples."""
-    rows = [(1, "abc"), (2, ""), (3, None), (4, "z" * 700)]
+def test_tiff_codecs_on_the_published_examples():
+    packed = bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA")
+    plain = bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22AAAAAAAAAAAAAAAAAAAA")
+    assert tiff.unpack_bits(packed) == plain and tiff.unpack_bits(tiff.pack_bits(plain)) == plain
+    # nine-bit codes, high bit first: clear, 7, 258, 8, 8, 258, 6, 6, end
+    bits = "".join(f"{c:09b}" for c in (256, 7, 258, 8, 8, 258, 6, 6, 257))
+    coded = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    assert tiff.unpack_lzw(coded) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+
+
+def plain_reader(media):
+    """Pages of a little-endian TIFF of deflated strips with horizontal differences, by the format's text alone."""
+    assert media[:4] == b"II*\0"
+    (at,) = struct.unpack_from("<I", media, 4)
+    while at:
+        (n,) = struct.unpack_from("<H", media, at)
+        tags = {}
+        for k in range(n):
+            tag, kind, count, place = struct.unpack_from("<HHII", media, at + 2 + 12 * k)
+            size = {3: 2, 4: 4}[kind] * count
+            where = at + 2 + 12 * k + 8 if size <= 4 else place
+            tags[tag] = struct.unpack_from(f"<{count}{'H' if kind == 3 else 'I'}", media, where)
+        assert tags[259] == (8,) and tags[258] == (8,) and tags[317] == (2,)
+        rows = b"".join(zlib.decompress(media[p : p + c]) for p, c in zip(tags[273], tags[279]))
+        out = bytearray()
+        for k, x in enumerate(rows):
+            out.append((x + (out[-1] if k % tags[256][0] else 0)) & 255)
+        assert len(out) == tags[256][0] * tags[257][0]
+        yield bytes(out)
+        (at,) = struct.unpack_from("<I", media, at + 2 + 12 * n)
+
+
+def test_tiff_media_by_an_independent_reader(spark):
+    rows = [(1, "abc"), (2, ""), (3, None), (4, "z" * 700), (5, "é\n" * 5000), (6, "x" * 192 * 4097)]
     for x in tiff.media_report(spark.createDataFrame(rows, "doc_id long, text string")).collect():
         raw = (dict(rows)[x["doc_id"]] or "").encode()
         payload = raw.ljust(max(192, -(-len(raw) // 192) * 192), b" ")
-        pages = list(tiff.read_tiff(tiff.write_tiff([np.frombuffer(payload, np.uint8).reshape(-1, 192)], tiff.DEFLATE, 2)))
-        assert pages[0].tobytes() == payload and x["payload_sha256"] == hashlib.sha256(payload).hexdigest()
+        media = tiff.write_tiff(tiff.payload_pages(payload), tiff.DEFLATE, 2)
+        pages = list(plain_reader(media))
+        assert b"".join(pages) == payload and x["payload_sha256"] == hashlib.sha256(payload).hexdigest()
+        assert (x["media_bytes"], x["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+        count = np.bincount(np.frombuffer(payload, np.uint8), minlength=256)
+        share = count[count > 0] / len(payload)
+        want = f"pages={len(pages)};rows={len(payload) // 192};mean={sum(payload) / len(payload):.4f};levels={len(set(payload))};entropy={-(share * np.log2(share)).sum():.4f}"
+        assert x["feature"] == want
