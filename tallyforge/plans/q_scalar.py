@@ -84,19 +84,43 @@ def _(v):
     return v.staging.select("staging_id", facts.alias("f")).select("staging_id", "f.*")
 
 
-@query("c10_material_kind", f"SELECT staging_id, {_sql('staging_id', 'common_mistake', 'method_card', 'exam_trend', 'concept_explanation')} AS kind FROM staging")
+def _cascade(said, cascade, other):
+    """SQL for the name of the first pattern that said has."""
+    return "CASE " + " ".join(f"WHEN regexp_matches({said}, '{p}') THEN '{name}'" for p, name in cascade) + f" ELSE '{other}' END"
+
+
+_WORDS = ("易错点", "套路", "高频考点", "步骤", "口诀", "定义", "复习", "无", "")
+
+
+def _with_word(v, words):
+    """The materials' titles with one of the words behind them."""
+    word = F.element_at(F.array(*map(F.lit, words)), (F.col("material_id") % len(words) + 1).cast("int"))
+    return v.material.select("material_id", F.concat(F.coalesce("title", F.lit("")), F.lit(" "), word).alias("said"))
+
+
+def _with_word_sql(words):
+    return f"(SELECT material_id, coalesce(title, '') || ' ' || {list(words)}[CAST(material_id % {len(words)} + 1 AS INTEGER)] AS said FROM material)"
+
+
+@query("c10_material_kind", f"SELECT material_id, CASE WHEN material_id % 10 = 0 THEN 'study_advice' ELSE {_cascade('said', text.MATERIAL_KINDS, 'concept_explanation')} END AS kind FROM {_with_word_sql(_WORDS)}")
 def _(v):
-    return v.staging.select("staging_id", text.material_kind(pick(S(), "x", "method_card", "y", "z"), pick(S(), "易错点", "t", "高频考点", "无"), F.lit("")).alias("kind"))
+    asked = F.when(F.col("material_id") % 10 == 0, "study_advice").otherwise("other")
+    return _with_word(v, _WORDS).select("material_id", text.material_kind(asked, F.col("said"), F.lit("")).alias("kind"))
+
 
+_KIND_WORDS = ("单选题", "Fill-in", "证明", "PPT", "page 3", "解答", "short", "?")
 
-@query("c11_kinds", f"SELECT staging_id, {_sql('staging_id', 'choice', 'fill_in', 'proof', 'unknown')} AS question, {_sql('staging_id', 'slide', 'question_region', 'page', 'text_block')} AS unit FROM staging")
+
+@query("c11_kinds", f"SELECT material_id, {_cascade('lower(said)', text.QUESTION_KINDS, 'unknown')} AS question, {_cascade('said', text.UNIT_KINDS, 'text_block')} AS unit FROM {_with_word_sql(_KIND_WORDS)}")
 def _(v):
-    return v.staging.select("staging_id", text.question_kind(pick(S(), "单选题", "Fill-in", "证明", "?")).alias("question"), text.unit_kind(pick(S(), "PPT", "题目", "page 3", "?")).alias("unit"))
+    return _with_word(v, _KIND_WORDS).select("material_id", text.question_kind(F.col("said")).alias("question"), text.unit_kind(F.col("said")).alias("unit"))
 
 
-@query("c12_quality", f"SELECT staging_id, {_sql('staging_id', 'incomplete_stem', 'missing_answer', 'missing_solution', 'needs_review', 'publishable')} AS quality FROM staging")
+@query("c12_quality", "SELECT question_id, CASE WHEN trim(content) = '' THEN 'incomplete_stem' WHEN trim(coalesce(answer, '')) = '' THEN 'missing_answer' WHEN trim(solution) = '' THEN 'missing_solution' WHEN asked IN ('publishable', 'needs_review', 'missing_answer', 'missing_solution', 'incomplete_stem') THEN asked ELSE 'publishable' END AS quality FROM (SELECT question_id, CASE WHEN question_id % 11 = 0 THEN '  ' ELSE stem END AS content, CASE WHEN question_id % 7 > 0 THEN stem END AS answer, CASE WHEN question_id % 5 = 0 THEN '' ELSE stem END AS solution, CASE WHEN question_id % 2 = 0 THEN 'needs_review' ELSE stem END AS asked FROM question)")
 def _(v):
-    return v.staging.select("staging_id", text.quality(pick(S(), "", "", "", "needs_review", "?"), pick(S(), " ", "c", "c", "c", "c"), pick(S(), "a", "", "a", "a", "a"), pick(S(), "s", "s", " ", "s", "s")).alias("quality"))
+    stem = F.col("stem")
+    asked, content = F.when(Q() % 2 == 0, "needs_review").otherwise(stem), F.when(Q() % 11 == 0, "  ").otherwise(stem)
+    return v.question.select("question_id", text.quality(asked, content, F.when(Q() % 7 > 0, stem), F.when(Q() % 5 == 0, "").otherwise(stem)).alias("quality"))
 
 
 @query("c13_options", f"SELECT staging_id, {_sql('staging_id', 'A:one|B:two', 'B:x|B:plain')} AS options FROM staging")
@@ -139,10 +163,11 @@ def _(v):
     return v.staging.select("staging_id", udf.display_text(pick(S(), "$x^2+\\frac{1}{2} \\leq 3$", "\\sqrt{2} \\in \\mathbb{R}", "$A\\cap B\\subseteq C$", "card(A)=3")).alias("shown")).withColumn("shown", F.regexp_replace(F.regexp_replace("shown", "A∩ B⊆ C", "A∩B⊆C"), " +", " "))
 
 
-@query("c20_figures", f"SELECT staging_id, {_sql('staging_id', 'text=a |figure=f1|text= b', 'text=plain', 'figure=x')} AS parts FROM staging")
+@query("c20_figures", "SELECT question_id, CASE question_id % 3 WHEN 0 THEN 'text=' || stem || ' |figure=f' || question_id || '|text= b' WHEN 1 THEN 'text=' || stem ELSE 'figure=x' || question_id || '|figure=y' END AS parts FROM question")
 def _(v):
-    parts = text.figure_parts(pick(S(), "a [[figure:f1]] b", "plain", "[[figure:x]]"))
-    return v.staging.select("staging_id", F.array_join(F.transform(parts, lambda p: F.concat_ws("=", p["kind"], p["value"])), "|").alias("parts"))
+    k, n = Q() % 3, Q().cast("string")
+    raw = F.when(k == 0, F.concat("stem", F.lit(" [[figure:f"), n, F.lit("]] b"))).when(k == 1, F.col("stem")).otherwise(F.concat(F.lit("[[figure:x"), n, F.lit("]][[figure:y]]")))
+    return v.question.select("question_id", F.array_join(F.transform(text.figure_parts(raw), lambda p: F.concat_ws("=", p["kind"], p["value"])), "|").alias("parts"))
 
 
 @query("c21_truncate", "SELECT doc_id, CASE WHEN length(t) > 57 THEN substr(t, 1, 57) || '...' ELSE t END AS preview FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents)", views=False)
@@ -266,9 +291,11 @@ def _(v):
     return v.attempt.select("attempt_id", number.is_expired(expires, v.now).alias("expired"))
 
 
-@query("d6_retry_delay", f"SELECT staging_id, {_sql('staging_id', 3000, 2500, 10000, 40000)} AS ms FROM staging")
+@query("d6_retry_delay", "SELECT staging_id, CAST(CASE staging_id % 3 WHEN 0 THEN (staging_id % 50 + 0.5) * 1000 WHEN 1 THEN (staging_id % 20) * 1000 ELSE least(60000, 10000 * pow(2, staging_id % 5)) END AS BIGINT) AS ms FROM staging")
 def _(v):
-    return v.staging.select("staging_id", number.retry_delay_ms(pick(S(), "3", "soon", "", ""), pick(S(), "", "Retry after 2.5 s", "x", ""), pick(S(), 0, 0, 0, 2)).alias("ms"))
+    header = F.when(S() % 3 == 0, F.concat((S() % 50).cast("string"), F.lit(".5"))).otherwise("soon")
+    said = F.when(S() % 3 == 1, F.concat(F.lit("Please Retry after "), (S() % 20).cast("string"), F.lit(" s"))).otherwise("")
+    return v.staging.select("staging_id", number.retry_delay_ms(header, said, S() % 5).alias("ms"))
 
 
 @query("m1_delta", "SELECT attempt_id, delta FROM step")
@@ -314,15 +341,18 @@ def _(v):
     return v.student.select("student_id", F.explode(number.apportion(shares, F.lit(8.0))).alias("s")).select("student_id", F.col("s.key").alias("pool"), "s.slots")
 
 
-@query("m8_weights", f"SELECT student_id, {_sql('student_id', 40, 100, 0, 25)} AS weight, student_id % 4 = 0 AS valid FROM student")
+@query("m8_weights", "SELECT student_id, CASE WHEN student_id % 7 = 0 THEN 25 ELSE CAST(greatest(0, least(100, student_id % 300 - 50)) AS INTEGER) END AS weight, CASE WHEN student_id % 7 = 0 THEN 25 ELSE greatest(0, least(100, student_id % 300 - 50)) END = 40 AS valid FROM student")
 def _(v):
-    w = number.weight(pick(F.col("student_id"), "40.9", "250", "-3", "abc"), 25)
+    n = F.col("student_id") % 300 - 50
+    raw = F.when(F.col("student_id") % 7 == 0, "abc").otherwise(F.concat(n.cast("string"), F.when(n >= 0, ".9").otherwise("")))
+    w = number.weight(raw, 25)
     return v.student.select("student_id", w.alias("weight"), (w + 60 == 100).alias("valid"))
 
 
-@query("m9_clamp_int", f"SELECT student_id, {_sql('student_id', 15, 1, 8, 1)} AS n FROM student")
+@query("m9_clamp_int", "SELECT student_id, CASE WHEN student_id % 9 = 0 THEN 1 ELSE CAST(greatest(1, least(15, trunc((student_id * 37 % 400 - 100) / 8.0))) AS INTEGER) END AS n FROM student")
 def _(v):
-    return v.student.select("student_id", number.clamp_int(pick(F.col("student_id"), 99.0, -4.0, 8.9, float("nan")), 1, 15).alias("n"))
+    x = F.when(F.col("student_id") % 9 == 0, float("nan")).otherwise((F.col("student_id") * 37 % 400 - 100) / 8.0)
+    return v.student.select("student_id", number.clamp_int(x, 1, 15).alias("n"))
 
 
 @query("m10_percent", "SELECT student_id, kp_id, CAST(floor(mastery_score * 100 + 0.5) AS INTEGER) AS percent FROM mastery")
@@ -335,9 +365,12 @@ def _(v):
     return learning.mastery(v.graded).select("student_id", "kp_id", F.round((1 - F.col("mastery_score")) * 100 - F.col("kp_id") / 100, 6).alias("score"))
 
 
-@query("m12_pixel_box", f"SELECT staging_id, {_sql('staging_id', 20, 0)} AS left, {_sql('staging_id', 21, 200)} AS width FROM staging")
+@query("m12_pixel_box", "SELECT staging_id, CAST(l AS INTEGER) AS left, CAST(greatest(1, ceil(least(100, x + w) / 100 * 200) - l) AS INTEGER) AS width FROM (SELECT *, floor(x / 100 * 200) AS l FROM (SELECT staging_id, greatest(0, least(100, CAST(staging_id % 120 - 10 AS DOUBLE) + 0.375)) AS x, CAST(staging_id % 50 + 1 AS DOUBLE) AS w FROM staging))")
 def _(v):
-    b = jsonx.box(F.parse_json(pick(S(), "[10.4,0,10,5]", '{"left":-5,"top":0,"width":150,"height":10}')))
+    x, w = (S() % 120 - 10).cast("double") + 0.375, (S() % 50 + 1).cast("string")
+    listed = F.concat(F.lit("["), x.cast("string"), F.lit(",0,"), w, F.lit(",5]"))
+    named = F.concat(F.lit('{"left":'), x.cast("string"), F.lit(',"top":0,"height":10,"width":'), w, F.lit("}"))
+    b = jsonx.box(F.parse_json(F.when(S() % 2 == 0, listed).otherwise(named)))
     px = number.pixel_box(b["x"], b["y"], b["w"], b["h"], F.lit(200), F.lit(100))
     return v.staging.select("staging_id", px.alias("p")).select("staging_id", "p.left", "p.width")
 
@@ -347,9 +380,10 @@ def _(v):
     return v.staging.select("staging_id", number.page_progress(S() % 7, F.lit(6.0)).alias("progress"))
 
 
-@query("m14_bounded_int", f"SELECT staging_id, {_sql('staging_id', 4, 1, 1)} AS n FROM staging")
+@query("m14_bounded_int", "SELECT staging_id, CASE WHEN staging_id % 5 > 0 AND staging_id % 12 - 2 BETWEEN 1 AND 6 THEN CAST(staging_id % 12 - 2 AS INTEGER) ELSE 1 END AS n FROM staging")
 def _(v):
-    return v.staging.select("staging_id", number.bounded_int(pick(S(), "4", "99", "x"), 1, 6, 1).alias("n"))
+    raw = F.concat((S() % 12 - 2).cast("string"), F.when(S() % 5 > 0, "").otherwise("x"))
+    return v.staging.select("staging_id", number.bounded_int(raw, 1, 6, 1).alias("n"))
 
 
 @query("m15_weight_selection", "SELECT student_id, student_id % 3 > 0 AS has_new, student_id % 3 + 50 AS total FROM student")
@@ -358,10 +392,11 @@ def _(v):
     return v.student.select("student_id", F.transform_values(w, lambda _, x: x > 0)["new"].alias("has_new"), F.aggregate(F.map_values(w), F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
-@query("r1_page_list", f"SELECT staging_id, {_sql('staging_id', '2,3', '4,5,6')} AS pages FROM staging")
+@query("r1_page_list", "SELECT staging_id, array_to_string(list_sort(list_distinct(list_concat(list_filter([staging_id % 7, staging_id % 3, 2], lambda x: x > 0), CASE WHEN staging_id % 5 > 0 THEN range(staging_id % 5, staging_id % 5 + staging_id % 4 + 1) ELSE [] END))), ',') AS pages FROM staging")
 def _(v):
-    values = F.when(S() % 2 == 0, F.array(*map(F.lit, ("3", "2", "2", "0", "-1", "NaN", "3")))).otherwise(F.array().cast("array<string>"))
-    pages = number.page_list(values, F.when(S() % 2 == 1, 4), F.when(S() % 2 == 1, 6))
+    n = lambda k: (S() % k).cast("string")
+    values = F.array(n(7), n(3), F.lit("2"), F.lit("0"), F.lit("-1"), F.lit("NaN"), F.lit("1.5"), n(7))
+    pages = number.page_list(values, S() % 5, S() % 5 + S() % 4)
     return v.staging.select("staging_id", F.array_join(F.transform(pages, lambda x: x.cast("string")), ",").alias("pages"))
 
 
@@ -416,9 +451,13 @@ def _(v):
     return v.staging.select("staging_id", jsonx.field(F.parse_json(body), "int", "page_no", "pageNo", "page").alias("n"))
 
 
-@query("n5_deep_text", f"SELECT staging_id, {_sql('staging_id', 'hi', 'a;2', 'true')} AS t FROM staging")
+@query("n5_deep_text", "SELECT question_id, CASE question_id % 4 WHEN 0 THEN stem WHEN 1 THEN stem || ';' || question_id WHEN 2 THEN 'true' ELSE stem END AS t FROM question")
 def _(v):
-    return v.staging.select("staging_id", F.regexp_replace(udf.json_text(pick(S(), '{"x":1,"content":{"text":" hi "}}', '["a",2,null]', "true")), "\n", ";").alias("t"))
+    k, stem, number_ = Q() % 4, F.col("stem"), Q().cast("string")
+    nested = F.concat(F.lit('{"x":1,"content":{"id":7,"text":" '), stem, F.lit(' "}}'))
+    listed = F.concat(F.lit('["'), stem, F.lit('",{"label":'), number_, F.lit("},null]"))
+    raw = F.when(k == 0, nested).when(k == 1, listed).when(k == 2, "true").otherwise(F.concat(F.lit('{"text":"","name":"'), stem, F.lit('"}')))
+    return v.question.select("question_id", F.regexp_replace(udf.json_text(raw), "\n", ";").alias("t"))
 
 
 @query("n6_staging_projection", "SELECT staging_id, json_extract_string(payload, '$.name') AS name, CASE WHEN staging_id % 5 = 0 THEN 0.0 ELSE CAST(staging_id % 6 AS DOUBLE) END AS difficulty FROM staging")

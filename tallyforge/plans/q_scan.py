@@ -320,13 +320,15 @@ def _(v):
     return v.staging.where(F.try_variant_get(caps, "$.vision", "boolean")).select("staging_id")
 
 
-_PAGES_TEXT = "CASE material_id % 4 WHEN 0 THEN '扫码加群' WHEN 1 THEN '版权所有' WHEN 2 THEN '公众号福利' ELSE title END"
+_PAGE_WORDS = ("扫码加群", "版权所有", "公众号福利", "名师 教龄", "限时优惠", "目录", "数学讲座", "")
+_HITS = ", ".join(f"CASE WHEN regexp_matches(said, '{p}') THEN '{name}' END" for p, name in text.NON_LEARNING)
+_OUTSIDE = "CASE WHEN regexp_matches(said, '班主任|公众号|小程序|讲座|福利') AND NOT regexp_matches(said, '集合|函数|数学|物理|化学|语文|英语') THEN 'non_subject_content' END"
 
 
-@query("f18_non_learning", f"SELECT material_id, CASE material_id % 4 WHEN 0 THEN 'qr_code' WHEN 1 THEN 'copyright' WHEN 2 THEN 'non_subject_content' ELSE '' END AS categories FROM (SELECT *, {_PAGES_TEXT} AS t FROM material)")
+@query("f18_non_learning", f"SELECT material_id, array_to_string(list_filter([{_HITS}, {_OUTSIDE}], lambda x: x IS NOT NULL), ',') AS categories FROM (SELECT material_id, coalesce(title, '') || ' ' || {list(_PAGE_WORDS)}[CAST(material_id % {len(_PAGE_WORDS)} + 1 AS INTEGER)] AS said FROM material)")
 def _(v):
-    k = F.col("material_id") % 4
-    said = F.when(k == 0, "扫码加群").when(k == 1, "版权所有").when(k == 2, "公众号福利").otherwise(F.lit("plain"))
+    word = F.element_at(F.array(*map(F.lit, _PAGE_WORDS)), (F.col("material_id") % len(_PAGE_WORDS) + 1).cast("int"))
+    said = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), word)
     return v.material.select("material_id", F.array_join(text.non_learning(said), ",").alias("categories"))
 
 
@@ -362,10 +364,10 @@ def _(v):
     return rows.select("staging_id", "subject_id", F.when(F.col("subject_id").isNull(), "missing_subject").otherwise("").alias("skip"))
 
 
-@query("f22_storage_guard", "SELECT upload_id, upload_id % 4 = 0 AS safe FROM upload")
+@query("f22_storage_guard", "SELECT upload_id, key LIKE 'derived/%' AND NOT contains(key, '..') AND NOT contains(key, chr(92)) AS safe FROM (SELECT upload_id, CASE upload_id % 5 WHEN 0 THEN 'derived/' || sha256 || '.png' WHEN 1 THEN 'derived/../' || sha256 WHEN 2 THEN '/derived/' || sha256 WHEN 3 THEN 'derived/a' || chr(92) || sha256 ELSE sha256 END AS key FROM upload)")
 def _(v):
-    k = F.col("upload_id") % 4
-    key = F.when(k == 0, "derived/a.png").when(k == 1, "derived/../a").when(k == 2, "/derived/a").otherwise("uploads/a")
+    k, sha = F.col("upload_id") % 5, F.col("sha256")
+    key = F.when(k == 0, F.concat(F.lit("derived/"), sha, F.lit(".png"))).when(k == 1, F.concat(F.lit("derived/../"), sha)).when(k == 2, F.concat(F.lit("/derived/"), sha)).when(k == 3, F.concat(F.lit("derived/a\\"), sha)).otherwise(sha)
     return v.upload.select("upload_id", documents.safe_key(key).alias("safe"))
 
 
