@@ -39,9 +39,14 @@ def _(v):
     return v.question.select("question_id", text.fill_in_answer(F.concat("stem", F.lit(" ， １；"), F.col("question_id").cast("string"), F.lit("、 x ;y"))).alias("answer"))
 
 
-@query("c3_answer_equality", "SELECT question_id, CASE WHEN question_type = 'choice' THEN question_id % 4 = 0 ELSE false END AS correct FROM question")
+_LETTERS_SQL = "list_sort(list_filter(string_split(regexp_replace(upper({}), '[^A-Z]', '', 'g'), ''), lambda x: x <> ''))"
+
+
+@query("c3_answer_equality", f"SELECT question_id, CASE WHEN question_type = 'choice' THEN {_LETTERS_SQL.format('given')} = {_LETTERS_SQL.format('stem')} ELSE regexp_replace(upper(given), '\\s+', '', 'g') = regexp_replace(upper(stem), '\\s+', '', 'g') END AS correct FROM (SELECT *, CASE question_id % 5 WHEN 0 THEN reverse(stem) WHEN 1 THEN ' ' || upper(stem) || ' ' WHEN 2 THEN stem || 'x' WHEN 3 THEN replace(stem, ' ', '') ELSE '' END AS given FROM question)")
 def _(v):
-    return v.question.select("question_id", text.answers_equal(pick(Q(), "b a", "x", "c", "y"), F.lit("AB"), F.col("question_type")).alias("correct"))
+    k, stem = Q() % 5, F.col("stem")
+    given = F.when(k == 0, F.reverse(stem)).when(k == 1, F.concat(F.lit(" "), F.upper(stem), F.lit(" "))).when(k == 2, F.concat(stem, F.lit("x"))).when(k == 3, F.replace(stem, F.lit(" "), F.lit(""))).otherwise("")
+    return v.question.select("question_id", text.answers_equal(given, stem, F.col("question_type")).alias("correct"))
 
 
 @query("c4_option_markers", "SELECT question_id, label, label = CASE WHEN question_id % 2 = 0 THEN 'A' ELSE 'C' END AS picked, label IN ('A', 'B') AS correct FROM question, (SELECT unnest(['A', 'B', 'C']) AS label)")
@@ -123,10 +128,11 @@ def _(v):
     return v.question.select("question_id", text.quality(asked, content, F.when(Q() % 7 > 0, stem), F.when(Q() % 5 == 0, "").otherwise(stem)).alias("quality"))
 
 
-@query("c13_options", f"SELECT staging_id, {_sql('staging_id', 'A:one|B:two', 'B:x|B:plain')} AS options FROM staging")
+@query("c13_options", "SELECT question_id, 'A:' || stem || '|' || CASE WHEN question_id % 2 = 0 THEN 'D:' || upper(stem) ELSE CASE WHEN regexp_matches(stem, '^[A-Ha-h]') THEN upper(stem[1]) || ':' || trim(regexp_replace(stem[2:], '^[\\s.．、:：]*', '')) ELSE 'B:' || stem END END AS options FROM question")
 def _(v):
-    raw = F.when(S() % 2 == 0, F.array(F.lit("A. one"), F.lit("b、two"))).otherwise(F.array(F.lit("B: x"), F.lit("plain")))
-    return v.staging.select("staging_id", F.array_join(F.transform(text.parse_options(raw), lambda o: F.concat_ws(":", o["label"], o["text"])), "|").alias("options"))
+    """Options with a marked label, with a label run into the text, and without one."""
+    raw = F.array(F.concat(F.lit("a. "), "stem"), F.when(Q() % 2 == 0, F.concat(F.lit(" D、"), F.upper("stem"))).otherwise(F.col("stem")))
+    return v.question.select("question_id", F.array_join(F.transform(text.parse_options(raw), lambda o: F.concat_ws(":", o["label"], o["text"])), "|").alias("options"))
 
 
 @query("c14_knowledge_text", "SELECT material_id, sha256(regexp_replace(regexp_replace(lower(coalesce(title, '')), '\\s+', '', 'g'), '[，。、“”‘’；：:,.()\\[\\]{}<>《》【】|_—-]', '', 'g')) AS t FROM material")
@@ -148,9 +154,11 @@ def _(v):
     return rows.select("question_id", udf.common_substring(F.upper("stem"), F.upper("name")).alias("common"))
 
 
-@query("c17_suffixes", f"SELECT staging_id, {_sql('staging_id', '集合的并集', '运算', '函数')} AS bare FROM staging")
+@query("c17_suffixes", f"SELECT question_id, regexp_replace(said, '^(.+?)({'|'.join(text.SUFFIXES)})+$', '\\1') AS bare FROM (SELECT question_id, CASE question_id % 4 WHEN 0 THEN stem || '运算方法' WHEN 1 THEN stem || '的性质表示' WHEN 2 THEN '判定' ELSE stem || '性质 x' END AS said FROM question)")
 def _(v):
-    return v.staging.select("staging_id", text.strip_suffixes(pick(S(), "集合的并集运算方法", "运算", "函数性质")).alias("bare"))
+    k, stem = Q() % 4, F.col("stem")
+    said = F.when(k == 0, F.concat(stem, F.lit("运算方法"))).when(k == 1, F.concat(stem, F.lit("的性质表示"))).when(k == 2, "判定").otherwise(F.concat(stem, F.lit("性质 x")))
+    return v.question.select("question_id", text.strip_suffixes(said).alias("bare"))
 
 
 @query("c18_string_hash", "SELECT question_id, lower(to_base(abs(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END), 36)) AS h FROM (SELECT question_id, list_reduce(list_transform(string_split(stem, ''), lambda c: CAST(unicode(c) AS BIGINT)), lambda a, c: (31 * a + c) & 4294967295, CAST(0 AS BIGINT)) AS h FROM question)")

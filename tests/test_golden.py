@@ -293,3 +293,29 @@ def test_questions_are_told_from_instructions(spark):
     rows = spark.createDataFrame([q for q, _ in cases], kind)
     got = [r["ok"] for r in rows.select(text.is_question(F.struct(*[F.col(c) for c in rows.columns])).alias("ok")).collect()]
     assert got == [ok for _, ok in cases]
+
+
+def test_functions_on_fixed_rows(spark):
+    """Cases by hand of functions that the queries feed with columns of the tables."""
+    one = spark.range(1)
+    s, array = F.lit, lambda *x: F.array(*map(F.lit, x))
+    cases = [
+        (text.answers_equal(s("b a"), s("AB"), s("choice")), True), (text.answers_equal(s("x"), s("AB"), s("choice")), False), (text.answers_equal(s("b a"), s("AB"), s("fill_in")), False),
+        (text.strip_suffixes(s("集合的并集运算方法")), "集合的并集"), (text.strip_suffixes(s("运算")), "运算"), (text.strip_suffixes(s("函数性质")), "函数"),
+        (F.to_json(text.parse_options(array("A. one", "b、two"))), '[{"label":"A","text":"one"},{"label":"B","text":"two"}]'), (F.to_json(text.parse_options(array("B: x", "plain"))), '[{"label":"B","text":"x"},{"label":"B","text":"plain"}]'),
+        (text.material_kind(s("x"), s("易错点"), s("")), "common_mistake"), (text.material_kind(s("method_card"), s("t"), s("")), "method_card"), (text.material_kind(s("y"), s("高频考点"), s("")), "exam_trend"), (text.material_kind(s("z"), s("无"), s("")), "concept_explanation"),
+        (text.question_kind(s("单选题")), "choice"), (text.question_kind(s("Fill-in")), "fill_in"), (text.question_kind(s("证明")), "proof"), (text.question_kind(s("?")), "unknown"),
+        (text.unit_kind(s("PPT")), "slide"), (text.unit_kind(s("题目")), "question_region"), (text.unit_kind(s("page 3")), "page"), (text.unit_kind(s("?")), "text_block"),
+        (text.quality(s(""), s(" "), s("a"), s("s")), "incomplete_stem"), (text.quality(s(""), s("c"), s(""), s("s")), "missing_answer"), (text.quality(s(""), s("c"), s("a"), s(" ")), "missing_solution"), (text.quality(s("needs_review"), s("c"), s("a"), s("s")), "needs_review"), (text.quality(s("?"), s("c"), s("a"), s("s")), "publishable"),
+        (F.to_json(text.figure_parts(s("a [[figure:f1]] b"))), '[{"kind":"text","value":"a "},{"kind":"figure","value":"f1"},{"kind":"text","value":" b"}]'), (F.array_join(text.non_learning(s("扫码加群")), ","), "qr_code"), (F.array_join(text.non_learning(s("公众号福利")), ","), "non_subject_content"), (F.array_join(text.non_learning(s("plain")), ","), ""),
+        (number.retry_delay_ms(s("3"), s(""), s(0)), 3000), (number.retry_delay_ms(s("soon"), s("Retry after 2.5 s"), s(0)), 2500), (number.retry_delay_ms(s(""), s("x"), s(0)), 10000), (number.retry_delay_ms(s(""), s(""), s(2)), 40000),
+        (number.weight(s("40.9"), 25), 40), (number.weight(s("250"), 25), 100), (number.weight(s("-3"), 25), 0), (number.weight(s("abc"), 25), 25),
+        (number.clamp_int(s(99.0), 1, 15), 15), (number.clamp_int(s(-4.0), 1, 15), 1), (number.clamp_int(s(8.9), 1, 15), 8), (number.clamp_int(s(float("nan")), 1, 15), 1),
+        (number.bounded_int(s("4"), 1, 6, 1), 4), (number.bounded_int(s("99"), 1, 6, 1), 1), (number.bounded_int(s("x"), 1, 6, 1), 1),
+        (F.to_json(jsonx.box(F.parse_json(s('{"left":-5,"top":0,"width":150,"height":10}')))), '{"x":0.0,"y":0.0,"w":100.0,"h":10.0}'), (F.array_join(number.page_list(array("3", "2", "2", "0", "-1", "NaN", "3"), s(None).cast("int"), s(None).cast("int")).cast("array<string>"), ","), "2,3"), (F.array_join(number.page_list(F.array().cast("array<string>"), s(4), s(6)).cast("array<string>"), ","), "4,5,6"),
+        (udf.json_text(s('{"x":1,"content":{"text":" hi "}}')), "hi"), (udf.json_text(s('["a",2,null]')), "a\n2"), (udf.json_text(s("true")), "true"),
+        (documents.safe_key(s("derived/a.png")), True), (documents.safe_key(s("derived/../a")), False), (documents.safe_key(s("/derived/a")), False), (documents.safe_key(s("uploads/a")), False),
+        (number.is_expired(s(99), F.timestamp_seconds(s(100))), True), (number.is_expired(s(100), F.timestamp_seconds(s(100))), False), (number.is_expired(s(None).cast("long"), F.timestamp_seconds(s(100))), False),
+    ]
+    got = one.select(*[c.alias(f"c{k}") for k, (c, _) in enumerate(cases)]).first()
+    assert [got[k] for k in range(len(cases))] == [want for _, want in cases]
