@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import shutil
 import tempfile
@@ -102,7 +103,15 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int =
         _, offsets = text_bytes(batch.column(column))
         for a, b in row_chunks(offsets, limit):
             yield batch.slice(a, b - a)
-            pa.default_memory_pool().release_unused()
+            give_back()
+
+
+def give_back() -> None:
+    """Hand freed memory to the system, so that a worker that is used again doesn't keep the peaks of all its stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def ragged_take(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import factors, suffixes
-from .common import materialize, ragged_take, row_chunks, text_bytes, word_spans
+from .common import give_back, materialize, ragged_take, row_chunks, text_bytes, word_spans
 
 #: Runs of an anchor beyond which its windows are dealt out one by one.
 HOT = 2048
@@ -240,6 +240,8 @@ def _seen(docs: DataFrame, shape: Shape) -> DataFrame:
             first, n = first[n > 1], n[n > 1]
             columns = [np.concatenate(x) for x in ((anchor[new], anchor[first]), (d[new], np.zeros(len(first), np.int64)), (np.ones(int(new.sum()), np.int64), n), (kind[new], np.full(len(first), _HEAD, np.int8)))]
             yield pa.RecordBatch.from_arrays([_signed(columns[0]), pa.array(columns[1]), pa.array(columns[2].astype(np.int32)), pa.array(columns[3])], ["a", "d", "n", "kind"])
+            parts, columns = [], []
+            give_back()
 
     return docs.mapInArrow(run, "a long, d long, n int, kind tinyint")
 
@@ -355,7 +357,7 @@ def _segments(asked: DataFrame, shape: Shape) -> DataFrame:
             bodies, coded, parts = [], None, []
             yield pa.RecordBatch.from_arrays([_signed(g), body, pa.array(d[order]), pa.array(q[order]), pa.array(s[order]), pa.array(n[order].astype(np.int32)), pa.array(many)], ["g", "body", "d", "q", "s", "n", "many"])
             del body
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return asked.mapInArrow(run, "g long, body binary, d long, q int, s long, n int, many boolean")
 
@@ -445,6 +447,7 @@ def _decided(segments: DataFrame, shape: Shape, first_stays: bool) -> DataFrame:
                 yield decide(part)
                 rows = rows.slice(cut)
             held = rows.combine_chunks()
+            give_back()
             if len(held) and held.nbytes > 2 * BLOCK_BYTES:
                 held, lost = distinct(held)
                 if lost is not None:
@@ -546,7 +549,7 @@ def removals(docs: DataFrame, shape: Shape, first_stays: bool, hot: int = HOT, t
                         kept.append(_whole_characters(data[offsets[row] : offsets[row + 1]], gone[x:y]) if shape.as_bytes else left.decode())
                 columns = [ids.slice(a, b - a), *(c.slice(a, b - a) for c in batch.columns[4:]), pa.array(np.diff(ends)), pa.array(np.diff(total)), pa.array(np.diff(spans)), pa.array(digests, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns + ([pa.array(kept, pa.string())] if text else []), names)
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return with_removals(keyed(docs, keep), shape, first_stays, hot).select("text", "doc_id", "marks", "q", *[f"_{k}" for k in range(len(keep))]).mapInArrow(run, kind)
 
