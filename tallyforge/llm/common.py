@@ -121,12 +121,12 @@ def ragged_take(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word of every row, and the number of the first word of each row.
 
-    A word is a longest run of bytes outside [\\x20\\x09-\\x0D]; rows end words.
+    A word is a longest run of bytes that space doesn't mark ([\\x20\\x09-\\x0D]); rows end words.
     """
-    inside = ~SPACE[data]
+    inside = ~space[data]
     before = np.empty(len(data), dtype=bool)
     after = np.empty(len(data), dtype=bool)
     if len(data):
