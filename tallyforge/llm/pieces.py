@@ -12,6 +12,7 @@ text gives back these two pieces, and exactly one piece can end each prefix.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 import zlib
 from collections.abc import Iterator
@@ -68,16 +69,27 @@ class PieceModel:
     def merge(self, text: str) -> list[str]:
         """The model's own procedure: join the best-scored neighbours, leftmost first, while any joins."""
         parts, score = list(text), self.score
-        while len(parts) > 1:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                s = score.get(parts[k] + parts[k + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, k
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        n = len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        # neighbours wait by score and place, first ones in a list and new ones in a heap; what has been joined since is passed over
+        first = sorted((-s, k) for k in range(n - 1) if (s := score.get(parts[k] + parts[k + 1])) is not None)
+        first.reverse()
+        new: list[tuple[float, int]] = []
+        while first or new:
+            s, k = first.pop() if first and (not new or first[-1] < new[0]) else heapq.heappop(new)
+            j = after[k]
+            if not parts[k] or j >= n or score.get(both := parts[k] + parts[j]) != -s:
+                continue
+            parts[k], parts[j] = both, ""
+            j = after[k] = after[j]
+            if j < n:
+                before[j] = k
+                if (s := score.get(both + parts[j])) is not None:
+                    heapq.heappush(new, (-s, k))
+            i = before[k]
+            if i >= 0 and (s := score.get(parts[i] + both)) is not None:
+                heapq.heappush(new, (-s, i))
+        return [p for p in parts if p]
 
     def _stands(self, piece: int) -> bool:
         known = self.whole.get(piece)
