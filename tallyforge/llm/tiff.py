@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import doc_columns
+from .common import doc_columns, text_slices
 
 #: Fixed values of the TIFF 6.0 format: tags, field type sizes, compression codes.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
@@ -138,6 +138,8 @@ def pack_lzw(data: bytes) -> bytes:
 
 
 _UNPACK = {NONE: bytes, LZW: unpack_lzw, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress, PACKBITS: unpack_bits}
+#: Bytes that a stored byte can stand for at most.
+_MOST = {NONE: 1, LZW: 2731, DEFLATE: 1032, OLD_DEFLATE: 1032, PACKBITS: 64}
 _PACK = {NONE: bytes, LZW: pack_lzw, DEFLATE: lambda x: zlib.compress(x, 1), PACKBITS: pack_bits}
 
 
@@ -216,8 +218,8 @@ def read_tiff(data: bytes) -> Iterator[np.ndarray]:
             yield _page(data, order, tags)
     except TiffError:
         raise
-    except (struct.error, zlib.error, KeyError, IndexError, TypeError, ValueError) as e:
-        raise TiffError(f"damaged file: {e}") from e
+    except Exception as e:  # noqa: BLE001  any bytes may come in
+        raise TiffError(f"damaged file: {type(e).__name__} {e}") from e
 
 
 def _page(data: bytes, order: str, tags: dict[int, tuple]) -> np.ndarray:
@@ -233,15 +235,29 @@ def _page(data: bytes, order: str, tags: dict[int, tuple]) -> np.ndarray:
         bh, bw, places, sizes = one(TILE_HEIGHT, 0), one(TILE_WIDTH, 0), tags[TILE_OFFSETS], tags[TILE_COUNTS]
     else:
         bh, bw, places, sizes = min(one(ROWS_PER_STRIP, height), height), width, tags[STRIP_OFFSETS], tags[STRIP_COUNTS]
+    predictor = one(PREDICTOR, 1)
+    if min(width, height, samples, bh, bw) < 1 or predictor not in (1, 2, 3):
+        raise TiffError("no size, or a predictor that is not taken")
     across, down = -(-width // bw), -(-height // bh)
+    if len(places) != len(sizes) or len(places) != across * down * (samples if planes else 1):
+        raise TiffError("another number of strips or tiles than the size asks for")
+    # nothing is allocated that the stored bytes can't fill
+    if height * width * samples * kind.itemsize > _MOST[one(COMPRESSION, 1)] * sum(min(s, len(data)) for s in sizes):
+        raise TiffError("larger than its strips or tiles can be")
     page = np.zeros((height, width, samples), dtype=kind.newbyteorder("="))
     for k, (at, size) in enumerate(zip(places, sizes)):
         plane, place = divmod(k, across * down)
         y, x = place // across * bh, place % across * bw
         rows = bh if TILE_OFFSETS in tags else min(bh, height - y)
-        raw = np.frombuffer(unpack(data[at : at + size]), dtype=kind, count=rows * bw * deep)
-        block = raw.reshape(rows, bw, deep).astype(page.dtype)
-        if one(PREDICTOR, 1) == 2:
+        stored = unpack(data[at : at + size])
+        if predictor == 3:
+            # differences of bytes, a row's highest bytes first
+            raw = np.frombuffer(stored, np.uint8, count=rows * bw * deep * kind.itemsize).reshape(rows, -1, deep)
+            bytewise = np.cumsum(raw, axis=1, dtype=np.uint8).reshape(rows, kind.itemsize, bw * deep)
+            block = np.ascontiguousarray(bytewise.transpose(0, 2, 1)).view(kind.newbyteorder(">")).reshape(rows, bw, deep).astype(page.dtype)
+        else:
+            block = np.frombuffer(stored, dtype=kind, count=rows * bw * deep).reshape(rows, bw, deep).astype(page.dtype)
+        if predictor == 2:
             block = np.cumsum(block, axis=1, dtype=page.dtype)
         block = block[: height - y, : width - x]
         target = page[y : y + block.shape[0], x : x + block.shape[1]]
@@ -290,7 +306,7 @@ def media_report(docs: DataFrame, compression: int = DEFLATE, predictor: int = 2
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches):
             rows = []
             for text in batch.column(1):
                 raw = text.as_py().encode()
