@@ -272,9 +272,10 @@ def fit(texts: list[str], toxic: list[int], rate: float | None = None) -> Model:
     floor = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
     if not len(y) or y.min() == y.max():
         return Model(curve=np.array([floor, 0.0, 0.0, 0.0]))
-    vocabulary: dict[str, int] = {}
-    docs = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in t.split()), dtype=np.int32) for t in texts]
-    forms = list(vocabulary)
+    # the words that tag() scores: only ASCII white space parts them
+    words, codes, first = split_words(pa.array(texts, pa.string()))
+    forms = words.to_pylist()
+    docs = [codes[a:b].astype(np.int32) for a, b in zip(first, first[1:])]
     names = _marks(docs, y, forms)
     index = {f: k for k, f in enumerate(names)}
     is_marked = {k: own for k, w in enumerate(forms) if (own := [index[f] for f in features(w) if f in index])}
@@ -329,6 +330,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     The sample is the first SAMPLE_TOXIC and SAMPLE_CLEAN labelled ids by a hash,
     of texts of SAMPLE_BYTES at most; the toxic share is counted over all labels
     of the fold. A document labelled twice is toxic if any of its labels says so.
+    Of the sample's segments without a marked word one in QUIET is trained on,
+    with the weight of QUIET; the score's curve is fitted on whole texts.
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in marks.groupBy(F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
