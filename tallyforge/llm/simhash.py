@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_columns, give_back, materialize, ragged_take, row_chunks, text_bytes, word_spans
+from .common import doc_columns, materialize, ragged_take, row_chunks, text_bytes, text_slices, word_spans
 from .components import components, local_stars
 
 SEED = 42
@@ -62,13 +62,12 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, keep
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches):
             data, offsets = text_bytes(batch.column(1))
             parts = [np.zeros(0, np.uint64)]
             for a, b in row_chunks(offsets):
                 parts.append(_fingerprints(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shingle, seed))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(parts).view(np.int64)), *[batch.column(k) for k in places]], ["doc_id", "fp", *names])
-            give_back()
 
     names = [f"_{k}" for k in range(len(keep))]
     kinds = [f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, keep)]
