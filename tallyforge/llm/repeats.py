@@ -25,16 +25,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import factors, suffixes
-from .common import give_back, materialize, ragged_take, row_chunks, text_bytes, word_spans
+from .common import give_back, materialize, ragged_take, row_chunks, text_bytes, text_slices, word_spans
 
 #: Runs of an anchor beyond which its windows are dealt out one by one.
 HOT = 2048
 #: Bytes of segments that one block gathers before it is decided.
 BLOCK_BYTES = 1 << 19
+#: Bytes of text that a task cuts into runs at once; within them a segment's copies are sent once.
+SLICE = 16 << 20
 #: Least value that the id of a document without doc_id gets; such documents come before all others.
 NO_ID = -(1 << 63)
 _SINGLE, _HEAD, _PARKED, _HOT = 0, 1, 2, 3
@@ -214,14 +216,14 @@ def _heads(*columns: np.ndarray) -> np.ndarray:
 
 
 def _seen(docs: DataFrame, shape: Shape) -> DataFrame:
-    """(a, d, n, kind): an anchor that a batch holds once is a row with its document.
+    """(a, d, n, kind) of (d, text): an anchor that a batch holds once is a row with its document's number d.
 
     One it holds more often is a row of kind _HEAD with the number of its runs,
     and rows of kind _PARKED for its documents, which need not meet the head.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches, limit=SLICE):
             ids = batch.column(0).to_numpy()
             parts = []
             for a, _, _, _, units in _chunks(shape, batch.column(1)):
@@ -241,7 +243,6 @@ def _seen(docs: DataFrame, shape: Shape) -> DataFrame:
             columns = [np.concatenate(x) for x in ((anchor[new], anchor[first]), (d[new], np.zeros(len(first), np.int64)), (np.ones(int(new.sum()), np.int64), n), (kind[new], np.full(len(first), _HEAD, np.int8)))]
             yield pa.RecordBatch.from_arrays([_signed(columns[0]), pa.array(columns[1]), pa.array(columns[2].astype(np.int32)), pa.array(columns[3])], ["a", "d", "n", "kind"])
             parts, columns = [], []
-            give_back()
 
     return docs.mapInArrow(run, "a long, d long, n int, kind tinyint")
 
@@ -305,7 +306,7 @@ def _segments(asked: DataFrame, shape: Shape) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches, text_column, SLICE):
             ids, qs, texts, lists = (batch.column(batch.schema.get_field_index(c)) for c in ("d", "q", "text", "anchors"))
             ids, qs = ids.to_numpy(), qs.to_numpy()
             sizes = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
@@ -357,9 +358,9 @@ def _segments(asked: DataFrame, shape: Shape) -> DataFrame:
             bodies, coded, parts = [], None, []
             yield pa.RecordBatch.from_arrays([_signed(g), body, pa.array(d[order]), pa.array(q[order]), pa.array(s[order]), pa.array(n[order].astype(np.int32)), pa.array(many)], ["g", "body", "d", "q", "s", "n", "many"])
             del body
-            give_back()
 
-    return asked.mapInArrow(run, "g long, body binary, d long, q int, s long, n int, many boolean")
+    text_column = asked.columns.index("text")
+    return asked.mapInArrow(run, "g long, body binary, d long, q long, s long, n int, many boolean")
 
 
 def _spans(flags: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -458,34 +459,35 @@ def _decided(segments: DataFrame, shape: Shape, first_stays: bool) -> DataFrame:
                 yield lost
             yield decide(part)
 
-    return segments.mapInArrow(run, "d long, q int, lo long, hi long")
+    return segments.mapInArrow(run, "d long, q long, lo long, hi long")
 
 
 def with_removals(docs: DataFrame, shape: Shape, first_stays: bool, hot: int = HOT) -> DataFrame:
-    """docs (d, h, text, ...) with q and marks: the windows of each document that occur elsewhere.
+    """docs (d, q, text, ...) with marks: the windows of each document that occur elsewhere.
 
-    q numbers the different texts under one d. marks is an array of (q, lo, hi),
-    null where there are none. first_stays: only windows that start earlier (in
-    the order d, q, place) count as elsewhere, else all others do.
+    q is a number of the document (d and its text), by which its rows meet what
+    is known of it; d tells documents apart whose numbers are equal. marks is an
+    array of (d, lo, hi), null where there are none. first_stays: only windows
+    that start earlier (in the order d, q, place) count as elsewhere, else all
+    others do.
     """
-    shared = materialize(_shared(docs.select("d", "text"), shape, hot))
+    shared = materialize(_shared(docs.select(F.col("q").alias("d"), "text"), shape, hot))
     beyond = materialize(shared.where("hot").select(F.col("a").alias("_a")).distinct())
     # a few rows (one for each `hot` runs at most), joined as Spark's own size check says
     anchors = shared.where("not hot").join(beyond, F.col("a") == F.col("_a"), "left").groupBy(F.col("d").alias("k")).agg(F.collect_list(F.struct("a", F.col("_a").isNotNull().alias("hot"))).alias("anchors"))
-    numbered = docs.withColumn("q", F.dense_rank().over(Window.partitionBy("d").orderBy("h")))
     # all columns come along, so that this shuffle of the documents is the last join's as well
-    asked = numbered.join(anchors, F.col("d") == F.col("k")).drop("k")
+    asked = docs.join(anchors, F.col("q") == F.col("k")).drop("k")
     gone = _decided(_segments(asked, shape).repartition("g").sortWithinPartitions("g"), shape, first_stays)
-    marks = gone.groupBy(F.col("d").alias("k")).agg(F.collect_list(F.struct("q", "lo", "hi")).alias("marks"))
-    return numbered.join(marks, F.col("d") == F.col("k"), "left").drop("k")
+    marks = gone.groupBy(F.col("q").alias("k")).agg(F.collect_list(F.struct("d", "lo", "hi")).alias("marks"))
+    return docs.join(marks, F.col("q") == F.col("k"), "left").drop("k")
 
 
-def covered(shape: Shape, offsets: np.ndarray, marks: pa.Array, qs: np.ndarray) -> np.ndarray:
+def covered(shape: Shape, offsets: np.ndarray, marks: pa.Array, ids: np.ndarray) -> np.ndarray:
     """For each unit of a chunk's rows, whether a window that goes covers it."""
     lengths = marks.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    q, lo, hi = (marks.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(3))
+    d, lo, hi = (marks.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(3))
     row = np.repeat(np.arange(len(lengths)), lengths)
-    own = q == qs[row]
+    own = d == ids[row]
     row, lo, hi = row[own], lo[own], hi[own]
     total = int(offsets[-1]) + 1
     opens = np.bincount(offsets[row] + lo, minlength=total)
@@ -494,13 +496,13 @@ def covered(shape: Shape, offsets: np.ndarray, marks: pa.Array, qs: np.ndarray)
 
 
 def keyed(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """d (never null), h (a hash of the text), doc_id and text of documents; the columns in keep follow as _0, _1, ...
+    """d (never null), q (a hash of d and the text), doc_id and text of documents; the columns in keep follow as _0, _1, ...
 
     Documents without an id get ids by their texts, before the ids above -(1 << 62).
     """
     doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    h = F.xxhash64(text)
-    return docs.select(F.coalesce(doc_id, F.lit(NO_ID) + F.shiftrightunsigned(h, 2)).alias("d"), h.alias("h"), text.alias("text"), doc_id.alias("doc_id"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(keep)])
+    d = F.coalesce(doc_id, F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(text), 2))
+    return docs.select(d.alias("d"), F.xxhash64(d, text).alias("q"), text.alias("text"), doc_id.alias("doc_id"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(keep)])
 
 
 def removals(docs: DataFrame, shape: Shape, first_stays: bool, hot: int = HOT, text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -521,11 +523,11 @@ def removals(docs: DataFrame, shape: Shape, first_stays: bool, hot: int = HOT, t
     names = ["doc_id", *keep, "n_units", "n_removed", "n_spans", "kept_sha256", *(["kept"] if text else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, marks, qs = batch.column(1), batch.column(2), batch.column(3).to_numpy()
+        for batch in text_slices(batches, 0, SLICE):
+            ids, marks, ds = batch.column(1), batch.column(2), batch.column(3).to_numpy()
             for a, b, data, offsets, units in _chunks(shape, batch.column(0)):
                 ends = units.offsets
-                gone = covered(shape, ends, marks.slice(a, b - a), qs[a:b])
+                gone = covered(shape, ends, marks.slice(a, b - a), ds[a:b])
                 total = np.concatenate([[0], np.cumsum(gone)])[ends]
                 opens = gone.copy()
                 opens[1:] &= ~gone[:-1]
@@ -549,9 +551,8 @@ def removals(docs: DataFrame, shape: Shape, first_stays: bool, hot: int = HOT, t
                         kept.append(_whole_characters(data[offsets[row] : offsets[row + 1]], gone[x:y]) if shape.as_bytes else left.decode())
                 columns = [ids.slice(a, b - a), *(c.slice(a, b - a) for c in batch.columns[4:]), pa.array(np.diff(ends)), pa.array(np.diff(total)), pa.array(np.diff(spans)), pa.array(digests, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns + ([pa.array(kept, pa.string())] if text else []), names)
-            give_back()
 
-    return with_removals(keyed(docs, keep), shape, first_stays, hot).select("text", "doc_id", "marks", "q", *[f"_{k}" for k in range(len(keep))]).mapInArrow(run, kind)
+    return with_removals(keyed(docs, keep), shape, first_stays, hot).select("text", "doc_id", "marks", "d", *[f"_{k}" for k in range(len(keep))]).mapInArrow(run, kind)
 
 
 def _whole_characters(data: np.ndarray, gone: np.ndarray) -> str:

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from tallyforge.llm import bpe_counts, common, mixing, orc_tokens, pieces, repeats, simhash, tiff, toxicity
@@ -191,3 +192,73 @@ def test_tiff_media_by_an_independent_reader(spark):
         share = count[count > 0] / len(payload)
         want = f"pages={len(pages)};rows={len(payload) // 192};mean={sum(payload) / len(payload):.4f};levels={len(set(payload))};entropy={-(share * np.log2(share)).sum():.4f}"
         assert x["feature"] == want
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000, "a" + " " * 100_001 + "b", "  x   y    z" * 3000])
+def test_runs_of_spaces_equal_the_library(text):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    got = [i for _, ids, _ in pieces.encode_rows(pa.array([text]), PIECES) for i in ids.tolist()]
+    assert got == library.encode(text)
+
+
+def test_words_are_parted_alike_in_training_and_scoring():
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    for space in ("\u3000", "\u00a0"):
+        bad = f"x{space}zzgrumble"
+        texts = [" ".join([*(word() for _ in range(30)), *([bad] if k % 4 == 0 else [])]) for k in range(400)]
+        model = toxicity.fit(texts, [int(k % 4 == 0) for k in range(400)])
+        words, codes, first = common.split_words(pa.array([f"one two {bad}", "one two three"]))
+        score = model.score(toxicity.marginals(model.emissions(words.to_pylist(), codes, first), first, model.moves), first)
+        assert score[0] > 0.9 and score[1] < 0.1
+
+
+def _float_page(values, order=">"):
+    """A one-strip page of 32-bit floats under the floating-point predictor, by plain loops."""
+    height, width = values.shape
+    out = bytearray()
+    for row in values:
+        cells = [struct.pack(">f", v) for v in row]
+        flat = [cells[x][byte] for byte in range(4) for x in range(width)]
+        out += bytes([flat[0], *((b - a) % 256 for a, b in zip(flat, flat[1:]))])
+    data = zlib.compress(bytes(out))
+    fields = [(256, 4, width), (257, 4, height), (258, 3, 32), (259, 3, 8), (273, 4, 8), (277, 3, 1), (278, 4, height), (279, 4, len(data)), (317, 3, 3), (339, 3, 3)]
+    body = b"MM\0*" + struct.pack(">I", 8 + len(data)) + data + struct.pack(">H", len(fields))
+    for tag, kind, value in fields:
+        body += struct.pack(">HHI", tag, kind, 1) + (struct.pack(">HH", value, 0) if kind == 3 else struct.pack(">I", value))
+    return body + b"\0\0\0\0"
+
+
+def test_floating_point_predictor_is_undone():
+    values = np.random.default_rng(3).normal(size=(5, 7)).astype(np.float32)
+    (page,) = tiff.read_tiff(_float_page(values))
+    assert (page[:, :, 0].view(np.float32) == values).all()
+
+
+def test_any_bytes_give_pages_or_a_tiff_error():
+    r = np.random.default_rng(6)
+    grid = r.integers(0, 255, (40, 64), dtype=np.uint8)
+    files = [tiff.write_tiff([grid, grid[:9]], c, p, 16) for c in (tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS) for p in (1, 2)]
+    files += [tiff.write_tiff([grid], tiff.DEFLATE, 1, tile=(16, 16)), _float_page(grid.astype(np.float32))]
+    refused = 0
+    for data in files:
+        for _ in range(400):
+            bad = bytearray(data)
+            for at in r.integers(0, len(bad), r.integers(1, 4)):
+                bad[at] = r.integers(0, 256)
+            try:
+                pages = list(tiff.read_tiff(bytes(bad[: r.integers(1, len(bad) + 1)] if r.random() < 0.2 else bad)))
+            except tiff.TiffError:
+                refused += 1
+            else:
+                assert sum(p.nbytes for p in pages) <= 5000 * len(data)
+    assert refused > 300
+    # sizes of nothing and of a quarter of a terabyte in a small file
+    for tag, value in ((256, 0), (257, 0), (278, 0), (256, 1 << 31), (257, 1 << 31), (317, 9)):
+        bad = bytearray(files[0])
+        at = bad.find(struct.pack("<HH", tag, 3 if tag == 317 else 4), 8)
+        bad[at + 8 : at + 12] = struct.pack("<I", value)
+        with pytest.raises(tiff.TiffError):
+            list(tiff.read_tiff(bytes(bad)))

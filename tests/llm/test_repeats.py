@@ -65,6 +65,27 @@ def test_very_long_periodic_and_hot_texts(spark):
     check(spark, rows)
 
 
+def test_windows_of_a_hundred_words(spark):
+    r = random.Random(9)
+    words = [f"w{r.randint(0, 4000)}" for _ in range(150)]
+    bodies = pa.array([" ".join(words), "x " + " ".join(words[:120]), "y " + " ".join(words[60:130])], pa.binary())
+    found = factors.repeated_windows(bodies, 100, np.zeros(3), np.zeros(3))
+    assert np.flatnonzero(found).tolist() == [*range(21), *range(52, 73)]
+
+
+def test_many_texts_under_one_id_meet_their_own_anchors_only(spark):
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    common = [" ".join(word() for _ in range(40)) for _ in range(50)]
+    rows = [(7, f"{word()} {common[k % 50]} {word()}") for k in range(3000)]
+    df = spark.createDataFrame(rows, KIND).repartition(3)
+    got = [x["n_removed"] for x in repeats.removals(df, repeats.WORDS, False).collect()]
+    assert got == [40] * 3000
+    asked = repeats.keyed(df)
+    held = repeats.with_removals(asked, repeats.WORDS, False).selectExpr("max(size(marks)) AS most").first()["most"]
+    assert held <= 3
+
+
 def test_empty_table_and_short_texts(spark):
     none = spark.createDataFrame([], KIND)
     assert repeats.removals(none, repeats.WORDS, False).count() == repeats.removals(none, repeats.BYTES, True).count() == 0
@@ -79,10 +100,10 @@ def test_factors_are_greedy_and_find_all_windows(letters):
         flat = pa.array([" ".join(b) for b in bodies], pa.binary())
         length = r.randint(1, 12)
         words = np.array([ord(w) for b in bodies for w in b])
-        block = factors.Reference(words, np.array([len(b) for b in bodies]))
+        block = factors.Reference(words, np.array([len(b) for b in bodies]), 6)
         text = [(w, None) if w else (None, k) for k, b in enumerate(bodies) for w in [*b, None]]
         longest = [max([next((m for m in range(64) if max(i, j) + m >= len(text) or text[i + m] != text[j + m]), 63) for j in range(len(text)) if j != i], default=0) for i in range(len(text))]
-        assert block.longest.tolist() == longest
+        assert block.match(np.arange(len(text))).tolist() == longest
         want = {}
         for b in bodies:
             for i in range(len(b) - length + 1):
