@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text, udf
@@ -19,28 +19,71 @@ RULES = (
 )
 
 
+def _pieces(c: Column, n: int) -> Column:
+    """Distinct stretches of n characters of a text."""
+    cut = F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda k: F.substr(c, k, F.lit(n)))
+    return F.when(F.length(c) >= n, F.array_distinct(cut)).otherwise(F.array().cast("array<string>"))
+
+
+def held_in(probes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(g, p, t) of all probes (g, p) that a text (g, t) of their group holds; both are distinct and not empty.
+
+    A text is indexed by its pairs of characters and its characters. A probe is
+    looked up by the rarest of its pairs alone (a probe of one character by
+    that), and not at all if the index lacks one of them.
+    """
+    t, p = F.col("t"), F.col("p")
+    index = texts.select("g", "t", F.explode(F.concat(_pieces(t, 2), _pieces(t, 1))).alias("key"))
+    often = index.groupBy("g", "key").agg(F.count(F.lit(1)).alias("often"))
+    own = probes.select("g", "p", F.explode(F.when(F.length(p) > 1, _pieces(p, 2)).otherwise(_pieces(p, 1))).alias("key"))
+    rarest = own.join(often, ["g", "key"], "left").groupBy("g", "p").agg(F.min_by("key", F.struct("often", "key")).alias("key"), F.count_if(F.col("often").isNull()).alias("lacking"))
+    return rarest.where("lacking = 0").select("g", "p", "key").join(index, ["g", "key"]).where(F.contains(t, p)).select("g", "p", "t")
+
+
+def sharing(left: DataFrame, right: DataFrame, n: int) -> DataFrame:
+    """(g, p, t) of pairs of texts (g, p) and (g, t) that share n characters in a row, but for pairs that share only a stop word."""
+    keys = lambda c: F.filter(_pieces(F.col(c), n), lambda k: ~k.isin(*STOP_WORDS))
+    a = left.select("g", "p", F.explode(keys("p")).alias("key"))
+    return a.join(right.select("g", "t", F.explode(keys("t")).alias("key")), ["g", "key"]).select("g", "p", "t").distinct()
+
+
 def match_hints(hints: DataFrame, points: DataFrame) -> DataFrame:
     """(hint_id, kp_id, tier) of hints (hint_id, subject_id, hint) against points (kp_id, subject_id, name).
 
     Tiers: equal, one holds the other, the same without domain suffixes, longest
     common substring (three characters, or two that are no stop word). The
-    smallest kp_id wins a tie. Distinct hints meet their subject's points once;
-    only those that no built-in tier matches reach the substring function.
+    smallest kp_id wins a tie. Distinct hints and names meet over an index of
+    their characters, never over the subject alone; only hints that no tier in
+    front matches go on to the next one.
     """
     norm = lambda c: F.lower(text.trim_all(F.col(c)))
-    own = hints.select("hint_id", "subject_id", norm("hint").alias("h"))
-    asked = own.where("h <> ''").select("subject_id", "h").distinct().withColumn("bare", text.strip_suffixes(F.col("h")))
-    pairs = asked.join(points.select("subject_id", "kp_id", norm("name").alias("n")), "subject_id")
-    holds = lambda a, b: F.contains(a, b) | F.contains(b, a)
-    h, n, bare = F.col("h"), F.col("n"), F.col("bare")
-    tier = F.when(h == n, 1).when(holds(h, n), 2).when((bare != h) & holds(bare, n), 3)
-    direct = pairs.withColumn("tier", tier).where("tier IS NOT NULL").groupBy("subject_id", "h").agg(F.min(F.struct("tier", "kp_id")).alias("best"))
-    rest = pairs.join(direct.select("subject_id", "h"), ["subject_id", "h"], "left_anti").withColumn("common", udf.common_substring(h, n))
-    shared = F.length("common")
-    rest = rest.where((shared > 2) | ((shared == 2) & ~F.col("common").isin(*STOP_WORDS)))
-    fuzzy = rest.groupBy("subject_id", "h").agg(F.min(F.struct(F.negative(shared).alias("a"), "kp_id")).alias("best")).select("subject_id", "h", F.struct(F.lit(4).alias("tier"), F.col("best.kp_id").alias("kp_id")).alias("best"))
-    found = direct.unionByName(fuzzy)
-    return own.join(found, ["subject_id", "h"], "left").select("hint_id", F.col("best.kp_id").alias("kp_id"), F.col("best.tier").alias("tier"))
+    own = hints.select("hint_id", F.col("subject_id").alias("g"), norm("hint").alias("h"))
+    asked = own.where("h <> ''").select("g", "h").distinct()
+    # of points with one name the first one alone can be chosen
+    names = points.select(F.col("subject_id").alias("g"), norm("name").alias("n"), "kp_id").where("n IS NOT NULL").groupBy("g", "n").agg(F.min("kp_id").alias("kp_id"))
+    named, as_probes, as_texts = names.where("n <> ''"), asked.select("g", F.col("h").alias("p")), asked.select("g", F.col("h").alias("t"))
+    tier = F.when(F.col("h") == F.col("n"), 1).otherwise(2)
+    holding = held_in(named.select("g", F.col("n").alias("p")), as_texts).select("g", F.col("t").alias("h"), F.col("p").alias("n"))
+    held = held_in(as_probes, named.select("g", F.col("n").alias("t"))).select("g", F.col("p").alias("h"), F.col("t").alias("n"))
+    bare = asked.withColumn("bare", text.strip_suffixes(F.col("h"))).where("bare <> h")
+    stripped = held_in(bare.select("g", F.col("bare").alias("p")).distinct(), named.select("g", F.col("n").alias("t"))).join(bare.select("g", "h", F.col("bare").alias("p")), ["g", "p"]).select("g", "h", F.col("t").alias("n"), F.lit(3).alias("tier"))
+    # a name of nothing is held by every hint; there is one such row a subject
+    blank = asked.join(names.where("n = ''"), "g").select("g", "h", F.lit(2).alias("tier"), "kp_id")
+    pairs = holding.unionByName(held).withColumn("tier", tier).unionByName(stripped).join(named, ["g", "n"]).select("g", "h", "tier", "kp_id").unionByName(blank)
+    best = lambda df, *order: df.groupBy("g", "h").agg(F.min(F.struct(*order, "kp_id")).alias("best"))
+    direct = best(pairs, "tier").select("g", "h", F.col("best.tier").alias("tier"), F.col("best.kp_id").alias("kp_id"))
+
+    def fuzzy(left: DataFrame, n: int) -> DataFrame:
+        met = sharing(left.select("g", F.col("h").alias("p")), named.select("g", F.col("n").alias("t")), n).withColumn("common", udf.common_substring(F.col("p"), F.col("t")))
+        shared = F.length("common")
+        met = met.where((shared > 2) | ((shared == 2) & ~F.col("common").isin(*STOP_WORDS))).select("g", F.col("p").alias("h"), F.col("t").alias("n"), F.negative(shared).alias("a"))
+        return best(met.join(named, ["g", "n"]), "a").select("g", "h", F.lit(4).alias("tier"), F.col("best.kp_id").alias("kp_id"))
+
+    rest = asked.join(direct, ["g", "h"], "left_anti")
+    three = fuzzy(rest, 3)
+    two = fuzzy(rest.join(three, ["g", "h"], "left_anti"), 2)
+    found = direct.unionByName(three).unionByName(two)
+    return own.join(found, ["g", "h"], "left").select("hint_id", "kp_id", "tier")
 
 
 def match_score(item: Column, hint: Column, name: Column, search: Column) -> Column:
@@ -57,11 +100,66 @@ def match_score(item: Column, hint: Column, name: Column, search: Column) -> Col
     return F.greatest(*scores, F.when(overlap >= 0.55, 0.62).when(overlap >= 0.35, 0.48).otherwise(0.0))
 
 
+def _overlapping(items: DataFrame, points: DataFrame, least: float = 0.35) -> DataFrame:
+    """(item_id, kp_id) of items (g, item_id, i) and points (g, kp_id, s) whose character overlap can reach least.
+
+    Of the poorer text's m distinct characters least * m are shared, so one of
+    its rarest m - least * m + 1 is: those alone are looked up in the other text.
+    """
+    chars = lambda c: _pieces(F.col(c), 1)
+    point = points.select("g", "kp_id", chars("s").alias("all")).withColumn("m", F.size("all")).where("m > 0")
+    item = items.select("g", "item_id", chars("i").alias("all")).withColumn("m", F.size("all")).where("m > 0")
+    often = point.select("g", F.explode("all").alias("key")).groupBy("g", "key").agg(F.count(F.lit(1)).alias("often"))
+
+    def ranked(df: DataFrame, own: str) -> DataFrame:
+        """Each character of a text with its place among them, the rarest first."""
+        each = df.select("g", own, "m", F.explode("all").alias("key")).join(often, ["g", "key"], "left")
+        return each.withColumn("place", F.row_number().over(Window.partitionBy("g", own).orderBy(F.coalesce("often", F.lit(0)), "key")))
+
+    prefix = F.col("place") <= F.col("m") - F.ceil(F.col("m") * least) + 1
+    a, b = ranked(item, "item_id"), ranked(point, "kp_id")
+    pick = lambda df, own, size: df.select("g", "key", own, F.col("m").alias(size))
+    poorer_item = pick(a.where(prefix), "item_id", "x").join(pick(b, "kp_id", "y"), ["g", "key"]).where("x <= y")
+    poorer_point = pick(a, "item_id", "x").join(pick(b.where(prefix), "kp_id", "y"), ["g", "key"]).where("y < x")
+    return poorer_item.unionByName(poorer_point).select("g", "item_id", "kp_id").distinct()
+
+
 def best_match(items: DataFrame, points: DataFrame, on: str, least: float = 0.45) -> DataFrame:
-    """Each item's best point of its group by score, the smallest kp_id first; below least there is none."""
-    pairs = items.join(points, on).withColumn("score", match_score(F.col("item_text"), F.col("hint"), F.col("name"), F.col("search_text")))
-    best = pairs.where(F.col("score") >= least).groupBy("item_id").agg(F.min(F.struct(F.negative("score").alias("a"), "kp_id")).alias("best"))
-    return best.select("item_id", F.col("best.kp_id").alias("kp_id"), F.negative("best.a").alias("score"))
+    """Each item's best point of its group by score, the smallest kp_id first; below least there is none.
+
+    Items (item_id, on, item_text, hint) and points (kp_id, on, name,
+    search_text) meet where one text holds the other, where both sides of a rule
+    match (the rule's first point stands for all), and, for items that neither
+    gives a point, where enough characters are shared; pairs that can't reach
+    least are never made.
+    """
+    known = lambda c: text.knowledge_text(F.col(c))
+    item = items.select(F.col(on).alias("g"), "item_id", "item_text", "hint", known("item_text").alias("i"), known("hint").alias("h"))
+    point = points.select(F.col(on).alias("g"), "kp_id", "name", "search_text", known("name").alias("n"), known("search_text").alias("s"))
+    strings = lambda df, c, to: df.where(F.col(c) != "").select("g", F.col(c).alias(to)).distinct()
+    in_hint = held_in(strings(point, "n", "p"), strings(item, "h", "t")).select("g", F.col("t").alias("h"), F.col("p").alias("n"))
+    in_item = held_in(strings(point, "n", "p"), strings(item, "i", "t")).select("g", F.col("t").alias("i"), F.col("p").alias("n"))
+    in_search = held_in(strings(item, "h", "p"), strings(point, "s", "t")).select("g", F.col("p").alias("h"), F.col("t").alias("s"))
+    ids, kps = item.select("g", "item_id", "h", "i"), point.select("g", "kp_id", "n", "s")
+    made = [in_hint.join(ids, ["g", "h"]).join(kps, ["g", "n"]), in_item.join(ids, ["g", "i"]).join(kps, ["g", "n"]), in_search.join(ids, ["g", "h"]).join(kps, ["g", "s"])]
+    blank = point.where("n = ''").groupBy("g").agg(F.min("kp_id").alias("kp_id"))
+    made.append(item.where("h <> ''").join(blank, "g"))
+    for a, b, _ in RULES:
+        first = point.where(F.col("search_text").rlike(b)).groupBy("g").agg(F.min("kp_id").alias("kp_id"))
+        made.append(item.where(F.col("item_text").rlike(a)).join(first, "g"))
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        score = match_score(F.col("item_text"), F.col("hint"), F.col("name"), F.col("search_text"))
+        full = pairs.join(item.select("g", "item_id", "item_text", "hint"), ["g", "item_id"]).join(point.select("g", "kp_id", "name", "search_text"), ["g", "kp_id"]).withColumn("score", score)
+        best = full.where(F.col("score") >= least).groupBy("item_id").agg(F.min(F.struct(F.negative("score").alias("a"), "kp_id")).alias("best"))
+        return best.select("item_id", F.col("best.kp_id").alias("kp_id"), F.negative("best.a").alias("score"))
+
+    pairs = made[0].select("g", "item_id", "kp_id")
+    for more in made[1:]:
+        pairs = pairs.unionByName(more.select("g", "item_id", "kp_id"))
+    strong = scored(pairs.distinct())
+    rest = item.join(strong, "item_id", "left_anti")
+    return strong.unionByName(scored(_overlapping(rest, point)))
 
 
 def generated_points(items: DataFrame) -> DataFrame:

@@ -177,9 +177,7 @@ def choose_questions(slots: DataFrame, scores: DataFrame, questions: DataFrame,
     fits = rows.join(kinds, F.col("kp_id") == F.col("qk")).where(mine)
     outside = F.when(F.col("difficulty").between(F.col("low"), F.col("low") + 1), 0).otherwise(1)
     away = F.abs(F.col("difficulty") * 2 - F.col("low") * 2 - 1)
-    # one sortable number: outside the range, twice the distance, place in the bank
-    key = F.shiftleft((outside * 64 + away).cast("long"), 40) + F.col("question_id")
-    best = fits.groupBy("student_id", "kp_id").agg(F.min(key).alias("key")).select("student_id", "kp_id", F.col("key").bitwiseAND(F.lit((1 << 40) - 1)).alias("nearest"))
+    best = fits.groupBy("student_id", "kp_id").agg(F.min(F.struct(outside.alias("outside"), away.alias("away"), "question_id")).alias("first")).select("student_id", "kp_id", F.col("first.question_id").alias("nearest"))
     own = rows.join(bank, (F.col("source_question") == F.col("question_id")) & (F.col("kp_id") == F.col("qk"))).where(mine).select("student_id", "kp_id", F.col("question_id").alias("own"))
     found = slots.join(best, ["student_id", "kp_id"], "left").join(own, ["student_id", "kp_id"], "left").withColumn("question_id", F.coalesce("own", "nearest")).drop("own", "nearest")
     return found.withColumn("source", F.when(F.col("question_id").isNotNull(), "question_bank").otherwise("ai_generated"))
