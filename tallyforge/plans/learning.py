@@ -14,22 +14,63 @@ WORK_LIMIT, REVIEW_LIMIT = 5, 3
 POOL_SOURCES = {"mistake_variant": "error_review", "spaced_review": "spaced_repetition", "chapter_practice": "new_knowledge", "new_knowledge": "new_knowledge", "feynman_check": "new_knowledge"}
 
 
-def mastery(graded: DataFrame) -> DataFrame:
-    """(student_id, kp_id, mastery_score, peak_mastery_score, attempts, last_at) after all answers in order.
+#: Answers that one partial fold takes at most.
+FOLD_WIDTH = 1024
+
+
+def _moved(f: Column, x: Column) -> Column:
+    """Score after the answers of a fold that begin at score x."""
+    return F.least(f["high"], F.greatest(f["low"], x + f["shift"]))
+
 
-    Scores are folded in whole hundredths. The fold's list is one learner's
-    answers to one point, which its practice bounds.
+def then(f: Column, g: Column) -> Column:
+    """The fold of f's answers and then g's.
+
+    A fold maps the score x before its answers to that after them, x + shift
+    kept within low and high, and to the peak on the way, the greater of top and
+    x + rise (at most 100). Both maps are closed under composition, because a
+    sum that is the highest so far has lost nothing at the upper end.
     """
-    change = number.mastery_delta(F.col("difficulty"), F.col("is_correct"))
-    steps = F.transform(F.array_sort(F.collect_list(F.struct("answered_at", "attempt_id", change.alias("change")))), lambda x: x["change"])
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("peak"))
+    on_the_way = F.greatest(g["top"], F.least(F.lit(100), f["low"] + g["rise"]))
+    return F.struct(
+        (f["shift"] + g["shift"]).alias("shift"), _moved(g, f["low"]).alias("low"), _moved(g, f["high"]).alias("high"),
+        F.greatest(f["rise"], f["shift"] + g["rise"]).alias("rise"), F.greatest(f["top"], on_the_way).alias("top"),
+    )
 
-    def step(s: Column, x: Column) -> Column:
-        now = F.greatest(F.lit(0), F.least(F.lit(100), s["now"] + x))
-        return F.struct(now.alias("now"), F.greatest(s["peak"], now).alias("peak"))
 
-    folded = graded.groupBy("student_id", F.col("primary_kp").alias("kp_id")).agg(F.aggregate(steps, start, step).alias("s"), F.count(F.lit(1)).alias("attempts"), F.max("answered_at").alias("last_at"))
-    return folded.select("student_id", "kp_id", (F.col("s.now") / 100.0).alias("mastery_score"), (F.col("s.peak") / 100.0).alias("peak_mastery_score"), "attempts", "last_at")
+def _one(change: Column) -> Column:
+    """The fold of one answer, from its change in hundredths."""
+    low = F.greatest(F.lit(0), F.least(F.lit(100), change))
+    return F.struct(change.alias("shift"), low.alias("low"), F.greatest(F.lit(0), F.least(F.lit(100), change + 100)).alias("high"), change.alias("rise"), low.alias("top"))
+
+
+def folded(rows: DataFrame, key: list[str], order: list[str], slot: Column, change: Column, width: int = FOLD_WIDTH) -> DataFrame:
+    """(key, fold, n, last) of rows in order: the fold of all changes of a key, their number, the greatest first column of order.
+
+    Rows are dealt by key and slot (a range of the order), numbered there by a
+    sort that can spill, and folded in parts of width rows at most; then the
+    parts of a key are folded in their order. So no list holds more than width
+    answers, or more than a key's slots and its share of parts.
+    """
+    nothing = F.struct(*[F.lit(v).cast("int").alias(c) for c, v in (("shift", 0), ("low", 0), ("high", 100), ("rise", -1_000_000), ("top", 0))])
+    chain = lambda items: F.aggregate(F.transform(F.array_sort(items), lambda x: x["f"]), nothing, then)
+    own = rows.select(*key, *order, slot.alias("slot"), _one(change.cast("int")).alias("f"))
+    number_ = F.row_number().over(Window.partitionBy(*key, "slot").orderBy(*order))
+    parts = own.withColumn("n", number_).withColumn("part", F.floor((F.col("n") - 1) / width)).groupBy(*key, "slot", "part").agg(chain(F.collect_list(F.struct("n", "f"))).alias("f"), F.count(F.lit(1)).alias("n"), F.max(order[0]).alias("last"))
+    return parts.groupBy(*key).agg(chain(F.collect_list(F.struct("slot", "part", "f"))).alias("fold"), F.sum("n").alias("n"), F.max("last").alias("last"))
+
+
+def mastery(graded: DataFrame) -> DataFrame:
+    """(student_id, kp_id, mastery_score, peak_mastery_score, attempts, last_at) after all answers in order.
+
+    Scores are folded in whole hundredths, days first and then a learner's days
+    at a point, so that a hot learner and point is never one list or one sort.
+    """
+    key, day = ["student_id", "kp_id"], F.date_trunc("day", "answered_at")
+    rows = graded.withColumn("kp_id", F.col("primary_kp"))
+    found = folded(rows, key, ["answered_at", "attempt_id"], day, number.mastery_delta(F.col("difficulty"), F.col("is_correct")))
+    # learners begin at 0, where the peak on the way is top
+    return found.select(*key, (_moved(F.col("fold"), F.lit(0)) / 100.0).alias("mastery_score"), (F.col("fold.top") / 100.0).alias("peak_mastery_score"), F.col("n").alias("attempts"), F.col("last").alias("last_at"))
 
 
 def mistakes(attempts: DataFrame) -> DataFrame:
