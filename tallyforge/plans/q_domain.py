@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import number, text
 from tallyforge.operators import core, fuzzy
 from tallyforge.sources import model_calls
-from tallyforge.streaming import attempts
+from tallyforge.streaming import attempts, sink
 
 from . import ingest, learning
 from .q_aggregate import ITEMS_SQL, STATS_SQL, items
@@ -484,20 +484,38 @@ def _stream(v, frames, start, mode="update"):
     before = v.spark.conf.get(key, None)
     v.spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     path = f"{stream_folder(v.spark).rstrip('/')}/tallyforge-{uuid.uuid4().hex}"
-    out = f"{path}/out"
-
-    def put(batch, number_):
-        batch.withColumn("batch", F.lit(number_)).write.mode("append").parquet(out)
-
+    out, schema = sink.BatchSink(v.spark, f"{path}/out"), None
+    _STREAMED.append((v.spark, path))
     try:
         for frame in frames:
             frame.write.mode("append").parquet(f"{path}/in")
-            stream = v.spark.readStream.schema(frames[0].schema).parquet(f"{path}/in")
-            writer = start(stream).writeStream.foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
+            started = start(v.spark.readStream.schema(frames[0].schema).parquet(f"{path}/in"))
+            schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in started.schema.fields)
+            writer = started.writeStream.foreachBatch(out.write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
             writer.outputMode(mode).start().awaitTermination()
     finally:
         v.spark.conf.set(key, before) if before else v.spark.conf.unset(key)
-    return v.spark.read.parquet(out)
+    for part in ("in", "state"):
+        _drop(v.spark, f"{path}/{part}")
+    return out.read(schema)
+
+
+#: Folders of this process's streams; what they wrote stays until it ends.
+_STREAMED: list[tuple] = []
+
+
+def _drop(spark, path):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@atexit.register
+def _drop_all():
+    for spark, path in _STREAMED:
+        try:
+            _drop(spark, path)
+        except Exception:  # noqa: BLE001  a stopped session can't delete
+            continue
 
 
 def stream_folder(spark):
@@ -560,9 +578,16 @@ def _(v):
     return out.where("job_id >= 0").groupBy("job_id").agg(F.max_by("status", F.struct("batch", (F.col("status") == "failed").alias("f"))).alias("status"))
 
 
-@query("t7_due_timer", "SELECT student_id, kp_id FROM review, now_at WHERE next_review_at <= now")
+@query("t7_due_timer", "SELECT student_id, kp_id, epoch_us(next_review_at) AS due_us FROM review, now_at WHERE next_review_at <= now")
 def _(v):
-    return attempts.due(learning.reviews(v.graded), v.now).select("student_id", "kp_id")
+    """Reviews fall due by timers as the event clock runs; at the end it stands at now."""
+    rows = v.graded.select("student_id", F.col("primary_kp").alias("kp_id"), F.col("answered_at").alias("ts"), "is_correct")
+    key = rows.schema["student_id"].dataType
+    clock = rows.limit(1).select(F.lit(-1).cast(key).alias("student_id"), F.lit(-1).cast(rows.schema["kp_id"].dataType).alias("kp_id"), (v.now + F.expr("INTERVAL 1 HOUR")).alias("ts"), F.lit(True).alias("is_correct"))
+    out = _stream(v, [rows.where("ts < '2024-01-15'"), rows.where("ts >= '2024-01-15'"), clock], lambda s: attempts.due_reviews(s.where(F.col("ts") <= v.now + F.expr("INTERVAL 1 HOUR")), late="1 hour"))
+    # a batch may fire an old timer and set a new one: what was set stands against what was due before
+    last = out.where("student_id >= 0").groupBy("student_id", "kp_id").agg(F.max_by(F.struct("status", "due_us"), F.struct("due_us", "batch", (F.col("status") == "due").alias("f"))).alias("r"))
+    return last.where("r.status = 'due'").select("student_id", "kp_id", "r.due_us")
 
 
 @query("t8_session_timeout", "WITH g AS (SELECT *, CASE WHEN answered_at - lag(answered_at) OVER w >= INTERVAL 25 MINUTE OR lag(answered_at) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM attempt WINDOW w AS (PARTITION BY student_id ORDER BY answered_at, attempt_id)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY student_id ORDER BY answered_at, attempt_id ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT student_id, epoch_us(min(answered_at)) AS start_us, count(*) AS answers FROM s GROUP BY student_id, k")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,34 +18,106 @@ def change(difficulty: int, right: bool) -> int:
     return (5 if right else -15) if difficulty <= 2 else (10 if right else -8) if difficulty == 3 else (15 if right else -3)
 
 
+class Spool:
+    """Rows of one key in state, by ranges of time, so that a batch of any size is put in order range by range.
+
+    Only one range and one arriving frame are in memory at once. A range is
+    cut into chunks as its rows come; names are the columns kept, the first is
+    a time in microseconds, the second breaks ties.
+    """
+
+    def __init__(self, handle: StatefulProcessorHandle, names: list[str], width_us: int = 3_600_000_000):
+        self.names, self.width = names, width_us
+        self.rows = handle.getMapState("spool", "range long, chunk int", ", ".join(f"{n} array<long>" for n in names))
+        self.sizes = handle.getMapState("spool_sizes", "range long", "chunks int")
+
+    def put(self, frame: dict[str, np.ndarray]) -> None:
+        place = frame[self.names[0]] // self.width
+        order = np.argsort(place, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(place[order])) + 1):
+            if not len(own):
+                continue
+            at = (int(place[own[0]]),)
+            chunk = self.sizes.getValue(at)[0] if self.sizes.containsKey(at) else 0
+            self.rows.updateValue((*at, chunk), tuple(frame[n][own].tolist() for n in self.names))
+            self.sizes.updateValue(at, (chunk + 1,))
+
+    def in_order(self, frames: Iterator[dict[str, np.ndarray]]) -> Iterator[dict[str, np.ndarray]]:
+        """All rows of a batch's frames in order, in parts; a single frame needs no state."""
+        first = next(frames, None)
+        if first is None:
+            return
+        second = next(frames, None)
+        if second is None:
+            order = np.lexsort((first[self.names[1]], first[self.names[0]]))
+            yield {n: first[n][order] for n in self.names}
+            return
+        for frame in (first, second):
+            self.put(frame)
+        for frame in frames:
+            self.put(frame)
+        yield from self.drain()
+
+    def drain(self) -> Iterator[dict[str, np.ndarray]]:
+        """The rows range by range, in order, and out of the state."""
+        for at in sorted(k[0] for k in self.sizes.keys()):
+            keys = [(at, c) for c in range(self.sizes.getValue((at,))[0])]
+            parts = [self.rows.getValue(k) for k in keys]
+            columns = [np.concatenate([np.asarray(p[j], dtype=np.int64) for p in parts]) for j in range(len(self.names))]
+            order = np.lexsort((columns[1], columns[0]))
+            for k in keys:
+                self.rows.removeKey(k)
+            self.sizes.removeKey((at,))
+            yield {n: c[order] for n, c in zip(self.names, columns)}
+
+
+def _micros(times: pd.Series) -> np.ndarray:
+    return times.to_numpy(dtype="datetime64[us]").astype(np.int64)
+
+
+#: States that are handed on at once.
+OUT_ROWS = 10_000
+
+
 class LearnerState(StatefulProcessor):
     """Mastery by point and mistakes by question of one learner; emits the states that a batch touched."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.mastery = handle.getMapState("mastery", "kp_id int", "score int, peak int")
         self.mistakes = handle.getMapState("mistakes", "question_id long", "errors int, streak int")
+        self.spool = Spool(handle, ["at", "attempt_id", "kp", "question", "difficulty", "right"])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        (student,) = key
-        todo = pd.concat(list(rows)).sort_values(["answered_at", "attempt_id"])
-        out = {}
-        for r in todo.itertuples(index=False):
-            kp, question, right = int(r.primary_kp), int(r.question_id), bool(r.is_correct)
-            score, peak = self.mastery.getValue((kp,)) if self.mastery.containsKey((kp,)) else (0, 0)
-            score = max(0, min(100, score + change(int(r.difficulty), right)))
-            peak = max(peak, score)
-            self.mastery.updateValue((kp,), (score, peak))
-            errors, streak = self.mistakes.getValue((question,)) if self.mistakes.containsKey((question,)) else (0, 0)
-            if not right:
-                errors, streak = errors + 1, 0
-            elif errors:
-                streak = min(2, streak + 1)
+        columns = {"attempt_id": "attempt_id", "kp": "primary_kp", "question": "question_id", "difficulty": "difficulty", "right": "is_correct"}
+        frames = ({"at": _micros(f["answered_at"])} | {n: f[c].to_numpy().astype(np.int64) for n, c in columns.items()} for f in rows)
+        # what a batch touches: as many entries as points and questions, whatever its answers
+        scores: dict[int, tuple[int, int]] = {}
+        states: dict[int, tuple[int, int, int]] = {}
+        for part in self.spool.in_order(frames):
+            for kp, question, difficulty, right in zip(*(part[n].tolist() for n in ("kp", "question", "difficulty", "right"))):
+                if kp not in scores:
+                    scores[kp] = self.mastery.getValue((kp,)) if self.mastery.containsKey((kp,)) else (0, 0)
+                score, peak = scores[kp]
+                score = max(0, min(100, score + change(difficulty, bool(right))))
+                scores[kp] = (score, max(peak, score))
+                if question in states:
+                    _, errors, streak = states[question]
+                else:
+                    errors, streak = self.mistakes.getValue((question,)) if self.mistakes.containsKey((question,)) else (0, 0)
+                if not right:
+                    errors, streak = errors + 1, 0
+                elif errors:
+                    streak = min(2, streak + 1)
+                states[question] = (kp, errors, streak)
+        for kp, value in scores.items():
+            self.mastery.updateValue((kp,), value)
+        for question, (_, errors, streak) in states.items():
             if errors:
                 self.mistakes.updateValue((question,), (errors, streak))
-            out[question] = (student, kp, question, score, peak, errors, streak, None if not errors else "resolved" if streak == 2 else "open")
-        # a point's score is that after the whole batch
-        final = {kp: self.mastery.getValue((kp,)) for kp in {x[1] for x in out.values()}}
-        yield pd.DataFrame([(s, kp, q, *final[kp], e, k, st) for s, kp, q, _, _, e, k, st in out.values()], columns=["student_id", "kp_id", "question_id", "score", "peak", "errors", "streak", "status"])
+        names = ["student_id", "kp_id", "question_id", "score", "peak", "errors", "streak", "status"]
+        out = [(key[0], kp, q, *scores[kp], errors, streak, None if not errors else "resolved" if streak == 2 else "open") for q, (kp, errors, streak) in states.items()]
+        for at in range(0, len(out), OUT_ROWS):
+            yield pd.DataFrame(out[at : at + OUT_ROWS], columns=names)
 
     def close(self) -> None:
         pass
@@ -66,7 +139,10 @@ class StaleJobs(StatefulProcessor):
         self.last = handle.getValueState("last", "status string, at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest = pd.concat(list(rows)).sort_values("ts").iloc[-1]
+        newest = None
+        for frame in rows:
+            last = frame.loc[frame["ts"].idxmax()]
+            newest = last if newest is None or last["ts"] >= newest["ts"] else newest
         at = int(newest["ts"].timestamp() * 1000)
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
@@ -94,12 +170,16 @@ class SerialWrites(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.done = handle.getValueState("done", "n long")
+        self.spool = Spool(handle, ["ts", "write_id"])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        todo = pd.concat(list(rows)).sort_values(["ts", "write_id"])
+        frames = ({"ts": _micros(f["ts"]), "write_id": f["write_id"].to_numpy().astype(np.int64)} for f in rows)
         n = self.done.get()[0] if self.done.exists() else 0
-        self.done.update((n + len(todo),))
-        yield pd.DataFrame({"key": key[0], "write_id": todo["write_id"].to_numpy(), "number": range(n + 1, n + len(todo) + 1)})
+        for part in self.spool.in_order(frames):
+            ids = part["write_id"]
+            yield pd.DataFrame({"key": key[0], "write_id": ids, "number": np.arange(n + 1, n + len(ids) + 1)})
+            n += len(ids)
+        self.done.update((n,))
 
     def close(self) -> None:
         pass
@@ -130,6 +210,59 @@ def activity(answers: DataFrame, width: str = "7 days", step: str = "1 day", lat
     return answers.withWatermark("ts", late).groupBy(F.window("ts", width, step)).agg(F.count(F.lit(1)).alias("answers"), F.count_if("is_correct").alias("right"))
 
 
+class DueReviews(StatefulProcessor):
+    """The review of one learner and point: due a day after the first contact or the last wrong answer.
+
+    A timer in event time fires when the watermark has passed that moment. A
+    wrong answer before or after puts the review off and says so.
+    """
+
+    def __init__(self, wait_ms: int):
+        self.wait_ms = wait_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "first long, wrong long, due_at long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first, wrong, before = self.seen.get() if self.seen.exists() else (None, None, None)
+        for frame in rows:
+            at = _micros(frame["ts"])
+            bad = at[~frame["is_correct"].to_numpy().astype(bool)]
+            first = int(at.min()) if first is None else min(first, int(at.min()))
+            if len(bad):
+                wrong = int(bad.max()) if wrong is None else max(wrong, int(bad.max()))
+        due_at = max(first, wrong if wrong is not None else first) + 1000 * self.wait_ms
+        self.seen.update((first, wrong, due_at))
+        if due_at != before:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            # timers are in whole milliseconds and fire once the watermark is there
+            self.handle.registerTimer(max(-(-due_at // 1000), timerValues.getCurrentWatermarkInMs() + 1))
+            yield self._row(key, "waiting", due_at)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._row(key, "due", self.seen.get()[2])
+
+    @staticmethod
+    def _row(key, status: str, due_at: int) -> pd.DataFrame:
+        return pd.DataFrame([(*key, status, due_at)], columns=["student_id", "kp_id", "status", "due_us"])
+
+    def close(self) -> None:
+        pass
+
+
+def due_reviews(answers: DataFrame, late: str = "1 hour", wait_ms: int = 86_400_000) -> DataFrame:
+    """(student_id, kp_id, status, due_us) of a stream of answers (student_id, kp_id, ts, is_correct).
+
+    'waiting' when a review's moment is set or moves, 'due' when the event clock
+    passes it. Answers later than late are left out, as the watermark says.
+    """
+    kinds = [answers.schema[c].dataType.simpleString() for c in ("student_id", "kp_id")]
+    keyed = answers.withWatermark("ts", late).groupBy("student_id", "kp_id")
+    return keyed.transformWithStateInPandas(DueReviews(wait_ms), f"student_id {kinds[0]}, kp_id {kinds[1]}, status string, due_us long", "Update", "EventTime")
+
+
 def due(reviews: DataFrame, now) -> DataFrame:
     return reviews.where(F.col("next_review_at") <= now)
 
