@@ -75,12 +75,16 @@ def review_interval(index: Column, near_exam: Column) -> Column:
     return F.when(near_exam, days * 0.5).otherwise(days * 1.0)
 
 
-def retry_delay_ms(retry_after: Column, text: Column, attempt: Column) -> Column:
-    """Retry-After seconds, else 'retry after N' in the text, else doubling from 10 s to 60 s."""
-    said = F.regexp_extract(F.lower(F.coalesce(text, F.lit(""))), "retry after (\\d+(?:\\.\\d+)?)", 1)
+def retry_delay_ms(retry_after: Column, text: Column, attempt: Column, now: Column | None = None) -> Column:
+    """Retry-After seconds or HTTP date, else 'retry after N' in the text (whole seconds upwards), else doubling from 10 s to 60 s."""
+    said = F.regexp_extract(F.lower(F.coalesce(text, F.lit(""))), "retry after\\s+([\\d.]+)", 1)
     backoff = F.least(F.lit(60000.0), F.lit(10000.0) * F.pow(F.lit(2.0), attempt))
-    seconds = F.coalesce(retry_after.try_cast("double"), F.when(said != "", said).try_cast("double"))
-    return F.coalesce(seconds * 1000.0, backoff).cast("long")
+    seconds = retry_after.try_cast("double")
+    date = F.regexp_extract(retry_after, "^[A-Za-z]{3}, (\\d{1,2} [A-Z][a-z]{2} \\d{4} \\d{2}:\\d{2}:\\d{2} GMT)$", 1)
+    until = F.try_to_timestamp(F.when(date != "", date), F.lit("d MMM yyyy HH:mm:ss z"))
+    away = F.when(until.isNotNull(), F.greatest(F.lit(0.0), (F.unix_micros(until) - F.unix_micros(F.current_timestamp() if now is None else now)) / 1000.0))
+    hint = F.when(said != "", said).try_cast("double")
+    return F.coalesce(F.when((seconds >= 0) & (seconds < 1e12), F.ceil(seconds * 1000).cast("double")), away, F.ceil(hint).cast("double") * 1000, backoff).cast("long")
 
 
 def page_progress(done: Column, total: Column) -> Column:

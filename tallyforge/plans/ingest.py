@@ -21,9 +21,20 @@ THREAD_KEYS = {
 }
 
 
-def page_map_reduce(pages: DataFrame, doc: str, per_page: Column, separator: str = "\n\n") -> DataFrame:
-    """One text per document from its pages' results in page order."""
-    return pages.groupBy(doc).agg(F.array_join(core.ordered_list(["page"], per_page), separator).alias("text"), F.count(F.lit(1)).alias("pages"))
+#: Pages whose text stands in one row.
+PART_PAGES = 64
+
+
+def ordered_parts(rows: DataFrame, doc: str, order: str, per_row: Column, separator: str = "\n\n", width: int = PART_PAGES, *more: Column) -> DataFrame:
+    """(doc, part, text, pages, ...) of rows in order, width rows to a part; parts of a document follow each other by number.
+
+    Rows are numbered by a sort that can spill, so a document of any length is
+    never one list or one text; rows without a text count but add nothing.
+    """
+    place = F.row_number().over(Window.partitionBy(doc).orderBy(order)) - 1
+    cut = rows.withColumn("_text", per_row).withColumn("_n", place).withColumn("part", F.floor(F.col("_n") / width).cast("int"))
+    texts = F.transform(F.array_sort(F.collect_list(F.when(F.col("_text").isNotNull(), F.struct("_n", "_text")))), lambda x: x["_text"])
+    return cut.groupBy(doc, "part").agg(F.array_join(texts, separator).alias("text"), F.count(F.lit(1)).alias("pages"), *more)
 
 
 def parse_batch(answers: DataFrame, body: str = "text") -> DataFrame:

@@ -8,7 +8,7 @@ from tallyforge.functions import jsonx, number, text, udf
 from tallyforge.operators import core
 from tallyforge.sources import model_calls
 
-from . import learning
+from . import ingest, learning
 from .registry import query
 
 
@@ -250,10 +250,11 @@ def _(v):
     return v.kp.select("kp_id", F.concat_ws(" ", text.blank_to_null(F.col("chapter_no")), F.col("name")).alias("heading"))
 
 
-@query("c34_page_prompt", "SELECT upload_id, string_agg('第 ' || staging_id || ' 页：' || review_status, chr(10) ORDER BY staging_id) AS prompt FROM staging GROUP BY upload_id")
+@query("c34_page_prompt", "SELECT upload_id, CAST(n // 64 AS INTEGER) AS part, string_agg('第 ' || staging_id || ' 页：' || review_status, chr(10) ORDER BY staging_id) AS prompt FROM (SELECT *, row_number() OVER (PARTITION BY upload_id ORDER BY staging_id) - 1 AS n FROM staging) GROUP BY upload_id, n // 64")
 def _(v):
+    """The lines of an upload in order, 64 to a row: an upload of any size is no one text."""
     line = F.format_string("第 %d 页：%s", "staging_id", "review_status")
-    return v.staging.groupBy("upload_id").agg(F.array_join(core.ordered_list(["staging_id"], line), "\n").alias("prompt"))
+    return ingest.ordered_parts(v.staging, "upload_id", "staging_id", line, "\n").select("upload_id", "part", F.col("text").alias("prompt"))
 
 
 @query("c35_date_display", "SELECT session_id, CASE WHEN session_id % 5 = 0 THEN '—' ELSE strftime(ended_at, '%Y-%m-%d %H:%M') END AS shown FROM session")
@@ -299,11 +300,13 @@ def _(v):
     return v.attempt.select("attempt_id", number.is_expired(expires, v.now).alias("expired"))
 
 
-@query("d6_retry_delay", "SELECT staging_id, CAST(CASE staging_id % 3 WHEN 0 THEN (staging_id % 50 + 0.5) * 1000 WHEN 1 THEN (staging_id % 20) * 1000 ELSE least(60000, 10000 * pow(2, staging_id % 5)) END AS BIGINT) AS ms FROM staging")
+@query("d6_retry_delay", "SELECT staging_id, CAST(CASE staging_id % 4 WHEN 0 THEN (staging_id % 50 + 0.5) * 1000 WHEN 1 THEN ceil(staging_id % 20 + 0.3) * 1000 WHEN 2 THEN greatest(0, staging_id % 300 - 30) * 1000 ELSE least(60000, 10000 * pow(2, staging_id % 5)) END AS BIGINT) AS ms FROM staging")
 def _(v):
-    header = F.when(S() % 3 == 0, F.concat((S() % 50).cast("string"), F.lit(".5"))).otherwise("soon")
-    said = F.when(S() % 3 == 1, F.concat(F.lit("Please Retry after "), (S() % 20).cast("string"), F.lit(" s"))).otherwise("")
-    return v.staging.select("staging_id", number.retry_delay_ms(header, said, S() % 5).alias("ms"))
+    """By seconds, by words, by an HTTP date (some have passed), or by doubling."""
+    date = F.date_format(v.now + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), S() % 300 - 30), "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
+    header = F.when(S() % 4 == 0, F.concat((S() % 50).cast("string"), F.lit(".5"))).when(S() % 4 == 2, date).otherwise("soon")
+    said = F.when(S() % 4 == 1, F.concat(F.lit("Please Retry after "), (S() % 20).cast("string"), F.lit(".3 s"))).otherwise("")
+    return v.staging.select("staging_id", number.retry_delay_ms(header, said, S() % 5, v.now).alias("ms"))
 
 
 @query("m1_delta", "SELECT attempt_id, delta FROM step")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import text
 from tallyforge.operators import core
-from tallyforge.sources import documents, model_calls
+from tallyforge.sources import documents, model_calls, scheduling
 
 from .registry import query
 
@@ -43,7 +43,7 @@ def _(v):
 @query("s7_model_calls", """WITH h AS (SELECT material_id, title AS prompt, sha256(title) AS d FROM material), k AS (SELECT *, CAST('0x' || substr(d, 1, 2) AS INTEGER) % 10 > 0 AS ok FROM h)
  SELECT material_id, prompt, ok, CASE WHEN ok THEN 200 ELSE 429 END AS http_status, CASE WHEN ok THEN '{"answer": "' || substr(d, 1, 8) || '"}' ELSE 'retry after 2' END AS text, CASE WHEN ok THEN length(prompt) END AS prompt_tokens, CASE WHEN ok THEN 8 END AS completion_tokens FROM k""")
 def _(v):
-    return model_calls.call(v.material.select("material_id", F.col("title").alias("prompt")), "prompt", model_calls.stub_client)
+    return model_calls.call(v.material.select("material_id", F.col("title").alias("prompt")), "prompt", model_calls.stub_client, scheduling.Schedule(sleep=scheduling.no_wait))
 
 
 @query("s8_answer_text", "SELECT staging_id, 'answer ' || staging_id AS text FROM staging")

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import udf
 
+from .scheduling import Schedule, all_tried
+from .shared import written
+
 RESULT = "ok boolean, http_status int, text string, prompt_tokens long, completion_tokens long"
 
 
@@ -23,26 +26,19 @@ def stub_client(prompt: str) -> dict:
     return {"ok": True, "http_status": 200, "text": json.dumps({"answer": digest[:8]}), "prompt_tokens": len(prompt), "completion_tokens": 8}
 
 
-def call(rows: DataFrame, prompt: str, client: Callable[[str], dict], retries: int = 2, width: int | None = None) -> DataFrame:
-    """rows with the client's result; failed calls with status 429, 5xx or none are tried again.
+def call(rows: DataFrame, prompt: str, client: Callable[[str], dict], schedule: Schedule = Schedule(), width: int | None = None, report: bool = False) -> DataFrame:
+    """rows with the client's result; failed calls with status 429, 5xx or none are tried again as the schedule says.
 
-    width bounds the calls that run at once.
+    width bounds the tasks, and with the schedule's at_once the calls, that run
+    at once; rows keep their order. With report also tries and waited_ms.
     """
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields] + [RESULT])
+    kinds = RESULT + (", tries int, waited_ms long" if report else "")
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields] + [kinds])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            got = []
-            for text in batch[prompt]:
-                answer = client(text)
-                for _ in range(retries):
-                    status = answer.get("http_status")
-                    if answer.get("ok") or not (status is None or status == 429 or status >= 500):
-                        break
-                    answer = client(text)
-                got.append(answer)
-            columns = ["ok", "http_status", "text", "prompt_tokens", "completion_tokens"]
-            found = pd.DataFrame(got, columns=columns, index=batch.index)
+            columns = ["ok", "http_status", "text", "prompt_tokens", "completion_tokens", *(["tries", "waited_ms"] if report else [])]
+            found = pd.DataFrame(list(all_tried(client, batch[prompt], schedule)), columns=columns, index=batch.index)
             found[["http_status", "prompt_tokens", "completion_tokens"]] = found[["http_status", "prompt_tokens", "completion_tokens"]].astype("Int64")
             yield pd.concat([batch, found], axis=1)
 
@@ -91,14 +87,31 @@ def cache_key(*parts: Column) -> Column:
 def read_through(requests: DataFrame, cache: DataFrame, compute: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """(answers, new cache rows) of requests (key, prompt): hits come from the cache, misses from compute.
 
-    Only good answers are to be cached.
+    Only good answers are to be cached. What compute returns is written to the
+    shared folder, so that its calls are made once.
     """
     hits = requests.join(cache, "key").withColumn("cached", F.lit(True))
-    made = compute(requests.join(cache, "key", "left_anti"))
+    made = written(compute(requests.join(cache, "key", "left_anti")))
     fresh = made.where("ok").select("key", "text").dropDuplicates(["key"])
     return hits.select("key", "text", "cached").unionByName(made.select("key", "text", F.lit(False).alias("cached"))), fresh
 
 
+def page_map(pages: DataFrame, cache: DataFrame, client: Callable[[str], dict], schedule: Schedule = Schedule(), width: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pages with ok, text, cached, tries, waited_ms, new cache rows) of pages (..., prompt) and a cache (key, text).
+
+    Pages with one prompt are asked once, pages that the cache knows not at all;
+    a page that fails to the end keeps its row, without a text.
+    """
+    keyed = pages.withColumn("key", F.sha2("prompt", 256))
+    known = cache.groupBy("key").agg(F.min("text").alias("known"))
+    asked = keyed.join(known, "key", "left_anti").groupBy("key").agg(F.first("prompt").alias("prompt"))
+    made = written(call(asked, "prompt", client, schedule, width, report=True).select("key", "ok", F.when(F.col("ok"), F.col("text")).alias("text"), "tries", "waited_ms"))
+    both = keyed.join(known, "key", "left").join(made, "key", "left")
+    hit = F.col("known").isNotNull()
+    out = both.select(*pages.columns, F.when(hit, True).otherwise(F.col("ok")).alias("ok"), F.coalesce("known", "text").alias("text"), hit.alias("cached"), F.coalesce("tries", F.lit(0)).alias("tries"), F.coalesce("waited_ms", F.lit(0)).cast("long").alias("waited_ms"))
+    return out, made.where("ok").select("key", "text")
+
+
 def log_text(c: Column, limit: int = 20000) -> Column:
     """Payload text for the log: credentials and inline files masked, cut at limit."""
     t = F.regexp_replace(c, "(?i)(bearer\\s+|api[-_]?key\"?\\s*[:=]\\s*\"?)[A-Za-z0-9._-]+", "$1***")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import jsonx, number, text, udf
 from tallyforge.operators import core, fuzzy
 from tallyforge.plans import ingest, learning
-from tallyforge.sources import documents, model_calls
+from tallyforge.sources import documents, model_calls, scheduling
 from tallyforge.streaming import attempts
 
 NOW = dt.datetime(2024, 5, 1, 12)
@@ -179,7 +179,7 @@ def test_calls_retry_only_where_it_helps(spark):
             return {"ok": False, "http_status": 429, "text": ""}
         return {"ok": prompt != "400", "http_status": 200 if prompt != "400" else 400, "text": str(client.seen[prompt])}
 
-    got = {r["p"]: (r["ok"], r["text"]) for r in model_calls.call(rows, "p", client).collect()}
+    got = {r["p"]: (r["ok"], r["text"]) for r in model_calls.call(rows, "p", client, scheduling.Schedule(sleep=scheduling.no_wait)).collect()}
     assert got == {"ok": (True, "1"), "429": (True, "3"), "400": (False, "1")}
 
 
@@ -308,7 +308,7 @@ def test_functions_on_fixed_rows(spark):
         (text.unit_kind(s("PPT")), "slide"), (text.unit_kind(s("题目")), "question_region"), (text.unit_kind(s("page 3")), "page"), (text.unit_kind(s("?")), "text_block"),
         (text.quality(s(""), s(" "), s("a"), s("s")), "incomplete_stem"), (text.quality(s(""), s("c"), s(""), s("s")), "missing_answer"), (text.quality(s(""), s("c"), s("a"), s(" ")), "missing_solution"), (text.quality(s("needs_review"), s("c"), s("a"), s("s")), "needs_review"), (text.quality(s("?"), s("c"), s("a"), s("s")), "publishable"),
         (F.to_json(text.figure_parts(s("a [[figure:f1]] b"))), '[{"kind":"text","value":"a "},{"kind":"figure","value":"f1"},{"kind":"text","value":" b"}]'), (F.array_join(text.non_learning(s("扫码加群")), ","), "qr_code"), (F.array_join(text.non_learning(s("公众号福利")), ","), "non_subject_content"), (F.array_join(text.non_learning(s("plain")), ","), ""),
-        (number.retry_delay_ms(s("3"), s(""), s(0)), 3000), (number.retry_delay_ms(s("soon"), s("Retry after 2.5 s"), s(0)), 2500), (number.retry_delay_ms(s(""), s("x"), s(0)), 10000), (number.retry_delay_ms(s(""), s(""), s(2)), 40000),
+        (number.retry_delay_ms(s("3"), s(""), s(0)), 3000), (number.retry_delay_ms(s("soon"), s("Retry after 2.5 s"), s(0)), 3000), (number.retry_delay_ms(s(""), s("x"), s(0)), 10000), (number.retry_delay_ms(s(""), s(""), s(2)), 40000),
         (number.weight(s("40.9"), 25), 40), (number.weight(s("250"), 25), 100), (number.weight(s("-3"), 25), 0), (number.weight(s("abc"), 25), 25),
         (number.clamp_int(s(99.0), 1, 15), 15), (number.clamp_int(s(-4.0), 1, 15), 1), (number.clamp_int(s(8.9), 1, 15), 8), (number.clamp_int(s(float("nan")), 1, 15), 1),
         (number.bounded_int(s("4"), 1, 6, 1), 4), (number.bounded_int(s("99"), 1, 6, 1), 1), (number.bounded_int(s("x"), 1, 6, 1), 1),
