@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import text
 from tallyforge.operators import core
-from tallyforge.sources import documents, model_calls, scheduling
+from tallyforge.sources import documents, model_calls, scheduling, shared, store
 
 from .registry import query
 
@@ -63,15 +63,26 @@ def _(v):
     return v.staging.select("staging_id", model_calls.usage(F.parse_json(F.when(F.col("staging_id") % 2 == 0, one).otherwise(two))).alias("u")).select("staging_id", "u.prompt", "u.completion", "u.total")
 
 
-@query("s10_content_address", "SELECT sha256, 'uploads/sha256/' || substr(sha256, 1, 2) || '/' || sha256 || '.pdf' AS storage_key, count(*) AS copies FROM upload GROUP BY sha256")
+def _stored(v):
+    """A store with every upload's bytes under the key of their hash, and its root."""
+    root = shared.fresh_folder(v.spark)
+    rows = v.table("documents").where("text IS NOT NULL").select(F.col("text").cast("binary").alias("content"))
+    own = rows.withColumn("expected", F.sha2("content", 256)).dropDuplicates(["expected"])
+    store.put(own.withColumn("key", documents.storage_key(F.col("expected"), F.lit("pdf"))), root)
+    return root
+
+
+@query("s10_content_address", "SELECT sha256(text) AS sha256, 'uploads/sha256/' || substr(sha256(text), 1, 2) || '/' || sha256(text) || '.pdf' AS storage_key, count(*) AS copies, CAST(any_value(strlen(text)) AS BIGINT) AS size FROM documents WHERE text IS NOT NULL GROUP BY ALL", views=False)
 def _(v):
-    return v.upload.groupBy("sha256").agg(F.count(F.lit(1)).alias("copies")).withColumn("storage_key", documents.storage_key(F.col("sha256"), F.lit("pdf")))
+    """Uploads are stored by their hash, read back and hashed again; copies share an object."""
+    back = store.listing(v.spark, _stored(v), content=True).select(F.col("key").alias("storage_key"), "size", F.sha2("content", 256).alias("sha256"))
+    copies = v.upload.where("sha256 IS NOT NULL").groupBy(F.col("sha256").alias("h")).agg(F.count(F.lit(1)).alias("copies"))
+    return back.join(copies, F.col("sha256") == F.col("h")).select("sha256", "storage_key", "copies", "size")
 
 
-@query("s11_prefix_listing", "SELECT DISTINCT 'uploads/sha256/' || substr(sha256, 1, 2) || '/' || sha256 || '.pdf' AS key FROM upload WHERE sha256 LIKE 'a%'")
+@query("s11_prefix_listing", "SELECT DISTINCT 'uploads/sha256/' || substr(sha256(text), 1, 2) || '/' || sha256(text) || '.pdf' AS key, CAST(strlen(text) AS BIGINT) AS size FROM documents WHERE sha256(text) LIKE 'a%'", views=False)
 def _(v):
-    keys = v.upload.select(documents.storage_key(F.col("sha256"), F.lit("pdf")).alias("key")).distinct()
-    return documents.list_prefix(keys, "uploads/sha256/a")
+    return store.listing(v.spark, _stored(v), "uploads/sha256/a").select("key", "size").orderBy("key")
 
 
 @query("s13_latest_asset", "SELECT sha256, upload_id FROM (SELECT *, row_number() OVER (PARTITION BY sha256 ORDER BY upload_id DESC) AS n FROM upload) WHERE n = 1")
@@ -140,12 +151,16 @@ def _(v):
     return out.select(F.split_part("path", F.lit("."), F.lit(1)).cast("long").alias("page_id"), "mode", "page", F.sha2("content", 256).alias("sha256"))
 
 
-@query("s12_delete_blobs", "SELECT key, gone FROM (SELECT 'uploads/sha256/' || substr(sha256, 1, 2) || '/' || sha256 || '.pdf' AS key, bool_and(upload_id % 2 = 0) AS gone FROM upload GROUP BY sha256)")
+@query("s12_delete_blobs", "SELECT 'uploads/sha256/' || substr(sha256, 1, 2) || '/' || sha256 || '.pdf' AS key, bool_and(upload_id % 2 = 0) AS gone, CASE WHEN bool_and(upload_id % 2 = 0) THEN NULL ELSE sha256 END AS kept FROM upload WHERE sha256 IS NOT NULL GROUP BY sha256")
 def _(v):
-    """A blob goes with the last upload that refers to it."""
-    rows = v.upload.withColumn("key", documents.storage_key(F.col("sha256"), F.lit("pdf")))
-    kept = documents.delete_blobs(rows.select("key").distinct(), rows.where("upload_id % 2 = 0").select("key"), rows.where("upload_id % 2 = 1").select("key"))
-    return documents.exists(rows.select("key").distinct(), kept).select("key", (~F.col("found")).alias("gone"))
+    """An object goes with the last upload that refers to it; what is left is got and hashed again."""
+    root = _stored(v)
+    rows = v.upload.where("sha256 IS NOT NULL").withColumn("key", documents.storage_key(F.col("sha256"), F.lit("pdf")))
+    dropped, used = rows.where("upload_id % 2 = 0").select("key"), rows.where("upload_id % 2 = 1").select("key")
+    store.delete(dropped.distinct().join(used.distinct(), "key", "left_anti"), root)
+    found = shared.written(store.exists(rows.select("key").distinct(), root))
+    left = store.get(found.where("found").select("key"), root).select(F.col("key").alias("k"), F.sha2("content", 256).alias("kept"))
+    return found.join(left, F.col("key") == F.col("k"), "left").select("key", (~F.col("found")).alias("gone"), "kept")
 
 
 _FIGURES = "SELECT s.staging_id, s.published_id, u.sha256, 'f' || (s.staging_id % 3) AS figure, CAST(json_extract_string(payload, '$.page') AS INTEGER) AS page FROM staging s LEFT JOIN upload u ON u.upload_id = s.staging_id WHERE s.entity_kind = 'question' AND s.review_status = 'accepted' AND s.published_id IS NOT NULL"
