@@ -12,7 +12,7 @@ from tallyforge.operators import core, fuzzy
 from tallyforge.sources import model_calls, scheduling, shared
 from tallyforge.streaming import attempts, sink
 
-from . import ingest, learning
+from . import ingest, ingest_run, learning
 from .q_aggregate import ITEMS_SQL, STATS_SQL, items
 from .q_join import HINTS_SQL, RERUN_SQL, name_hints, rerun_rows
 from .registry import query
@@ -338,9 +338,27 @@ def _ingested(uploads):
     return ingest.materials_of(ingest.parse_batch(called), "upload_id")
 
 
-@query("p26_point_ingestion", "SELECT upload_id, i AS pos, CASE WHEN i = 0 THEN '易错 ' || upload_id ELSE 'n' END AS title FROM upload, (SELECT unnest([0, 1]) AS i)")
+def _point_run(v):
+    """A run over all documents: their lines are pages, a stand-in client names points. It is killed once and taken up again."""
+    uploads = v.table("documents").select(F.col("doc_id").alias("upload_id"), "text")
+    jobs = uploads.select(F.col("upload_id").alias("job_id"), "upload_id")
+    none = v.spark.createDataFrame([], "key string, text string")
+    path = shared.fresh_folder(v.spark)
+    make = lambda: ingest_run.Run(jobs, ingest_run.text_pages(uploads, F.col("text")), none, ingest_run.stub_points, path, scheduling.Schedule(retries=1, sleep=scheduling.no_wait))
+    make().run("parsed")
+    again = make()
+    again.run("done")
+    return again
+
+
+@query("p26_point_ingestion", f"WITH {ingest_run.RUN_SQL}, seen AS (SELECT upload_id, count(*) AS pages, count(*) FILTER (WHERE reason IS NULL) AS pages_done, count(*) FILTER (WHERE reason IS NOT NULL) AS pages_failed FROM fate GROUP BY upload_id), found AS (SELECT upload_id, count(*) AS points FROM named GROUP BY upload_id) SELECT doc_id AS job_id, CASE WHEN points IS NULL THEN 'failed' ELSE 'succeeded' END AS status, coalesce(pages, 0) AS pages, coalesce(pages_done, 0) AS pages_done, coalesce(pages_failed, 0) AS pages_failed, coalesce(points, 0) AS points, CASE WHEN points IS NULL THEN CASE WHEN pages IS NULL THEN 'no pages' WHEN pages_failed = pages THEN 'all pages failed' ELSE 'no knowledge points' END END AS error FROM documents LEFT JOIN seen ON seen.upload_id = doc_id LEFT JOIN found ON found.upload_id = doc_id")
+def _(v):
+    return _point_run(v).table("done").select("job_id", "status", "pages", "pages_done", "pages_failed", "points", "error")
+
+
+@query("p26_staged_points", f"WITH {ingest_run.RUN_SQL} SELECT upload_id, CAST(row_number() OVER (PARTITION BY upload_id ORDER BY at, name) AS INTEGER) AS place, name, CAST(at // 2 AS INTEGER) AS page FROM named")
 def _(v):
-    return _ingested(v.upload).select("upload_id", "pos", "title")
+    return _point_run(v).table("staged").select("upload_id", F.col("position").alias("place"), "name", "page")
 
 
 @query("p27_resource_ingestion", "SELECT upload_id, CASE WHEN i = 0 THEN 'common_mistake' ELSE 'concept_explanation' END AS material_type FROM upload, (SELECT unnest([0, 1]) AS i)")
