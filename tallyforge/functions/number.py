@@ -118,6 +118,25 @@ def mode_budgets(count: int, mode: str) -> dict[str, int]:
     return out
 
 
+def mode_slots(count: Column, mode: Column) -> Column:
+    """mode_budgets of columns: struct(progress, mistake_variant, spaced_review); an unknown mode has none."""
+    pools = ("progress", "mistake_variant", "spaced_review")
+
+    def one(weights: tuple) -> Column:
+        whole = [F.floor(count * F.lit(float(w))).cast("int") for w in weights]
+        left = count.cast("int") - sum(whole[1:], whole[0])
+        order = sorted(range(3), key=lambda p: (-weights[p], -p))
+        # what is left goes round in that order
+        more = [F.floor((left + 2 - order.index(p)) / 3).cast("int") for p in range(3)]
+        return F.struct(*[(w + m).alias(name) for w, m, name in zip(whole, more, pools)])
+
+    cases = [(mode == name, one(weights)) for name, weights in MODE_WEIGHTS.items()]
+    out = F.when(*cases[0])
+    for case in cases[1:]:
+        out = out.when(*case)
+    return out
+
+
 def custom_budgets(count: int, weights: dict[str, int]) -> dict[str, int] | None:
     """Slots per pool by custom weights, largest remainders first; None when all weights are 0."""
     known = {p: w for p, w in weights.items() if w > 0}

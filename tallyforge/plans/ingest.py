@@ -76,6 +76,41 @@ def organise(items: DataFrame, points: DataFrame, group: str) -> tuple[DataFrame
     return threads, unmapped, filtered
 
 
+#: Items of a thread that stand in one row.
+PART_ITEMS = 256
+
+
+def assemble_threads(items: DataFrame, width: int = PART_ITEMS) -> DataFrame:
+    """Threads of points from items (kp_id, kind, item_id, source_ref, score), mapped ones only.
+
+    A thread has a list of items for each of the eight material types, its
+    questions, the distinct source references, and the best score as
+    match_confidence. Items of a type that isn't known are explanations. They
+    are numbered by type and id and a thread is cut into parts of width items,
+    so a point of any size is no one row.
+    """
+    known = F.when(F.col("kind").isin(*THREAD_KEYS, "question"), F.col("kind")).otherwise("concept_explanation")
+    rows = items.where("kp_id IS NOT NULL").withColumn("kind", known)
+    place = F.array_position(F.array(*map(F.lit, (*THREAD_KEYS, "question"))), F.col("kind"))
+    number_ = F.row_number().over(Window.partitionBy("kp_id").orderBy(place, "item_id")) - 1
+    cut = rows.withColumn("part", F.floor(number_ / width).cast("int"))
+    lists = [F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("item_id")))).alias(name) for k, name in {**THREAD_KEYS, "question": "questions"}.items()]
+    return cut.groupBy("kp_id", "part").agg(*lists, F.array_sort(F.collect_set("source_ref")).alias("source_refs"), F.max("score").alias("match_confidence"))
+
+
+def flatten_threads(threads: DataFrame, unmapped: DataFrame) -> DataFrame:
+    """(entity_kind, kp_id, material_type, item_id) for review: the items of threads, and unmapped points.
+
+    Materials come back under the type of their list; of unmapped items (item_id,
+    item_type) points alone are kept, as points to be reviewed.
+    """
+    pairs = [F.struct(F.lit("learning_material").alias("entity_kind"), F.lit(k).alias("material_type"), F.col(name).alias("ids")) for k, name in THREAD_KEYS.items()]
+    pairs.append(F.struct(F.lit("question").alias("entity_kind"), F.lit(None).cast("string").alias("material_type"), F.col("questions").alias("ids")))
+    flat = threads.select("kp_id", F.explode(F.array(*pairs)).alias("p")).select("p.entity_kind", "kp_id", "p.material_type", F.explode("p.ids").alias("item_id"))
+    points = unmapped.where("item_type = 'knowledge_point'").select(F.lit("knowledge_point").alias("entity_kind"), F.lit(None).cast(threads.schema["kp_id"].dataType).alias("kp_id"), F.lit(None).cast("string").alias("material_type"), "item_id")
+    return flat.unionByName(points)
+
+
 def outcome(rows: DataFrame, key: str) -> DataFrame:
     """Job state per key: failed only with a reason and nothing staged; analysis ok, partial or failed."""
     got = rows.groupBy(key).agg(F.sum("staged").alias("staged"), F.max("reason").alias("reason"))

@@ -109,4 +109,4 @@ def stub_points(prompt: str) -> dict:
 RUN_SQL = """lines AS (SELECT doc_id AS upload_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS page FROM documents),
 paged AS (SELECT *, sha256(line) AS d FROM lines WHERE line <> ''),
 fate AS (SELECT *, CASE WHEN ((instr('0123456789abcdef', substr(d, 1, 1)) - 1) * 16 + instr('0123456789abcdef', substr(d, 2, 1)) - 1) % 10 = 0 THEN 'call' WHEN substr(d, 3, 1) = '0' THEN 'parse' END AS reason FROM paged),
-named AS (SELECT upload_id, name, min(page * 2 + pos) AS at FROM (SELECT upload_id, page, substr(d, 1, 6) AS name, 0 AS pos FROM fate WHERE reason IS NULL UNION ALL SELECT upload_id, page, substr(d, 7, 6), 1 FROM fate WHERE reason IS NULL) GROUP BY ALL)"""
+named AS (SELECT upload_id, name, min(page * 2 + pos) AS spot FROM (SELECT upload_id, page, substr(d, 1, 6) AS name, 0 AS pos FROM fate WHERE reason IS NULL UNION ALL SELECT upload_id, page, substr(d, 7, 6), 1 FROM fate WHERE reason IS NULL) GROUP BY ALL)"""

@@ -151,19 +151,37 @@ def _(v):
     return v.upload.groupBy("sha256").agg(F.min_by("upload_id", F.struct((F.col("status") != "parsed"), "upload_id")).alias("upload_id"))
 
 
-@query("a23_thread_assembly", "SELECT kp_id, array_to_string(list(material_id ORDER BY material_id) FILTER (WHERE material_type = 'exam_trend'), ',') AS exam_trends, array_to_string(list(material_id ORDER BY material_id) FILTER (WHERE material_type = 'method_card'), ',') AS method_cards FROM material GROUP BY kp_id")
+#: Materials and questions with their point, where they come from and how well they match; point 24 is not known.
+_THREAD_ITEMS = """mixed AS (SELECT CASE WHEN kp_id < 24 THEN kp_id END AS kp_id, material_type AS kind, material_id AS item_id, 'u' || (material_id % 48) || '/p' || (material_id % 9) AS source_ref, 0.5 + (material_id % 50) / 100.0 AS score FROM material
+ UNION ALL SELECT CASE WHEN primary_kp < 24 THEN primary_kp END, 'question', question_id, 'q' || (question_id % 20), 0.9 FROM question),
+placed AS (SELECT *, (row_number() OVER (PARTITION BY kp_id ORDER BY list_position(['method_card', 'common_mistake', 'question_type_summary', 'solution_summary', 'concept_explanation', 'textbook_deep_dive', 'exam_trend', 'study_advice', 'question'], kind), item_id) - 1) // 256 AS part FROM mixed WHERE kp_id IS NOT NULL)"""
+
+
+def _thread_items(v):
+    known = lambda c: F.when(F.col(c) < 24, F.col(c).cast("long"))
+    m, q = F.col("material_id"), F.col("question_id")
+    ref = F.concat(F.lit("u"), (m % 48).cast("string"), F.lit("/p"), (m % 9).cast("string"))
+    materials = v.material.select(known("kp_id").alias("kp_id"), F.col("material_type").alias("kind"), m.alias("item_id"), ref.alias("source_ref"), (F.lit(0.5) + (m % 50) / 100.0).alias("score"))
+    return materials.unionByName(v.question.select(known("primary_kp").alias("kp_id"), F.lit("question").alias("kind"), q.alias("item_id"), F.concat(F.lit("q"), (q % 20).cast("string")).alias("source_ref"), F.lit(0.9).alias("score")))
+
+
+_LISTS_SQL = ", ".join(f"coalesce(string_agg(item_id, ',' ORDER BY item_id) FILTER (WHERE kind = '{k}'), '') AS {name}" for k, name in {**ingest.THREAD_KEYS, "question": "questions"}.items())
+
+
+@query("a23_thread_assembly", f"WITH {_THREAD_ITEMS} SELECT kp_id, CAST(part AS INTEGER) AS part, {_LISTS_SQL}, array_to_string(list_sort(list(DISTINCT source_ref)), ',') AS source_refs, CAST(max(score) AS DOUBLE) AS match_confidence FROM placed GROUP BY kp_id, part")
 def _(v):
-    ids = lambda kind: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("material_type") == kind, F.col("material_id")))), lambda x: x.cast("string")), ",")
-    rows = v.material.groupBy("kp_id").agg(ids("exam_trend").alias("exam_trends"), ids("method_card").alias("method_cards"))
-    return rows.select("kp_id", *[F.when(F.col(c) != "", F.col(c)).alias(c) for c in ("exam_trends", "method_cards")])
+    """Threads with all eight lists, questions, sources and confidence."""
+    threads = ingest.assemble_threads(_thread_items(v))
+    shown = [F.concat_ws(",", F.transform(c, lambda x: x.cast("string"))).alias(c) for c in (*ingest.THREAD_KEYS.values(), "questions", "source_refs")]
+    return threads.select("kp_id", "part", *shown, "match_confidence")
 
 
-@query("a24_thread_flatten", "SELECT kp_id, material_type, material_id FROM material WHERE material_type IN ('exam_trend', 'method_card')")
+@query("a24_thread_flatten", f"WITH {_THREAD_ITEMS} SELECT CASE WHEN kp_id IS NULL THEN 'knowledge_point' WHEN kind = 'question' THEN 'question' ELSE 'learning_material' END AS entity_kind, kp_id, CASE WHEN kp_id IS NOT NULL AND kind <> 'question' THEN kind END AS material_type, item_id FROM mixed WHERE kp_id IS NOT NULL OR (kind <> 'question' AND item_id % 2 = 0)")
 def _(v):
-    ids = lambda kind: F.collect_list(F.when(F.col("material_type") == kind, F.col("material_id"))).alias(kind)
-    threads = v.material.groupBy("kp_id").agg(ids("exam_trend"), ids("method_card"))
-    pairs = F.array(*[F.struct(F.lit(k).alias("material_type"), F.col(k).alias("ids")) for k in ("exam_trend", "method_card")])
-    return threads.select("kp_id", F.explode(pairs).alias("p")).select("kp_id", "p.material_type", F.explode("p.ids").alias("material_id"))
+    """Threads taken apart again; of the items without a point every other one is a point itself."""
+    items_ = _thread_items(v)
+    kind = F.when(F.col("kind") == "question", "question").when(F.col("item_id") % 2 == 0, "knowledge_point").otherwise("learning_material")
+    return ingest.flatten_threads(ingest.assemble_threads(items_), items_.where("kp_id IS NULL").select("item_id", kind.alias("item_type")))
 
 
 @query("a25_type_order", "SELECT kp_id, array_to_string(list(DISTINCT material_type ORDER BY material_type), ',') AS types FROM material GROUP BY kp_id")

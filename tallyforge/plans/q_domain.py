@@ -356,7 +356,7 @@ def _(v):
     return _point_run(v).table("done").select("job_id", "status", "pages", "pages_done", "pages_failed", "points", "error")
 
 
-@query("p26_staged_points", f"WITH {ingest_run.RUN_SQL} SELECT upload_id, CAST(row_number() OVER (PARTITION BY upload_id ORDER BY at, name) AS INTEGER) AS place, name, CAST(at // 2 AS INTEGER) AS page FROM named")
+@query("p26_staged_points", f"WITH {ingest_run.RUN_SQL} SELECT upload_id, CAST(row_number() OVER (PARTITION BY upload_id ORDER BY spot, name) AS INTEGER) AS place, name, CAST(spot // 2 AS INTEGER) AS page FROM named")
 def _(v):
     return _point_run(v).table("staged").select("upload_id", F.col("position").alias("place"), "name", "page")
 

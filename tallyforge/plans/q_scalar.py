@@ -334,15 +334,16 @@ def _(v):
     return v.question.select("question_id", number.difficulty_range((Q() % 101) / 100.0, F.lit(3), F.lit(2)).alias("r")).select("question_id", "r.low", "r.high")
 
 
-def _budget_rows(v, table):
-    return v.spark.createDataFrame(table, "slots int, mode string, progress int, mistake int, review int")
+_MODES = ("daily_mixed", "chapter_focus", "mistake_focus")
+_WEIGHTS_SQL = ", ".join(f"('{m}', '{p}', CAST({w} AS DOUBLE), {k})" for m in _MODES for k, (p, w) in enumerate(zip(("progress", "mistake_variant", "spaced_review"), number.MODE_WEIGHTS[m])))
 
 
-@query("m6_mode_budgets", "SELECT * FROM (VALUES (1,'daily_mixed',1,0,0),(4,'daily_mixed',2,1,1),(8,'daily_mixed',4,2,2),(15,'daily_mixed',7,4,4),(8,'chapter_focus',6,0,2),(12,'chapter_focus',9,1,2),(8,'mistake_focus',0,6,2),(15,'mistake_focus',1,11,3)) t(slots, mode, progress, mistake, review)")
+@query("m6_mode_budgets", f"WITH asked AS (SELECT session_id, len(question_ids) AS slots, ['daily_mixed', 'chapter_focus', 'mistake_focus'][CAST(session_id % 3 + 1 AS INTEGER)] AS mode FROM session), e AS (SELECT session_id, slots, mode, pool, floor(slots * w) AS whole, row_number() OVER (PARTITION BY session_id ORDER BY w DESC, place DESC) AS k, slots - sum(floor(slots * w)) OVER (PARTITION BY session_id) AS rest FROM asked JOIN (VALUES {_WEIGHTS_SQL}) t(mode, pool, w, place) USING (mode)), g AS (SELECT *, CAST(whole + CASE WHEN k <= rest THEN 1 ELSE 0 END AS INTEGER) AS n FROM e) SELECT session_id, CAST(any_value(slots) AS INTEGER) AS slots, any_value(mode) AS mode, CAST(sum(n) FILTER (WHERE pool = 'progress') AS INTEGER) AS progress, CAST(sum(n) FILTER (WHERE pool = 'mistake_variant') AS INTEGER) AS mistake, CAST(sum(n) FILTER (WHERE pool = 'spaced_review') AS INTEGER) AS review FROM g GROUP BY session_id")
 def _(v):
-    cases = [(1, "daily_mixed"), (4, "daily_mixed"), (8, "daily_mixed"), (15, "daily_mixed"), (8, "chapter_focus"), (12, "chapter_focus"), (8, "mistake_focus"), (15, "mistake_focus")]
-    rows = [(n, m, *(number.mode_budgets(n, m)[p] for p in ("progress", "mistake_variant", "spaced_review"))) for n, m in cases]
-    return _budget_rows(v, rows)
+    """As many slots as a session has questions, shared out by its mode."""
+    rows = v.session.select("session_id", F.size("question_ids").alias("slots"), pick(F.col("session_id"), *_MODES).alias("mode"))
+    shares = rows.withColumn("b", number.mode_slots(F.col("slots"), F.col("mode")))
+    return shares.select("session_id", "slots", "mode", F.col("b.progress").alias("progress"), F.col("b.mistake_variant").alias("mistake"), F.col("b.spaced_review").alias("review"))
 
 
 @query("m7_custom_budgets", "WITH w AS (SELECT student_id, unnest([{'k': 'new_knowledge', 'w': 10 + student_id % 40, 'r': 60}, {'k': 'mistake_variant', 'w': 50, 'r': 90}, {'k': 'spaced_review', 'w': 25, 'r': 100}]) AS x FROM student), e AS (SELECT student_id, x.k AS pool, x.w AS w, x.r AS r, CAST(8 AS DOUBLE) * x.w / sum(x.w) OVER (PARTITION BY student_id) AS exact FROM w), n AS (SELECT *, row_number() OVER (PARTITION BY student_id ORDER BY exact - floor(exact) DESC, w DESC, r DESC) AS k, 8 - sum(floor(exact)) OVER (PARTITION BY student_id) AS rest FROM e) SELECT student_id, pool, CAST(floor(exact) + CASE WHEN k <= rest THEN 1 ELSE 0 END AS INTEGER) AS slots FROM n")
