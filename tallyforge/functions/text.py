@@ -129,6 +129,11 @@ def strip_suffixes(c: Column) -> Column:
     return F.regexp_replace(c, f"^(.+?)(?:{'|'.join(SUFFIXES)})+$", "$1")
 
 
+def in_locale(c: Column, locale: str = "zh") -> Column:
+    """A text as a key of the locale's order (Chinese by sound); its value stays as it is, so results show what they showed."""
+    return F.collate(c, locale)
+
+
 def knowledge_text(c: Column) -> Column:
     spaces = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), f"{_WS}+", "")
     return F.regexp_replace(spaces, "[，。、“”‘’；：:,.()\\[\\]{}<>《》【】|_—-]", "")

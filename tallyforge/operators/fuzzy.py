@@ -169,6 +169,21 @@ def generated_points(items: DataFrame) -> DataFrame:
     return first.select(F.concat(F.lit("kp-generated-hint-"), udf.string_hash(F.col("key"))).alias("kp_key"), "name")
 
 
+def resolve_points(items: DataFrame, points: DataFrame) -> DataFrame:
+    """(item_id, kp_ids, tier) of items (item_id, subject_id, ids, hints): ids that the subject has, else points named by a hint.
+
+    ids and hints are arrays, in which nulls, blanks and repeats don't count;
+    names are compared as they are. Items that neither resolves have no points.
+    """
+    own = points.select(F.col("subject_id").alias("g"), "kp_id", F.col("name").alias("n"))
+    asked = items.select("item_id", F.col("subject_id").alias("g"), F.explode(F.array_distinct("ids")).alias("kp_id"))
+    by_id = asked.join(own.select("g", "kp_id"), ["g", "kp_id"]).groupBy("item_id").agg(F.array_sort(F.collect_set("kp_id")).alias("kp_ids"))
+    hinted = items.join(by_id, "item_id", "left_anti").select("item_id", F.col("subject_id").alias("g"), F.explode(F.array_distinct(F.transform("hints", text.trim_all))).alias("n"))
+    by_name = hinted.where("n <> ''").join(own, ["g", "n"]).groupBy("item_id").agg(F.array_sort(F.collect_set("kp_id")).alias("kp_ids"))
+    found = by_id.withColumn("tier", F.lit(1)).unionByName(by_name.withColumn("tier", F.lit(2)))
+    return items.select("item_id").join(found, "item_id", "left")
+
+
 def rerun_match(old: DataFrame, new: DataFrame) -> DataFrame:
     """For each old row of an upload the new row to take: same number, same 30-character start, else the first."""
     start = lambda c: F.substring(F.regexp_replace(c, "\\s+", ""), 1, 30)

@@ -382,10 +382,14 @@ def _(v):
     return v.table("nation").select("n_nationkey", text.stage_rank(stage).alias("rank"), text.grade_number(F.concat(F.lit("g"), (k % 12 + 1).cast("string"))).alias("grade"))
 
 
-@query("o9_concat_key", "SELECT kp_id, row_number() OVER (ORDER BY subject_id || '|' || coalesce(chapter_no, 'zzz') || '|' || name) AS place FROM kp")
+_LABELS_SQL = "CASE material_type WHEN 'common_mistake' THEN '易错提醒' WHEN 'method_card' THEN '解题方法' WHEN 'question_type_summary' THEN '题型总结' WHEN 'solution_summary' THEN '解析总结' WHEN 'concept_explanation' THEN '概念回顾' WHEN 'textbook_deep_dive' THEN '教材深挖' WHEN 'exam_trend' THEN '考情提示' ELSE '学习建议' END"
+
+
+@query("o9_concat_key", f"SELECT material_id, row_number() OVER (PARTITION BY kp_id ORDER BY (({_LABELS_SQL}) || '|' || (material_id % 10)) COLLATE zh, material_id) AS place FROM material")
 def _(v):
-    key = F.concat_ws("|", F.col("subject_id").cast("string"), F.coalesce("chapter_no", F.lit("zzz")), "name")
-    return v.kp.select("kp_id", F.row_number().over(Window.orderBy(key)).alias("place"))
+    """A point's materials in the order of a Chinese reader: labels by sound, then by number."""
+    key = F.concat_ws("|", text.mapped(text.MATERIAL_LABELS, F.col("material_type")), (F.col("material_id") % 10).cast("string"))
+    return v.material.select("material_id", F.row_number().over(Window.partitionBy("kp_id").orderBy(text.in_locale(key, "zh"), "material_id")).alias("place"))
 
 
 @query("u1_union_all", "SELECT attempt_id AS id, 'attempt' AS kind FROM attempt UNION ALL SELECT redo_id, 'redo' FROM redo")

@@ -112,26 +112,42 @@ def _(v):
     return fuzzy.match_hints(name_hints(v), v.kp)
 
 
-@query("j15_scored_match", "SELECT staging_id AS item_id, CASE staging_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 END AS kp_id, CASE staging_id % 3 WHEN 0 THEN 0.98 WHEN 1 THEN 0.82 END AS score FROM staging WHERE staging_id % 3 < 2")
+#: Items with a hint that is a point's name, one that holds it, none but the name in the text, a rule's word, or scraps of a name.
+SCORED_SQL = """points AS (SELECT subject_id, kp_id, name, name || ' ' || coalesce(chapter_no, '') || CASE WHEN kp_id % 6 = 0 THEN ' 子集' ELSE '' END AS search FROM kp),
+asked AS (SELECT staging_id AS item_id, subject_id, CASE staging_id % 5 WHEN 0 THEN lower(name) WHEN 1 THEN name || ', extra' ELSE '' END AS hint,
+ CASE staging_id % 5 WHEN 2 THEN 'about ' || name || ' and more' WHEN 3 THEN '真子集 0' WHEN 4 THEN substr(name, 1, 2) || 'zq' || (staging_id % 7) ELSE '0' END AS item FROM staging JOIN kp ON kp.kp_id = staging_id % 25),
+plain AS (SELECT item_id, kp_id, item, search, regexp_replace(lower(item), '[\\s,.]+', '', 'g') AS i, regexp_replace(lower(hint), '[\\s,.]+', '', 'g') AS h, regexp_replace(lower(name), '[\\s,.]+', '', 'g') AS n, regexp_replace(lower(search), '[\\s,.]+', '', 'g') AS s FROM asked JOIN points USING (subject_id)),
+shared AS (SELECT *, len(list_intersect(list_distinct(string_split(i, '')), list_distinct(string_split(s, '')))) / least(len(list_distinct(string_split(i, ''))), len(list_distinct(string_split(s, '')))) AS overlap FROM plain),
+scores AS (SELECT item_id, kp_id, greatest(CASE WHEN h <> '' AND h = n THEN 0.98 END, CASE WHEN h <> '' AND (contains(s, h) OR contains(h, n)) THEN 0.88 END, CASE WHEN contains(i, n) THEN 0.82 END, CASE WHEN contains(item, '子集') AND contains(search, '子集') THEN 0.84 END, CASE WHEN overlap >= 0.55 THEN 0.62 WHEN overlap >= 0.35 THEN 0.48 ELSE 0 END) AS score FROM shared)"""
+
+
+@query("j15_scored_match", f"WITH {SCORED_SQL} SELECT item_id, kp_id, CAST(score AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, kp_id) AS k FROM scores WHERE score >= 0.45) WHERE k = 1")
 def _(v):
-    points = v.spark.createDataFrame([(1, 0, "alpha", "alpha beta"), (2, 0, "gamma", "gamma delta")], "kp_id int, subject int, name string, search_text string")
-    k = F.col("staging_id") % 3
-    items = v.staging.select(F.col("staging_id").alias("item_id"), F.lit(0).alias("subject"), F.when(k == 0, "zzz").when(k == 1, "about gamma rays").otherwise("qqq").alias("item_text"), F.when(k == 0, "Alpha").otherwise("").alias("hint"))
-    return fuzzy.best_match(items, points, "subject")
+    k, name = F.col("staging_id") % 5, F.col("name")
+    search = F.concat(name, F.lit(" "), F.coalesce("chapter_no", F.lit("")), F.when(F.col("kp_id") % 6 == 0, " 子集").otherwise(""))
+    points = v.kp.select("subject_id", "kp_id", "name", search.alias("search_text"))
+    rows = v.staging.withColumn("kp_id", F.col("staging_id") % 25).join(v.kp, "kp_id")
+    hint = F.when(k == 0, F.lower(name)).when(k == 1, F.concat(name, F.lit(", extra"))).otherwise("")
+    scraps = F.concat(F.substring(name, 1, 2), F.lit("zq"), (F.col("staging_id") % 7).cast("string"))
+    item = F.when(k == 2, F.concat(F.lit("about "), name, F.lit(" and more"))).when(k == 3, "真子集 0").when(k == 4, scraps).otherwise("0")
+    return fuzzy.best_match(rows.select(F.col("staging_id").alias("item_id"), "subject_id", item.alias("item_text"), hint.alias("hint")), points, "subject_id")
 
 
-@query("j16_generated", "SELECT name FROM (SELECT lower(json_extract_string(payload, '$._subject_id')) AS key, min_by('H ' || json_extract_string(payload, '$._subject_id'), staging_id) AS name FROM staging GROUP BY 1)")
+@query("j16_generated", "SELECT key, min_by(hint, doc_id) AS name FROM (SELECT doc_id, hint, regexp_replace(lower(hint), '[，。、“”‘’；：:,.()\\[\\]{}<>《》【】|_—-]', '', 'g') AS key FROM (SELECT doc_id, regexp_extract(text, '^[^ \\n\\t]+') AS hint FROM documents WHERE text IS NOT NULL)) WHERE key <> '' GROUP BY key", views=False)
 def _(v):
-    items = v.staging.select(F.col("staging_id").alias("item_id"), F.concat(F.lit("H "), F.get_json_object("payload", "$._subject_id")).alias("hint"))
-    return fuzzy.generated_points(items).select("name")
+    """The first words of texts as hints: one point for each normal form, by its first spelling."""
+    items = v.table("documents").where("text IS NOT NULL").select(F.col("doc_id").alias("item_id"), F.regexp_extract("text", "^[^ \\n\\t]+", 0).alias("hint"))
+    return fuzzy.generated_points(items).select(text.knowledge_text(F.col("name")).alias("key"), "name")
 
 
-@query("j17_tiered_resolution", "SELECT staging_id, coalesce(k.kp_id, n.kp_id) AS kp_id FROM staging s LEFT JOIN kp k ON k.kp_id = s.published_id LEFT JOIN (SELECT min(kp_id) AS kp_id, subject_id FROM kp GROUP BY subject_id) n ON n.subject_id = s.upload_id % 2")
+@query("j17_tiered_resolution", "WITH asked AS (SELECT staging_id, upload_id % 2 AS subject_id, [published_id, staging_id % 30, NULL] AS ids, [(SELECT name FROM kp WHERE kp_id = staging_id * 3 % 25), 'no such point', ''] AS hints FROM staging), by_id AS (SELECT staging_id, list_sort(list(DISTINCT kp_id)) AS found FROM (SELECT staging_id, subject_id, unnest(ids) AS kp_id FROM asked) JOIN kp USING (subject_id, kp_id) GROUP BY staging_id), by_name AS (SELECT staging_id, list_sort(list(DISTINCT kp_id)) AS found FROM (SELECT staging_id, subject_id, unnest(hints) AS name FROM asked) JOIN kp USING (subject_id, name) GROUP BY staging_id) SELECT staging_id AS item_id, array_to_string(coalesce(i.found, n.found), ',') AS kp_ids, CAST(CASE WHEN i.found IS NOT NULL THEN 1 WHEN n.found IS NOT NULL THEN 2 END AS INTEGER) AS tier FROM asked LEFT JOIN by_id i USING (staging_id) LEFT JOIN by_name n USING (staging_id)")
 def _(v):
-    byid = v.kp.select(F.col("kp_id").alias("k1"))
-    byname = v.kp.groupBy("subject_id").agg(F.min("kp_id").alias("k2"))
-    rows = v.staging.join(byid, F.col("published_id") == F.col("k1"), "left").join(byname, F.col("upload_id") % 2 == F.col("subject_id"), "left")
-    return rows.select("staging_id", F.coalesce("k1", "k2").alias("kp_id"))
+    """Points by the ids of a payload that the subject knows, else by its hints."""
+    third = v.kp.select(F.col("kp_id").alias("third"), "name")
+    rows = v.staging.withColumn("third", F.col("staging_id") * 3 % 25).join(third, "third")
+    ids = F.array(F.col("published_id"), F.col("staging_id") % 30, F.lit(None).cast("long"))
+    items = rows.select(F.col("staging_id").alias("item_id"), (F.col("upload_id") % 2).alias("subject_id"), ids.alias("ids"), F.array("name", F.lit("no such point"), F.lit("")).alias("hints"))
+    return fuzzy.resolve_points(items, v.kp).select("item_id", F.array_join(F.transform("kp_ids", lambda x: x.cast("string")), ",").alias("kp_ids"), "tier")
 
 
 #: Old and new rows of an upload: every fifth row's content is one that its upload shares, every third new row keeps its old number.

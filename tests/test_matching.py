@@ -90,3 +90,17 @@ def test_questions_of_any_id_are_chosen(spark):
     for ids, first in (([large], large), ([-7, large], -7), ([(1 << 62), (1 << 62) + 1], 1 << 62)):
         bank = spark.createDataFrame([(q, 3, [3], 2) for q in ids], "question_id long, primary_kp int, kp_ids array<int>, difficulty int")
         assert {x["question_id"] for x in learning.choose_questions(slots, scores, bank, allowed).collect()} == {first}
+
+
+def test_points_are_resolved_by_id_and_else_by_name(spark):
+    points = spark.createDataFrame([(1, 0, "a"), (2, 0, "b"), (3, 0, "b"), (4, 1, "b")], "kp_id int, subject_id int, name string")
+    rows = [(1, 0, [2, 1, 2, None], ["b"]), (2, 0, [4, 9], [" b ", None, ""]), (3, 1, None, ["b", "b"]), (4, 0, [], ["c"]), (5, 0, None, None), (6, 9, [1], ["a"])]
+    items = spark.createDataFrame(rows, "item_id int, subject_id int, ids array<int>, hints array<string>")
+    got = {x["item_id"]: (x["kp_ids"], x["tier"]) for x in fuzzy.resolve_points(items, points).collect()}
+    assert got == {1: ([1, 2], 1), 2: ([2, 3], 2), 3: ([4], 2), 4: (None, None), 5: (None, None), 6: (None, None)}
+
+
+def test_chinese_names_sort_by_sound(spark):
+    names = ["集合", "函数", "一元", "数列", "安全", "第2章", "abc"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert [r["n"] for r in df.orderBy(text.in_locale(df["n"]), "n").collect()] == ["安全", "第2章", "函数", "集合", "数列", "一元", "abc"]
