@@ -87,6 +87,28 @@ class Run:
         return out.select("job_id", "upload_id", "pages", whole("pages_done"), whole("pages_failed"), whole("points"), percent.alias("percent"))
 
 
+def analysis_results(run: Run, files: DataFrame) -> DataFrame:
+    """One result a job of a run, with files (upload_id, name): status, source, coverage and diagnostics.
+
+    failed without a point, partial with a bad page, else ok. Coverage counts
+    the names that pages gave and the points that are left of them. Diagnostics
+    count bad pages by reason and name the first of each.
+    """
+    found = run.table("parsed")
+    bad = lambda reason: F.count_if(F.col("reason") == reason)
+    first = lambda reason: F.min(F.when(F.col("reason") == reason, F.col("page")))
+    seen = found.groupBy("job_id").agg(F.coalesce(F.sum(F.size("names")), F.lit(0)).alias("candidates"), bad("call").alias("call_failures"), bad("parse").alias("parse_failures"), first("call").alias("first_call_failure"), first("parse").alias("first_parse_failure"))
+    done = run.table("done").join(files.select("upload_id", "name"), "upload_id", "left").join(seen, "job_id", "left")
+    suffix = F.lower(F.regexp_extract(F.coalesce("name", F.lit("")), "\\.([A-Za-z0-9]+)$", 1))
+    kind = F.when(suffix == "pdf", "pdf").when(suffix.isin("doc", "docx"), "word").when(suffix.isin("png", "jpg", "jpeg", "webp"), "image").otherwise("other")
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return done.select(
+        "job_id", F.when(F.col("points") == 0, "failed").when(F.col("pages_failed") > 0, "partial").otherwise("ok").alias("status"),
+        kind.alias("source_type"), F.col("name").alias("source_name"), F.col("pages").alias("page_count"), none("candidates"), F.col("points").alias("output_points"),
+        none("call_failures"), none("parse_failures"), "first_call_failure", "first_parse_failure", F.col("error").alias("parse_error"),
+    )
+
+
 def text_pages(uploads: DataFrame, content: Column) -> DataFrame:
     """(upload_id, page, prompt): the lines of a text that hold something, by their number."""
     lines = uploads.select("upload_id", F.posexplode(F.split(content, "\n")).alias("pos", "prompt"))

@@ -326,12 +326,6 @@ def _(v):
     return learning.causes(v.graded, learning.mistakes(v.attempt).select("student_id", "question_id", "error_count"), scores)
 
 
-@query("p25_analysis_result", "SELECT upload_id, count(*) AS units, CAST(count(DISTINCT entity_kind) AS BIGINT) AS kinds, CASE WHEN bool_or(review_status = 'rejected') THEN 'partial' ELSE 'ok' END AS status FROM staging GROUP BY upload_id")
-def _(v):
-    result = F.struct(F.count(F.lit(1)).alias("units"), F.count_distinct("entity_kind").alias("kinds"), F.when(F.bool_or(F.col("review_status") == "rejected"), "partial").otherwise("ok").alias("status"))
-    return v.staging.groupBy("upload_id").agg(result.alias("r")).select("upload_id", "r.*")
-
-
 def _ingested(uploads):
     body = lambda p: {"ok": True, "http_status": 200, "text": 'x {"learning_materials":[{"title":"易错 ' + p + '","content":"c"},{"name":"n"}]} y'}
     called = model_calls.call(uploads.select("upload_id", F.col("upload_id").cast("string").alias("prompt")), "prompt", body)
@@ -351,6 +345,14 @@ def _point_run(v):
     return again
 
 
+@query("p25_analysis_result", f"WITH {ingest_run.RUN_SQL}, seen AS (SELECT upload_id, count(*) AS pages, 2 * count(*) FILTER (WHERE reason IS NULL) AS candidates, count(*) FILTER (WHERE reason = 'call') AS call_failures, count(*) FILTER (WHERE reason = 'parse') AS parse_failures, min(page) FILTER (WHERE reason = 'call') AS first_call_failure, min(page) FILTER (WHERE reason = 'parse') AS first_parse_failure FROM fate GROUP BY upload_id), found AS (SELECT upload_id, count(*) AS points FROM named GROUP BY upload_id) SELECT u.upload_id AS job_id, CASE WHEN points IS NULL THEN 'failed' WHEN call_failures + parse_failures > 0 THEN 'partial' ELSE 'ok' END AS status, CASE upload_id % 3 WHEN 0 THEN 'pdf' WHEN 1 THEN 'word' ELSE 'image' END AS source_type, source || ['.pdf', '.DOCX', '.png'][CAST(upload_id % 3 + 1 AS INTEGER)] AS source_name, coalesce(pages, 0) AS page_count, coalesce(candidates, 0) AS candidates, coalesce(points, 0) AS output_points, coalesce(call_failures, 0) AS call_failures, coalesce(parse_failures, 0) AS parse_failures, CAST(first_call_failure AS INTEGER) AS first_call_failure, CAST(first_parse_failure AS INTEGER) AS first_parse_failure, CASE WHEN points IS NULL THEN CASE WHEN pages IS NULL THEN 'no pages' WHEN call_failures + parse_failures = pages THEN 'all pages failed' ELSE 'no knowledge points' END END AS parse_error FROM (SELECT doc_id AS upload_id, source FROM documents) u LEFT JOIN seen USING (upload_id) LEFT JOIN found USING (upload_id)")
+def _(v):
+    """Results of a run over all documents, whose files are of three kinds."""
+    suffix = F.element_at(F.array(F.lit(".pdf"), F.lit(".DOCX"), F.lit(".png")), (F.col("doc_id") % 3 + 1).cast("int"))
+    files = v.table("documents").select(F.col("doc_id").alias("upload_id"), F.concat("source", suffix).alias("name"))
+    return ingest_run.analysis_results(_point_run(v), files)
+
+
 @query("p26_point_ingestion", f"WITH {ingest_run.RUN_SQL}, seen AS (SELECT upload_id, count(*) AS pages, count(*) FILTER (WHERE reason IS NULL) AS pages_done, count(*) FILTER (WHERE reason IS NOT NULL) AS pages_failed FROM fate GROUP BY upload_id), found AS (SELECT upload_id, count(*) AS points FROM named GROUP BY upload_id) SELECT doc_id AS job_id, CASE WHEN points IS NULL THEN 'failed' ELSE 'succeeded' END AS status, coalesce(pages, 0) AS pages, coalesce(pages_done, 0) AS pages_done, coalesce(pages_failed, 0) AS pages_failed, coalesce(points, 0) AS points, CASE WHEN points IS NULL THEN CASE WHEN pages IS NULL THEN 'no pages' WHEN pages_failed = pages THEN 'all pages failed' ELSE 'no knowledge points' END END AS error FROM documents LEFT JOIN seen ON seen.upload_id = doc_id LEFT JOIN found ON found.upload_id = doc_id")
 def _(v):
     return _point_run(v).table("done").select("job_id", "status", "pages", "pages_done", "pages_failed", "points", "error")

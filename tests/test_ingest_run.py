@@ -59,3 +59,13 @@ def test_a_killed_run_goes_on_where_it_stopped(made):
     assert {r["job_id"]: (r["pages_done"], r["points"], r["percent"]) for r in second.progress().collect()}[10] == (2, 0, 85)
     assert second.run().count() == 5 and second.run().count() == 5
     assert len(list(calls.iterdir())) == asked == 8
+
+
+def test_results_say_what_went_wrong(spark, made):
+    run = made[0]()
+    run.run()
+    files = spark.createDataFrame([(1, "a.pdf"), (2, "b.Docx"), (4, "c"), (5, None)], "upload_id int, name string")
+    got = {r["job_id"]: r for r in ingest_run.analysis_results(run, files).collect()}
+    assert {k: (r["status"], r["source_type"], r["page_count"]) for k, r in got.items()} == {10: ("partial", "pdf", 4), 20: ("failed", "word", 2), 30: ("failed", "other", 0), 40: ("failed", "other", 1), 50: ("ok", "other", 1)}
+    r = got[10]
+    assert (r["candidates"], r["output_points"], r["call_failures"], r["parse_failures"], r["first_call_failure"], r["first_parse_failure"]) == (4, 3, 1, 1, 5, 4)

@@ -104,3 +104,14 @@ def test_chinese_names_sort_by_sound(spark):
     names = ["集合", "函数", "一元", "数列", "安全", "第2章", "abc"]
     df = spark.createDataFrame([(n,) for n in names], "n string")
     assert [r["n"] for r in df.orderBy(text.in_locale(df["n"]), "n").collect()] == ["安全", "第2章", "函数", "集合", "数列", "一元", "abc"]
+
+
+def test_plain_searches_find_what_the_patterns_find(spark):
+    r = random.Random(7)
+    patterns = [p for p, _ in text.NON_LEARNING] + ["ab*c|x.y|(?i)z", "(?i)Ab|文*字|字|[0-9]页"]
+    patterns = [p for p in patterns if "|(?i)" not in p]
+    words = ["扫码", "QR", "qr  Code", "code", "关注", "资料", "\n", "第 3 页 / 9", "第", "页", "Copyright", "copyright", "©", "名师", "文文字", "文", "字", "aB", "9页", "x", "优惠", "目录", " "]
+    texts = ["".join(r.choice(words) for _ in range(r.randint(0, 5))) for _ in range(1500)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for p in patterns:
+        assert df.where(text.finds(df["t"], p) != df["t"].rlike(p)).count() == 0, p
