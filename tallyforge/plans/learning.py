@@ -341,3 +341,40 @@ def causes(graded: DataFrame, book: DataFrame, scores: DataFrame) -> DataFrame:
     cause = F.when(score >= 0.85, "slip").when((peak >= 0.5) & (score < 0.2), "relapse").when(peak < 0.2, "gap").when(F.col("error_count") >= 3, "stubborn").otherwise("weak")
     actions = {"slip": "slow_down", "relapse": "recall", "gap": "relearn", "stubborn": "explain_back", "weak": "practise"}
     return rows.select("student_id", "question_id", cause.alias("cause")).withColumn("action", text.mapped(actions, F.col("cause")))
+
+
+def answer_view(sessions: DataFrame, questions: DataFrame, unlocked: DataFrame, metadata: DataFrame) -> DataFrame:
+    """(session_id, pos, question_id, stem, difficulty, options, figures): what a learner in a running session answers.
+
+    Only sessions in progress and questions of unlocked points count; their
+    order is the session's. metadata (question_id, options, figures) may lack a
+    question or its options: a choice then has the bare labels A to D, other
+    questions none. Questions are looked up by what sessions ask, so a learner's
+    points and the bank never meet as a whole.
+    """
+    asked = sessions.where("status = 'in_progress'").select("session_id", "student_id", F.posexplode("question_ids").alias("pos", "question_id"))
+    known = asked.join(questions, "question_id").join(unlocked.select("student_id", F.col("kp_id").alias("primary_kp")), ["student_id", "primary_kp"], "left_semi")
+    bare = F.when(F.col("question_type") == "choice", F.array(*[F.struct(F.lit(x).alias("label"), F.lit(x).alias("text")) for x in "ABCD"])).otherwise(F.array().cast("array<struct<label:string,text:string>>"))
+    shown = known.join(metadata.select("question_id", "options", "figures"), "question_id", "left")
+    return shown.select("session_id", "pos", "question_id", "stem", "difficulty", F.coalesce("options", bare).alias("options"), F.coalesce("figures", F.array().cast("array<string>")).alias("figures"))
+
+
+def result_view(sessions: DataFrame, attempts: DataFrame, questions: DataFrame, unlocked: DataFrame, book: DataFrame, plans: DataFrame) -> DataFrame:
+    """(session_id, attempts, right_answers, resolved, headline, plan): completed sessions as their learners see them.
+
+    attempts is the session's list of (question_id, is_correct, resolved) in the
+    order of answering. A question counts as resolved if its mistake was
+    resolved while the session ran and the session has a right answer to it.
+    plans (session_id, headline) come along as plan.
+    """
+    done = sessions.where("status = 'completed'").select("session_id", "student_id", "started_at", "ended_at")
+    mine = attempts.join(done, ["session_id", "student_id"]).join(questions.select("question_id", "primary_kp"), "question_id").join(unlocked.select("student_id", F.col("kp_id").alias("primary_kp")), ["student_id", "primary_kp"], "left_semi")
+    solved = book.where("resolved_at IS NOT NULL").select("student_id", "question_id", "resolved_at")
+    marked = mine.join(solved, ["student_id", "question_id"], "left").withColumn("in_time", F.coalesce(F.col("resolved_at").between(F.col("started_at"), F.col("ended_at")), F.lit(False)))
+    right = F.max("is_correct").over(Window.partitionBy("session_id", "question_id"))
+    marked = marked.withColumn("resolved", F.col("in_time") & right)
+    row = F.struct("answered_at", "attempt_id", "question_id", "is_correct", "resolved")
+    told = marked.groupBy("session_id").agg(F.array_sort(F.collect_list(row)).alias("a"), F.count_if("is_correct").alias("right_answers"), F.count_distinct(F.when(F.col("resolved"), F.col("question_id"))).alias("resolved"))
+    headline = F.when(F.col("resolved") > 0, F.format_string("本次攻克 %d 道历史错题", "resolved"))
+    listed = F.transform("a", lambda x: F.struct(x["question_id"].alias("question_id"), x["is_correct"].alias("is_correct"), x["resolved"].alias("resolved")))
+    return told.join(plans.select("session_id", F.col("headline").alias("plan")), "session_id", "left").select("session_id", listed.alias("attempts"), "right_answers", "resolved", headline.alias("headline"), "plan")

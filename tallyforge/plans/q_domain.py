@@ -399,19 +399,28 @@ def _(v):
     return known.unionByName(wanted.join(known, ["subject_id", "name"], "left_anti"))
 
 
-@query("p33_answer_view", "SELECT s.session_id, CAST(i - 1 AS INTEGER) AS pos, q.stem, q.difficulty FROM (SELECT *, unnest(range(1, len(question_ids) + 1)) AS i FROM session) s JOIN question q ON q.question_id = s.question_ids[i]")
+def _told(v):
+    """Sessions with a state: every fourth is in progress."""
+    return v.session.withColumn("status", F.when(F.col("session_id") % 4 == 1, "in_progress").otherwise("completed"))
+
+
+@query("p33_answer_view", "SELECT session_id, CAST(i - 1 AS INTEGER) AS pos, question_id, stem, difficulty, CASE WHEN question_id % 5 = 0 THEN 'A=' || stem || '|B=none' WHEN question_type = 'choice' THEN 'A=A|B=B|C=C|D=D' ELSE '' END AS options, CASE WHEN question_id % 5 = 0 THEN 'f' || question_id ELSE '' END AS figures FROM (SELECT *, unnest(range(1, len(question_ids) + 1)) AS i FROM session WHERE session_id % 4 = 1) s JOIN question q ON q.question_id = s.question_ids[i] WHERE (primary_kp + student_id) % 3 <> 0")
 def _(v):
-    rows = v.session.select("session_id", F.posexplode("question_ids").alias("pos", "question_id"))
-    return rows.join(v.question, "question_id").select("session_id", "pos", "stem", "difficulty")
+    """Questions of running sessions with options and figures; every fifth question has its own."""
+    options = F.array(F.struct(F.lit("A").alias("label"), F.col("stem").alias("text")), F.struct(F.lit("B").alias("label"), F.lit("none").alias("text")))
+    metadata = v.question.where("question_id % 5 = 0").select("question_id", options.alias("options"), F.array(F.concat(F.lit("f"), F.col("question_id").cast("string"))).alias("figures"))
+    rows = learning.answer_view(_told(v), v.question, v.unlocked, metadata)
+    shown = F.array_join(F.transform("options", lambda o: F.concat(o["label"], F.lit("="), o["text"])), "|")
+    return rows.select("session_id", "pos", "question_id", "stem", "difficulty", shown.alias("options"), F.array_join("figures", ",").alias("figures"))
 
 
-@query("p34_result_view", f"WITH {GROUPS_SQL} SELECT s.session_id, count(DISTINCT g.kp_id) AS points, count(DISTINCT CASE WHEN m.resolved_at >= s.started_at AND m.resolved_at <= s.ended_at THEN m.question_id END) AS resolved FROM session s LEFT JOIN grouped g ON g.session_id = s.session_id LEFT JOIN mistake m ON m.student_id = s.student_id GROUP BY s.session_id")
+@query("p34_result_view", f"WITH {_PLAN}, a AS (SELECT a.*, EXISTS (SELECT 1 FROM mistake m WHERE m.student_id = a.student_id AND m.question_id = a.question_id AND m.resolved_at BETWEEN s.started_at AND s.ended_at) AS solved FROM attempt a JOIN session s USING (session_id, student_id) JOIN question q ON q.question_id = a.question_id WHERE session_id % 4 <> 1 AND (q.primary_kp + a.student_id) % 3 <> 0), d AS (SELECT *, solved AND bool_or(is_correct) OVER (PARTITION BY session_id, question_id) AS done FROM a), t AS (SELECT session_id, string_agg(question_id || ':' || CAST(is_correct AS INTEGER) || ':' || CAST(done AS INTEGER), ',' ORDER BY answered_at, attempt_id) AS attempts, count(*) FILTER (WHERE is_correct) AS right_answers, count(DISTINCT CASE WHEN done THEN question_id END) AS resolved FROM d GROUP BY session_id) SELECT session_id, attempts, right_answers, resolved, CASE WHEN resolved > 0 THEN '本次攻克 ' || resolved || ' 道历史错题' END AS headline, CASE WHEN weak > 0 THEN '先把“' || first_name || '”补牢' WHEN weak = 0 THEN '这次整体不错，顺手复习“' || first_name || '”' END AS plan FROM t LEFT JOIN rp USING (session_id)")
 def _(v):
-    points = groups(v).groupBy("session_id").agg(F.count(F.lit(1)).alias("points"))
-    book = learning.mistakes(v.attempt).where("resolved_at IS NOT NULL").select("student_id", "question_id", "resolved_at")
-    solved = v.session.join(book, "student_id").where("resolved_at BETWEEN started_at AND ended_at").groupBy("session_id").agg(F.count_distinct("question_id").alias("resolved"))
-    rows = v.session.select("session_id").join(points, "session_id", "left").join(solved, "session_id", "left")
-    return rows.select("session_id", F.coalesce("points", F.lit(0)).alias("points"), F.coalesce("resolved", F.lit(0)).alias("resolved"))
+    """Completed sessions: answers in order, mistakes resolved in them, and the plan that follows."""
+    found = learning.result_view(_told(v), v.attempt, v.question, v.unlocked, learning.mistakes(v.attempt), learning.review_plan(groups(v), v.kp))
+    mark = lambda c: c.cast("int").cast("string")
+    shown = F.array_join(F.transform("attempts", lambda x: F.concat_ws(":", x["question_id"].cast("string"), mark(x["is_correct"]), mark(x["resolved"]))), ",")
+    return found.select("session_id", shown.alias("attempts"), "right_answers", "resolved", "headline", "plan")
 
 
 @query("p35_advice_context", "SELECT a.session_id, a.attempt_id, epoch_us(s.started_at) AS started_us, q.stem, kp.name, m.error_count, round(coalesce(my.mastery_score, 0), 6) AS mastery, coalesce(c.n, 0) AS materials FROM attempt a JOIN session s USING (session_id) JOIN question q USING (question_id) JOIN kp ON kp.kp_id = q.primary_kp LEFT JOIN mistake m ON m.student_id = a.student_id AND m.question_id = a.question_id LEFT JOIN mastery my ON my.student_id = a.student_id AND my.kp_id = kp.kp_id LEFT JOIN (SELECT kp_id, count(*) AS n FROM material GROUP BY kp_id) c ON c.kp_id = kp.kp_id")
