@@ -76,6 +76,23 @@ def organise(items: DataFrame, points: DataFrame, group: str) -> tuple[DataFrame
     return threads, unmapped, filtered
 
 
+def questions_of(parsed: DataFrame, key: str) -> DataFrame:
+    """(key, pos, kind, stem, options, sub_questions, figures, answer, analysis) of the questions that parsed batches hold.
+
+    What only reads like a question (a heading, an advertisement, a method) is
+    left out; pos is the place in the answer, so gaps show what went.
+    """
+    rows = parsed.select(key, F.posexplode(jsonx.elements(F.col("value"), "questions", "items")).alias("pos", "m"))
+    m = F.col("m")
+    said = {c: jsonx.text_field(m, *names).alias(c) for c, names in {"type": ("type", "question_type", "questionType"), "stem": ("stem", "content", "question"), "answer_area": ("answer_area",), "answer": ("answer",), "analysis": ("analysis", "solution"), "figure_description": ("figure_description",), "raw_text": ("raw_text",)}.items()}
+    options = F.coalesce(F.try_variant_get(m, "$.options", "array<string>"), F.array().cast("array<string>"))
+    subs = F.transform(jsonx.elements(m, "sub_questions", "subQuestions"), lambda x: F.struct(*[jsonx.text_field(x, c).alias(c) for c in ("number", "stem", "answer", "analysis")]))
+    figures = F.transform(jsonx.elements(m, "figures"), lambda x: F.struct(jsonx.text_field(x, "description").alias("description"), F.try_variant_get(x, "$.labels", "array<string>").alias("labels")))
+    q = F.struct(*said.values(), options.alias("options"), subs.alias("sub_questions"), figures.alias("figures"))
+    kept = rows.select(key, "pos", q.alias("q")).where(text.is_question(F.col("q")))
+    return kept.select(key, "pos", text.question_kind(F.col("q.type")).alias("kind"), "q.stem", text.parse_options(F.col("q.options")).alias("options"), "q.sub_questions", "q.figures", "q.answer", "q.analysis")
+
+
 #: Items of a thread that stand in one row.
 PART_ITEMS = 256
 

@@ -15,6 +15,9 @@ from tallyforge.streaming import attempts, sink
 from . import ingest, ingest_run, learning
 from .q_aggregate import ITEMS_SQL, STATS_SQL, items
 from .q_join import HINTS_SQL, RERUN_SQL, name_hints, rerun_rows
+from .q_scan import _ASKS as ASKS_SQL
+from .q_scan import _SAID as SAID_SQL
+from .q_scan import _TELLS as TELLS_SQL
 from .registry import query
 
 PLAN_SQL = """allowed AS (SELECT u.student_id, u.kp_id, row_number() OVER (PARTITION BY u.student_id ORDER BY u.kp_id) - 1 AS place FROM unlocked u JOIN kp USING (kp_id) JOIN student s ON s.student_id = u.student_id WHERE kp.subject_id = s.subject_id),
@@ -490,10 +493,20 @@ def _(v):
     return _ingested(v.upload).groupBy("upload_id").agg(F.count(F.lit(1)).alias("materials"))
 
 
-@query("p44_question_entry", "SELECT staging_id FROM staging WHERE entity_kind = 'question' AND staging_id % 9 > 0")
-def _(v):
-    page = F.try_variant_get(F.parse_json("payload"), "$.page", "int")
-    return v.staging.where((F.col("entity_kind") == "question") & (page > 0)).select("staging_id")
+@query("p44_question_entry", f"SELECT material_id, pos, CASE pos WHEN 0 THEN 'choice' ELSE 'solution' END AS kind, CASE WHEN pos = 0 AND opts THEN 'A:first,B:' ELSE '' END AS options FROM (SELECT material_id, trim(coalesce({SAID_SQL}, '')) <> '' AS filled, regexp_matches(lower({SAID_SQL}), '{TELLS_SQL}') AS tells, regexp_matches(replace({SAID_SQL}, '选择题', ''), '{ASKS_SQL}') AS asks, material_id % 7 = 0 AS opts FROM material WHERE title IS NOT NULL), (SELECT unnest([0, 1, 2]) AS pos) WHERE CASE pos WHEN 0 THEN (filled OR opts) AND (NOT tells OR asks OR opts) WHEN 1 THEN material_id % 3 = 0 ELSE material_id % 5 = 0 END")
+def _(v):
+    """Answers of a model over whole texts: a question or what looks like one, a heading unless it asks, and a sub-question."""
+    k, title = F.col("material_id") % 6, F.col("title")
+    said = F.when(k == 0, F.concat(title, F.lit(" 扫码加群"))).when(k == 1, F.concat(F.lit("例题：要求 "), title)).when(k == 2, F.concat(F.lit("题型一 "), title, F.lit(" ?"))).when(k == 3, "选择题 知识点").when(k == 4, "").otherwise(title)
+    options = F.when(F.col("material_id") % 7 == 0, F.array(F.lit("A. first"), F.lit("B")))
+    sub = F.array(F.struct(F.lit("1").alias("number"), F.lit("s").alias("stem")))
+    one = F.to_json(F.struct(said.alias("stem"), F.lit("单选").alias("type"), options.alias("options")))
+    two = F.to_json(F.struct(F.when(F.col("material_id") % 3 == 0, "方法总结：求和").otherwise("方法总结").alias("content"), F.lit("解答").alias("type")))
+    three = F.to_json(F.struct(F.lit("知识点").alias("stem"), F.lit("计算").alias("question_type"), F.when(F.col("material_id") % 5 == 0, sub).alias("sub_questions")))
+    body = F.concat(F.lit('{"questions":['), one, F.lit(","), two, F.lit(","), three, F.lit("]}"))
+    answers = v.material.where("title IS NOT NULL").select("material_id", body.alias("text"))
+    found = ingest.questions_of(ingest.parse_batch(answers), "material_id")
+    return found.select("material_id", "pos", "kind", F.array_join(F.transform("options", lambda o: F.concat(o["label"], F.lit(":"), o["text"])), ",").alias("options"))
 
 
 @query("p45_review_queue", "SELECT upload_id, entity_kind, count(*) FILTER (WHERE review_status = 'pending') AS pending, count(*) FILTER (WHERE review_status = 'accepted') AS accepted, count(*) FILTER (WHERE review_status = 'rejected') AS rejected FROM staging GROUP BY ALL")
