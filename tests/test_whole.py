@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 
 from tallyforge import catalog
-from tallyforge.plans import q_domain
+from tallyforge.plans import ingest_run, q_domain
 from tallyforge.plans.views import Views
 
 EVENTS = [(k, k % 6, dt.datetime(2024, 1, 1 + k // 6 % 28, k % 24), ("click", "purchase", "error", "view")[k % 4]) for k in range(400)]
@@ -43,13 +43,29 @@ def test_answers_of_every_session(spark, sf):
     sessions = {}
     for _, _, q, _, s in sorted(attempts()):
         sessions.setdefault(s, []).append(q)
-    want = Counter((s, pos, f"part {q}", q % 50 % 5 + 1) for s, qs in sessions.items() for pos, q in enumerate(qs) if q)
-    assert rows(spark, sf, "p33_answer_view") == want
+    options = lambda q: f"A=part {q}|B=none" if q % 5 == 0 else "A=A|B=B|C=C|D=D" if q % 2 == 0 else ""
+    # every session in progress, questions of points that its learner may practise
+    want = Counter((s, pos, q, f"part {q}", q % 50 % 5 + 1, options(q), f"f{q}" if q % 5 == 0 else "") for s, qs in sessions.items() for pos, q in enumerate(qs) if q and s % 4 == 1 and (q % 12 + s // 100) % 3)
+    assert rows(spark, sf, "p33_answer_view") == want and len(want) > 20
+
+
+def test_results_of_every_session(spark, sf):
+    shown = {}
+    for _, u, q, ok, s in sorted(attempts()):
+        if q and s % 4 != 1 and (q % 12 + u) % 3:
+            shown.setdefault(s, []).append((q, ok))
+    got = {r["session_id"]: r for r in catalog.queries()["p34_result_view"](spark, sf).collect()}
+    assert {s: [tuple(map(int, x.split(":")[:2])) for x in r["attempts"].split(",")] for s, r in got.items()} == {s: [(q, int(ok)) for q, ok in x] for s, x in shown.items()}
+    assert all(r["right_answers"] == sum(ok for _, ok in shown[s]) for s, r in got.items())
 
 
 def test_ingestion_of_every_upload(spark, sf):
     ids = [d for d, *_ in DOCS]
-    assert rows(spark, sf, "p26_point_ingestion") == Counter(x for d in ids for x in ((d, 0, f"易错 {d}"), (d, 1, "n")))
+    fate = {d: ingest_run.stub_points(f"text {d}") for d in ids}
+    called = {d: x["ok"] for d, x in fate.items()}
+    found = {d: x["ok"] and "Points" in x["text"] for d, x in fate.items()}
+    want = Counter((d, "succeeded" if found[d] else "failed", 1, int(found[d]), int(not found[d]), 2 * found[d], None if found[d] else "all pages failed") for d in ids)
+    assert rows(spark, sf, "p26_point_ingestion") == want and 0 < sum(not x for x in called.values()) < len(ids)
     assert rows(spark, sf, "p27_resource_ingestion") == Counter(x for d in ids for x in ((d, "common_mistake"), (d, "concept_explanation")))
     assert rows(spark, sf, "p43_analysis_entry") == Counter((d, 2) for d in ids)
 
