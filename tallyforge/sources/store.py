@@ -40,7 +40,7 @@ class Files:
         if uri.startswith("file:/") and not uri.startswith("file://"):
             uri = f"file://{uri[5:]}"
         self.system, base = pafs.FileSystem.from_uri(uri)
-        self.base = base.rstrip("/")
+        self.base, self.made = base.rstrip("/"), set()
 
     def place(self, key: str) -> str:
         parts = key.split("/")
@@ -54,8 +54,9 @@ class Files:
         if expected and expected != found:
             raise ChecksumMismatch(f"{key}: {found} instead of {expected}")
         place, own = self.place(key), f"{self.base}/{HIDDEN}/{uuid.uuid4().hex}"
-        self.system.create_dir(f"{self.base}/{HIDDEN}", recursive=True)
-        self.system.create_dir(posixpath.dirname(place), recursive=True)
+        for folder in {f"{self.base}/{HIDDEN}", posixpath.dirname(place)} - self.made:
+            self.system.create_dir(folder, recursive=True)
+            self.made.add(folder)
         with self.system.open_output_stream(own) as out:
             out.write(content)
         self.system.move(own, place)

@@ -222,10 +222,10 @@ class DueReviews(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", "first long, wrong long, due_at long")
+        self.seen = handle.getValueState("seen", "first long, wrong long, due_at long, timer long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first, wrong, before = self.seen.get() if self.seen.exists() else (None, None, None)
+        first, wrong, before, timer = self.seen.get() if self.seen.exists() else (None, None, None, None)
         for frame in rows:
             at = _micros(frame["ts"])
             bad = at[~frame["is_correct"].to_numpy().astype(bool)]
@@ -233,16 +233,19 @@ class DueReviews(StatefulProcessor):
             if len(bad):
                 wrong = int(bad.max()) if wrong is None else max(wrong, int(bad.max()))
         due_at = max(first, wrong if wrong is not None else first) + 1000 * self.wait_ms
-        self.seen.update((first, wrong, due_at))
         if due_at != before:
-            for timer in list(self.handle.listTimers()):
+            if timer is not None:
                 self.handle.deleteTimer(timer)
             # timers are in whole milliseconds and fire once the watermark is there
-            self.handle.registerTimer(max(-(-due_at // 1000), timerValues.getCurrentWatermarkInMs() + 1))
+            timer = max(-(-due_at // 1000), timerValues.getCurrentWatermarkInMs() + 1)
+            self.handle.registerTimer(timer)
             yield self._row(key, "waiting", due_at)
+        self.seen.update((first, wrong, due_at, timer))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._row(key, "due", self.seen.get()[2])
+        first, wrong, due_at, _ = self.seen.get()
+        self.seen.update((first, wrong, due_at, None))
+        yield self._row(key, "due", due_at)
 
     @staticmethod
     def _row(key, status: str, due_at: int) -> pd.DataFrame:
