@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import doc_columns, row_chunks, shared_dir, split_words, text_slices
+from .common import doc_columns, ragged_take, row_chunks, shared_dir, split_words, text_slices
 
 #: Word ids are gathered for about this many bytes of text at a time.
 GATHER_BYTES = 4 << 20
@@ -109,11 +109,14 @@ def encode_column(text: pa.Array, path: str, end_id: int | None) -> Iterator[tup
     length = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
     ids.append(b"" if end_id is None else np.array([end_id], dtype=np.uint32).tobytes())
     length = np.append(length, 0 if end_id is None else 1)
+    flat = np.frombuffer(b"".join(ids), dtype=np.uint32)
+    start = np.cumsum(length) - length
     for a, b in row_chunks(first * 6, GATHER_BYTES):
         # each document's words and the end's id
         own = np.insert(codes[first[a] : first[b]], first[a + 1 : b + 1] - first[a], len(ids) - 1)
-        ends = np.concatenate([[0], np.cumsum(length[own])])[first[a : b + 1] - first[a] + np.arange(b - a + 1)]
-        yield b - a, np.frombuffer(b"".join(map(ids.__getitem__, own.tolist())), dtype=np.uint32), ends
+        n = length[own]
+        ends = np.concatenate([[0], np.cumsum(n)])[first[a : b + 1] - first[a] + np.arange(b - a + 1)]
+        yield b - a, flat[ragged_take(start[own], n)], ends
 
 
 def write_token_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, compression: str = "zstd") -> None:
