@@ -129,7 +129,7 @@ def learner_states(graded: DataFrame) -> DataFrame:
 
 
 class StaleJobs(StatefulProcessor):
-    """A job that is queued or running and says nothing for a while fails by an event-time timer."""
+    """A job that is queued or running and says nothing for longer than a while fails by an event-time timer."""
 
     def __init__(self, quiet_ms: int):
         self.quiet_ms = quiet_ms
@@ -141,18 +141,24 @@ class StaleJobs(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         newest = None
         for frame in rows:
-            last = frame.loc[frame["ts"].idxmax()]
-            newest = last if newest is None or last["ts"] >= newest["ts"] else newest
-        at = int(newest["ts"].timestamp() * 1000)
+            times = _micros(frame["ts"])
+            k = int(times.argmax())
+            if newest is None or times[k] >= newest[1]:
+                newest = (frame["status"].iloc[k], int(times[k]))
+        status, at = newest
+        if self.last.exists() and self.last.get()[1] > at:
+            # a newer event came in an earlier batch
+            return
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.last.update((str(newest["status"]), at))
-        if newest["status"] in ("queued", "running"):
-            self.handle.registerTimer(at + self.quiet_ms)
-        yield pd.DataFrame([(key[0], newest["status"])], columns=["job_id", "status"])
+        self.last.update((str(status), at))
+        if status in ("queued", "running"):
+            # a timer fires when the watermark is there; a job that is quiet for just that long isn't late yet
+            self.handle.registerTimer(at // 1000 + self.quiet_ms + 1)
+        yield pd.DataFrame([(key[0], status)], columns=["job_id", "status"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.last.update(("failed", 0))
+        self.last.update(("failed", self.last.get()[1]))
         yield pd.DataFrame([(key[0], "failed")], columns=["job_id", "status"])
 
     def close(self) -> None:

@@ -71,6 +71,19 @@ def test_reviews_fall_due_and_are_put_off(spark, small_frames):
     assert said[3] == [("waiting", micros(26)), ("due", micros(26))]
 
 
+def test_a_job_fails_only_after_the_quiet_time(spark):
+    at = lambda s: START + datetime.timedelta(seconds=s)
+    kind = "job_id long, ts timestamp, status string"
+    # the clock ends ten minutes behind 2,000 s: jobs that spoke before 800 s are late, job 2 spoke just then
+    batches = [[(1, at(799), "running"), (2, at(800), "queued"), (3, at(801), "running"), (4, at(1400), "parsed"), (9, at(1450), "parsed")], [(4, at(1350), "running"), (9, at(2000), "parsed")]]
+    out = q_domain._stream(Over(spark), [spark.createDataFrame(b, kind) for b in batches], attempts.reap_jobs)
+    said = {}
+    for x in out.orderBy("batch").collect():
+        said.setdefault(x["job_id"], []).append(x["status"])
+    # an older event of job 4 that comes after its newest one says nothing
+    assert said == {1: ["running", "failed"], 2: ["queued"], 3: ["running"], 4: ["parsed"], 9: ["parsed", "parsed"]}
+
+
 def test_a_batch_that_is_killed_and_replayed_is_there_once(spark, tmp_path):
     place = str(tmp_path)
     spark.range(100).withColumn("part", F.lit(0)).write.parquet(f"{place}/in")
