@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_columns, ragged_take, row_chunks, split_words, text_bytes, text_slices, word_spans
+from .common import doc_columns, give_back, ragged_take, row_chunks, split_words, text_bytes, text_slices, word_spans
 
 #: Bounds of the training sample: documents of each label, and bytes of one text.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 1000, 2000, 1 << 15
@@ -262,7 +262,7 @@ def _climb(data: Sequences) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
     return w, v, bias, moves
 
 
-def fit(texts: list[str], toxic: list[int], rate: float | None = None) -> Model:
+def fit(texts: list[str] | pa.Array, toxic: list[int], rate: float | None = None) -> Model:
     """A model from whole texts and their labels; rate is the toxic share outside the sample.
 
     Without documents of both labels the model scores every text alike, by rate.
@@ -273,20 +273,23 @@ def fit(texts: list[str], toxic: list[int], rate: float | None = None) -> Model:
     if not len(y) or y.min() == y.max():
         return Model(curve=np.array([floor, 0.0, 0.0, 0.0]))
     # the words that tag() scores: only ASCII white space parts them
-    words, codes, first = split_words(pa.array(texts, pa.string()))
+    words, codes, first = split_words(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+    del texts
     forms = words.to_pylist()
     docs = [codes[a:b].astype(np.int32) for a, b in zip(first, first[1:])]
     names = _marks(docs, y, forms)
+    give_back()
     index = {f: k for k, f in enumerate(names)}
     is_marked = {k: own for k, w in enumerate(forms) if (own := [index[f] for f in features(w) if f in index])}
     flat = np.concatenate(docs)
     n = np.array([len(d) for d in docs])
+    owner = np.repeat(np.arange(len(docs)), n)
+    del docs, codes
     known = np.zeros(len(forms), dtype=bool)
     known[list(is_marked)] = True
     hits = known[flat]
     label = hits & np.repeat(y == 1, n)
     # sequences are cut to segments; of those without a marked word one in QUIET stands for all
-    owner = np.repeat(np.arange(len(docs)), n)
     within = ragged_take(np.zeros(len(n), np.int64), n) // SEGMENT
     starts = np.flatnonzero(np.concatenate([[True], (np.diff(owner) != 0) | (np.diff(within) != 0)])) if len(flat) else np.zeros(0, np.int64)
     bounds = np.concatenate([starts, [len(flat)]])
@@ -343,9 +346,18 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     rows = own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id").collect()
     total = sum(counts.values())
     known: dict[str, int] = {}
-    for r in rows:
-        known[r["text"]] = max(known.get(r["text"], 0), int(r["toxic"] > 0))
-    return fit(list(known), list(known.values()), (counts.get(1, 0) + 0.5) / (total + 1) if total else 0.0)
+    rows.reverse()
+    while rows:
+        text, toxic = rows.pop()[1:]
+        known[text] = max(known.get(text, 0), int(toxic > 0))
+    marked = list(known.values())
+    # the driver holds one copy of the sample while it fits, and nothing of it afterwards
+    texts = pa.array(list(known), pa.string())
+    del known
+    model = fit(texts, marked, (counts.get(1, 0) + 0.5) / (total + 1) if total else 0.0)
+    del texts
+    give_back()
+    return model
 
 
 SCORES = "held_out boolean, score double, predicted int, n_toxic_words int, spans array<struct<start:int,stop:int,marginal:double>>"

@@ -187,3 +187,22 @@ def test_near_copies_go_by_row(spark, tables):
     got = {(x["doc_id"], x["text"]) for x in kept}
     assert {(3, one), (5, two), (None, "quite another text that stands alone here"), (7, "")} <= got
     assert (5, one) not in got and (None, one) not in got and len(kept) == len(got)
+
+
+def test_the_driver_keeps_nothing_of_the_training_sample(spark, monkeypatch):
+    """While the model is fitted the driver holds the texts once, and hands their memory back after that."""
+    import gc
+
+    import pyarrow as pa
+    from pyspark.sql import Row
+
+    said, fit = [], toxicity.fit
+
+    def watched(texts, *more):
+        said.append((isinstance(texts, pa.Array), sum(type(x) is Row and "text" in x for x in gc.get_objects())))
+        return fit(texts, *more)
+
+    monkeypatch.setattr(toxicity, "fit", watched)
+    monkeypatch.setattr(toxicity, "give_back", lambda: said.append("given back"), raising=False)
+    toxicity.train(*(spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels")))
+    assert said[0] == (True, 0) and said[-1] == "given back"
