@@ -185,11 +185,20 @@ def resolve_points(items: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def rerun_match(old: DataFrame, new: DataFrame) -> DataFrame:
-    """For each old row of an upload the new row to take: same number, same 30-character start, else the first."""
-    start = lambda c: F.substring(F.regexp_replace(c, "\\s+", ""), 1, 30)
-    o = old.select("upload_id", "old_id", F.col("number").alias("on"), start(F.col("content")).alias("oc"))
-    pairs = o.join(new.select("upload_id", "new_id", F.col("number").alias("nn"), start(F.col("content")).alias("nc")), "upload_id")
-    tier = F.when(F.col("on") == F.col("nn"), 1).when((F.length("oc") > 10) & (F.col("oc") == F.col("nc")), 2).otherwise(3)
-    return pairs.withColumn("tier", tier).groupBy("old_id").agg(F.min(F.struct("tier", "new_id")).alias("b")).select("old_id", F.col("b.new_id").alias("new_id"), F.col("b.tier").alias("tier"))
-
+    """For each old row of an upload the new row to take: same number, same 30-character start, else the first.
 
+    Of the new rows the first one of each number, of each start and of each
+    upload is kept before old rows meet them, so an old row meets three at
+    most, and no content is sent but the starts.
+    """
+    start = lambda c: F.substring(F.regexp_replace(c, "\\s+", ""), 1, 30)
+    long_start = lambda c: F.when(F.length(c) > 10, c)
+    o = old.select("upload_id", "old_id", "number", long_start(start(F.col("content"))).alias("c"))
+    n = new.select("upload_id", "new_id", "number", long_start(start(F.col("content"))).alias("c"))
+    rows = o
+    for tier, on in enumerate((["upload_id", "number"], ["upload_id", "c"], ["upload_id"]), 1):
+        first = n.dropna(subset=on).groupBy(*on).agg(F.min("new_id").alias(f"n{tier}"))
+        rows = rows.join(first, on, "left")
+    tiers = [F.when(F.col(f"n{k}").isNotNull(), F.struct(F.lit(k).alias("tier"), F.col(f"n{k}").alias("new_id"))) for k in (1, 2, 3)]
+    best = rows.select("old_id", F.coalesce(*tiers).alias("b")).where("b IS NOT NULL").groupBy("old_id").agg(F.min("b").alias("b"))
+    return best.select("old_id", F.col("b.new_id").alias("new_id"), F.col("b.tier").alias("tier"))

@@ -115,3 +115,23 @@ def test_plain_searches_find_what_the_patterns_find(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     for p in patterns:
         assert df.where(text.finds(df["t"], p) != df["t"].rlike(p)).count() == 0, p
+
+
+def test_rows_of_a_large_upload_never_meet_in_pairs(spark):
+    r = random.Random(9)
+    text = lambda: r.choice(["short", "a start of more than ten", " ", "another  start that is long enough to be cut " + r.choice("xy"), None])
+    number = lambda: r.choice([None, *range(40)])
+    old = [(r.choice([1, 1, 1, 2, 3]), k, number(), text()) for k in range(1500)]
+    new = [(r.choice([1, 1, 1, 2]), 5000 - k, number() if k % 3 else None, text()) for k in range(1500)]
+    kind = "upload_id long, {} long, number long, content string"
+    got = fuzzy.rerun_match(spark.createDataFrame(old, kind.format("old_id")), spark.createDataFrame(new, kind.format("new_id")))
+    # each side of old rows meets a table of one row a key
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 3 and "Join Inner" not in plan
+    start = lambda c: None if c is None else "".join(c.split())[:30]
+    want = {}
+    for upload, old_id, n, c in old:
+        found = [(1 if n is not None and n == n2 else 2 if c and c2 and len(start(c)) > 10 and start(c) == start(c2) else 3, new_id) for u2, new_id, n2, c2 in new if u2 == upload]
+        if found:
+            want[old_id] = min(found)
+    assert {x["old_id"]: (x["tier"], x["new_id"]) for x in got.collect()} == want
