@@ -167,8 +167,13 @@ def in_order(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
 
 
 def take_rerun(old: DataFrame, new: DataFrame, found: DataFrame) -> DataFrame:
-    """old (old_id, payload, ...) with the payload of the new row (new_id, new_payload) that was found for it, its id as lineage, and the tier."""
-    rows = old.join(found, "old_id", "left").join(new, "new_id", "left")
+    """old (old_id, payload, ...) with the payload of the new row (new_id, new_payload) that was found for it, its id as lineage, and the tier.
+
+    New payloads meet the pairs of ids, so that old ones aren't sent to the new
+    rows' places, where many may take one row.
+    """
+    taken = found.join(new, "new_id", "left")
+    rows = old.join(taken, "old_id", "left")
     return rows.withColumn("payload", F.coalesce("new_payload", "payload")).withColumn("lineage", F.col("new_id")).drop("new_id", "new_payload")
 
 

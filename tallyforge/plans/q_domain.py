@@ -375,9 +375,10 @@ def _(v):
 def _(v):
     """Each old row takes the payload of the new row that its rerun matches, and keeps which one that was and how it was found."""
     old, new = rerun_rows(v)
-    kept = v.staging.select(F.col("staging_id").alias("old_id"), "payload").where("old_id % 96 < 48")
-    rows = ingest.take_rerun(kept, new.select("new_id", F.col("content").alias("new_payload")), fuzzy.rerun_match(old, new))
-    return rows.select(F.col("old_id").alias("staging_id"), F.sha2("payload", 256).alias("payload"), "lineage", "tier")
+    # what is asked for is the payloads' digests: rows are digested where they are read
+    kept = v.staging.select(F.col("staging_id").alias("old_id"), F.sha2("payload", 256).alias("payload")).where("old_id % 96 < 48")
+    rows = ingest.take_rerun(kept, new.select("new_id", F.sha2("content", 256).alias("new_payload")), fuzzy.rerun_match(old, new))
+    return rows.select(F.col("old_id").alias("staging_id"), "payload", "lineage", "tier")
 
 
 @query("p29_reject", "SELECT staging_id, CASE WHEN review_status = 'pending' AND upload_id = 7 THEN 'rejected' ELSE review_status END AS review_status FROM staging")

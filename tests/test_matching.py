@@ -135,3 +135,15 @@ def test_rows_of_a_large_upload_never_meet_in_pairs(spark):
         if found:
             want[old_id] = min(found)
     assert {x["old_id"]: (x["tier"], x["new_id"]) for x in got.collect()} == want
+
+
+def test_a_rerun_sends_no_old_payload_to_the_new_rows(spark):
+    from tallyforge.plans import ingest
+
+    old = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "old_id long, payload string")
+    new = spark.createDataFrame([(8, "n"), (9, None)], "new_id long, new_payload string")
+    found = spark.createDataFrame([(1, 8, 1), (2, 9, 3)], "old_id long, new_id long, tier int")
+    rows = ingest.take_rerun(old, new, found)
+    assert sorted(map(tuple, rows.select("old_id", "payload", "lineage", "tier").collect())) == [(1, "n", 8, 1), (2, "b", 9, 3), (3, None, None, None)]
+    first_join = rows._jdf.queryExecution().analyzed().toString().split("Join")[-1]
+    assert "new_payload" in first_join and "LogicalRDD [old_id" in first_join and ", payload" not in first_join
