@@ -92,12 +92,18 @@ class Files:
 
 
 class _Part(InputPartition):
-    def __init__(self, folder: str | None, name: str, size: int):
-        self.folder, self.name, self.size = folder, name, size
+    """All objects below a folder, or some named ones with their sizes."""
+
+    def __init__(self, folder: str | None = None, named: list[tuple[str, int]] = ()):
+        self.folder, self.named = folder, list(named)
+
+
+#: Objects that lie beside folders on the way are read so many in a partition.
+NAMED = 4096
 
 
 class _Reader(DataSourceReader):
-    """A partition for each file or folder on the way to the prefix's names; folders are split while they are few."""
+    """A partition for each folder on the way to the prefix's names; folders are split while they are few and hold folders."""
 
     def __init__(self, options: dict):
         self.root, self.prefix = options["path"], options.get("prefix", "")
@@ -105,19 +111,31 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         files = Files(self.root)
+        is_folder = lambda f: f.type == pafs.FileType.Directory
+        # a folder's objects come behind its name and a slash
+        named = lambda found: sorted((f.path[len(files.base) + 1 :] + "/" * is_folder(f), f) for f in found)
         folder, _, start = self.prefix.rpartition("/")
-        inside = [(f.path[len(files.base) + 1 :], f) for f in files.inside(folder) if f.base_name.startswith(start)]
-        for _ in range(8):
-            folders = [n for n, f in inside if f.type == pafs.FileType.Directory]
-            if len(inside) >= self.width or not folders:
+        inside = named(f for f in files.inside(folder) if f.base_name.startswith(start))
+        while len(inside) < self.width:
+            folders = [name[:-1] for name, f in inside if is_folder(f)]
+            # a folder of objects alone is left to one task, which lists it; the first folder tells for its level
+            if not folders or not any(map(is_folder, files.inside(folders[0]))):
                 break
-            inside = [(n, f) for n, f in inside if f.type != pafs.FileType.Directory] + [(f.path[len(files.base) + 1 :], f) for n in folders for f in files.inside(n)]
-        return [_Part(n if f.type == pafs.FileType.Directory else None, n, f.size or 0) for n, f in sorted(inside, key=lambda x: x[0])] or [_Part(None, "", -1)]
+            inside = [x for name, f in inside for x in (named(files.inside(name[:-1])) if is_folder(f) else [(name, f)])]
+        parts, own = [], []
+        for name, f in inside:
+            if own and (is_folder(f) or len(own) == NAMED):
+                parts.append(_Part(named=own))
+                own = []
+            if is_folder(f):
+                parts.append(_Part(name[:-1]))
+            else:
+                own.append((name, f.size))
+        return parts + ([_Part(named=own)] if own or not parts else [])
 
     def read(self, part: _Part) -> Iterator[tuple]:
         files = Files(self.root)
-        found = files.walk(part.folder) if part.folder is not None else [(part.name, part.size)] if part.size >= 0 else []
-        for key, size in found:
+        for key, size in files.walk(part.folder) if part.folder is not None else part.named:
             yield key, size, files.get(key) if self.content else None
 
 

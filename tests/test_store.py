@@ -56,3 +56,14 @@ def test_get_raises_and_delete_does_not(spark, tmp_path):
 def test_keys_stay_below_the_root(tmp_path, key):
     with pytest.raises(ValueError):
         store.Files(str(tmp_path)).put(key, b"")
+
+
+def test_a_listing_has_no_partition_for_each_object(spark, tmp_path):
+    root = f"file://{tmp_path}/s"
+    contents = {f"up/{a}{b}/{k}": b"x" for a in "ab" for b in "01" for k in range(60)} | {f"flat/{k}": b"" for k in range(50)}
+    store.put(spark.createDataFrame(rows(contents), KIND).coalesce(2), root)
+    for prefix, most in (("up/a", 2), ("up/", 4), ("flat/", 1), ("", 5)):
+        found = store.listing(spark, root, prefix)
+        keys = [x["key"] for x in found.collect()]
+        assert keys == sorted(k for k in contents if k.startswith(prefix))
+        assert found.rdd.getNumPartitions() <= most
