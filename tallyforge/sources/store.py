@@ -17,11 +17,15 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 SCHEMA = "key string, size long, content binary"
 #: Folder of marks and of objects under way; no key lies in it.
 HIDDEN = "_store"
+#: Objects that lie beside folders on the way are read so many in a partition.
+NAMED = 4096
+#: Bytes of content that are handed on at once.
+PART_BYTES = 4 << 20
 
 
 class NotFound(KeyError):
@@ -91,6 +95,19 @@ class Files:
                 yield name, f.size
 
 
+def _parts(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Rows in lists of about PART_BYTES of content, which is their last value, and NAMED rows at most."""
+    own, size = [], 0
+    for row in rows:
+        own.append(row)
+        size += len(row[-1]) if isinstance(row[-1], bytes) else 0
+        if size >= PART_BYTES or len(own) == NAMED:
+            yield own
+            own, size = [], 0
+    if own:
+        yield own
+
+
 class _Part(InputPartition):
     """All objects below a folder, or some named ones with their sizes."""
 
@@ -98,10 +115,6 @@ class _Part(InputPartition):
         self.folder, self.named = folder, list(named)
 
 
-#: Objects that lie beside folders on the way are read so many in a partition.
-NAMED = 4096
-
-
 class _Reader(DataSourceReader):
     """A partition for each folder on the way to the prefix's names; folders are split while they are few and hold folders."""
 
@@ -133,10 +146,15 @@ class _Reader(DataSourceReader):
                 own.append((name, f.size))
         return parts + ([_Part(named=own)] if own or not parts else [])
 
-    def read(self, part: _Part) -> Iterator[tuple]:
+    def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
         files = Files(self.root)
-        for key, size in files.walk(part.folder) if part.folder is not None else part.named:
-            yield key, size, files.get(key) if self.content else None
+        found = files.walk(part.folder) if part.folder is not None else part.named
+        rows = ((key, size, files.get(key) if self.content else None) for key, size in found)
+        kind = pa.schema([("key", pa.string()), ("size", pa.int64()), ("content", pa.binary())])
+        for own in _parts(rows):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*own), kind)], schema=kind)
+            del own
+            pa.default_memory_pool().release_unused()
 
 
 class _Wrote(WriterCommitMessage):
@@ -144,15 +162,19 @@ class _Wrote(WriterCommitMessage):
         self.objects = objects
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     def __init__(self, options: dict, names: list[str]):
         self.root, self.names = options["path"], names
 
-    def write(self, rows: Iterator) -> WriterCommitMessage:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         files, n = Files(self.root), 0
-        for row in rows:
-            files.put(row["key"], bytes(row["content"]), row["expected"] if "expected" in self.names else None)
-            n += 1
+        for batch in batches:
+            names = batch.schema.names
+            columns = [batch.column(names.index(c)) if c in names else pa.nulls(batch.num_rows) for c in ("key", "content", "expected")]
+            # one object's bytes are in Python at a time
+            for key, content, expected in zip(*columns):
+                files.put(key.as_py(), content.as_py(), expected.as_py())
+            n += batch.num_rows
         return _Wrote(n)
 
     def commit(self, messages: list) -> None:
@@ -203,33 +225,34 @@ def listing(spark: SparkSession, root: str, prefix: str = "", content: bool = Fa
     return rows.where(F.col("key").startswith(prefix))
 
 
-def _each(keys: DataFrame, root: str, schema: str, work: Callable[[Files, list], list]) -> DataFrame:
+def _each(keys: DataFrame, root: str, schema: str, work: Callable[[Files, str], object]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files = Files(root)
         for batch in batches:
-            kind = pa.binary() if "binary" in schema else pa.bool_()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(work(files, batch.column(0).to_pylist()), kind)], names)
+            for own in _parts((k, work(files, k)) for k in batch.column(0).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*own), kinds)], names)
+                del own
+                pa.default_memory_pool().release_unused()
 
-    names = ["key", schema.split(", ")[1].split()[0]]
+    names, kinds = ["key", schema.split(", ")[1].split()[0]], [pa.string(), pa.binary() if "binary" in schema else pa.bool_()]
     return keys.select("key").mapInArrow(run, schema)
 
 
 def get(keys: DataFrame, root: str) -> DataFrame:
     """(key, content); a key without an object is an error."""
-    return _each(keys, root, "key string, content binary", lambda files, own: [files.get(k) for k in own])
+    return _each(keys, root, "key string, content binary", Files.get)
 
 
 def exists(keys: DataFrame, root: str) -> DataFrame:
     """(key, found)."""
-    return _each(keys, root, "key string, found boolean", lambda files, own: [files.exists(k) for k in own])
+    return _each(keys, root, "key string, found boolean", Files.exists)
 
 
 def delete(keys: DataFrame, root: str) -> None:
     """Delete objects; those that aren't there are passed over."""
 
-    def gone(files: Files, own: list) -> list:
-        for k in own:
-            files.delete(k)
-        return [True] * len(own)
+    def gone(files: Files, key: str) -> bool:
+        files.delete(key)
+        return True
 
     _each(keys.distinct(), root, "key string, gone boolean", gone).write.format("noop").mode("overwrite").save()

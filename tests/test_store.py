@@ -67,3 +67,16 @@ def test_a_listing_has_no_partition_for_each_object(spark, tmp_path):
         keys = [x["key"] for x in found.collect()]
         assert keys == sorted(k for k in contents if k.startswith(prefix))
         assert found.rdd.getNumPartitions() <= most
+
+
+def test_contents_are_handed_on_in_parts(spark, tmp_path, monkeypatch):
+    root = f"file://{tmp_path}/s"
+    contents = {f"up/{k:02}": bytes([k]) * 1000 for k in range(30)}
+    store.put(spark.createDataFrame(rows(contents), KIND).coalesce(1), root)
+    monkeypatch.setattr(store, "PART_BYTES", 4000)
+    reader = store._Reader({"path": root, "prefix": ""})
+    parts = [b for p in reader.partitions() for b in reader.read(p)]
+    assert max(b.nbytes for b in parts) < 5000 and len(parts) == 8
+    assert {k: c for b in parts for k, c in zip(b.column(0).to_pylist(), b.column(2).to_pylist())} == contents
+    got = store.get(spark.createDataFrame([(k,) for k in contents], "key string"), root).collect()
+    assert {x["key"]: bytes(x["content"]) for x in got} == contents
