@@ -6,7 +6,8 @@ import hashlib
 import json
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ from tallyforge.functions import udf
 from .scheduling import Schedule, all_tried
 from .shared import written
 
+#: Bytes of prompts that are worked on at once.
+PROMPT_BYTES = 2 << 20
 RESULT = "ok boolean, http_status int, text string, prompt_tokens long, completion_tokens long"
 
 
@@ -35,14 +38,31 @@ def call(rows: DataFrame, prompt: str, client: Callable[[str], dict], schedule:
     kinds = RESULT + (", tries int, waited_ms long" if report else "")
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields] + [kinds])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = {"ok": pa.bool_(), "http_status": pa.int32(), "text": pa.string(), "prompt_tokens": pa.int64(), "completion_tokens": pa.int64()} | ({"tries": pa.int32(), "waited_ms": pa.int64()} if report else {})
+        at = names.index(prompt)
         for batch in batches:
-            columns = ["ok", "http_status", "text", "prompt_tokens", "completion_tokens", *(["tries", "waited_ms"] if report else [])]
-            found = pd.DataFrame(list(all_tried(client, batch[prompt], schedule)), columns=columns, index=batch.index)
-            found[["http_status", "prompt_tokens", "completion_tokens"]] = found[["http_status", "prompt_tokens", "completion_tokens"]].astype("Int64")
-            yield pd.concat([batch, found], axis=1)
-
-    return (rows.repartition(width) if width else rows).mapInPandas(run, schema)
+            for part in _slices(batch, at):
+                found = list(all_tried(client, part.column(at).to_pylist(), schedule))
+                made = [pa.array([x.get(n) for x in found], kind) for n, kind in columns.items()]
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], [*names, *columns])
+                del found, made
+                pa.default_memory_pool().release_unused()
+
+    names = rows.columns
+    return (rows.repartition(width) if width else rows).mapInArrow(run, schema)
+
+
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about PROMPT_BYTES of a text column; a longer row stands alone."""
+    first, size = 0, 0
+    for k, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+        if k > first and size + n > PROMPT_BYTES:
+            yield batch.slice(first, k - first)
+            first, size = k, 0
+        size += n
+    if first < batch.num_rows:
+        yield batch.slice(first)
 
 
 def answer_text(v: Column) -> Column:

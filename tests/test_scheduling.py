@@ -117,3 +117,15 @@ def test_a_very_long_document_is_in_parts(spark):
     parts = ingest.ordered_parts(rows, "doc", "page", F.col("t"), " ")
     assert parts.agg(F.max("pages")).first()[0] == 64 and parts.count() == -(-300_000 // 64)
     assert parts.where("part = 1000").first()["text"].split()[:2] == ["p64000", "p64001"]
+
+
+def test_prompts_are_worked_on_by_bytes(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(model_calls, "PROMPT_BYTES", 10)
+    texts = ["aaaa", "bbbb", "cccc", None, "d" * 30, "", "e"]
+    parts = list(model_calls._slices(pa.RecordBatch.from_pydict({"k": range(7), "p": texts}), 1))
+    assert [p.column(1).to_pylist() for p in parts] == [["aaaa", "bbbb"], ["cccc", None], ["d" * 30], ["", "e"]]
+    rows = spark.createDataFrame(list(enumerate(texts[:3])), "k long, p string").coalesce(1)
+    out = model_calls.call(rows, "p", lambda p: {"ok": True, "http_status": 200, "text": p.upper()}).collect()
+    assert [(x["k"], x["p"], x["text"], x["prompt_tokens"]) for x in out] == [(0, "aaaa", "AAAA", None), (1, "bbbb", "BBBB", None), (2, "cccc", "CCCC", None)]
