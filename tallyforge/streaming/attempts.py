@@ -75,6 +75,8 @@ def _micros(times: pd.Series) -> np.ndarray:
     return times.to_numpy(dtype="datetime64[us]").astype(np.int64)
 
 
+#: Question ids in one entry of a learner's mistakes.
+PAGE = 256
 #: States that are handed on at once.
 OUT_ROWS = 10_000
 
@@ -83,8 +85,9 @@ class LearnerState(StatefulProcessor):
     """Mastery by point and mistakes by question of one learner; emits the states that a batch touched."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.mastery = handle.getMapState("mastery", "kp_id int", "score int, peak int")
-        self.mistakes = handle.getMapState("mistakes", "question_id long", "errors int, streak int")
+        # a learner's points are one value and mistakes are kept by pages, so a batch costs a few calls a learner
+        self.mastery = handle.getValueState("mastery", "kp_id array<int>, score array<int>, peak array<int>")
+        self.mistakes = handle.getMapState("mistakes", "page long", "question_id array<long>, errors array<int>, streak array<int>")
         self.spool = Spool(handle, ["at", "attempt_id", "kp", "question", "difficulty", "right"])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -92,28 +95,36 @@ class LearnerState(StatefulProcessor):
         frames = ({"at": _micros(f["answered_at"])} | {n: f[c].to_numpy().astype(np.int64) for n, c in columns.items()} for f in rows)
         # what a batch touches: as many entries as points and questions, whatever its answers
         scores: dict[int, tuple[int, int]] = {}
+        points = {kp: x for kp, *x in zip(*self.mastery.get())} if self.mastery.exists() else {}
+        pages: dict[int, dict[int, tuple[int, int]]] = {}
         states: dict[int, tuple[int, int, int]] = {}
         for part in self.spool.in_order(frames):
             for kp, question, difficulty, right in zip(*(part[n].tolist() for n in ("kp", "question", "difficulty", "right"))):
                 if kp not in scores:
-                    scores[kp] = self.mastery.getValue((kp,)) if self.mastery.containsKey((kp,)) else (0, 0)
+                    scores[kp] = points.get(kp, (0, 0))
                 score, peak = scores[kp]
                 score = max(0, min(100, score + change(difficulty, bool(right))))
                 scores[kp] = (score, max(peak, score))
                 if question in states:
                     _, errors, streak = states[question]
                 else:
-                    errors, streak = self.mistakes.getValue((question,)) if self.mistakes.containsKey((question,)) else (0, 0)
+                    page = question // PAGE
+                    if page not in pages:
+                        pages[page] = {q: x for q, *x in zip(*self.mistakes.getValue((page,)))} if self.mistakes.containsKey((page,)) else {}
+                    errors, streak = pages[page].get(question, (0, 0))
                 if not right:
                     errors, streak = errors + 1, 0
                 elif errors:
                     streak = min(2, streak + 1)
                 states[question] = (kp, errors, streak)
-        for kp, value in scores.items():
-            self.mastery.updateValue((kp,), value)
+        flat = lambda book: tuple([int(x) for x in c] for c in zip(*((k, *x) for k, x in book.items())))
+        self.mastery.update(flat(points | scores))
         for question, (_, errors, streak) in states.items():
             if errors:
-                self.mistakes.updateValue((question,), (errors, streak))
+                pages[question // PAGE][question] = (errors, streak)
+        for page, book in pages.items():
+            if book:
+                self.mistakes.updateValue((page,), flat(book))
         names = ["student_id", "kp_id", "question_id", "score", "peak", "errors", "streak", "status"]
         out = [(key[0], kp, q, *scores[kp], errors, streak, None if not errors else "resolved" if streak == 2 else "open") for q, (kp, errors, streak) in states.items()]
         for at in range(0, len(out), OUT_ROWS):

@@ -111,3 +111,37 @@ def test_a_batch_that_is_killed_and_replayed_is_there_once(spark, tmp_path):
     # the mark is there, the stream's own commit is not: the batch comes again and changes nothing
     out.write(spark.range(5).withColumn("part", F.lit(1)), 0)
     assert out.read("id long, part int").count() == 100 and out.batches() == [0]
+
+
+def test_a_learner_costs_a_few_calls_to_the_state():
+    import pandas as pd
+
+    said, calls = {}, []
+
+    class State:
+        def __init__(self, name):
+            self.name = name
+
+        def __getattr__(self, call):
+            def run(*key):
+                calls.append((self.name, call))
+                if call in ("update", "updateValue"):
+                    said[(self.name, *key[:-1])] = key[-1]
+                    return None
+                return (self.name, *key) in said if call in ("exists", "containsKey") else said.get((self.name, *key))
+
+            return run
+
+    class Handle:
+        def getMapState(self, name, *_):
+            return State(name)
+
+        getValueState = getMapState
+
+    work = attempts.LearnerState()
+    work.init(Handle())
+    frame = pd.DataFrame({"answered_at": pd.date_range("2024-01-01", periods=120, freq="min"), "attempt_id": range(120), "primary_kp": [k % 12 for k in range(120)], "question_id": [k % 40 for k in range(120)], "difficulty": 3, "is_correct": [k < 80 for k in range(120)]})
+    for _ in range(2):
+        out = pd.concat(work.handleInputRows((1,), iter([frame]), None))
+    assert len(calls) <= 12, len(calls)
+    assert out["errors"].eq(2).all()
