@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import IntegralType
 
 STATE = "student_id long, kp_id int, question_id long, score int, peak int, errors int, streak int, status string"
 
@@ -227,46 +228,81 @@ def activity(answers: DataFrame, width: str = "7 days", step: str = "1 day", lat
     return answers.withWatermark("ts", late).groupBy(F.window("ts", width, step)).agg(F.count(F.lit(1)).alias("answers"), F.count_if("is_correct").alias("right"))
 
 
+#: Learners with neighbouring ids in one key of the reviews' state; a power of two.
+LEARNERS = 64
+
+
 class DueReviews(StatefulProcessor):
-    """The review of one learner and point: due a day after the first contact or the last wrong answer.
+    """The reviews of a page of learners: each is due a day after the first contact or the last wrong answer.
 
-    A timer in event time fires when the watermark has passed that moment. A
-    wrong answer before or after puts the review off and says so.
+    A page has one value of state and one timer in event time, that of its next
+    review; when it fires, all reviews of the page that the watermark has passed
+    are due. A wrong answer before or after puts a review off and says so.
     """
 
-    def __init__(self, wait_ms: int):
-        self.wait_ms = wait_ms
+    def __init__(self, wait_ms: int, student: str, kp: str):
+        self.wait_ms, self.kinds = wait_ms, (student, kp)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", "first long, wrong long, due_at long, timer long")
+        student, kp = self.kinds
+        # timer is null where a review has been told; ahead is the page's timer
+        self.seen = handle.getValueState("seen", f"student_id array<{student}>, kp_id array<{kp}>, first array<long>, wrong array<long>, due_at array<long>, timer array<long>, ahead long")
+
+    def _load(self) -> tuple[dict, int | None]:
+        if not self.seen.exists():
+            return {}, None
+        student, kp, *rest, ahead = self.seen.get()
+        return dict(zip(zip(student, kp), zip(*rest))), ahead
+
+    def _keep(self, book: dict, before: int | None) -> None:
+        ahead = min((timer for *_, timer in book.values() if timer is not None), default=None)
+        if ahead != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            if ahead is not None:
+                self.handle.registerTimer(ahead)
+        self.seen.update((*(list(c) for c in zip(*((*k, *x) for k, x in book.items()))), ahead))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first, wrong, before, timer = self.seen.get() if self.seen.exists() else (None, None, None, None)
+        book, ahead = self._load()
+        # first and last wrong answer of what a batch touches
+        news: dict[tuple, tuple[int, int | None]] = {}
         for frame in rows:
-            at = _micros(frame["ts"])
-            bad = at[~frame["is_correct"].to_numpy().astype(bool)]
-            first = int(at.min()) if first is None else min(first, int(at.min()))
-            if len(bad):
-                wrong = int(bad.max()) if wrong is None else max(wrong, int(bad.max()))
-        due_at = max(first, wrong if wrong is not None else first) + 1000 * self.wait_ms
-        if due_at != before:
-            if timer is not None:
-                self.handle.deleteTimer(timer)
-            # timers are in whole milliseconds and fire once the watermark is there
-            timer = max(-(-due_at // 1000), timerValues.getCurrentWatermarkInMs() + 1)
-            self.handle.registerTimer(timer)
-            yield self._row(key, "waiting", due_at)
-        self.seen.update((first, wrong, due_at, timer))
+            columns = (frame["student_id"].tolist(), frame["kp_id"].tolist(), _micros(frame["ts"]).tolist(), frame["is_correct"].tolist())
+            for student, kp, at, right in zip(*columns):
+                review = (student, kp)
+                first, wrong = news.get(review) or book.get(review, (at, None))[:2]
+                if not right and (wrong is None or at > wrong):
+                    wrong = at
+                news[review] = (min(first, at), wrong)
+        said = []
+        for review, (first, wrong) in news.items():
+            before, timer = book[review][2:] if review in book else (None, None)
+            due_at = max(first, wrong if wrong is not None else first) + 1000 * self.wait_ms
+            if due_at != before:
+                # timers are in whole milliseconds and fire once the watermark is there
+                timer = max(-(-due_at // 1000), timerValues.getCurrentWatermarkInMs() + 1)
+                said.append((*review, "waiting", due_at))
+            book[review] = (first, wrong, due_at, timer)
+        self._keep(book, ahead)
+        yield from self._rows(said)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        first, wrong, due_at, _ = self.seen.get()
-        self.seen.update((first, wrong, due_at, None))
-        yield self._row(key, "due", due_at)
+        book, _ = self._load()
+        said = []
+        for review, (first, wrong, due_at, timer) in book.items():
+            if timer is not None and timer <= timerValues.getCurrentWatermarkInMs():
+                said.append((*review, "due", due_at))
+                book[review] = (first, wrong, due_at, None)
+        # the timer that fired is gone
+        self._keep(book, None)
+        yield from self._rows(said)
 
     @staticmethod
-    def _row(key, status: str, due_at: int) -> pd.DataFrame:
-        return pd.DataFrame([(*key, status, due_at)], columns=["student_id", "kp_id", "status", "due_us"])
+    def _rows(said: list[tuple]) -> Iterator[pd.DataFrame]:
+        for at in range(0, len(said), OUT_ROWS):
+            yield pd.DataFrame(said[at : at + OUT_ROWS], columns=["student_id", "kp_id", "status", "due_us"])
 
     def close(self) -> None:
         pass
@@ -277,10 +313,14 @@ def due_reviews(answers: DataFrame, late: str = "1 hour", wait_ms: int = 86_400_
 
     'waiting' when a review's moment is set or moves, 'due' when the event clock
     passes it. Answers later than late are left out, as the watermark says.
+    Whole ids share a key of state by LEARNERS neighbours, so that a key grows
+    with its learners' points alone; learners with other ids have one each.
     """
     kinds = [answers.schema[c].dataType.simpleString() for c in ("student_id", "kp_id")]
-    keyed = answers.withWatermark("ts", late).groupBy("student_id", "kp_id")
-    return keyed.transformWithStateInPandas(DueReviews(wait_ms), f"student_id {kinds[0]}, kp_id {kinds[1]}, status string, due_us long", "Update", "EventTime")
+    whole = isinstance(answers.schema["student_id"].dataType, IntegralType)
+    page = F.shiftright(F.col("student_id").cast("long"), LEARNERS.bit_length() - 1) if whole else F.xxhash64("student_id")
+    keyed = answers.withWatermark("ts", late).withColumn("page", page).groupBy("page")
+    return keyed.transformWithStateInPandas(DueReviews(wait_ms, *kinds), f"student_id {kinds[0]}, kp_id {kinds[1]}, status string, due_us long", "Update", "EventTime")
 
 
 def due(reviews: DataFrame, now) -> DataFrame:

@@ -71,6 +71,51 @@ def test_reviews_fall_due_and_are_put_off(spark, small_frames):
     assert said[3] == [("waiting", micros(26)), ("due", micros(26))]
 
 
+@pytest.mark.parametrize("name", [lambda s: s * 29 - 3000, lambda s: 2**60 + s, lambda s: f"s{s}"])
+def test_reviews_of_many_learners(spark, small_frames, name):
+    r = random.Random(3)
+    kind = "student_id string" if isinstance(name(0), str) else "student_id long"
+    rows = [(name(r.randint(0, 150)), r.randint(0, 3), START + datetime.timedelta(seconds=r.randint(0, 90_000) + 90_000 * b), r.random() < 0.5) for b in range(3) for _ in range(1500)]
+    ends = [START + datetime.timedelta(seconds=90_000 * b) for b in (1, 2, 3)]
+    df = spark.createDataFrame(rows, f"{kind}, kp_id int, ts timestamp, is_correct boolean").repartition(4)
+    # answers of a batch are as late as they like within the batch
+    batches = [df.where((F.col("ts") < F.lit(e)) & (F.col("ts") >= F.lit(e - datetime.timedelta(seconds=90_000)))) for e in ends]
+    got = q_domain._stream(Over(spark), batches, lambda s: attempts.due_reviews(s, late="1 hour")).collect()
+    micros = lambda t: (t - datetime.datetime(1970, 1, 1)) // datetime.timedelta(microseconds=1)
+    clock, waiting, fallen, seen = None, set(), set(), {}
+    for e in ends:
+        mine = [x for x in rows if e - datetime.timedelta(seconds=90_000) <= x[2] < e]
+        before = {k: max(t for t in v if t) for k, v in seen.items()}
+        for s, kp, t, right in mine:
+            first, wrong = seen.get((s, kp), (t, None))
+            seen[s, kp] = (min(first, t), wrong if right else max(wrong or t, t))
+        after = {k: max(t for t in v if t) for k, v in seen.items()}
+        waiting |= {(*k, micros(t) + 86_400_000_000) for k, t in after.items() if before.get(k) != t}
+        clock = micros(max(x[2] for x in mine)) // 1000 - 3_600_000
+        fallen |= {(*k, micros(t) + 86_400_000_000) for k, t in after.items() if -(-(micros(t) + 86_400_000_000) // 1000) <= clock}
+    told = [(x["status"], x["student_id"], x["kp_id"], x["due_us"]) for x in got]
+    assert len(told) == len(set(told))
+    assert {x[1:] for x in told if x[0] == "waiting"} == waiting
+    assert {x[1:] for x in told if x[0] == "due"} == fallen and fallen
+
+
+def test_reviews_of_neighbours_share_state_and_timers(spark, tmp_path):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        ids = spark.range(1024).select((F.col("id") % 128).alias("student_id"), F.col("id").alias("kp_id"), F.timestamp_seconds(F.col("id") + 1_704_067_200).alias("ts"), F.lit(True).alias("is_correct"))
+        ids.write.parquet(f"{tmp_path}/in")
+        due = attempts.due_reviews(spark.readStream.schema(ids.schema).parquet(f"{tmp_path}/in"))
+        running = due.writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).outputMode("update").start()
+        running.awaitTermination()
+        metrics = [p["stateOperators"][0]["customMetrics"] for p in running.recentProgress if p["stateOperators"]]
+        # 1,024 reviews of two pages of learners
+        assert sum(m["numRegisteredTimers"] for m in metrics) == 2
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
 def test_a_job_fails_only_after_the_quiet_time(spark):
     at = lambda s: START + datetime.timedelta(seconds=s)
     kind = "job_id long, ts timestamp, status string"
