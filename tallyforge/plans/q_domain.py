@@ -599,10 +599,12 @@ def _(v):
 @query("t7_due_timer", "SELECT student_id, kp_id, epoch_us(next_review_at) AS due_us FROM review, now_at WHERE next_review_at <= now")
 def _(v):
     """Reviews fall due by timers as the event clock runs; at the end it stands at now."""
+    learners = v.attempt.agg(F.approx_count_distinct("student_id")).first()[0]
+    pages = learners // attempts.LEARNERS + 1
     rows = v.graded.select("student_id", F.col("primary_kp").alias("kp_id"), F.col("answered_at").alias("ts"), "is_correct")
     key = rows.schema["student_id"].dataType
     clock = rows.limit(1).select(F.lit(-1).cast(key).alias("student_id"), F.lit(-1).cast(rows.schema["kp_id"].dataType).alias("kp_id"), (v.now + F.expr("INTERVAL 1 HOUR")).alias("ts"), F.lit(True).alias("is_correct"))
-    out = _stream(v, [rows.where("ts < '2024-01-15'"), rows.where("ts >= '2024-01-15'"), clock], lambda s: attempts.due_reviews(s.where(F.col("ts") <= v.now + F.expr("INTERVAL 1 HOUR")), late="1 hour"))
+    out = _stream(v, [rows.where("ts < '2024-01-15'"), rows.where("ts >= '2024-01-15'"), clock], lambda s: attempts.due_reviews(s.where(F.col("ts") <= v.now + F.expr("INTERVAL 1 HOUR")), late="1 hour", pages=pages))
     # a batch may fire an old timer and set a new one: what was set stands against what was due before
     last = out.where("student_id >= 0").groupBy("student_id", "kp_id").agg(F.max_by(F.struct("status", "due_us"), F.struct("due_us", "batch", (F.col("status") == "due").alias("f"))).alias("r"))
     return last.where("r.status = 'due'").select("student_id", "kp_id", "r.due_us")

@@ -228,7 +228,7 @@ def activity(answers: DataFrame, width: str = "7 days", step: str = "1 day", lat
     return answers.withWatermark("ts", late).groupBy(F.window("ts", width, step)).agg(F.count(F.lit(1)).alias("answers"), F.count_if("is_correct").alias("right"))
 
 
-#: Learners with neighbouring ids in one key of the reviews' state; a power of two.
+#: Learners in one key of the reviews' state; a power of two.
 LEARNERS = 64
 
 
@@ -308,17 +308,20 @@ class DueReviews(StatefulProcessor):
         pass
 
 
-def due_reviews(answers: DataFrame, late: str = "1 hour", wait_ms: int = 86_400_000) -> DataFrame:
+def due_reviews(answers: DataFrame, late: str = "1 hour", wait_ms: int = 86_400_000, pages: int | None = None) -> DataFrame:
     """(student_id, kp_id, status, due_us) of a stream of answers (student_id, kp_id, ts, is_correct).
 
     'waiting' when a review's moment is set or moves, 'due' when the event clock
     passes it. Answers later than late are left out, as the watermark says.
-    Whole ids share a key of state by LEARNERS neighbours, so that a key grows
-    with its learners' points alone; learners with other ids have one each.
+    Learners are dealt over pages, the keys of state, by a hash of their ids;
+    about LEARNERS a page are good, and the number stays for a checkpoint.
+    Without it LEARNERS neighbours share a page where ids are whole numbers
+    (far-apart ids share none), and learners with other ids have one each.
     """
     kinds = [answers.schema[c].dataType.simpleString() for c in ("student_id", "kp_id")]
     whole = isinstance(answers.schema["student_id"].dataType, IntegralType)
     page = F.shiftright(F.col("student_id").cast("long"), LEARNERS.bit_length() - 1) if whole else F.xxhash64("student_id")
+    page = page if pages is None else F.pmod(F.xxhash64("student_id"), F.lit(pages).cast("long"))
     keyed = answers.withWatermark("ts", late).withColumn("page", page).groupBy("page")
     return keyed.transformWithStateInPandas(DueReviews(wait_ms, *kinds), f"student_id {kinds[0]}, kp_id {kinds[1]}, status string, due_us long", "Update", "EventTime")
 

@@ -99,14 +99,15 @@ def test_reviews_of_many_learners(spark, small_frames, name):
     assert {x[1:] for x in told if x[0] == "due"} == fallen and fallen
 
 
-def test_reviews_of_neighbours_share_state_and_timers(spark, tmp_path):
+@pytest.mark.parametrize("apart, pages", [(1, None), (100_000, 2)])
+def test_reviews_of_neighbours_share_state_and_timers(spark, tmp_path, apart, pages):
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key, None)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        ids = spark.range(1024).select((F.col("id") % 128).alias("student_id"), F.col("id").alias("kp_id"), F.timestamp_seconds(F.col("id") + 1_704_067_200).alias("ts"), F.lit(True).alias("is_correct"))
+        ids = spark.range(1024).select((F.col("id") % 128 * apart).alias("student_id"), F.col("id").alias("kp_id"), F.timestamp_seconds(F.col("id") + 1_704_067_200).alias("ts"), F.lit(True).alias("is_correct"))
         ids.write.parquet(f"{tmp_path}/in")
-        due = attempts.due_reviews(spark.readStream.schema(ids.schema).parquet(f"{tmp_path}/in"))
+        due = attempts.due_reviews(spark.readStream.schema(ids.schema).parquet(f"{tmp_path}/in"), **({} if pages is None else {"pages": pages}))
         running = due.writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).outputMode("update").start()
         running.awaitTermination()
         metrics = [p["stateOperators"][0]["customMetrics"] for p in running.recentProgress if p["stateOperators"]]
